@@ -1,26 +1,24 @@
 """Sharding: contiguous shards of near-equal bytes by global prefix sums.
 
-The rows are range-partitioned and sorted by doc_id.  Each partition's total is summed, the totals
-become offsets, and each row's global byte offset is its partition's offset plus the running sum
-inside it.  The shard of a row is where the middle of its byte range falls among equal cuts, so
-shards are contiguous in doc_id order and their sizes differ from the target by less than one row.
+The rows are range-partitioned by doc_id.  Each partition's total is summed, the totals become
+offsets, and each row's global byte offset is its partition's offset plus the running sum inside
+it.  The shard of a row is where the middle of its byte range falls among equal cuts, so shards are
+contiguous in doc_id order and their sizes differ from the target by less than one row.
 
-Only a digest (id, size, checksums) is shuffled, never the texts.  One number pair per partition
-and shard reaches the driver, which grows with partitions and not with rows.
+Only a digest (id, size, checksum) is shuffled, never the texts.  Two numbers a partition and one a
+shard reach the driver; they grow with partitions and not with rows.
 
-Edge cases: null ids come first; a null text is empty; rows that agree in doc_id, size and
-checksum are interchangeable and may swap slots; an empty table gives an empty result; columns
-other than doc_id and text take no part and pass through unread.
+Edge cases: null ids come first; a null text is empty; rows that agree in doc_id, size and checksum
+are interchangeable and may swap slots; an empty table gives an empty result; columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, prepare, shared_path
+from .common import prepare, written
 
 #: Bytes that each row costs besides its text.
 ROW_BYTES = 16
@@ -37,68 +35,29 @@ def byte_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     # A last key that differs between equal rows lets the range split a group of them.
     digest = _digest(docs).withColumn("tie", F.monotonically_increasing_id() % 8192)
     keys = ("doc_id", "size", "text_crc32", "tie")
-    path = shared_path(spark, "shards")
-    ranged = digest.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    # A file for each partition, named by it: rows stay in order in a file, and a file's rank is the partition's.
-    ranged.withColumn("part", F.spark_partition_id()).write.parquet(path)
-    held = spark.read.parquet(path)
-    totals = {r["part"]: r for r in held.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()}
-    total = sum(r["bytes"] for r in totals.values())
-    offsets, at = {}, 0
-    for p in sorted(totals):
-        offsets[p] = at
-        at += totals[p]["bytes"]
-    sorted_again = held.repartition(max(1, len(totals)), "part").sortWithinPartitions("part", *keys)
-
-    cut = np.array([total * k // shards for k in range(1, shards)], np.int64)
-
-    def placed(batches):
-        part, at = None, 0
-        for b in batches:
-            parts = b.column("part").to_numpy()
-            sizes = b.column("size").to_numpy()
-            shard = np.empty(len(parts), np.int32)
-            cuts = np.flatnonzero(np.diff(parts)) + 1
-            for i, j in zip([0, *cuts], [*cuts, len(parts)]):
-                if i == j:
-                    continue
-                if parts[i] != part:
-                    part, at = parts[i], offsets[int(parts[i])]
-                ends = at + np.cumsum(sizes[i:j])
-                shard[i:j] = np.searchsorted(cut, ends - (sizes[i:j] + 1) // 2, "right")
-                at = int(ends[-1])
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("part", "doc_id", "size", "text_crc32")], pa.array(shard)], names=["part", "doc_id", "size", "text_crc32", "shard"])
-
-    id_type = held.schema["doc_id"].dataType.simpleString()
-    columns = f"part int, doc_id {id_type}, size bigint, text_crc32 bigint, shard int"
-    sharded_path = shared_path(spark, "shards")
-    sorted_again.mapInArrow(placed, columns).write.parquet(sharded_path)
-    drop(spark, path)
-    sharded = spark.read.schema(columns).parquet(sharded_path)
-    counts = sharded.groupBy("part", "shard").count().collect()
-    base, seen = {}, {}
-    for r in sorted(counts, key=lambda r: (r["part"], r["shard"])):
-        base[r["part"], r["shard"]] = seen.get(r["shard"], 0)
-        seen[r["shard"]] = seen.get(r["shard"], 0) + r["count"]
-    return _slots(sharded, base, id_type)
-
-
-def _slots(sharded: DataFrame, base: dict, id_type: str) -> DataFrame:
-    """Number the rows of each (part, shard) run from its base on."""
-
-    def numbered(batches):
-        at: dict = dict(base)
-        for b in batches:
-            parts, shard = b.column("part").to_numpy(), b.column("shard").to_numpy()
-            slot = np.empty(len(parts), np.int64)
-            cuts = np.flatnonzero((np.diff(parts) != 0) | (np.diff(shard) != 0)) + 1
-            for i, j in zip([0, *cuts], [*cuts, len(parts)]):
-                if i == j:
-                    continue
-                key = (int(parts[i]), int(shard[i]))
-                slot[i:j] = at[key] + np.arange(j - i)
-                at[key] += j - i
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("doc_id", "size", "text_crc32", "shard")], pa.array(slot)], names=["doc_id", "size", "text_crc32", "shard", "slot"])
-
-    together = sharded.repartition(max(1, len({p for p, _ in base})), "part").sortWithinPartitions("part", "shard", "doc_id", "size", "text_crc32")
-    return together.mapInArrow(numbered, f"doc_id {id_type}, size bigint, text_crc32 bigint, shard int, slot bigint")
+    held = written(digest.repartitionByRange(*keys).withColumn("part", F.spark_partition_id()), "shards")
+    totals = held.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).orderBy("part").collect()
+    offsets, bytes_before, rows_before = [], 0, 0
+    for r in totals:
+        offsets.append((r["part"], bytes_before, rows_before))
+        bytes_before += r["bytes"]
+        rows_before += r["rows"]
+    at = spark.createDataFrame(offsets, "part int, bytes_before bigint, rows_before bigint")
+    inside = Window.partitionBy("part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    run = held.withColumn("end", F.sum("size").over(inside)).withColumn("row", F.count("*").over(inside))
+    middle = F.expr("bytes_before + end - (size + 1) div 2")
+    placed = run.join(F.broadcast(at), "part").select(  # a row for each partition
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.call_function("div", middle * shards, F.lit(max(bytes_before, 1)).cast("long")).cast("int").alias("shard"),
+        (F.col("rows_before") + F.col("row") - 1).alias("row"),
+    )
+    placed = written(placed, "shards")
+    counts = {r["shard"]: r["count"] for r in placed.groupBy("shard").count().collect()}
+    first, seen = [], 0
+    for s in range(shards):
+        first.append(seen)
+        seen += counts.get(s, 0)
+    begin = F.element_at(F.array(*[F.lit(n).cast("long") for n in first]), F.col("shard") + 1)
+    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("row") - begin).alias("slot"))
