@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, pii, quality, sharding, token_files, url_filter
+from . import decontaminate, mixing, neardup, pii, quality, sharding, token_files, url_filter
 from .common import shared_path
 
 
@@ -22,6 +22,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(_table(spark, sf_dir, "documents"))
     counts = [f"n_{k}" for k in pii.KINDS]
@@ -46,6 +50,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_source_mixing, op6_personal_data, op7_quality_rules, op8_token_files, op9_decontamination, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_source_mixing, op4_near_duplicates, op6_personal_data, op7_quality_rules, op8_token_files, op9_decontamination, op10_sharding)}
 
-ORACLES = {"op1_url_filters": url_filter.oracle(), "op3_source_mixing": mixing.oracle()}
+ORACLES = {"op1_url_filters": url_filter.oracle(), "op3_source_mixing": mixing.oracle(), "op4_near_duplicates": neardup.oracle()}
