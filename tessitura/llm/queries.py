@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, neardup, pii, quality, sharding, token_files, url_filter
+from . import decontaminate, langid, lm, mixing, neardup, pii, quality, sharding, token_files, url_filter
 from .common import shared_path
 
 
@@ -18,12 +18,8 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-def _fold(modulus: int):
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == 2
-
-
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").withColumn("held_out", _fold(4))
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", lm.fold(4) == 2)
     model = langid.fit(docs.filter(~F.col("held_out")).select("text", "lang"))
     return docs.select("doc_id", "held_out", langid.predict(F.col("text"), model, spans=False).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
 
@@ -36,6 +32,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.language_scores(_table(spark, sf_dir, "documents"), lm.fold(7) == 2)
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(_table(spark, sf_dir, "documents"))
     counts = [f"n_{k}" for k in pii.KINDS]
@@ -60,6 +60,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_language_id, op3_source_mixing, op4_near_duplicates, op6_personal_data, op7_quality_rules, op8_token_files, op9_decontamination, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_language_id, op3_source_mixing, op4_near_duplicates, op5_lm_scoring, op6_personal_data, op7_quality_rules, op8_token_files, op9_decontamination, op10_sharding)}
 
 ORACLES = {"op1_url_filters": url_filter.oracle(), "op3_source_mixing": mixing.oracle(), "op4_near_duplicates": neardup.oracle()}
