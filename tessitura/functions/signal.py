@@ -153,11 +153,13 @@ def segments(a: Column, parts: int) -> Column:
 
 def partitioned_entropy(a: Column, partitions=PARTITIONS, bins: int = 64) -> Column:
     """Entropies of the segments of each partitioning, over the greatest of that partitioning."""
-    out = []
-    for k in partitions:
+
+    def relative(k: int) -> Column:
         own = F.transform(segments(a, k), lambda s: entropy(s, bins))
         top = F.array_max(own)
-        out.append(F.transform(own, lambda e, top=top: F.when(top > 0, e / top).otherwise(e)))
+        return F.transform(own, lambda e: F.when(top > 0, e / top).otherwise(e))
+
+    out = [relative(k) for k in partitions]
     none = F.array_repeat(F.lit(None).cast("double"), sum(partitions))
     return F.when(F.size(a) > 0, F.concat(*out)).otherwise(none)
 
