@@ -220,6 +220,19 @@ def per_text(values: np.ndarray, counts: np.ndarray, how: np.ufunc = np.add) ->
     return out
 
 
+def gathered(batches, limit: int = 4 * BLOCK_BYTES):
+    """Arrow batches joined until they hold the limit of bytes, so that work for each distinct word is shared."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held and (t := pa.Table.from_batches(held).combine_chunks()).num_rows:
+        yield t.to_batches()[0]
+
+
 def pieces(batches, limit: int = 4 * BLOCK_BYTES):
     """Arrow batches cut so that the text in each piece stays near the limit (one text may exceed it)."""
     for b in batches:

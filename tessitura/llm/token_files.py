@@ -25,6 +25,7 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, prepare, written
+from .common import gathered, pieces, prepare, written
 from .subwords import encoder, vocabulary_path
 
 # Numbers of the seekable layout.
@@ -163,7 +164,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
         encode = encoder(vocabulary).encode
         with store.open_output_stream(hidden) as out:
             w = FrameWriter(out)
-            for piece in pieces(b for x in ([first], batches) for b in x):
+            for piece in pieces(gathered(chain([first], batches))):
                 for d, ids in zip(piece.column("doc_id").to_pylist(), encode(piece.column("text").to_pylist())):
                     w.add(d, ids + end)
             w.close()
