@@ -65,12 +65,12 @@ def g09_energy_positions(spark, d):
     return signals(spark, d).select("user_id", p.alias("p")).select("user_id", *[r6(F.col("p")[i]).alias(f"p{(i + 1) * 10}") for i in (0, 4, 8)])
 
 
-ENTROPY = """SELECT {key}, round(CASE WHEN bool_or(far) THEN -sum(n / t * log2(n / t)) ELSE 0 END, 6) AS entropy FROM (
+ENTROPY = """SELECT {key}, round(CASE WHEN bool_or(far) THEN -sum(n / t * log2(n / t)) ELSE 0 END, {digits}) AS entropy FROM (
       SELECT {key}, least(floor((v - lo) / nullif(hi - lo, 0) * 64), 63) AS b, count(*)::DOUBLE AS n, any_value(t) AS t, bool_or(abs(v - v0) > 1e-8 + 1e-5 * abs(v0)) AS far FROM (
         SELECT *, min(v) OVER w AS lo, max(v) OVER w AS hi, count(*) OVER w AS t, first_value(v) OVER (PARTITION BY {key} ORDER BY pos) AS v0 FROM ({rows}) WINDOW w AS (PARTITION BY {key})) GROUP BY {key}, b) GROUP BY {key}"""
 
 
-@query(ENTROPY.format(key="user_id", rows=SIGNAL_SQL))
+@query(ENTROPY.format(key="user_id", rows=SIGNAL_SQL, digits=6))
 def g10_entropy(spark, d):
     return signals(spark, d).select("user_id", r6(G.entropy(F.col("x"))).alias("entropy"))
 
@@ -81,7 +81,7 @@ def part(k: int) -> str:
 
 
 @query(f"""SELECT user_id, seg, round(entropy / nullif(max(entropy) OVER (PARTITION BY user_id), 0), 6) AS ratio FROM (
-      SELECT user_id, CAST(split_part(k, ':', 2) AS BIGINT) AS seg, entropy FROM ({ENTROPY.format(key='k', rows=f"SELECT user_id || ':' || ({part(5)}) AS k, pos, v FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM ({SIGNAL_SQL}))")}),
+      SELECT user_id, CAST(split_part(k, ':', 2) AS BIGINT) AS seg, entropy FROM ({ENTROPY.format(key='k', digits=14, rows=f"SELECT user_id || ':' || ({part(5)}) AS k, pos, v FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM ({SIGNAL_SQL}))")}),
       LATERAL (SELECT CAST(split_part(k, ':', 1) AS BIGINT) AS user_id))""")
 def g11_partitioned_entropy(spark, d):
     e = G.partitioned_entropy(F.col("x"), (5,))
