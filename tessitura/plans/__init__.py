@@ -1,0 +1 @@
+"""Runs: requests, folders, protocol, stages."""
