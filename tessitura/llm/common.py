@@ -220,7 +220,7 @@ def per_text(values: np.ndarray, counts: np.ndarray, how: np.ufunc = np.add) ->
     return out
 
 
-def gathered(batches, limit: int = 4 * BLOCK_BYTES):
+def gathered(batches, limit: int = 2 * BLOCK_BYTES):
     """Arrow batches joined until they hold the limit of bytes, so that work for each distinct word is shared."""
     held, size = [], 0
     for b in batches:

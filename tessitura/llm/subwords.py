@@ -1,31 +1,39 @@
-"""Subword encoding by a public tokenizer, with a bounded table of words already encoded.
+"""Subword encoding by a public tokenizer, with a bounded table of pieces already encoded.
 
-The tokenizer never joins across white space, so a text's ids are those of its space-separated
-pieces end to end.  Frequent pieces are encoded once a worker; the table stops growing at its limit
-and other pieces are encoded as they come.
+The tokenizer never joins across white space, and it always parts a letter or digit from
+punctuation that follows (other than an apostrophe); so a text's ids are those of the pieces between
+such places, end to end.  It lower-cases, so pieces that differ in the case of A-Z are one.
 
-Two facts save work on pieces that aren't in the table, and hold for texts whose code points are
-all below U+0240 (no marks that could combine, plain lower case): the tokenizer lower-cases, so
-pieces can be lower-cased first; and letters and punctuation are always separate tokens, so closing
-punctuation can be cut off and looked up on its own.  A run of letters ends with an id that marks
-the end of a word, so many runs can be encoded in one call and cut at those ids.
+Pieces are cut, hashed and looked up by numpy for a whole batch.  The table has a fixed number of
+slots, each of which keeps the first piece that came to it; other pieces are encoded once a batch.
+Runs of lower-case letters among them are encoded in one call: each ends with an id that marks the
+end of a word, and is cut there.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Sequence
 
 import numpy as np
 
-#: Pieces that the table of one Python worker keeps (about 120 MB).
-TABLE_PIECES = 500_000
+from .common import _LOWER, _SEPARATOR, ragged, utf8, word_hashes
+
+#: Slots of the table of one Python worker (16 bytes each, and the ids of their pieces).
+TABLE_BITS = 20
+#: Pieces that go to the tokenizer at once; it needs about 1 KB for each.
+NEW_AT_ONCE = 16384
 #: The tokenizer's file, among the public ones.
 VOCABULARY = "word_bpe_49k.json"
-#: Punctuation that may be cut off; no apostrophe, which the tokenizer joins with letters.
-CLOSING = ".,;:!?|*$%&#"
-_NOT_PLAIN = re.compile("[^\x00-\u023f]")
+#: Punctuation before which a piece may be cut.
+CLOSING = b".,;:!?|*$%&#"
+
+_CLOSING = np.zeros(256, bool)
+_CLOSING[list(CLOSING)] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_LATIN = np.zeros(256, bool)  # second bytes of U+00C0 to U+00FF that are letters
+_LATIN[0x80:0xC0] = True
+_LATIN[[0x97, 0xB7]] = False
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -34,22 +42,30 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
-def _is_plain(text: str) -> bool:
-    if "<|" in text:  # may be a special token's name
-        return False
-    if text.isascii():
-        return True
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return _NOT_PLAIN.search(text) is None
-    return True
+def cut(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each piece, and the number of each text's first (one more than texts)."""
+    n = len(raw)
+    if not n:
+        z = np.zeros(0, np.int64)
+        return z, z, np.zeros(len(at), np.int64)
+    inside = ~_SEPARATOR[raw]
+    new = np.empty(n + 1, bool)
+    new[0] = new[n] = True
+    new[1:n] = ~inside[:-1]
+    mark = np.flatnonzero(_CLOSING[raw[1:]]) + 1
+    before = raw[mark - 1]
+    letter = _ALNUM[before] | (_LATIN[before] & (raw[np.maximum(mark - 2, 0)] == 0xC3) & (mark > 1))
+    new[mark[letter]] = True
+    new[at[:-1]] = True
+    starts = np.flatnonzero(inside & new[:n])
+    ends = np.flatnonzero(inside & (new[1:] | np.append(~inside[1:], True))) + 1
+    return starts, ends, np.searchsorted(starts, at)
 
 
 class Encoder:
-    """Ids as little-endian unsigned integers, 'I' of 4 bytes or 'H' of 2."""
+    """Ids of texts as numpy arrays of the given type."""
 
-    def __init__(self, path: str, code: str = "I"):
+    def __init__(self, path: str, dtype: str = "<u4"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -61,65 +77,92 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.dtype = np.dtype({"I": "<u4", "H": "<u2"}[code])
-        self.table: dict[str, bytes] = {"": b""}
-
-    def _cut(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
-        packed, size = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-        at = (np.concatenate([[0], ends]) * size).tolist()
-        return [packed[a:b] for a, b in zip(at[:-1], at[1:])]
+        self.dtype = np.dtype(dtype)
+        self.key = np.zeros(1 << TABLE_BITS, np.uint64)
+        self.start = np.zeros(1 << TABLE_BITS, np.int32)
+        self.size = np.zeros(1 << TABLE_BITS, np.int32)
+        self.held = np.zeros(0, self.dtype)
 
-    def _encode_each(self, pieces: list[str]) -> list[bytes]:
+    def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        return self._cut(np.array([i for x in ids for i in x], np.int64), np.cumsum([len(x) for x in ids]).astype(np.int64))
+        return np.array([i for x in ids for i in x], self.dtype), np.array([len(x) for x in ids], np.int64)
 
-    def _encode_letters(self, runs: list[str]) -> list[bytes]:
-        ids = np.array(self.letters.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, np.int64)
+    def _runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.letters.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, self.dtype)
         ends = np.flatnonzero(self.ends_word[ids]) + 1
         # One end a run, or the vocabulary isn't of this kind.
-        return self._cut(ids, ends) if len(ends) == len(runs) else self._encode_each(runs)
-
-    def _learn(self, new: list[str], each=None) -> None:
-        for encode, pieces in ((self._encode_letters, [w for w in new if w.isalpha()]), (self._encode_each, [w for w in new if not w.isalpha()])) if each is None else ((each, new),):
-            if pieces:
-                self.table.update(zip(pieces, encode(pieces)))
-
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Ids of each text; null is empty."""
-        texts = [t or "" for t in texts]
-        plain = [_is_plain(t) for t in texts]
-        split = [(t.lower() if p else t).replace("\n", " ").split(" ") for t, p in zip(texts, plain)]
-        table, full = self.table, len(self.table) >= TABLE_PIECES
-        added: list[str] = []
-        odd = list(set().union(*(s for s, p in zip(split, plain) if not p)).difference(table))
-        if odd:
-            self._learn(odd, self._encode_each)
-            added += odd
-        new = list(set().union(*(s for s, p in zip(split, plain) if p)).difference(table))
-        if new:
-            cores = [w.rstrip(CLOSING) for w in new]
-            tails = [w[len(c) :] for w, c in zip(new, cores)]
-            whole = [not (t and c and c[-1].isalpha()) for c, t in zip(cores, tails)]
-            parts = {w if k else c for w, c, k in zip(new, cores, whole)} | {t for t, k in zip(tails, whole) if not k}
-            parts = list(parts.difference(table))
-            self._learn(parts)
-            added += parts
-            joined = {w: table[c] + table[t] for w, c, t, k in zip(new, cores, tails, whole) if not k}
-            table.update(joined)
-            added += joined
-        get = table.__getitem__
-        out = [b"".join(map(get, s)) for s in split]
-        if full:
-            for w in added:
-                table.pop(w, None)
-        return out
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(runs) else self._each(runs)
+
+    def _new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces end to end, and how many each has."""
+        run = np.array([_is_run(p) for p in pieces], bool)
+        size = np.zeros(len(pieces), np.int64)
+        parts = {}
+        for kind, encode in ((True, self._runs), (False, self._each)):
+            own = np.flatnonzero(run == kind)
+            if len(own):
+                ids, n = encode([pieces[i] for i in own])
+                size[own] = n
+                parts[kind] = (own, ids, np.cumsum(n) - n)
+        begin = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), self.dtype)
+        for own, ids, _ in parts.values():
+            n = size[own]
+            out[np.repeat(begin[own], n) + ragged(n)] = ids
+        return out, size
+
+    def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an Arrow column of texts end to end, and how many each text has; null is empty."""
+        raw, at = utf8(column)
+        data = raw.tobytes()
+        if b"<|" in data:  # may be a special token, whose name has a case
+            return self._each([data[a:b].decode() for a, b in zip(at[:-1], at[1:])])
+        starts, ends, first = cut(raw, at)
+        h = word_hashes(raw, starts, ends) | np.uint64(1)  # 0 marks an empty slot
+        slot = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        known = self.key[slot] == h
+        size, start = self.size[slot].astype(np.int64), self.start[slot].astype(np.int64)
+        held = self.held
+        if not known.all():
+            where = np.flatnonzero(~known)
+            fresh, i, back = np.unique(h[where], return_index=True, return_inverse=True)
+            low = _LOWER[raw].tobytes()
+            parts = []
+            for lo in range(0, len(i), NEW_AT_ONCE):
+                parts.append(self._new([low[starts[j] : ends[j]].decode() for j in where[i[lo : lo + NEW_AT_ONCE]].tolist()]))
+            ids, n = (np.concatenate(c) for c in zip(*parts))
+            begin = np.cumsum(n) - n
+            size[where], start[where] = n[back], len(held) + begin[back]
+            held = np.concatenate([held, ids])
+            self._keep(fresh, ids, begin, n)
+        ids = held[np.repeat(start, size) + ragged(size)]
+        total = np.concatenate([[0], np.cumsum(size)])[first]
+        return ids, np.diff(total)
+
+    def _keep(self, h: np.ndarray, ids: np.ndarray, begin: np.ndarray, n: np.ndarray) -> None:
+        """Put pieces in slots that are free; the first of each slot."""
+        slot, i = np.unique((h >> np.uint64(64 - TABLE_BITS)).astype(np.int64), return_index=True)
+        free = self.key[slot] == 0
+        slot, i = slot[free], i[free]
+        if len(i):
+            size = n[i]
+            self.key[slot], self.size[slot] = h[i], size
+            self.start[slot] = len(self.held) + np.cumsum(size) - size
+            self.held = np.concatenate([self.held, ids[np.repeat(begin[i], size) + ragged(size)]])
+
+
+def _is_run(piece: str) -> bool:
+    """Lower-case letters below U+0240 only: nothing to normalize."""
+    if piece.isascii():
+        return piece.isalpha()
+    return piece.isalpha() and piece == piece.lower() and max(piece) < "ɀ"
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str, code: str = "I") -> Encoder:
+def encoder(path: str, dtype: str = "<u4") -> Encoder:
     """The worker's encoder for this file; its table lasts as long as the worker."""
-    if (path, code) not in _encoders:
-        _encoders[path, code] = Encoder(path, code)
-    return _encoders[path, code]
+    if (path, dtype) not in _encoders:
+        _encoders[path, dtype] = Encoder(path, dtype)
+    return _encoders[path, dtype]

@@ -165,8 +165,10 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
         with store.open_output_stream(hidden) as out:
             w = FrameWriter(out)
             for piece in pieces(gathered(chain([first], batches))):
-                for d, ids in zip(piece.column("doc_id").to_pylist(), encode(piece.column("text").to_pylist())):
-                    w.add(d, ids + end)
+                ids, n = encode(piece.column("text"))
+                packed, stop = ids.tobytes(), (np.cumsum(n) * 4).tolist()
+                for d, a, b in zip(piece.column("doc_id").to_pylist(), [0, *stop], stop):
+                    w.add(d, packed[a:b] + end)
             w.close()
         store.move(hidden, f"{path}/{name}")
         yield pa.RecordBatch.from_arrays(
