@@ -14,7 +14,7 @@ Both learn from all training rows.
   sample of windows (START_DOCUMENTS) and is then trained in rounds on a fixed share of all windows
   of all training rows, by averaging: each task trains on its own windows from the current weights,
   and Spark averages the weights, weighed by windows.
-* Scoring: windows of 32 targets overlap by 8; the first window of a text scores all its positions
+* Scoring: windows of 32 targets overlap by 4; the first window of a text scores all its positions
   and later ones only the new, so each id, and the end of the text, is scored once.
 
 Edge cases: a null text is empty: one end token.  With no training row the base counts are 0 and
@@ -34,22 +34,24 @@ from pyspark.sql import functions as F
 
 from . import attention
 from .attention import CONTEXT, Params
-from .common import pieces, prepare, utf8, word_hashes, words, written
+from .common import gathered, pieces, prepare, ragged, utf8, word_hashes, words, written
 from .subwords import encoder, vocabulary_path
 
 #: Slots of the table of frequent words.
 HEAD_BITS = 19
 #: Ids with a class of their own, classes of the others, and ids with an input of their own.
-OWN_CLASSES, GROUPS, OWN_INPUTS = 191, 64, 1023
+OWN_CLASSES, GROUPS, OWN_INPUTS = 159, 48, 1023
 #: Frequent ids told apart as what stands before an id, and the weight of an id's share of its class against counts after that.
 BEFORE, PRIOR = 63, 50.0
 #: Positions by which windows overlap.
-OVERLAP = 8
+OVERLAP = 4
 #: One window in so many is trained on in each round.
-ROUNDS, WINDOW_SHARE = 2, 32
+ROUNDS, WINDOW_SHARE = 2, 40
 #: Training rows from which the driver starts the model, windows it takes from them, and passes over those.
 START_DOCUMENTS, START_WINDOWS, START_PASSES = 2000, 16384, 4
 BATCH, START_RATE, RATE = 64, 0.01, 0.003
+#: Windows that go through the model at once.
+SCORED_AT_ONCE = 96
 
 STEP = CONTEXT - OVERLAP
 
@@ -124,12 +126,14 @@ def encoded(docs: DataFrame, counts: WordCounts, vocabulary: str) -> DataFrame:
 
     def run(batches):
         head_word, head_n = head.value
-        encode = encoder(vocabulary, "H").encode
+        encode = encoder(vocabulary, "<u2").encode
         logs = np.log10(head_n + 1.0)
-        for piece in pieces(batches):
+        for piece in pieces(gathered(batches)):
             raw, at = utf8(piece.column("text"))
             starts, ends, first = words(raw, at)
             h = word_hashes(raw, starts, ends)
+            ids, n_ids = encode(piece.column("text"))
+            id_ends = np.concatenate([[0], np.cumsum(n_ids) * 2])
             slot = (h >> np.uint64(64 - HEAD_BITS)).astype(np.int64)
             known = (head_word[slot] == h) & (head_n[slot] > 0)
             text = np.repeat(np.arange(piece.num_rows), np.diff(first))
@@ -144,7 +148,7 @@ def encoded(docs: DataFrame, counts: WordCounts, vocabulary: str) -> DataFrame:
                 pa.array(n_head),
                 pa.array(sums),
                 pa.ListArray.from_arrays(pa.array(cuts), pa.array(tail)),
-                pa.array(encode(piece.column("text").to_pylist()), pa.binary()),
+                pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n_ids), [None, pa.py_buffer(id_ends.astype(np.int64)), pa.py_buffer(ids.tobytes())]).cast(pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "train", "n_words", "n_head", "head_sum", "tail", "ids"])
 
@@ -247,30 +251,34 @@ def _groups(profile: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
 
 
 def windows(ids: np.ndarray, n: np.ndarray, class_of: np.ndarray, input_of: np.ndarray, chosen=None):
-    """Inputs, targets, target ids (-1: the end), text and scored mask of windows over texts of n ids each.
+    """Inputs, target classes, text, held and scored mask of windows over texts of n ids each and their ends.
 
     chosen: function of (text, window number) -> mask of windows to build.
     """
     tokens = n + 1  # with the end
+    stop = np.cumsum(tokens)
+    is_id = np.ones(int(stop[-1]) if len(stop) else 0, bool)
+    is_id[stop - 1] = False
+    target = np.zeros(len(is_id), np.int32)
+    target[is_id] = class_of[ids]
+    # The input is what stands before; before a text stands the end of another, which reads as 0 too.
+    own = np.zeros(len(is_id) + 1, np.int32)
+    own[1:][is_id] = input_of[ids]
     count = 1 + np.maximum(-(-(tokens - CONTEXT) // STEP), 0)
     text = np.repeat(np.arange(len(n)), count)
-    number = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    number = ragged(count)
     if chosen is not None:
         keep = chosen(text, number)
         text, number = text[keep], number[keep]
-    place = (number * STEP)[:, None] + np.arange(CONTEXT)
-    begin = (np.cumsum(n) - n)[text][:, None]
-    length = n[text][:, None]
-    inside = place < length
-    last = max(len(ids) - 1, 0)
-    padded = ids if len(ids) else np.zeros(1, np.uint16)
-    own = padded[np.minimum(begin + np.minimum(place, np.maximum(length - 1, 0)), last)].astype(np.int64)
-    before = padded[np.clip(begin + np.minimum(place, length) - 1, 0, last)].astype(np.int64)
-    x = np.where(place > 0, input_of[before], 0)
-    y = np.where(inside, class_of[own], 0)
-    held = place <= length
-    scored = held & ((number == 0)[:, None] | (np.arange(CONTEXT) >= OVERLAP))
-    return x, y, np.where(inside, own, -1), text, held, scored
+    place = ((stop - tokens)[text] + number * STEP)[:, None] + _PLACES
+    held = place < stop[text][:, None]
+    np.minimum(place, len(is_id) - 1, out=place)
+    scored = held.copy()
+    scored[number > 0, :OVERLAP] = False
+    return own[place], target[place], text, held, scored
+
+
+_PLACES = np.arange(CONTEXT)
 
 
 def _train(p: Params, x, y, held, rate: float, passes: int, seed: int) -> Params:
@@ -318,7 +326,7 @@ def fit(rows: DataFrame, n_ids: int) -> Model:
     p = attention.new_params(1 + OWN_INPUTS + k, mass)
     if start.num_rows:
         ids, n = _ids(start.column("ids"))
-        x, y, _, _, held, _ = windows(ids, n, class_of, input_of)
+        x, y, _, held, _ = windows(ids, n, class_of, input_of)
         pick = np.random.default_rng(11).permutation(len(x))[:START_WINDOWS]
         p = _train(p, x[pick], y[pick], held[pick], START_RATE, START_PASSES, 1)
         for r in range(ROUNDS):
@@ -338,7 +346,7 @@ def _averaged(train: DataFrame, p: Params, class_of: np.ndarray, input_of: np.nd
         for b in batches:
             ids, n = _ids(b.column("ids"))
             key = b.column("row").to_numpy().astype(np.int64)
-            x, y, _, _, held, _ = windows(ids, n, class_of, input_of, lambda text, number, key=key: (key[text] * 40503 + number * 31 + r * 17) % WINDOW_SHARE == 0)
+            x, y, _, held, _ = windows(ids, n, class_of, input_of, lambda text, number, key=key: (key[text] * 40503 + number * 31 + r * 17) % WINDOW_SHARE == 0)
             found.append((x.astype(np.int32), y.astype(np.int32), held))
         if not found:
             return
@@ -379,14 +387,14 @@ def model_scores(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def score(m: Model, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """log10 probability of each text; windows go through the model in batches of 128."""
+    """log10 probability of each text."""
     shares = np.concatenate([[0.0], np.cumsum(m.log_share[ids, _before(ids, n, m.before_of)], dtype=np.float64)])
     ends = np.cumsum(n)
     out = shares[ends] - shares[ends - n]
-    x, y, _, text, _, scored = windows(ids, n, m.class_of, m.input_of)
-    for lo in range(0, len(x), 128):
-        part = slice(lo, lo + 128)
-        h, _ = attention.hidden(m.params, x[part])
+    x, y, text, _, scored = windows(ids, n, m.class_of, m.input_of)
+    for lo in range(0, len(x), SCORED_AT_ONCE):
+        part = slice(lo, lo + SCORED_AT_ONCE)
+        h = attention.last_hidden(m.params, x[part])
         mask = scored[part]
         lp = attention.log_probs(m.params, h[mask], y[part][mask]).astype(np.float64)
         out += np.bincount(np.repeat(text[part], mask.sum(axis=1)), lp, len(n)) / np.log(10)
@@ -400,7 +408,7 @@ def language_scores(docs: DataFrame, held_out: Column, vocabulary: str | None =
     texts = docs.select("doc_id", (~held_out).alias("train"), "text")
     counts = count_words(texts.filter("train"))
     rows = encoded(texts, counts, vocabulary)
-    n_ids = len(encoder(vocabulary, "H").ends_word)
+    n_ids = len(encoder(vocabulary, "<u2").ends_word)
     model = fit(rows, n_ids)
     scored = model_scores(rows, model).join(base_scores(rows, counts), "row", "left")
     n_tokens = F.col("n_words") + 1
