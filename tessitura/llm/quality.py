@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import _SEPARATOR, inside_texts, per_text, pieces, prepare, utf8, window_hashes, word_hashes, words
 
 #: (bytes from which the band holds, least ratio, greatest ratio).
-BANDS = ((64, 0.70, 4.0), (256, 1.10, 5.0), (1024, 1.20, 6.0), (4096, 1.30, 7.0), (16384, 1.30, 8.0))
+BANDS = ((64, 0.70, 4.0), (256, 1.10, 5.0), (1024, 1.35, 6.0), (4096, 1.50, 7.0), (16384, 1.60, 8.0))
 #: Bytes of a chunk, the least last chunk that counts, and the band of a chunk's ratio.
-CHUNK, LEAST_CHUNK, CHUNK_BAND = 1024, 512, (1.15, 5.0)
+CHUNK, LEAST_CHUNK, CHUNK_BAND = 1024, 512, (1.25, 5.0)
 #: Share of chunks outside their band that rejects a text.
 CHUNK_SHARE = 0.3
 LEVEL = 3
