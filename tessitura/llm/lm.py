@@ -47,7 +47,7 @@ BEFORE, PRIOR = 63, 50.0
 OVERLAP = 4
 #: One window in so many is trained on in each round.
 ROUNDS, WINDOW_SHARE = 2, 40
-#: Training rows from which the driver starts the model, windows it takes from them, and passes over those.
+#: Training rows (about) from which the driver starts the model, windows it takes from them, and passes over those.
 START_DOCUMENTS, START_WINDOWS, START_PASSES = 2000, 16384, 4
 BATCH, START_RATE, RATE = 64, 0.01, 0.003
 #: Windows that go through the model at once.
@@ -137,7 +137,7 @@ def encoded(docs: DataFrame, counts: WordCounts, vocabulary: str) -> DataFrame:
             slot = (h >> np.uint64(64 - HEAD_BITS)).astype(np.int64)
             known = (head_word[slot] == h) & (head_n[slot] > 0)
             text = np.repeat(np.arange(piece.num_rows), np.diff(first))
-            sums = np.bincount(text[known], logs[slot[known]], piece.num_rows)
+            sums = np.bincount(text[known], logs[slot[known]], piece.num_rows).astype(np.float64)
             n_head = np.bincount(text[known], minlength=piece.num_rows).astype(np.int64)
             tail = h[~known].view(np.int64)
             cuts = np.concatenate([[0], np.cumsum(~known)])[first].astype(np.int32)
@@ -322,7 +322,9 @@ def fit(rows: DataFrame, n_ids: int) -> Model:
     log_share = np.log10((profile + PRIOR * share[:, None]) / (after[class_of] + PRIOR)).astype(np.float32)
     documents = train.count()
     mass[0] = documents
-    start = train.orderBy(F.xxhash64("ids", "row")).limit(START_DOCUMENTS).select("ids").toArrow()
+    # About START_DOCUMENTS rows by a threshold on a hash, so that no task gathers candidates to rank.
+    share = min(1.0, START_DOCUMENTS / max(documents, 1))
+    start = train.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 40)) < int(share * (1 << 40))).select("row", "ids").toArrow().sort_by("row")
     p = attention.new_params(1 + OWN_INPUTS + k, mass)
     if start.num_rows:
         ids, n = _ids(start.column("ids"))
