@@ -46,9 +46,9 @@ BEFORE, PRIOR = 63, 50.0
 #: Positions by which windows overlap.
 OVERLAP = 4
 #: One window in so many is trained on in each round.
-ROUNDS, WINDOW_SHARE = 2, 40
+ROUNDS, WINDOW_SHARE = 1, 32
 #: Training rows (about) from which the driver starts the model, windows it takes from them, and passes over those.
-START_DOCUMENTS, START_WINDOWS, START_PASSES = 2000, 16384, 4
+START_DOCUMENTS, START_WINDOWS, START_PASSES = 2000, 32768, 3
 BATCH, START_RATE, RATE = 64, 0.01, 0.003
 #: Windows that go through the model at once.
 SCORED_AT_ONCE = 96
@@ -282,12 +282,15 @@ _PLACES = np.arange(CONTEXT)
 
 
 def _train(p: Params, x, y, held, rate: float, passes: int, seed: int) -> Params:
+    """Adam over the windows in random order; the rate falls to nothing along the way."""
     rng = np.random.default_rng(seed)
     adam = attention.Adam({k: v.copy() for k, v in p.items()}, rate)
+    steps = passes * -(-len(x) // BATCH)
     for _ in range(passes):
         order = rng.permutation(len(x))
         for lo in range(0, len(order), BATCH):
             part = order[lo : lo + BATCH]
+            adam.rate = rate * (1 - adam.t / steps)
             _, g = attention.loss_and_gradients(adam.p, x[part], y[part], held[part])
             adam.step(g)
     return adam.p
