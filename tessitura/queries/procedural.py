@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..features import extract as X
 from ..ml import search
 from ..operators import splits as S
+from ..operators import transforms as T
+from ..plans import runner
+from ..plans.settings import TrainingConfig
 from ..sources import audio
 from ..views import signals, vectors
 from .registry import query
@@ -119,3 +122,62 @@ def m13_distributed_scores(spark, d):
 @query()
 def s01_list_files(spark, d):
     return audio.list_files(spark, d, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+
+
+# ------------------------------------------------------------------ runs over feature rows
+
+SMALL = [(0, "svm_linear", 50, 0.1, None, None, None, None, None, 0, 0), (1, "svm_rbf", 50, 1.0, "scale", None, None, None, None, 0, 0), (2, "mlp", 50, None, None, [8], 0.001, 0.0, 10, 8, 1)]
+SETTINGS = TrainingConfig(cv_folds=3, bootstrap_iterations=100)
+
+
+def feature_rows(spark: SparkSession, d: str, base: str | None = None) -> DataFrame:
+    """Vectors as feature rows of two databases: half of the dimensions as one family, half as another."""
+    v = vectors(spark, d)
+    out = v.select(
+        F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("sample_id"),
+        F.when(F.col("vec_id") % 2 == 0, "D1").otherwise("D2").alias("base"),
+        F.col("group").cast("string").alias("speaker_id"),
+        F.when(F.col("target") == 1, "pathological").otherwise("healthy").alias("label"),
+        F.lit("ok").alias("status"),
+        F.element_at(F.array(F.lit("a"), F.lit("i"), F.lit("u")), (F.col("vec_id") % 3 + 1).cast("int")).alias("vowel"),
+        *[F.col("x")[i].alias(f"mfcc_{i + 1:02d}_mean" if i < 32 else f"harmonic_{i - 31:02d}_amp") for i in range(64)],
+    )
+    return out if base is None else out.filter(F.col("base") == base)
+
+
+@query()
+def p21_numeric_features(spark, d):
+    return spark.createDataFrame([(c,) for c in T.numeric_features(feature_rows(spark, d))], "feature string")
+
+
+@query()
+def p22_scenarios(spark, d):
+    return spark.createDataFrame([(n, c) for n, columns in runner.scenarios_of(feature_rows(spark, d)).items() for c in columns], "scenario string, feature string")
+
+
+@query()
+def o04_single_run(spark, d):
+    return runner.single(feature_rows(spark, d), SETTINGS, SMALL).metrics
+
+
+@query()
+def o05_cross_run(spark, d):
+    return runner.cross(feature_rows(spark, d, "D1"), feature_rows(spark, d, "D2"), SETTINGS, SMALL[:2], subgroup="vowel").metrics
+
+
+@query()
+def o06_pooled_run(spark, d):
+    return runner.pooled(feature_rows(spark, d, "D1"), feature_rows(spark, d, "D2"), SETTINGS, SMALL[:2])[0].metrics
+
+
+@query()
+def m15_evaluate_all(spark, d):
+    """Every scenario and model on the held-out groups."""
+    return runner.evaluate_all(feature_rows(spark, d), SETTINGS, SMALL)
+
+
+@query()
+def d05_champion_report(spark, d):
+    """The best configuration of each family by its cross-validation score."""
+    out = runner.single(feature_rows(spark, d), SETTINGS, SMALL)
+    return runner.champions(out.cv, search.configurations(spark, SMALL))

@@ -64,7 +64,7 @@ def test_single_run(spark):
     out = R.single(features(spark), CONFIG, SMALL)
     assert out.selected.count() == 1 and out.metrics.count() == 1
     assert out.predictions.count() >= 8 and out.metrics.first()["balanced_accuracy"] > 0.6
-    assert out.cv.count() == 2 * 3 * 3  # two scenarios, three configurations, three folds
+    assert out.cv.count() == 4 * 3 * 3  # four scenarios with features, three configurations, three folds
 
 
 def test_resumed_search_fits_nothing_again(spark):
