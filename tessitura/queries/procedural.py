@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..features import extract as X
 from ..ml import search
+from ..ml.estimators import Preprocess
 from ..operators import splits as S
 from ..operators import transforms as T
-from ..plans import runner
+from ..plans import protocol, runner
 from ..plans.settings import TrainingConfig
 from ..sources import audio
-from ..views import signals, vectors
+from ..views import cv_results, signals, vectors
 from .registry import query
 
 
@@ -181,3 +184,71 @@ def d05_champion_report(spark, d):
     """The best configuration of each family by its cross-validation score."""
     out = runner.single(feature_rows(spark, d), SETTINGS, SMALL)
     return runner.champions(out.cv, search.configurations(spark, SMALL))
+
+
+# ------------------------------------------------------------------ recordings made from series
+
+
+def recordings(spark: SparkSession, d: str, suffix: str) -> DataFrame:
+    """Series as files of the given format: path, relative_path, content; each tenth is broken."""
+
+    def run(signals: pa.Array) -> pa.Array:
+        encode = audio.encode_wav if suffix == "wav" else audio.encode_nsp
+        return pa.array([encode(np.array(x, float) / max(1e-9, np.abs(x).max()), 16000) for x in signals.to_pylist()], pa.binary())
+
+    s = signals(spark, d)
+    content = F.when(F.col("user_id") % 10 == 0, F.lit(b"broken")).otherwise(F.arrow_udf(run, "binary")("x"))
+    user = F.col("user_id").cast("string")
+    if suffix == "wav":
+        name = F.concat(F.when(F.col("user_id") % 2 == 0, "Normales/").otherwise("Patologicos/"), user, F.lit(".wav"))
+    else:
+        name = F.concat(F.when(F.col("user_id") % 2 == 0, "Gesund/").otherwise("Dysphonie/"), user, F.lit("/vowels/"), user, F.lit("-a_n.nsp"))
+    return s.select(F.concat(F.lit("/data/"), name).alias("path"), name.alias("relative_path"), content.alias("content"))
+
+
+@query()
+def s03_audio_summary(spark, d):
+    return audio.summarized(audio.decoded(recordings(spark, d, "wav"), keep_signal=False))
+
+
+@query()
+def s04_read_wav(spark, d):
+    return audio.decoded(recordings(spark, d, "wav")).select("relative_path", "sr", "frames", F.size("signal").alias("n"), "audio_read_status")
+
+
+@query()
+def s05_read_nsp(spark, d):
+    return audio.decoded(recordings(spark, d, "nsp")).select("relative_path", "sr", "frames", F.size("signal").alias("n"), "audio_read_status")
+
+
+@query()
+def s08_index_by_path(spark, d):
+    return audio.index_by_path(audio.decoded(recordings(spark, d, "wav"), keep_signal=False)).drop("signal")
+
+
+@query()
+def s09_index_by_recording(spark, d):
+    return audio.index_by_recording(audio.decoded(recordings(spark, d, "nsp"), keep_signal=False)).drop("signal")
+
+
+@query()
+def k07_protocol_hash(spark, d):
+    content = protocol.protocol(SETTINGS, T.SCENARIOS, search.default_grid())
+    return spark.createDataFrame([(protocol.digest(content), len(protocol.readable(content)))], "sha256 string, characters int")
+
+
+@query()
+def c11_resume_contract(spark, d):
+    """Folds of a checkpoint that are repeated, or missing from one scenario."""
+    rows = cv_results(spark, d).select("scenario", "model", "fold").distinct()
+    whole = rows.select("fold").distinct().crossJoin(rows.select("scenario", "model").distinct())  # folds x models
+    return whole.join(rows.filter("NOT (scenario = 'scenario_1' AND fold = 2)"), ["scenario", "model", "fold"], "left_anti")
+
+
+@query()
+def m01_pipeline(spark, d):
+    """Imputed, standardized and selected features of each vector."""
+    pre = Preprocess(25)
+    held = search.matrix(vectors(spark, d), "x", "target", "vec_id").sort_values("vec_id")
+    z = pre.fit(np.stack(held["x"]), held["target"].to_numpy())(np.stack(held["x"]))
+    return spark.createDataFrame([(int(i), [round(float(v), 6) for v in r]) for i, r in zip(held["vec_id"], z)], "vec_id bigint, z array<double>")

@@ -102,6 +102,11 @@ def _relative(folder: str):
 def read_audio(spark: SparkSession, folder: str, keep_signal: bool = True, suffixes: str = "*.{wav,WAV,nsp,NSP}") -> DataFrame:
     """A row a file: path, relative_path, file_sha256, the decoded signal (mono), rate, duration, status and error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffixes).load(folder)
+    return decoded(files.withColumn("relative_path", _relative(folder)), keep_signal)
+
+
+def decoded(files: DataFrame, keep_signal: bool = True) -> DataFrame:
+    """The same for a table of path, relative_path and content."""
 
     def run(contents: pa.Array, paths: pa.Array) -> pa.Array:
         rows = []
@@ -118,12 +123,35 @@ def read_audio(spark: SparkSession, folder: str, keep_signal: bool = True, suffi
         columns = list(zip(*rows)) if rows else [()] * len(kinds)
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in DECODED.split(", ")])
 
-    out = files.select("path", _relative(folder).alias("relative_path"), F.sha2("content", 256).alias("file_sha256"), F.arrow_udf(run, DECODED)("content", "path").alias("d"))
+    out = files.select("path", "relative_path", F.sha2("content", 256).alias("file_sha256"), F.arrow_udf(run, DECODED)("content", "path").alias("d"))
     return out.select("path", "relative_path", "file_sha256", "d.*")
 
 
 def audio_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return read_audio(spark, folder, keep_signal=False).select("path", "sr", "channels", "frames", "file_duration", F.col("audio_read_error").alias("error"))
+    return summarized(read_audio(spark, folder, keep_signal=False))
+
+
+def summarized(audio: DataFrame) -> DataFrame:
+    return audio.select("path", "sr", "channels", "frames", "file_duration", F.col("audio_read_error").alias("error"))
+
+
+def encode_wav(x: np.ndarray, rate: int) -> bytes:
+    """16-bit mono."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes((np.clip(x, -1, 1) * 32767).astype("<i2").tobytes())
+    return out.getvalue()
+
+
+def encode_nsp(x: np.ndarray, rate: int) -> bytes:
+    """16-bit mono."""
+    data = (np.clip(x, -1, 1) * 32767).astype("<i2").tobytes()
+    header = b" " * 20 + struct.pack("<IIHH", rate, len(data) // 2, 32767, 0)
+    body = b"HEDR" + struct.pack("<I", len(header)) + header + b"SDA_" + struct.pack("<I", len(data)) + data
+    return b"FORMDS16" + struct.pack("<I", len(body)) + body
 
 
 def index_by_path(audio: DataFrame, prefix: str = "d1") -> DataFrame:
