@@ -92,6 +92,19 @@ def top_k(rows: DataFrame, column: str, k: int) -> DataFrame:
     return value_counts(rows, column, nulls=False).limit(k)
 
 
+def numbered(rows: DataFrame, first: str, *order: str | Column, name: str = "place") -> DataFrame:
+    """Place (from 1) of each row in the total order of first and then order.
+
+    Rows are numbered inside each value of first, and the values' counts give the offsets, so no task
+    sees all rows; first should have many values, none of them with most of the rows.
+    """
+    counts = rows.groupBy(F.col(first).alias("value")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)  # a row a value
+    offsets = counts.select("value", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy(first).orderBy(*order))
+    return rows.withColumn(name, inside).join(offsets, F.col(first).eqNullSafe(F.col("value"))).withColumn(name, F.col(name) + F.col("offset")).drop("value", "offset")
+
+
 def learning_curve(points: DataFrame) -> DataFrame:
     """Per training fraction: mean sizes, mean and sample deviation of scores, mean gap."""
     return points.groupBy("train_fraction").agg(

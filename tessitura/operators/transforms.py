@@ -92,13 +92,8 @@ def selected_percentile(scores: DataFrame, percentile: int, feature: str = "feat
     return scores.withColumns({"place": place, "keep": F.greatest(F.lit(1), F.floor(n * percentile / 100))}).filter("place <= keep").select(feature, "f")
 
 
-def class_weight(target: str = "target", classes: int = 2) -> Column:
-    """n / (classes * n of the row's class)."""
-    return F.count("*").over(Window.partitionBy()) / (F.lit(classes) * F.count("*").over(Window.partitionBy(target)))
-
-
 def class_weights(rows: DataFrame, target: str = "target") -> DataFrame:
-    """target, weight: the same from one aggregate, for joining to many rows."""
+    """target, weight: n / (classes * n of the class), a row a class, for joining to many rows."""
     by = rows.groupBy(target).agg(F.count("*").alias("n"))
     whole = Window.partitionBy()  # a row a class
     return by.select(target, (F.sum("n").over(whole) / (F.count("*").over(whole) * F.col("n"))).alias("weight"))

@@ -288,8 +288,7 @@ def w08_curve_points(spark, d):
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_brand, p_type DESC, p_partkey) AS place FROM part")
 def t01_total_order(spark, d):
-    p = table(spark, d, "part")
-    return p.select("p_partkey", F.row_number().over(Window.orderBy("p_brand", F.desc("p_type"), "p_partkey")).alias("place"))
+    return R.numbered(table(spark, d, "part"), "p_brand", F.desc("p_type"), "p_partkey").select("p_partkey", "place")
 
 
 @query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 30")
