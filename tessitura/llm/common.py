@@ -17,11 +17,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch sent to Python.  Texts are a few KB, some over 100 KB.
 BATCH_ROWS = 512
 #: Bytes of text hashed at once; working arrays take about 40 times as much.
 BLOCK_BYTES = 1 << 20
+#: Rows of two or three numbers that may be broadcast.
+BROADCAST_ROWS = 300_000
 
 _shipped: set[str] = set()
 _tables: list[tuple[object, str]] = []
@@ -81,6 +84,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has at most BROADCAST_ROWS rows of a few numbers; else a join is shuffled."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _tables:

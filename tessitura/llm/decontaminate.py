@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, prepare, ragged, utf8, word_hashes, words, written
+from .common import mix, pieces, prepare, ragged, small, utf8, word_hashes, words, written
 
 #: The masks: 1 selects a word.  Each spans 12 words and selects 8.
 MASKS = ("111101011011", "110110111101", "111011100111")
@@ -230,6 +230,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs, columns unchanged, that overlap with no benchmark item."""
     found = overlaps(docs, benchmark, **options).select("key.*").distinct()
-    found = found.toDF("leak_id", "leak_hash", "leak_length")
+    found = small(written(found.toDF("leak_id", "leak_hash", "leak_length"), "leaks"))
     same = docs["doc_id"].eqNullSafe(found["leak_id"]) & (F.xxhash64(docs["text"]) == found["leak_hash"]) & (F.length(docs["text"]) == found["leak_length"])
     return docs.join(found, same, "left_anti")
