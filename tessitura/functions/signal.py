@@ -137,10 +137,21 @@ def entropy(a: Column, bins: int = 64) -> Column:
     lo, hi = F.array_min(d), F.array_max(d)
     first = F.element_at(d, 1)
     flat = ~F.exists(d, lambda x: F.abs(x - first) > F.lit(1e-8) + F.lit(1e-5) * F.abs(first))
-    place = F.transform(d, lambda x: F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(place, lambda p: p == b)))
+    place = F.transform(d, lambda x: F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1).cast("long")))
     n = F.size(d).cast("double")
-    bits = F.aggregate(counts, F.lit(0.0), lambda s, c: s - F.when(c > 0, c / n * F.log2(c / n)).otherwise(0.0))
+
+    def part(run: Column) -> Column:
+        return run / n * F.log2(run / n)
+
+    # Bins in order, so that one pass counts the runs of equal ones.
+    start = F.struct(F.lit(-1).cast("long").alias("bin"), F.lit(0.0).alias("run"), F.lit(0.0).alias("bits"))
+
+    def step(t: Column, p: Column) -> Column:
+        same = p == t["bin"]
+        done = F.when(~same & (t["run"] > 0), part(t["run"])).otherwise(0.0)
+        return F.struct(p.alias("bin"), F.when(same, t["run"] + 1).otherwise(1.0).alias("run"), (t["bits"] - done).alias("bits"))
+
+    bits = F.aggregate(F.array_sort(place), start, step, lambda t: t["bits"] - part(t["run"]))
     return F.when(F.size(d) > 0, F.when(flat, 0.0).otherwise(bits))
 
 
