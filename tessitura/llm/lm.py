@@ -10,7 +10,7 @@ Both learn from all training rows.
   classes of their own, and the others are grouped into classes by k-means on what stands before
   them.  The model predicts the next class from a context of 32 ids; an id's probability is its
   class's times its share of the class among what followed the same frequent id in training (or
-  another), smoothed by its share of the class overall.  It starts on the driver from a bounded
+  another), smoothed by its share of the class overall.  It starts in one task from a bounded
   sample of windows (START_DOCUMENTS) and is then trained in rounds on a fixed share of all windows
   of all training rows, by averaging: each task trains on its own windows from the current weights,
   and Spark averages the weights, weighed by windows.
@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import attention
@@ -47,7 +47,7 @@ BEFORE, PRIOR = 63, 50.0
 OVERLAP = 4
 #: One window in so many is trained on in each round.
 ROUNDS, WINDOW_SHARE = 1, 32
-#: Training rows (about) from which the driver starts the model, windows it takes from them, and passes over those.
+#: Training rows (about) from which one task starts the model, windows it takes from them, and passes over those.
 START_DOCUMENTS, START_WINDOWS, START_PASSES = 2000, 32768, 3
 BATCH, START_RATE, RATE = 64, 0.01, 0.003
 #: Windows that go through the model at once.
@@ -298,6 +298,7 @@ def _train(p: Params, x, y, held, rate: float, passes: int, seed: int) -> Params
 
 def fit(rows: DataFrame, n_ids: int) -> Model:
     """Learn from the training rows of encoded()."""
+    spark = rows.sparkSession
     train = rows.filter("train").select("row", "ids")
     counted = train.select("ids").mapInArrow(_count_ids(n_ids), "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(n_ids, np.int64)
@@ -333,12 +334,26 @@ def fit(rows: DataFrame, n_ids: int) -> Model:
         ids, n = _ids(start.column("ids"))
         x, y, _, held, _ = windows(ids, n, class_of, input_of)
         pick = np.random.default_rng(11).permutation(len(x))[:START_WINDOWS]
-        p = _train(p, x[pick], y[pick], held[pick], START_RATE, START_PASSES, 1)
+        p = _started(spark, p, x[pick], y[pick], held[pick])
         for r in range(ROUNDS):
             p = _averaged(train, p, class_of, input_of, r)
     return Model(p, class_of, input_of, before_of, log_share)
 
 
+def _started(spark: SparkSession, p: Params, x, y, held) -> Params:
+    """The first training, in one task: the bounded sample is small, and a worker has one numpy thread."""
+    work = spark.sparkContext.broadcast((p, x, y, held))
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                flat = attention.pack(_train(*work.value, START_RATE, START_PASSES, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(flat.astype(np.float32))], names=["value"])
+
+    flat = spark.range(0, 1, 1, 1).mapInArrow(run, "value float").toArrow().column("value").to_numpy()
+    return attention.unpack(flat, p)
+
+
 def _averaged(train: DataFrame, p: Params, class_of: np.ndarray, input_of: np.ndarray, r: int) -> Params:
     """One round: each task trains on its share of windows; the weights are averaged by Spark."""
     spark = train.sparkSession
