@@ -43,16 +43,19 @@ _MOST = np.float32(60)
 def hidden(p: Params, x: np.ndarray) -> tuple[np.ndarray, tuple]:
     """Last hidden state at each position of inputs (windows, CONTEXT), and what gradients need."""
     h0 = p["embed"][x] + p["place"]
-    q, k, v = h0 @ p["query"], h0 @ p["key"], h0 @ p["value"]
+    flat = h0.reshape(-1, WIDTH)
+    q, k, v = ((flat @ p[name]).reshape(h0.shape) for name in ("query", "key", "value"))
     a = (q * np.float32(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
     np.minimum(a, _MOST, out=a)  # no entry is above it, so exp() stays finite
     np.exp(a, out=a)
     a *= _PAST
     a /= a @ _ONES + np.float32(1e-30)
     c = a @ v
-    h1 = h0 + c @ p["join"]
-    u = np.maximum(h1 @ p["up"] + p["up_bias"], 0)
-    return h1 + u @ p["down"], (h0, q, k, v, a, c, h1, u)
+    h1 = flat + c.reshape(-1, WIDTH) @ p["join"]
+    u = h1 @ p["up"]
+    u += p["up_bias"]
+    np.maximum(u, 0, out=u)
+    return (h1 + u @ p["down"]).reshape(h0.shape), (flat, q, k, v, a, c, h1, u)
 
 
 def last_hidden(p: Params, x: np.ndarray) -> np.ndarray:
@@ -104,37 +107,44 @@ def loss_and_gradients(p: Params, x: np.ndarray, y: np.ndarray, held: np.ndarray
     rows = np.flatnonzero(held.reshape(-1))
     flat = h2.reshape(-1, WIDTH)[rows]
     target = y.reshape(-1)[rows]
-    z = flat @ p["out"] + p["bias"]
-    z -= z.max(axis=1, keepdims=True)
-    e = np.exp(z)
-    e /= e.sum(axis=1, keepdims=True)
+    z = flat @ p["out"]
+    if _length(flat) * _length(p["out"].T) > _MOST:
+        z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    # Bias and normalization are factors of columns and rows, which the small sides of the products take.
+    factor = np.exp(p["bias"])
+    total = z @ factor + np.float32(1e-30)
     at = np.arange(len(rows))
-    loss = float(-np.log(e[at, target] + 1e-30).mean())
-    e[at, target] -= 1
-    e /= len(rows)
-    g: Params = {"out": flat.T @ e, "bias": e.sum(axis=0)}
-    dh2 = np.zeros((h2.shape[0] * CONTEXT, WIDTH), np.float32)
-    dh2[rows] = e @ p["out"].T
-    uf, h1f = u.reshape(-1, HIDDEN), h1.reshape(-1, WIDTH)
-    g["down"] = uf.T @ dh2
-    du = (dh2 @ p["down"].T) * (uf > 0)
-    g["up"], g["up_bias"] = h1f.T @ du, du.sum(axis=0)
+    loss = float(-np.log(z[at, target] * factor[target] / total + 1e-30).mean())
+    z[at, target] -= total / factor[target]
+    weight = 1 / (total * np.float32(len(rows)))
+    g: Params = {"out": (flat * weight[:, None]).T @ z * factor, "bias": weight @ z * factor}
+    dh2 = np.zeros((h2.shape[0] * CONTEXT, WIDTH), h2.dtype)
+    dh2[rows] = z @ (p["out"] * factor).T * weight[:, None]
+    g["down"] = u.T @ dh2
+    du = dh2 @ p["down"].T
+    du *= u > 0
+    g["up"], g["up_bias"] = h1.T @ du, du.sum(axis=0)
     dh1 = dh2 + du @ p["up"].T
     g["join"] = c.reshape(-1, WIDTH).T @ dh1
     dc = (dh1 @ p["join"].T).reshape(c.shape)
-    da = dc @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
+    ds = dc @ v.transpose(0, 2, 1)
+    ds -= (dc * c).sum(axis=2, keepdims=True)
+    ds *= a
+    ds *= np.float32(WIDTH**-0.5)
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    h0f = h0.reshape(-1, WIDTH)
     dh0 = dh1
     for name, part in (("query", dq), ("key", dk), ("value", dv)):
         part = part.reshape(-1, WIDTH)
-        g[name] = h0f.T @ part
-        dh0 = dh0 + part @ p[name].T
-    g["place"] = dh0.reshape(h0.shape).sum(axis=0)
+        g[name] = h0.T @ part
+        dh0 += part @ p[name].T
+    g["place"] = dh0.reshape(h2.shape).sum(axis=0)
     g["embed"] = np.zeros_like(p["embed"])
-    np.add.at(g["embed"], x.reshape(-1), dh0)
+    order = np.argsort(x.reshape(-1), kind="stable")
+    inputs = x.reshape(-1)[order]
+    begin = np.flatnonzero(np.diff(inputs, prepend=-1))
+    g["embed"][inputs[begin]] = np.add.reduceat(dh0[order], begin, axis=0)
     return loss, g
 
 
@@ -148,12 +158,12 @@ class Adam:
         self.t += 1
         norm = float(np.sqrt(sum(float((x * x).sum()) for x in g.values())))
         scale = min(1.0, 1.0 / (norm + 1e-9))
-        rate = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        rate = float(self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))  # a numpy scalar would widen the arrays
         for n, x in g.items():
             x = x * scale
             self.m[n] += 0.1 * (x - self.m[n])
             self.v[n] += 0.001 * (x * x - self.v[n])
-            self.p[n] -= (rate * self.m[n] / (np.sqrt(self.v[n]) + 1e-8)).astype(np.float32)
+            self.p[n] -= rate * self.m[n] / (np.sqrt(self.v[n]) + 1e-8)
 
 
 def pack(p: Params) -> np.ndarray:

@@ -10,10 +10,10 @@ Both learn from all training rows.
   classes of their own, and the others are grouped into classes by k-means on what stands before
   them.  The model predicts the next class from a context of 32 ids; an id's probability is its
   class's times its share of the class among what followed the same frequent id in training (or
-  another), smoothed by its share of the class overall.  It starts in one task from a bounded
-  sample of windows (START_DOCUMENTS) and is then trained in rounds on a fixed share of all windows
-  of all training rows, by averaging: each task trains on its own windows from the current weights,
-  and Spark averages the weights, weighed by windows.
+  another), smoothed by its share of the class overall.  Its weights start from a short training in
+  one task on a bounded sample of windows (START_DOCUMENTS).  Then it is trained on every window of
+  every training row, once, in ROUNDS rounds of averaging: in each, every task trains on its part of
+  its own windows from the current weights, and Spark averages the weights, weighed by windows.
 * Scoring: windows of 32 targets overlap by 4; the first window of a text scores all its positions
   and later ones only the new, so each id, and the end of the text, is scored once.
 
@@ -45,9 +45,11 @@ OWN_CLASSES, GROUPS, OWN_INPUTS = 159, 48, 1023
 BEFORE, PRIOR = 63, 50.0
 #: Positions by which windows overlap.
 OVERLAP = 4
-#: One window in so many is trained on in each round.
-ROUNDS, WINDOW_SHARE = 1, 32
-#: Training rows (about) from which one task starts the model, windows it takes from them, and passes over those.
+#: Rounds of averaging; each window belongs to one of them, so all are trained on.
+ROUNDS = 2
+#: Texts whose windows are built together, and windows of several such groups that are mixed.
+GROUP_TEXTS, MIXED_WINDOWS = 64, 8192
+#: Training rows (about) from which one task makes the first weights, windows it takes from them, and passes over those.
 START_DOCUMENTS, START_WINDOWS, START_PASSES = 2000, 32768, 3
 BATCH, START_RATE, RATE = 64, 0.01, 0.003
 #: Windows that go through the model at once.
@@ -250,6 +252,11 @@ def _groups(profile: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
     return near
 
 
+def window_count(n: np.ndarray) -> np.ndarray:
+    """Windows of texts of n ids and their ends."""
+    return 1 + np.maximum(-(-(n + 1 - CONTEXT) // STEP), 0)
+
+
 def windows(ids: np.ndarray, n: np.ndarray, class_of: np.ndarray, input_of: np.ndarray, chosen=None):
     """Inputs, target classes, text, held and scored mask of windows over texts of n ids each and their ends.
 
@@ -264,7 +271,7 @@ def windows(ids: np.ndarray, n: np.ndarray, class_of: np.ndarray, input_of: np.n
     # The input is what stands before; before a text stands the end of another, which reads as 0 too.
     own = np.zeros(len(is_id) + 1, np.int32)
     own[1:][is_id] = input_of[ids]
-    count = 1 + np.maximum(-(-(tokens - CONTEXT) // STEP), 0)
+    count = window_count(n)
     text = np.repeat(np.arange(len(n)), count)
     number = ragged(count)
     if chosen is not None:
@@ -287,15 +294,47 @@ def _train(p: Params, x, y, held, rate: float, passes: int, seed: int) -> Params
     adam = attention.Adam({k: v.copy() for k, v in p.items()}, rate)
     steps = passes * -(-len(x) // BATCH)
     for _ in range(passes):
-        order = rng.permutation(len(x))
-        for lo in range(0, len(order), BATCH):
-            part = order[lo : lo + BATCH]
-            adam.rate = rate * (1 - adam.t / steps)
-            _, g = attention.loss_and_gradients(adam.p, x[part], y[part], held[part])
-            adam.step(g)
+        _pass(adam, x, y, held, rng.permutation(len(x)), rate, steps)
     return adam.p
 
 
+def _pass(adam: attention.Adam, x, y, held, order: np.ndarray, rate: float, steps: int) -> None:
+    for lo in range(0, len(order), BATCH):
+        part = order[lo : lo + BATCH]
+        adam.rate = rate * max(0.0, 1 - adam.t / steps)
+        _, g = attention.loss_and_gradients(adam.p, x[part], y[part], held[part])
+        adam.step(g)
+
+
+def _train_round(p: Params, groups: list, class_of: np.ndarray, input_of: np.ndarray, r: int) -> tuple[Params, int]:
+    """Train once on the windows of round r of the groups (row keys, ids, n); the weights, and how many windows it were.
+
+    Only the ids are held; windows are built for a few groups at a time.
+    """
+    rng = np.random.default_rng(100 + r)
+
+    def of_round(key, text, number):
+        return (key[text] + number) % ROUNDS == r
+
+    total = 0
+    for key, _, n in groups:
+        count = window_count(n)
+        total += int(of_round(key, np.repeat(np.arange(len(n)), count), ragged(count)).sum())
+    adam = attention.Adam({k: v.copy() for k, v in p.items()}, RATE)
+    # Each mix may end in a part of a batch.
+    steps, built, trained = -(-total // BATCH) + total // MIXED_WINDOWS + 1, [], 0
+    for i, g in enumerate(rng.permutation(len(groups))):
+        key, ids, n = groups[g]
+        x, y, _, held, _ = windows(ids, n, class_of, input_of, lambda text, number, key=key: of_round(key, text, number))
+        built.append((x, y, held))
+        if sum(len(b[0]) for b in built) >= MIXED_WINDOWS or i == len(groups) - 1:
+            x, y, held = (np.concatenate(c) for c in zip(*built))
+            built = []
+            _pass(adam, x, y, held, rng.permutation(len(x)), RATE, steps)
+            trained += len(x)
+    return adam.p, trained
+
+
 def fit(rows: DataFrame, n_ids: int) -> Model:
     """Learn from the training rows of encoded()."""
     spark = rows.sparkSession
@@ -355,29 +394,27 @@ def _started(spark: SparkSession, p: Params, x, y, held) -> Params:
 
 
 def _averaged(train: DataFrame, p: Params, class_of: np.ndarray, input_of: np.ndarray, r: int) -> Params:
-    """One round: each task trains on its share of windows; the weights are averaged by Spark."""
+    """One round: each task trains on its windows of the round; the weights are averaged by Spark."""
     spark = train.sparkSession
     held_params = spark.sparkContext.broadcast((p, class_of, input_of))
 
     def run(batches):
         os.environ.setdefault("OMP_NUM_THREADS", "1")
         p, class_of, input_of = held_params.value
-        found = []
+        groups = []
         for b in batches:
-            ids, n = _ids(b.column("ids"))
-            key = b.column("row").to_numpy().astype(np.int64)
-            x, y, _, held, _ = windows(ids, n, class_of, input_of, lambda text, number, key=key: (key[text] * 40503 + number * 31 + r * 17) % WINDOW_SHARE == 0)
-            found.append((x.astype(np.int32), y.astype(np.int32), held))
-        if not found:
-            return
-        x, y, held = (np.concatenate(c) for c in zip(*found))
-        if not len(x):
+            for lo in range(0, b.num_rows, GROUP_TEXTS):
+                part = b.slice(lo, GROUP_TEXTS)
+                ids, n = _ids(part.column("ids"))
+                groups.append((part.column("row").to_numpy().astype(np.int64), ids.copy(), n))
+        trained, size = _train_round(p, groups, class_of, input_of, r)
+        if not size:
             return
-        flat = attention.pack(_train(p, x, y, held, RATE, 1, 100 + r))
+        flat = attention.pack(trained)
         for lo in range(0, len(flat), 8192):
             part = flat[lo : lo + 8192].astype(np.float64)
             at = pa.array(np.arange(lo, lo + len(part), dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([at, pa.array(part * len(x)), pa.array(np.full(len(part), float(len(x))))], names=["at", "sum", "weight"])
+            yield pa.RecordBatch.from_arrays([at, pa.array(part * size), pa.array(np.full(len(part), float(size)))], names=["at", "sum", "weight"])
 
     trained = train.mapInArrow(run, "at int, sum double, weight double").groupBy("at").agg((F.sum("sum") / F.sum("weight")).alias("value")).toArrow()
     if not trained.num_rows:

@@ -171,3 +171,28 @@ def test_no_training_rows(spark, docs):
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in sorted(out, key=lambda r: r["doc_id"])] == [(3, 0, 0), (1, 0, 0)]
     assert M.language_scores(docs((1, "a")).limit(0), F.lit(True)).count() == 0
     assert subwords.vocabulary_path().endswith(subwords.VOCABULARY)
+
+
+def test_every_training_window_is_trained_on(monkeypatch):
+    """Also those of texts of one window: the rounds take each window once and leave none out."""
+    rng = np.random.default_rng(4)
+    n = np.array([0, 1, 5, 20, 31, 32, 60, 300, 2000, 7])
+    ids = rng.integers(0, 100, int(n.sum())).astype(np.uint16)
+    class_of, input_of = rng.integers(1, 12, 100), rng.integers(1, 40, 100)
+    seen = []
+
+    def taken(p, x, y, held):
+        seen.extend((a[c].tobytes(), b[c].tobytes()) for a, b, c in zip(x, y, held))
+        return 0.0, {k: np.zeros_like(v) for k, v in p.items()}
+
+    monkeypatch.setattr(M.attention, "loss_and_gradients", taken)
+    monkeypatch.setattr(M, "MIXED_WINDOWS", 30)
+    p = A.new_params(40, np.ones(12))
+    stop, groups = np.cumsum(n), []
+    for t in range(0, len(n), 3):
+        own = n[t : t + 3]
+        groups.append((np.arange(t, t + len(own)), ids[stop[t] - n[t] : stop[t + len(own) - 1]], own))
+    sizes = [M._train_round(p, groups, class_of, input_of, r)[1] for r in range(M.ROUNDS)]
+    x, y, _, held, _ = M.windows(ids, n, class_of, input_of)
+    assert sum(sizes) == len(x)
+    assert sorted(seen) == sorted((a[c].tobytes(), b[c].tobytes()) for a, b, c in zip(x, y, held))
