@@ -2,10 +2,13 @@
 
 A mask selects some positions of a window of words; the hash of the selected words is the same
 whatever stands at the others, so a few masks find passages in which words were substituted.
+Together they hit every stretch that the rule below accepts: an accepted stretch has over 80% equal
+words counted from either end up to any of its words, which leaves finitely many states to try
+(tests/llm/test_decontaminate.py tries all).
 Windows of all texts are hashed under each mask.  A Bloom bitmap of fixed size, made from the
 benchmark's hashes, drops nearly all windows at once; the rest are joined with the benchmark's
-hashes by Spark, so no side needs to be small.  Each joined diagonal is then aligned word by word
-around the hits and counts if a long enough stretch agrees.
+hashes by Spark, so no side needs to be small.  Each joined diagonal is then aligned word by word,
+as far as the item reaches, and counts if a long enough stretch agrees.
 
 Words are lower-cased (A-Z) and freed of ASCII punctuation at both ends.  Benchmark items of fewer
 words than the masks span are found by hashes of the whole item; items of fewer than
@@ -25,11 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import mix, pieces, prepare, ragged, small, utf8, word_hashes, words, written
 
-#: The masks: 1 selects a word.  Each spans 12 words and selects 8.
-MASKS = ("111101011011", "110110111101", "111011100111")
+#: The masks: 1 selects a word.  Three span 12 words and select 9; the last spans 11 and selects 10, for a changed word in each six.
+MASKS = ("111101011011", "110110111101", "111011100111", "11111011111")
 #: Words of the shortest item looked for.
 LEAST_ITEM = 5
-#: Words looked at on each side of the hits.
+#: Words looked at on each side of the hits; more if an item is longer.
 RADIUS = 64
 #: An overlap has so many words at least (or the whole item), with this share equal.
 LEAST_WORDS, LEAST_SHARE = 12, 0.8
@@ -69,7 +72,7 @@ def _in_text(first: np.ndarray, span: int) -> np.ndarray:
 
 def _seeds_of(batches, masks: Sequence[str]):
     """hash, item, position for each mask and window of the items; short items whole."""
-    span = len(masks[0])
+    span = max(map(len, masks))
     for b in batches:
         for piece in pieces([b]):
             h, first = _normal_words(piece.column("text"))
@@ -78,7 +81,7 @@ def _seeds_of(batches, masks: Sequence[str]):
             out = []
             owner = np.repeat(np.arange(len(n)), n)
             for k, mask in enumerate(masks):
-                where = _in_text(first, span)
+                where = _in_text(first, len(mask))
                 out.append((_masked(h, mask, k)[where], owner[where], where - first[:-1][owner[where]]))
             for length in range(LEAST_ITEM, span):
                 for i in np.flatnonzero(n == length):
@@ -120,9 +123,7 @@ def overlaps(
     Starts count words; n_words is the length of the aligned stretch and n_equal its equal words.
     """
     spark = prepare(docs.sparkSession)
-    span = len(masks[0])
-    if any(len(m) != span for m in masks):
-        raise ValueError("masks must have one length")
+    span = max(map(len, masks))
     # Items of one text are looked for once.
     texts = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text", F.xxhash64("text").alias("item"))
     distinct = texts.groupBy("item").agg(F.min("text").alias("text"))
@@ -134,6 +135,8 @@ def overlaps(
     bits = np.zeros(1 << BLOOM_BITS, bool)
     bits[slots] = True
     packed = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
+    # A diagonal is no longer than its item, so all of it lies in the stretch.
+    radius = max(radius, item_words.agg(F.max(F.size("item_words"))).first()[0] or 0)
     lengths = [r["n"] for r in item_words.select(F.size("item_words").alias("n")).filter(F.col("n").between(LEAST_ITEM, span - 1)).distinct().collect()]
 
     def known(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:

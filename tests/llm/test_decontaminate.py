@@ -86,3 +86,48 @@ def test_one_substitution_is_found(spark, docs):
         rows.append((j, " ".join(words(rng, 20) + p + words(rng, 20))))
     out = D.contaminated(docs(*rows), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string"))
     assert {r["doc_id"] for r in out.collect()} == set(range(24))
+
+
+def avoiding(masks, most=40):
+    """A pattern (1: equal) of LEAST_WORDS words or more that the rule accepts and that no mask hits, or None.
+
+    Tries all: an equal word gains 1 and another costs 4; an accepted stretch stays above 0 and ends at a new height.
+    """
+    seeds = [(int(m, 2), len(m)) for m in masks]
+    span = max(D.LEAST_WORDS, *map(len, masks))
+    first = (0, 0, 0, 0)  # last words, how many, height, how far below the greatest
+    seen, todo = {first: ""}, [first]
+    for bits, n, height, below in todo:
+        for b in (1, 0):
+            up = height + 1 if b else height - 4
+            last, count = (bits << 1 | b) & ((1 << span) - 1), min(n + 1, span)
+            state = (last, count, up, max(height + below, up) - up)
+            if up <= 0 or state in seen or any(count >= size and last & m == m for m, size in seeds):
+                continue
+            seen[state] = seen[bits, n, height, below] + str(b)
+            if up >= most or (b and up > height + below and count >= D.LEAST_WORDS):
+                return seen[state]
+            todo.append(state)
+    return None
+
+
+def test_masks_hit_every_accepted_pattern():
+    assert D.LEAST_SHARE == 0.8
+    assert avoiding(D.MASKS) is None
+    assert avoiding(D.MASKS[:3]) is not None
+
+
+def test_periodic_and_multiple_substitutions(spark, docs):
+    rng = random.Random(9)
+    items = [(i, " ".join(words(rng, n))) for i, n in enumerate([60, 300, 16, 18, 11])]
+    changed = [[j for j in range(r, 300, period)] for period in range(5, 13) for r in range(period)]
+    changed += [rng.sample(range(18), 3) for _ in range(60)] + [[5]]
+    # Two runs of 11 words, far from each other, with four words in five equal between them.
+    changed.append([11 + j for j in range(0, 270, 5)])
+    rows = []
+    for j, at in enumerate(changed):
+        for i, item in items if j < len(changed) - 62 else items[2:] if j < len(changed) - 1 else items[1:2]:
+            p = ["other" if k in at else w for k, w in enumerate(item.split())]
+            rows.append((10 * j + i, " ".join(words(rng, 5, "x") + p + words(rng, 5, "x"))))
+    out = D.contaminated(docs(*rows), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in out.collect()} == {pair for row in rows for pair in brute([row], [items[row[0] % 10]])}
