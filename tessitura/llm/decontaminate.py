@@ -10,7 +10,7 @@ benchmark's hashes, drops nearly all windows at once; the rest are joined with t
 hashes by Spark, so no side needs to be small.  Each joined diagonal is then aligned word by word,
 as far as the item reaches, and counts if a long enough stretch agrees.
 
-Words are lower-cased (A-Z) and freed of ASCII punctuation at both ends.  Benchmark items of fewer
+Words are lower-cased (A-Z) and freed of all ASCII punctuation at both ends; a word of nothing else stays whole.  Benchmark items of fewer
 words than the masks span are found by hashes of the whole item; items of fewer than
 LEAST_ITEM words are not looked for.  Edge cases: null or empty texts and items match nothing;
 repeated items count as one text with several ids; repeated rows are found each; ids may be null;
@@ -47,9 +47,12 @@ def _normal_words(column) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the normalized words, and each text's first."""
     raw, at = utf8(column)
     starts, ends, first = words(raw, at)
-    for _ in range(4):
-        ends = ends - (_PUNCT[raw[ends - 1]] & (ends - starts > 1))
-        starts = starts + (_PUNCT[raw[starts]] & (ends - starts > 1))
+    core = np.flatnonzero(~_PUNCT[raw])
+    cut = np.flatnonzero(_PUNCT[raw[starts]] | _PUNCT[raw[ends - 1]])
+    lo, hi = np.searchsorted(core, starts[cut]), np.searchsorted(core, ends[cut])
+    some = hi > lo
+    starts, ends = starts.copy(), ends.copy()
+    starts[cut[some]], ends[cut[some]] = core[lo[some]], core[hi[some] - 1] + 1
     return word_hashes(raw, starts, ends), first
 
 

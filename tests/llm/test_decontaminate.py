@@ -131,3 +131,12 @@ def test_periodic_and_multiple_substitutions(spark, docs):
             rows.append((10 * j + i, " ".join(words(rng, 5, "x") + p + words(rng, 5, "x"))))
     out = D.contaminated(docs(*rows), spark.createDataFrame(items, "item_id bigint, text string"))
     assert {(r["doc_id"], r["item_id"]) for r in out.collect()} == {pair for row in rows for pair in brute([row], [items[row[0] % 10]])}
+
+
+def test_any_amount_of_punctuation_is_cut(spark, docs):
+    rng = random.Random(10)
+    item = words(rng, 15)
+    marked = ["(" * 7 + w + "." * j for j, w in enumerate(item)]
+    rows = [(1, " ".join(marked)), (2, " ".join(["-" * 9] * 20)), (3, "." * 50_000)]
+    out = D.contaminated(docs(*rows), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string"))
+    assert [(r["doc_id"], r["n_equal"]) for r in out.collect()] == [(1, 15)]
