@@ -1,55 +1,65 @@
-"""A small causal self-attention model in numpy: forward, gradients, Adam."""
+"""A small causal self-attention model in numpy: forward, gradients, Adam.
+
+The output is a tree of two levels: a softmax over branches, then one over the leaves of the target's
+branch.  A class is numbered branch * leaves + leaf.  A position costs the sum of both widths and not
+their product; rows are sorted by branch, so that each branch is one matrix product.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Width, hidden width and context of the model.
-WIDTH, HIDDEN, CONTEXT = 32, 64, 32
+#: Width, hidden width and context of the model; branches of the output and leaves of each.
+WIDTH, HIDDEN, CONTEXT = 24, 48, 32
+BRANCHES, LEAVES = 32, 32
 
 Params = dict[str, np.ndarray]
 
 
 def new_params(n_inputs: int, class_counts: np.ndarray, seed: int = 7) -> Params:
-    """Random weights; the output bias starts at the classes' log frequencies."""
+    """Random weights; the output biases start at the log frequencies of class_counts (branches, leaves)."""
     rng = np.random.default_rng(seed)
-    d, k = WIDTH, len(class_counts)
+    d = WIDTH
+    branches, leaves = class_counts.shape
 
     def normal(*shape, scale):
         return (rng.standard_normal(shape) * scale).astype(np.float32)
 
-    bias = np.log((class_counts + 1.0) / (class_counts.sum() + k)).astype(np.float32)
+    counts = class_counts + 0.5
+    qkv = normal(d, 3 * d, scale=d**-0.5)
+    qkv[:, :d] *= d**-0.5
     return {
         "embed": normal(n_inputs, d, scale=0.3),
         "place": normal(CONTEXT, d, scale=0.1),
-        "query": normal(d, d, scale=d**-0.5),
-        "key": normal(d, d, scale=d**-0.5),
-        "value": normal(d, d, scale=d**-0.5),
+        "qkv": qkv,
         "join": normal(d, d, scale=0.3 * d**-0.5),
         "up": normal(d, HIDDEN, scale=d**-0.5),
         "up_bias": np.zeros(HIDDEN, np.float32),
         "down": normal(HIDDEN, d, scale=0.3 * HIDDEN**-0.5),
-        "out": normal(d, k, scale=0.1 * d**-0.5),
-        "bias": bias,
+        "branch": normal(d, branches, scale=0.1 * d**-0.5),
+        "branch_bias": np.log(counts.sum(axis=1) / counts.sum()).astype(np.float32),
+        "leaf": normal(branches, d, leaves, scale=0.1 * d**-0.5),
+        "leaf_bias": np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32),
     }
 
 
 _PAST = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
-_ONES = np.ones((CONTEXT, 1), np.float32)
-#: Limit of scores before exp().
-_MOST = np.float32(60)
+#: Limit of scores before exp(), and the least sum of what comes out of it.
+_MOST, _LEAST = np.float32(60), np.float32(1e-30)
 
 
 def hidden(p: Params, x: np.ndarray) -> tuple[np.ndarray, tuple]:
     """Last hidden state at each position of inputs (windows, CONTEXT), and what gradients need."""
-    h0 = p["embed"][x] + p["place"]
+    h0 = p["embed"][x]
+    h0 += p["place"]
     flat = h0.reshape(-1, WIDTH)
-    q, k, v = ((flat @ p[name]).reshape(h0.shape) for name in ("query", "key", "value"))
-    a = (q * np.float32(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
+    qkv = (flat @ p["qkv"]).reshape(len(x), CONTEXT, 3 * WIDTH)
+    q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
+    a = q @ k.transpose(0, 2, 1)
     np.minimum(a, _MOST, out=a)  # no entry is above it, so exp() stays finite
     np.exp(a, out=a)
     a *= _PAST
-    a /= a @ _ONES + np.float32(1e-30)
+    a /= a.sum(axis=2, keepdims=True) + _LEAST
     c = a @ v
     h1 = flat + c.reshape(-1, WIDTH) @ p["join"]
     u = h1 @ p["up"]
@@ -59,22 +69,19 @@ def hidden(p: Params, x: np.ndarray) -> tuple[np.ndarray, tuple]:
 
 
 def last_hidden(p: Params, x: np.ndarray) -> np.ndarray:
-    """hidden() without what gradients need: no copies, row sums ride along with the values."""
+    """hidden() without what gradients need; the sums of attention weights ride along with the values."""
     h0 = p["embed"][x]
     h0 += p["place"]
     flat = h0.reshape(-1, WIDTH)
-    q = (flat @ (p["query"] * np.float32(WIDTH**-0.5))).reshape(h0.shape)
-    k = (flat @ p["key"]).reshape(h0.shape)
-    v = np.ones((*h0.shape[:2], WIDTH + 1), np.float32)
-    v[..., :WIDTH] = (flat @ p["value"]).reshape(h0.shape)
-    a = q @ k.transpose(0, 2, 1)
-    if _length(q) * _length(k) > _MOST:
-        np.minimum(a, _MOST, out=a)
+    qkv = flat @ np.concatenate([p["qkv"], np.zeros((WIDTH, 1), np.float32)], axis=1)
+    qkv[:, -1] = 1
+    qkv = qkv.reshape(len(x), CONTEXT, -1)
+    a = qkv[..., :WIDTH] @ qkv[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1)
+    np.minimum(a, _MOST, out=a)
     np.exp(a, out=a)
     a *= _PAST
-    c = a @ v
-    c = (c[..., :WIDTH] / (c[..., WIDTH:] + np.float32(1e-30))).reshape(-1, WIDTH)
-    h1 = flat + c @ p["join"]
+    c = a @ qkv[..., 2 * WIDTH :]
+    h1 = flat + (c[..., :WIDTH] / (c[..., WIDTH:] + _LEAST)).reshape(-1, WIDTH) @ p["join"]
     u = h1 @ p["up"]
     u += p["up_bias"]
     np.maximum(u, 0, out=u)
@@ -82,45 +89,68 @@ def last_hidden(p: Params, x: np.ndarray) -> np.ndarray:
     return h1.reshape(h0.shape)
 
 
-def _length(x: np.ndarray) -> float:
-    """The greatest Euclidean length of the last axis."""
-    return float(np.sqrt(np.einsum("...i,...i->...", x, x).max()))
+def _by_branch(target: np.ndarray, branches: int, leaves: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order of rows by branch, branch and leaf in that order, and where each branch begins (one more than branches)."""
+    branch = target // leaves
+    order = np.argsort(branch.astype(np.uint16), kind="stable")
+    branch = branch[order]
+    return order, branch, target[order] - branch * leaves, np.searchsorted(branch, np.arange(branches + 1))
+
+
+def _softmax(z: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    z += bias
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
 
 
 def log_probs(p: Params, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log probability of each target class; h: (n, WIDTH)."""
     if not len(h):
         return np.zeros(0, np.float32)
-    z = h @ p["out"]
-    if _length(h) * _length(p["out"].T) > _MOST:
-        np.minimum(z, _MOST, out=z)
-    at = np.arange(len(target))
-    own = z[at, target] + p["bias"][target]
-    np.exp(z, out=z)
-    # The bias enters the sum as a factor, so no pass over z adds it.
-    return own - np.log(z @ np.exp(p["bias"]) + np.float32(1e-30))
+    branches, _, leaves = p["leaf"].shape
+    order, branch, leaf, cut = _by_branch(target, branches, leaves)
+    h = h[order]
+    found = _softmax(h @ p["branch"], p["branch_bias"])[np.arange(len(h)), branch]
+    for j in range(branches):
+        part = slice(cut[j], cut[j + 1])
+        if cut[j] < cut[j + 1]:
+            found[part] *= _softmax(h[part] @ p["leaf"][j], p["leaf_bias"][j])[np.arange(cut[j + 1] - cut[j]), leaf[part]]
+    out = np.empty(len(h), found.dtype)
+    out[order] = np.log(found + _LEAST)
+    return out
 
 
 def loss_and_gradients(p: Params, x: np.ndarray, y: np.ndarray, held: np.ndarray) -> tuple[float, Params]:
     """Mean loss over held positions, and its gradients; x, y, held: (windows, CONTEXT)."""
     h2, (h0, q, k, v, a, c, h1, u) = hidden(p, x)
     rows = np.flatnonzero(held.reshape(-1))
+    branches, _, leaves = p["leaf"].shape
+    order, branch, leaf, cut = _by_branch(y.reshape(-1)[rows], branches, leaves)
+    rows = rows[order]
     flat = h2.reshape(-1, WIDTH)[rows]
-    target = y.reshape(-1)[rows]
-    z = flat @ p["out"]
-    if _length(flat) * _length(p["out"].T) > _MOST:
-        z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    # Bias and normalization are factors of columns and rows, which the small sides of the products take.
-    factor = np.exp(p["bias"])
-    total = z @ factor + np.float32(1e-30)
+    share = np.float32(1 / len(rows))
+    z = _softmax(flat @ p["branch"], p["branch_bias"])
     at = np.arange(len(rows))
-    loss = float(-np.log(z[at, target] * factor[target] / total + 1e-30).mean())
-    z[at, target] -= total / factor[target]
-    weight = 1 / (total * np.float32(len(rows)))
-    g: Params = {"out": (flat * weight[:, None]).T @ z * factor, "bias": weight @ z * factor}
-    dh2 = np.zeros((h2.shape[0] * CONTEXT, WIDTH), h2.dtype)
-    dh2[rows] = z @ (p["out"] * factor).T * weight[:, None]
+    loss = -np.log(z[at, branch] + _LEAST).sum(dtype=np.float64)
+    z[at, branch] -= 1
+    z *= share
+    g: Params = {"branch": flat.T @ z, "branch_bias": z.sum(axis=0), "leaf": np.zeros_like(p["leaf"]), "leaf_bias": np.zeros_like(p["leaf_bias"])}
+    d_flat = z @ p["branch"].T
+    for j in range(branches):
+        part = slice(cut[j], cut[j + 1])
+        if cut[j] < cut[j + 1]:
+            own = flat[part]
+            z = _softmax(own @ p["leaf"][j], p["leaf_bias"][j])
+            at = np.arange(len(own))
+            loss -= np.log(z[at, leaf[part]] + _LEAST).sum(dtype=np.float64)
+            z[at, leaf[part]] -= 1
+            z *= share
+            g["leaf"][j], g["leaf_bias"][j] = own.T @ z, z.sum(axis=0)
+            d_flat[part] += z @ p["leaf"][j].T
+    dh2 = np.zeros((len(x) * CONTEXT, WIDTH), h2.dtype)
+    dh2[rows] = d_flat
     g["down"] = u.T @ dh2
     du = dh2 @ p["down"].T
     du *= u > 0
@@ -128,24 +158,23 @@ def loss_and_gradients(p: Params, x: np.ndarray, y: np.ndarray, held: np.ndarray
     dh1 = dh2 + du @ p["up"].T
     g["join"] = c.reshape(-1, WIDTH).T @ dh1
     dc = (dh1 @ p["join"].T).reshape(c.shape)
-    dv = a.transpose(0, 2, 1) @ dc
     ds = dc @ v.transpose(0, 2, 1)
     ds -= (dc * c).sum(axis=2, keepdims=True)
     ds *= a
-    ds *= np.float32(WIDTH**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dh0 = dh1
-    for name, part in (("query", dq), ("key", dk), ("value", dv)):
-        part = part.reshape(-1, WIDTH)
-        g[name] = h0.T @ part
-        dh0 += part @ p[name].T
-    g["place"] = dh0.reshape(h2.shape).sum(axis=0)
+    d_qkv = np.empty((len(x), CONTEXT, 3 * WIDTH), h2.dtype)
+    d_qkv[..., :WIDTH] = ds @ k
+    d_qkv[..., WIDTH : 2 * WIDTH] = ds.transpose(0, 2, 1) @ q
+    d_qkv[..., 2 * WIDTH :] = a.transpose(0, 2, 1) @ dc
+    d_qkv = d_qkv.reshape(-1, 3 * WIDTH)
+    g["qkv"] = h0.T @ d_qkv
+    dh0 = dh1 + d_qkv @ p["qkv"].T
+    g["place"] = dh0.reshape(len(x), -1).sum(axis=0).reshape(CONTEXT, WIDTH)
     g["embed"] = np.zeros_like(p["embed"])
-    order = np.argsort(x.reshape(-1), kind="stable")
+    order = np.argsort(x.reshape(-1).astype(np.uint16), kind="stable")
     inputs = x.reshape(-1)[order]
     begin = np.flatnonzero(np.diff(inputs, prepend=-1))
     g["embed"][inputs[begin]] = np.add.reduceat(dh0[order], begin, axis=0)
-    return loss, g
+    return float(loss * share), g
 
 
 class Adam:
@@ -156,14 +185,23 @@ class Adam:
 
     def step(self, g: Params) -> None:
         self.t += 1
-        norm = float(np.sqrt(sum(float((x * x).sum()) for x in g.values())))
-        scale = min(1.0, 1.0 / (norm + 1e-9))
-        rate = float(self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))  # a numpy scalar would widen the arrays
+        norm = float(np.sqrt(sum(float(np.vdot(x, x)) for x in g.values())))
+        scale = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+        rate = np.float32(self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
         for n, x in g.items():
-            x = x * scale
-            self.m[n] += 0.1 * (x - self.m[n])
-            self.v[n] += 0.001 * (x * x - self.v[n])
-            self.p[n] -= rate * self.m[n] / (np.sqrt(self.v[n]) + 1e-8)
+            m, v = self.m[n], self.v[n]
+            x *= scale
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * x
+            x *= x
+            x *= np.float32(0.001)
+            v *= np.float32(0.999)
+            v += x
+            d = np.sqrt(v)
+            d += np.float32(1e-8)
+            np.divide(m, d, out=d)
+            d *= rate
+            self.p[n] -= d
 
 
 def pack(p: Params) -> np.ndarray:

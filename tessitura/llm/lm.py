@@ -3,23 +3,31 @@
 Both learn from all training rows.
 
 * Base: words are counted by 64-bit hash, each task first on its own, then by Spark.  A text's
-  frequent words are looked up in a table of fixed size that every worker holds; the other words
-  are joined with the counts by Spark, so the vocabulary may grow without bound, and no joined word
-  is frequent.
+  frequent words are looked up in a table of fixed size that every worker holds, in which the most
+  frequent word of each slot stands, and in a list of the others that make up over a part in COMMON
+  of the training words; all other words are joined with the counts by Spark, so the vocabulary may
+  grow without bound and no key of the join is hot.
 * Model: subword ids are counted, with the class of the id before them.  The most frequent ids are
   classes of their own, and the others are grouped into classes by k-means on what stands before
-  them.  The model predicts the next class from a context of 32 ids; an id's probability is its
-  class's times its share of the class among what followed the same frequent id in training (or
-  another), smoothed by its share of the class overall.  Its weights start from a short training in
-  one task on a bounded sample of windows (START_DOCUMENTS).  Then it is trained on every window of
-  every training row, once, in ROUNDS rounds of averaging: in each, every task trains on its part of
-  its own windows from the current weights, and Spark averages the weights, weighed by windows.
-* Scoring: windows of 32 targets overlap by 4; the first window of a text scores all its positions
-  and later ones only the new, so each id, and the end of the text, is scored once.
+  them.  The model predicts the next class, by a softmax over branches of like classes and one inside
+  the branch, from a context of 32 ids; an id's probability is its class's times its share of the
+  class among what followed the same frequent id in training (or another), smoothed by its share of
+  the class overall.
+* Training: the weights start from a short training in one task on START_WINDOWS windows or so,
+  drawn from all training windows by a hash.  Then the model is trained on every window of every
+  training row, once, in ROUNDS rounds of averaging.  A hash of id and text deals the rows to shards of about SHARD_WORDS words;
+  in each round every shard trains on its part of its windows from the current weights, and Spark
+  averages the weights, weighed by windows.  What a task holds is bounded: a shard that is too large
+  for MOST_IDS (rows equal in id and text) is cut, and its parts train like shards.
+* Scoring: windows of 32 targets overlap by OVERLAP; the first window of a text scores all its
+  positions and later ones only the new, so each id, and the end of the text, is scored once.
+
+Neither the partitions of the input nor the order of its rows matter: the same rows give the same
+scores but for rounding.  That is so for rows that have an id; others are dealt to shards by position.
 
 Edge cases: a null text is empty: one end token.  With no training row the base counts are 0 and
-the model is uniform over classes.  Null ids hash as empty text.  Repeated rows get equal scores;
-an empty table gives an empty result; only doc_id and text are read.
+the model is uniform over classes.  Null ids hash as empty text in fold().  Repeated rows get equal
+scores; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -29,29 +37,32 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
 from .attention import CONTEXT, Params
-from .common import gathered, pieces, prepare, ragged, utf8, word_hashes, words, written
+from .common import gathered, mix, pieces, prepare, ragged, utf8, word_hashes, words, written
 from .subwords import encoder, vocabulary_path
 
-#: Slots of the table of frequent words.
-HEAD_BITS = 19
-#: Ids with a class of their own, classes of the others, and ids with an input of their own.
-OWN_CLASSES, GROUPS, OWN_INPUTS = 159, 48, 1023
+#: Slots of the table of frequent words; a word is common from one in so many training words (so COMMON words are at most).
+HEAD_BITS, COMMON = 19, 10_000
+#: Ids with a class of their own, and ids with an input of their own.  The other classes are groups of ids.
+OWN_CLASSES, OWN_INPUTS = 800, 2047
+CLASSES = attention.BRANCHES * attention.LEAVES
 #: Frequent ids told apart as what stands before an id, and the weight of an id's share of its class against counts after that.
 BEFORE, PRIOR = 63, 50.0
-#: Positions by which windows overlap.
-OVERLAP = 4
+#: Positions by which windows overlap when texts are scored; in training each id is a target once.
+OVERLAP = 8
+#: Words of a shard (about), the most shards, and ids that a task trains on at most before it begins another part.
+SHARD_WORDS, MOST_SHARDS, MOST_IDS = 1 << 20, 1 << 14, 1 << 23
 #: Rounds of averaging; each window belongs to one of them, so all are trained on.
 ROUNDS = 2
 #: Texts whose windows are built together, and windows of several such groups that are mixed.
 GROUP_TEXTS, MIXED_WINDOWS = 64, 8192
-#: Training rows (about) from which one task makes the first weights, windows it takes from them, and passes over those.
-START_DOCUMENTS, START_WINDOWS, START_PASSES = 2000, 32768, 3
-BATCH, START_RATE, RATE = 64, 0.01, 0.003
+#: Windows (about) from which one task makes the first weights, and passes over them.
+START_WINDOWS, START_PASSES = 32768, 4
+BATCH, START_RATE, RATE = 64, 0.01, 0.005
 #: Windows that go through the model at once.
 SCORED_AT_ONCE = 96
 
@@ -88,7 +99,7 @@ def _count_words(batches):
 
 @dataclass(frozen=True)
 class WordCounts:
-    """counts: word (hash), n; head: counts of frequent words by slot; totals of the training rows."""
+    """counts: word (hash), n; head: frequent words and counts by slot, then those of common words that have no slot; totals of the training rows."""
 
     counts: DataFrame
     head: object
@@ -114,7 +125,12 @@ def count_words(train: DataFrame) -> WordCounts:
     at = best.column("slot").to_numpy()
     head_word[at] = best.column("word").to_numpy().view(np.uint64)
     head_n[at] = best.column("n").to_numpy()
-    head = spark.sparkContext.broadcast((head_word, head_n))
+    common = counts.filter(F.col("n") * COMMON > row["n"]).select("word", "n").toArrow()
+    word, n = common.column("word").to_numpy().view(np.uint64), common.column("n").to_numpy()
+    lost = head_word[(word >> np.uint64(64 - HEAD_BITS)).astype(np.int64)] != word
+    word, n = word[lost], n[lost]
+    order = np.argsort(word)
+    head = spark.sparkContext.broadcast((head_word, head_n, word[order], n[order]))
     return WordCounts(counts, head, documents, row["n"] + documents, row["v"] + (documents > 0))
 
 
@@ -122,40 +138,59 @@ def count_words(train: DataFrame) -> WordCounts:
 
 
 def encoded(docs: DataFrame, counts: WordCounts, vocabulary: str) -> DataFrame:
-    """row, doc_id, train, n_words, n_head, head_sum, tail (hashes of other words), ids (16 bits each)."""
+    """row, doc_id, train, key, shard, n_words, n_head, head_sum, tail (hashes of other words), ids (16 bits each, packed).
+
+    The rows of a shard lie together in one file, in the order of their keys.
+    """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     head = counts.head
+    shards = min(MOST_SHARDS, 1 + counts.tokens // SHARD_WORDS)
 
     def run(batches):
-        head_word, head_n = head.value
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        head_word, head_n, more_word, more_n = head.value
         encode = encoder(vocabulary, "<u2").encode
-        logs = np.log10(head_n + 1.0)
+        logs, more_logs = np.log10(head_n + 1.0), np.log10(more_n + 1.0)
         for piece in pieces(gathered(batches)):
             raw, at = utf8(piece.column("text"))
             starts, ends, first = words(raw, at)
             h = word_hashes(raw, starts, ends)
             ids, n_ids = encode(piece.column("text"))
-            id_ends = np.concatenate([[0], np.cumsum(n_ids) * 2])
+            id_ends = np.cumsum(n_ids) * 2
+            packed, plain = [], ids.tobytes()
+            for a, b in zip((id_ends - n_ids * 2).tolist(), id_ends.tolist()):
+                packed.append(pack(plain[a:b]))
             slot = (h >> np.uint64(64 - HEAD_BITS)).astype(np.int64)
             known = (head_word[slot] == h) & (head_n[slot] > 0)
             text = np.repeat(np.arange(piece.num_rows), np.diff(first))
             sums = np.bincount(text[known], logs[slot[known]], piece.num_rows).astype(np.float64)
+            if len(more_word):
+                rest = np.flatnonzero(~known)
+                at = np.minimum(np.searchsorted(more_word, h[rest]), len(more_word) - 1)
+                hit = more_word[at] == h[rest]
+                sums += np.bincount(text[rest[hit]], more_logs[at[hit]], piece.num_rows)
+                known[rest[hit]] = True
             n_head = np.bincount(text[known], minlength=piece.num_rows).astype(np.int64)
             tail = h[~known].view(np.int64)
             cuts = np.concatenate([[0], np.cumsum(~known)])[first].astype(np.int32)
             columns = [
-                piece.column("doc_id"),
-                piece.column("train"),
+                *(piece.column(c) for c in ("doc_id", "train", "key", "shard")),
                 pa.array(np.diff(first)),
                 pa.array(n_head),
                 pa.array(sums),
                 pa.ListArray.from_arrays(pa.array(cuts), pa.array(tail)),
-                pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n_ids), [None, pa.py_buffer(id_ends.astype(np.int64)), pa.py_buffer(ids.tobytes())]).cast(pa.binary()),
+                pa.array(packed, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "train", "n_words", "n_head", "head_sum", "tail", "ids"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "train", "key", "shard", "n_words", "n_head", "head_sum", "tail", "ids"])
 
-    schema = f"doc_id {id_type}, train boolean, n_words bigint, n_head bigint, head_sum double, tail array<bigint>, ids binary"
-    return written(docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "encoded")
+    schema = f"doc_id {id_type}, train boolean, key bigint, shard int, n_words bigint, n_head bigint, head_sum double, tail array<bigint>, ids binary"
+    # Equal texts with ids go to different shards; rows without an id are dealt by position.
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id", "text"))
+    keyed = docs.withColumn("key", key).withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
+    dealt = keyed.select("doc_id", "train", "key", "shard", "text").mapInArrow(run, schema).repartition(shards, "shard").sortWithinPartitions("shard", "key")
+    return written(dealt.withColumn("row", F.monotonically_increasing_id()), "encoded")
 
 
 def base_scores(rows: DataFrame, counts: WordCounts) -> DataFrame:
@@ -169,30 +204,31 @@ def base_scores(rows: DataFrame, counts: WordCounts) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class Model:
-    """params; of each id its class and input, its number as what stands before, and its log10 share of its class after each such.
-
-    Class and input 0 are the end and the begin of a text.
-    """
+class Classes:
+    """Of each id its class and input; the class of a text's end.  Input 0 is the begin of a text."""
 
-    params: Params
     class_of: np.ndarray
     input_of: np.ndarray
+    end: int
+
+
+@dataclass(frozen=True)
+class Model:
+    """params; classes; of each id its number as what stands before, and its log10 share of its class after each such."""
+
+    params: Params
+    classes: Classes
     before_of: np.ndarray
     log_share: np.ndarray
 
 
 def _ids(binary) -> tuple[np.ndarray, np.ndarray]:
-    """All ids end to end, and each text's number of ids."""
-    column = binary.cast(pa.large_binary())
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if not len(column):
-        return np.zeros(0, np.uint16), np.zeros(0, np.int64)
-    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
-    return raw.view("<u2") if len(raw) else np.zeros(0, np.uint16), np.diff(at) // 2
+    """All ids end to end, and each text's number of ids, of packed ids."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    plain = [unpack(x) for x in binary.to_pylist()]
+    return np.frombuffer(b"".join(plain), "<u2"), np.array([len(x) // 2 for x in plain], np.int64)
 
 
 def _count_ids(n_ids: int):
@@ -252,12 +288,32 @@ def _groups(profile: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
     return near
 
 
-def window_count(n: np.ndarray) -> np.ndarray:
+def _tree(profile: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """The number (branch * leaves + leaf) of each class: branches are groups of like profiles, equal in number."""
+    x = np.sqrt((profile + 1e-9) / (profile + 1e-9).sum(axis=1, keepdims=True))
+    by_mass = np.argsort(-mass, kind="stable")
+    centre = x[by_mass[: attention.BRANCHES]].copy()
+    for _ in range(8):
+        near = x @ centre.T
+        branch, room = np.zeros(len(x), np.int64), np.full(attention.BRANCHES, attention.LEAVES)
+        for i in by_mass:
+            branch[i] = np.argmax(np.where(room > 0, near[i], -1.0))
+            room[branch[i]] -= 1
+        for j in range(len(centre)):
+            own = branch == j
+            centre[j] = np.average(x[own], axis=0, weights=mass[own] + 1.0)
+    order = np.argsort(branch, kind="stable")
+    code = np.empty(len(x), np.int64)
+    code[order] = np.arange(len(x))  # each branch is full
+    return code
+
+
+def window_count(n: np.ndarray, step: int) -> np.ndarray:
     """Windows of texts of n ids and their ends."""
-    return 1 + np.maximum(-(-(n + 1 - CONTEXT) // STEP), 0)
+    return 1 + np.maximum(-(-(n + 1 - CONTEXT) // step), 0)
 
 
-def windows(ids: np.ndarray, n: np.ndarray, class_of: np.ndarray, input_of: np.ndarray, chosen=None):
+def windows(ids: np.ndarray, n: np.ndarray, m: Classes, step: int, chosen=None):
     """Inputs, target classes, text, held and scored mask of windows over texts of n ids each and their ends.
 
     chosen: function of (text, window number) -> mask of windows to build.
@@ -266,22 +322,22 @@ def windows(ids: np.ndarray, n: np.ndarray, class_of: np.ndarray, input_of: np.n
     stop = np.cumsum(tokens)
     is_id = np.ones(int(stop[-1]) if len(stop) else 0, bool)
     is_id[stop - 1] = False
-    target = np.zeros(len(is_id), np.int32)
-    target[is_id] = class_of[ids]
+    target = np.full(len(is_id), m.end, np.int32)
+    target[is_id] = m.class_of[ids]
     # The input is what stands before; before a text stands the end of another, which reads as 0 too.
     own = np.zeros(len(is_id) + 1, np.int32)
-    own[1:][is_id] = input_of[ids]
-    count = window_count(n)
+    own[1:][is_id] = m.input_of[ids]
+    count = window_count(n, step)
     text = np.repeat(np.arange(len(n)), count)
     number = ragged(count)
     if chosen is not None:
         keep = chosen(text, number)
         text, number = text[keep], number[keep]
-    place = ((stop - tokens)[text] + number * STEP)[:, None] + _PLACES
+    place = ((stop - tokens)[text] + number * step)[:, None] + _PLACES
     held = place < stop[text][:, None]
     np.minimum(place, len(is_id) - 1, out=place)
     scored = held.copy()
-    scored[number > 0, :OVERLAP] = False
+    scored[number > 0, : CONTEXT - step] = False
     return own[place], target[place], text, held, scored
 
 
@@ -306,8 +362,8 @@ def _pass(adam: attention.Adam, x, y, held, order: np.ndarray, rate: float, step
         adam.step(g)
 
 
-def _train_round(p: Params, groups: list, class_of: np.ndarray, input_of: np.ndarray, r: int) -> tuple[Params, int]:
-    """Train once on the windows of round r of the groups (row keys, ids, n); the weights, and how many windows it were.
+def _train_part(p: Params, groups: list, m: Classes, r: int) -> tuple[Params, int]:
+    """Train once on the windows of round r of the groups (keys, ids, n); the weights, and how many windows it were.
 
     Only the ids are held; windows are built for a few groups at a time.
     """
@@ -318,14 +374,14 @@ def _train_round(p: Params, groups: list, class_of: np.ndarray, input_of: np.nda
 
     total = 0
     for key, _, n in groups:
-        count = window_count(n)
+        count = window_count(n, CONTEXT)
         total += int(of_round(key, np.repeat(np.arange(len(n)), count), ragged(count)).sum())
     adam = attention.Adam({k: v.copy() for k, v in p.items()}, RATE)
     # Each mix may end in a part of a batch.
     steps, built, trained = -(-total // BATCH) + total // MIXED_WINDOWS + 1, [], 0
     for i, g in enumerate(rng.permutation(len(groups))):
         key, ids, n = groups[g]
-        x, y, _, held, _ = windows(ids, n, class_of, input_of, lambda text, number, key=key: of_round(key, text, number))
+        x, y, _, held, _ = windows(ids, n, m, CONTEXT, lambda text, number, key=key: of_round(key, text, number))
         built.append((x, y, held))
         if sum(len(b[0]) for b in built) >= MIXED_WINDOWS or i == len(groups) - 1:
             x, y, held = (np.concatenate(c) for c in zip(*built))
@@ -335,10 +391,50 @@ def _train_round(p: Params, groups: list, class_of: np.ndarray, input_of: np.nda
     return adam.p, trained
 
 
+def _parts(batches):
+    """Lists of groups (keys, ids, n) of the rows of one shard each; a list ends early at MOST_IDS."""
+    groups, size, last = [], 0, None
+    for b in batches:
+        shard = b.column("shard").to_numpy()
+        cuts = np.flatnonzero(np.diff(shard)) + 1
+        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard)]):
+            for lo in range(a, z, GROUP_TEXTS):
+                if groups and (shard[lo] != last or size > MOST_IDS):
+                    yield groups
+                    groups, size = [], 0
+                last = shard[lo]
+                part = b.slice(lo, min(GROUP_TEXTS, z - lo))
+                ids, n = _ids(part.column("ids"))
+                groups.append((part.column("key").to_numpy(), ids, n))
+                size += len(ids)
+    if groups:
+        yield groups
+
+
+def _drawn(m: Classes, share: float):
+    """Windows (x, y, held and a hash that orders them) drawn by a hash of the row's key and their number."""
+    least = np.uint64(min(int(share * 2.0**64), (1 << 64) - 1))
+
+    def hashed(key, text, number):
+        with np.errstate(over="ignore"):
+            return mix(mix(key.view(np.uint64))[text] + number.astype(np.uint64))
+
+    def run(batches):
+        for b in batches:
+            key = b.column("key").to_numpy()
+            ids, n = _ids(b.column("ids"))
+            count = window_count(n, CONTEXT)
+            h = hashed(key, np.repeat(np.arange(len(n)), count), ragged(count))
+            x, y, _, held, _ = windows(ids, n, m, CONTEXT, lambda text, number, h=h: h <= least)
+            columns = [x.astype("<u2"), y.astype("<u2"), held.astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([pa.array(h[h <= least].view(np.int64)), *(pa.array([r.tobytes() for r in c], pa.binary()) for c in columns)], names=["h", "x", "y", "held"])
+
+    return run
+
+
 def fit(rows: DataFrame, n_ids: int) -> Model:
     """Learn from the training rows of encoded()."""
-    spark = rows.sparkSession
-    train = rows.filter("train").select("row", "ids")
+    train = rows.filter("train").select("key", "shard", "ids")
     counted = train.select("ids").mapInArrow(_count_ids(n_ids), "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(n_ids, np.int64)
     total[counted.column("id").to_numpy()] = counted.column("n").to_numpy()
@@ -348,40 +444,41 @@ def fit(rows: DataFrame, n_ids: int) -> Model:
     pairs = train.select("ids").mapInArrow(_count_before(n_ids, before_of), "id int, before int, n bigint").groupBy("id", "before").agg(F.sum("n").alias("n")).toArrow()
     profile = np.zeros((n_ids, BEFORE + 2))
     profile[pairs.column("id").to_numpy(), pairs.column("before").to_numpy()] = pairs.column("n").to_numpy()
-    class_of = np.zeros(n_ids, np.int64)
+    documents = train.count()
+    # Class 0 is the end until the tree gives classes their numbers.
+    class_of = np.full(n_ids, 1 + OWN_CLASSES, np.int64)
     class_of[ranked[:OWN_CLASSES]] = 1 + np.arange(OWN_CLASSES)
-    rest = ranked[OWN_CLASSES:]
-    seen = rest[total[rest] > 0]
-    class_of[rest] = 1 + OWN_CLASSES
+    seen = ranked[OWN_CLASSES:][total[ranked[OWN_CLASSES:]] > 0]
     if len(seen):
-        class_of[seen] = 1 + OWN_CLASSES + _groups(profile[seen], total[seen].astype(float), GROUPS)
-    k = 1 + OWN_CLASSES + GROUPS
-    input_of = 1 + OWN_INPUTS + class_of
-    input_of[ranked[:OWN_INPUTS]] = 1 + np.arange(min(OWN_INPUTS, n_ids))
-    mass, members = np.bincount(class_of, total, k), np.bincount(class_of, minlength=k)
-    share = (total + 1.0) / (mass + members)[class_of]
-    after = np.zeros((k, BEFORE + 2))
+        class_of[seen] = 1 + OWN_CLASSES + _groups(profile[seen], total[seen].astype(float), CLASSES - 1 - OWN_CLASSES)
+    mass = np.bincount(class_of, total, CLASSES)
+    mass[0] = documents
+    after = np.zeros((CLASSES, BEFORE + 2))
     np.add.at(after, class_of, profile)
+    code = _tree(after, mass)
+    share = (total + 1.0) / (mass + np.bincount(class_of, minlength=CLASSES))[class_of]
     log_share = np.log10((profile + PRIOR * share[:, None]) / (after[class_of] + PRIOR)).astype(np.float32)
-    documents = train.count()
-    mass[0] = documents
-    # About START_DOCUMENTS rows by a threshold on a hash, so that no task gathers candidates to rank.
-    share = min(1.0, START_DOCUMENTS / max(documents, 1))
-    start = train.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 40)) < int(share * (1 << 40))).select("row", "ids").toArrow().sort_by("row")
-    p = attention.new_params(1 + OWN_INPUTS + k, mass)
-    if start.num_rows:
-        ids, n = _ids(start.column("ids"))
-        x, y, _, held, _ = windows(ids, n, class_of, input_of)
-        pick = np.random.default_rng(11).permutation(len(x))[:START_WINDOWS]
-        p = _started(spark, p, x[pick], y[pick], held[pick])
+    input_of = 1 + OWN_INPUTS + class_of
+    input_of[ranked[:OWN_INPUTS]] = 1 + np.arange(min(OWN_INPUTS, n_ids))
+    m = Classes(code[class_of], input_of, int(code[0]))
+    by_code = np.zeros(CLASSES)
+    by_code[code] = mass
+    p = attention.new_params(1 + OWN_INPUTS + CLASSES, by_code.reshape(attention.BRANCHES, attention.LEAVES))
+    if documents:
+        p = _started(train, p, m, START_WINDOWS / (documents + total.sum() / CONTEXT))
         for r in range(ROUNDS):
-            p = _averaged(train, p, class_of, input_of, r)
-    return Model(p, class_of, input_of, before_of, log_share)
+            p = _averaged(train, p, m, r)
+    return Model(p, m, before_of, log_share)
 
 
-def _started(spark: SparkSession, p: Params, x, y, held) -> Params:
-    """The first training, in one task: the bounded sample is small, and a worker has one numpy thread."""
-    work = spark.sparkContext.broadcast((p, x, y, held))
+def _started(train: DataFrame, p: Params, m: Classes, share: float) -> Params:
+    """The first training, in one task: the drawn windows are few at any size, and a worker has one numpy thread."""
+    spark = train.sparkSession
+    drawn = train.select("key", "ids").mapInArrow(_drawn(m, share), "h bigint, x binary, y binary, held binary").toArrow().sort_by("h")
+    if not drawn.num_rows:
+        return p
+    x, y, held = (np.frombuffer(b"".join(drawn.column(c).to_pylist()), t).reshape(-1, CONTEXT) for c, t in (("x", "<u2"), ("y", "<u2"), ("held", np.uint8)))
+    work = spark.sparkContext.broadcast((p, x, y, held.astype(bool)))
 
     def run(batches):
         for b in batches:
@@ -393,28 +490,24 @@ def _started(spark: SparkSession, p: Params, x, y, held) -> Params:
     return attention.unpack(flat, p)
 
 
-def _averaged(train: DataFrame, p: Params, class_of: np.ndarray, input_of: np.ndarray, r: int) -> Params:
-    """One round: each task trains on its windows of the round; the weights are averaged by Spark."""
-    spark = train.sparkSession
-    held_params = spark.sparkContext.broadcast((p, class_of, input_of))
+def _averaged(train: DataFrame, p: Params, m: Classes, r: int) -> Params:
+    """One round: each shard trains on its windows of the round; the weights are averaged by Spark."""
+    held_params = train.sparkSession.sparkContext.broadcast((p, m))
 
     def run(batches):
         os.environ.setdefault("OMP_NUM_THREADS", "1")
-        p, class_of, input_of = held_params.value
-        groups = []
-        for b in batches:
-            for lo in range(0, b.num_rows, GROUP_TEXTS):
-                part = b.slice(lo, GROUP_TEXTS)
-                ids, n = _ids(part.column("ids"))
-                groups.append((part.column("row").to_numpy().astype(np.int64), ids.copy(), n))
-        trained, size = _train_round(p, groups, class_of, input_of, r)
-        if not size:
-            return
-        flat = attention.pack(trained)
-        for lo in range(0, len(flat), 8192):
-            part = flat[lo : lo + 8192].astype(np.float64)
-            at = pa.array(np.arange(lo, lo + len(part), dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([at, pa.array(part * size), pa.array(np.full(len(part), float(size)))], names=["at", "sum", "weight"])
+        p, m = held_params.value
+        total, weight = 0.0, 0
+        for groups in _parts(batches):
+            trained, size = _train_part(p, groups, m, r)
+            if size:
+                total = total + attention.pack(trained).astype(np.float64) * size
+                weight += size
+        if weight:
+            for lo in range(0, len(total), 8192):
+                part = total[lo : lo + 8192]
+                at = pa.array(np.arange(lo, lo + len(part), dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([at, pa.array(part), pa.array(np.full(len(part), float(weight)))], names=["at", "sum", "weight"])
 
     trained = train.mapInArrow(run, "at int, sum double, weight double").groupBy("at").agg((F.sum("sum") / F.sum("weight")).alias("value")).toArrow()
     if not trained.num_rows:
@@ -428,7 +521,7 @@ def model_scores(rows: DataFrame, model: Model) -> DataFrame:
     """rows without ids and tail, and model_sum: log10 probability of each text with its end."""
     spark = rows.sparkSession
     held_model = spark.sparkContext.broadcast(model)
-    kept = [c for c in rows.columns if c not in ("ids", "tail")]
+    kept = [c for c in rows.columns if c not in ("key", "shard", "ids", "tail")]
 
     def run(batches):
         os.environ.setdefault("OMP_NUM_THREADS", "1")
@@ -448,7 +541,7 @@ def score(m: Model, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
     shares = np.concatenate([[0.0], np.cumsum(m.log_share[ids, _before(ids, n, m.before_of)], dtype=np.float64)])
     ends = np.cumsum(n)
     out = shares[ends] - shares[ends - n]
-    x, y, text, _, scored = windows(ids, n, m.class_of, m.input_of)
+    x, y, text, _, scored = windows(ids, n, m.classes, STEP)
     for lo in range(0, len(x), SCORED_AT_ONCE):
         part = slice(lo, lo + SCORED_AT_ONCE)
         h = attention.last_hidden(m.params, x[part])

@@ -76,11 +76,29 @@ def test_scripts():
 # ------------------------------------------------------------------ language model
 
 
+def branches(n):
+    return np.arange(1, n + 1).reshape(-1, 5)
+
+
+def plain_log_probs(p, h):
+    """Natural log probability of every class at each row of h, one row and branch at a time."""
+    out = []
+    for row in h.astype(np.float64):
+        z = row @ p["branch"] + p["branch_bias"]
+        z = z - np.log(np.exp(z).sum())
+        leaves = [row @ p["leaf"][j] + p["leaf_bias"][j] for j in range(len(z))]
+        out.append(np.concatenate([z[j] + w - np.log(np.exp(w).sum()) for j, w in enumerate(leaves)]))
+    return np.array(out)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
-    p = {k: v.astype(np.float64) for k, v in A.new_params(50, np.arange(1, 11)).items()}
-    x, y, held = rng.integers(0, 50, (3, A.CONTEXT)), rng.integers(0, 10, (3, A.CONTEXT)), rng.random((3, A.CONTEXT)) < 0.7
-    _, g = A.loss_and_gradients(p, x, y, held)
+    p = {k: v.astype(np.float64) for k, v in A.new_params(50, branches(20)).items()}
+    x, y, held = rng.integers(0, 50, (3, A.CONTEXT)), rng.integers(0, 20, (3, A.CONTEXT)), rng.random((3, A.CONTEXT)) < 0.7
+    loss, g = A.loss_and_gradients(p, x, y, held)
+    h = A.hidden(p, x)[0].reshape(-1, A.WIDTH)[held.reshape(-1)]
+    want = plain_log_probs(p, h)[np.arange(len(h)), y.reshape(-1)[held.reshape(-1)]]
+    assert abs(loss + want.mean()) < 1e-6 and np.allclose(A.log_probs(p, h, y.reshape(-1)[held.reshape(-1)]), want)
     for name in p:
         at = (x[0, 3], 2) if name == "embed" else tuple(rng.integers(0, n) for n in p[name].shape)
         q = {k: v.copy() for k, v in p.items()}
@@ -90,47 +108,49 @@ def test_gradients():
         down = A.loss_and_gradients(q, x, y, held)[0]
         assert abs(g[name][at] - (up - down) / 2e-4) < 1e-6
     assert np.allclose(A.hidden(p, x)[0], A.last_hidden({k: v.astype(np.float32) for k, v in p.items()}, x), atol=1e-4)
+    assert abs(np.exp(plain_log_probs(p, h)).sum(axis=1) - 1).max() < 1e-9
 
 
 def test_no_position_sees_what_follows():
     rng = np.random.default_rng(1)
-    p = A.new_params(50, np.ones(10))
+    p = A.new_params(50, branches(20))
     x = rng.integers(0, 50, (1, A.CONTEXT))
     changed = x.copy()
     changed[0, 20:] = 7
     assert np.allclose(A.last_hidden(p, x)[0, :20], A.last_hidden(p, changed)[0, :20])
 
 
-def test_every_token_is_scored_once():
+@pytest.mark.parametrize("step", [M.STEP, A.CONTEXT])
+def test_every_token_is_scored_once(step):
     n = np.array([0, 1, 5, 31, 32, 33, 60, 61, 200])
     ids = np.arange(int(n.sum())).astype(np.uint16) % 50
-    class_of, input_of = np.arange(50) % 9 + 1, np.arange(50) % 20 + 1
-    x, y, text_of, held, scored = M.windows(ids, n, class_of, input_of)
+    m = M.Classes(np.arange(50) % 9 + 1, np.arange(50) % 20 + 1, 17)
+    x, y, text_of, held, scored = M.windows(ids, n, m, step)
     assert np.bincount(np.repeat(text_of, scored.sum(axis=1)), minlength=len(n)).tolist() == (n + 1).tolist()
+    assert step < A.CONTEXT or (held == scored).all()
     begin = np.cumsum(n) - n
     for t in range(len(n)):
         own = ids[begin[t] : begin[t] + n[t]]
-        want = [*class_of[own], 0]
-        assert y[text_of == t][scored[text_of == t]].tolist() == want
-        assert x[text_of == t][scored[text_of == t]].tolist() == [0, *input_of[own]]
+        assert y[text_of == t][scored[text_of == t]].tolist() == [*m.class_of[own], 17]
+        assert x[text_of == t][scored[text_of == t]].tolist() == [0, *m.input_of[own]]
 
 
 def test_score_equals_plain_loop():
     rng = np.random.default_rng(2)
-    p = A.new_params(40, np.ones(12))
-    m = M.Model(p, rng.integers(1, 12, 100), rng.integers(1, 40, 100), rng.integers(0, M.BEFORE + 1, 100), np.log10(rng.random((100, M.BEFORE + 2))).astype(np.float32))
+    p = A.new_params(40, branches(20))
+    c = M.Classes(rng.integers(0, 20, 100), rng.integers(1, 40, 100), 3)
+    m = M.Model(p, c, rng.integers(0, M.BEFORE + 1, 100), np.log10(rng.random((100, M.BEFORE + 2))).astype(np.float32))
     n = np.array([0, 3, 70, 133])
     ids = rng.integers(0, 100, int(n.sum())).astype(np.uint16)
     got = M.score(m, ids, n)
     for t, (a, k) in enumerate(zip(np.cumsum(n) - n, n)):
         own = ids[a : a + k].astype(int)
-        inputs, targets, total, done = [0, *m.input_of[own]], [*m.class_of[own], 0], 0.0, 0
+        inputs, targets, total, done = [0, *c.input_of[own]], [*c.class_of[own], 3], 0.0, 0
         for s in range(0, k + 1, M.STEP):
             w = np.zeros((1, A.CONTEXT), int)
             part = inputs[s : s + A.CONTEXT]
             w[0, : len(part)] = part
-            z = A.hidden(p, w)[0][0] @ p["out"] + p["bias"]
-            z = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+            z = plain_log_probs(p, A.hidden(p, w)[0][0])
             for j in range(len(part)):
                 if s + j >= done:
                     total += z[j, targets[s + j]]
@@ -139,14 +159,21 @@ def test_score_equals_plain_loop():
         assert abs(got[t] - total / np.log(10) - share) < 1e-3 and done == k + 1
 
 
-def test_scores_of_a_corpus(spark, docs):
+def test_tree_gives_each_class_a_place():
+    rng = np.random.default_rng(3)
+    code = M._tree(rng.random((M.CLASSES, 9)) * (rng.random((M.CLASSES, 1)) < 0.7), rng.integers(0, 50, M.CLASSES).astype(float))
+    assert sorted(code.tolist()) == list(range(M.CLASSES))
+
+
+def test_scores_of_a_corpus(spark, docs, monkeypatch):
     import math
     import re
     import zlib
     from collections import Counter
 
+    monkeypatch.setattr(M, "SHARD_WORDS", 5000)  # several shards
     rng = random.Random(5)
-    rows = [(i, text(rng, ["en", "de"][i % 2], 80)) for i in range(240)] + [(1000 + i, t if t is None or len(t) < 1000 else t[:1000]) for i, (_, t) in enumerate(ODD)]
+    rows = [(i, text(rng, ["en", "de"][i % 2], 80)) for i in range(240)] + [(1000 + i, t) for i, (_, t) in enumerate(ODD)]
     df = docs(*rows)
     out = {r["doc_id"]: r for r in M.language_scores(df, M.fold(7) == 2).collect()}
     assert len(out) == len(rows)
@@ -160,12 +187,24 @@ def test_scores_of_a_corpus(spark, docs):
         r = out[d]
         assert abs(r["base_score"] - base) < 1e-6 * abs(base) and (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w) + 1, sum(c[x] > 0 for x in w) + 1, total)
         assert r["score"] < 0 and r["held_out"] == (zlib.crc32(str(d).encode()) % 7 == 2)
-    again = {r["doc_id"]: r["score"] for r in M.language_scores(df, M.fold(7) == 2).collect()}
-    assert all(abs(again[d] - r["score"]) < 1e-3 * abs(r["score"]) for d, r in out.items())
+    # Neither partitions nor order matter.
+    again = {r["doc_id"]: r["score"] for r in M.language_scores(df.repartition(5, "text"), M.fold(7) == 2).collect()}
+    assert all(abs(again[d] - r["score"]) < 1e-4 * abs(r["score"]) for d, r in out.items())
     held = [r for d, r in out.items() if r["held_out"] and d < 1000]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_common_words_without_a_slot(spark, docs, monkeypatch):
+    """With few slots most words lose theirs: the base is the same."""
+    rng = random.Random(6)
+    df = docs(*[(i, text(rng, "en", 30)) for i in range(30)])
+    known = {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in M.language_scores(df, M.fold(7) == 2).collect()}
+    monkeypatch.setattr(M, "HEAD_BITS", 3)
+    counts = M.count_words(df)
+    assert len(counts.head.value[2]) > 50
+    assert {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in M.language_scores(df, M.fold(7) == 2).collect()} == known
+
+
 def test_no_training_rows(spark, docs):
     out = M.language_scores(docs((1, "a b"), (2, None)), F.lit(True)).collect()
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in sorted(out, key=lambda r: r["doc_id"])] == [(3, 0, 0), (1, 0, 0)]
@@ -174,11 +213,14 @@ def test_no_training_rows(spark, docs):
 
 
 def test_every_training_window_is_trained_on(monkeypatch):
-    """Also those of texts of one window: the rounds take each window once and leave none out."""
+    """Also those of texts of one window: the rounds take each window once and leave none out, however rows are cut in parts."""
+    import pyarrow as pa
+    import zstandard
+
     rng = np.random.default_rng(4)
     n = np.array([0, 1, 5, 20, 31, 32, 60, 300, 2000, 7])
     ids = rng.integers(0, 100, int(n.sum())).astype(np.uint16)
-    class_of, input_of = rng.integers(1, 12, 100), rng.integers(1, 40, 100)
+    m = M.Classes(rng.integers(1, 12, 100), rng.integers(1, 40, 100), 0)
     seen = []
 
     def taken(p, x, y, held):
@@ -187,12 +229,15 @@ def test_every_training_window_is_trained_on(monkeypatch):
 
     monkeypatch.setattr(M.attention, "loss_and_gradients", taken)
     monkeypatch.setattr(M, "MIXED_WINDOWS", 30)
-    p = A.new_params(40, np.ones(12))
-    stop, groups = np.cumsum(n), []
-    for t in range(0, len(n), 3):
-        own = n[t : t + 3]
-        groups.append((np.arange(t, t + len(own)), ids[stop[t] - n[t] : stop[t + len(own) - 1]], own))
-    sizes = [M._train_round(p, groups, class_of, input_of, r)[1] for r in range(M.ROUNDS)]
-    x, y, _, held, _ = M.windows(ids, n, class_of, input_of)
+    monkeypatch.setattr(M, "GROUP_TEXTS", 2)
+    monkeypatch.setattr(M, "MOST_IDS", 3)
+    p = A.new_params(40, branches(20))
+    stop = np.cumsum(n)
+    packed = [zstandard.compress(ids[b - k : b].tobytes()) for b, k in zip(stop, n)]
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(10) * 7 - 9), pa.array(np.array([0, 0, 0, 1, 1, 1, 1, 4, 4, 4], np.int32)), pa.array(packed, pa.binary())], names=["key", "shard", "ids"])
+    parts = list(M._parts([rows.slice(0, 4), rows.slice(4, 0), rows.slice(4)]))
+    assert [sum(len(g[2]) for g in part) for part in parts] == [3, 1, 2, 1, 2, 1]
+    sizes = [M._train_part(p, part, m, r)[1] for part in parts for r in range(M.ROUNDS)]
+    x, y, _, held, _ = M.windows(ids, n, m, A.CONTEXT)
     assert sum(sizes) == len(x)
     assert sorted(seen) == sorted((a[c].tobytes(), b[c].tobytes()) for a, b, c in zip(x, y, held))
