@@ -1,19 +1,30 @@
 """A small causal self-attention model in numpy: forward, gradients, Adam.
 
-The output is a tree of two levels: a softmax over branches, then one over the leaves of the target's
-branch.  A class is numbered branch * leaves + leaf.  A position costs the sum of both widths and not
-their product; rows are sorted by branch, so that each branch is one matrix product.
+Made for few passes over memory on one thread:
+
+* The last channel of every state is 1.  It carries all biases, and the attention weights' sums come out
+  of the product with the states; weights that would change it are held at 0.
+* One matrix compares states with states, and one brings the attended states in.
+* The output is a tree of two levels: a softmax over branches, then one over the leaves of the target's
+  branch.  A class is numbered branch * leaves + leaf.  Rows are sorted by branch, so that each branch is
+  one matrix product.
+* exp() is taken without a search for the greatest score; the sums tell if that overflowed, and only
+  then it is repeated with limited scores.
 """
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 
-#: Width, hidden width and context of the model; branches of the output and leaves of each.
-WIDTH, HIDDEN, CONTEXT = 24, 48, 32
+#: Width (with the channel of 1), hidden width and context of the model; branches of the output and leaves of each.
+WIDTH, HIDDEN, CONTEXT = 16, 32, 32
 BRANCHES, LEAVES = 32, 32
 
 Params = dict[str, np.ndarray]
+#: Weights whose last column is fixed.
+_FIXED = ("embed", "place", "join", "down")
 
 
 def new_params(n_inputs: int, class_counts: np.ndarray, seed: int = 7) -> Params:
@@ -25,84 +36,85 @@ def new_params(n_inputs: int, class_counts: np.ndarray, seed: int = 7) -> Params
     def normal(*shape, scale):
         return (rng.standard_normal(shape) * scale).astype(np.float32)
 
-    counts = class_counts + 0.5
-    qkv = normal(d, 3 * d, scale=d**-0.5)
-    qkv[:, :d] *= d**-0.5
-    return {
+    p = {
         "embed": normal(n_inputs, d, scale=0.3),
         "place": normal(CONTEXT, d, scale=0.1),
-        "qkv": qkv,
+        "look": normal(d, d, scale=d**-0.5),
         "join": normal(d, d, scale=0.3 * d**-0.5),
         "up": normal(d, HIDDEN, scale=d**-0.5),
-        "up_bias": np.zeros(HIDDEN, np.float32),
         "down": normal(HIDDEN, d, scale=0.3 * HIDDEN**-0.5),
         "branch": normal(d, branches, scale=0.1 * d**-0.5),
-        "branch_bias": np.log(counts.sum(axis=1) / counts.sum()).astype(np.float32),
         "leaf": normal(branches, d, leaves, scale=0.1 * d**-0.5),
-        "leaf_bias": np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32),
     }
+    for name in _FIXED:
+        p[name][:, -1] = name == "embed"
+    p["up"][-1] = 0
+    counts = class_counts + 0.5
+    p["branch"][-1] = np.log(counts.sum(axis=1) / counts.sum())
+    p["leaf"][:, -1] = np.log(counts / counts.sum(axis=1, keepdims=True))
+    return p
 
 
 _PAST = np.tril(np.ones((CONTEXT, CONTEXT), np.float32))
-#: Limit of scores before exp(), and the least sum of what comes out of it.
+_ONES = np.ones(max(BRANCHES, LEAVES), np.float32)
+#: Limit of scores before exp(), and the least of what comes out.
 _MOST, _LEAST = np.float32(60), np.float32(1e-30)
 
 
+def _exp(z: np.ndarray, total) -> tuple[np.ndarray, np.ndarray]:
+    """exp(z) and total(exp(z)); of limited z if that isn't finite."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        e = np.exp(z)
+        found = total(e)
+    if not np.isfinite(found).all():
+        e = np.exp(np.minimum(z, _MOST))
+        found = total(e)
+    return e, found
+
+
 def hidden(p: Params, x: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Last hidden state at each position of inputs (windows, CONTEXT), and what gradients need."""
-    h0 = p["embed"][x]
+    """Last hidden state at each position (rows) of inputs (windows, CONTEXT), and what gradients need."""
+    h0 = p["embed"].take(x.reshape(-1), axis=0).reshape(*x.shape, WIDTH)
     h0 += p["place"]
     flat = h0.reshape(-1, WIDTH)
-    qkv = (flat @ p["qkv"]).reshape(len(x), CONTEXT, 3 * WIDTH)
-    q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
-    a = q @ k.transpose(0, 2, 1)
-    np.minimum(a, _MOST, out=a)  # no entry is above it, so exp() stays finite
-    np.exp(a, out=a)
-    a *= _PAST
-    a /= a.sum(axis=2, keepdims=True) + _LEAST
-    c = a @ v
-    h1 = flat + c.reshape(-1, WIDTH) @ p["join"]
+    q = (flat @ p["look"]).reshape(h0.shape)
+
+    def attended(e):
+        e *= _PAST
+        return e @ h0
+
+    e, c = _exp(q @ h0.transpose(0, 2, 1), attended)
+    c = c.reshape(-1, WIDTH)
+    share = 1 / (c[:, -1:] + _LEAST)
+    c *= share
+    h1 = c @ p["join"]
+    h1 += flat
     u = h1 @ p["up"]
-    u += p["up_bias"]
     np.maximum(u, 0, out=u)
-    return (h1 + u @ p["down"]).reshape(h0.shape), (flat, q, k, v, a, c, h1, u)
+    h2 = u @ p["down"]
+    h2 += h1
+    return h2, (h0, q, e, share, c, h1, u)
 
 
-def last_hidden(p: Params, x: np.ndarray) -> np.ndarray:
-    """hidden() without what gradients need; the sums of attention weights ride along with the values."""
-    h0 = p["embed"][x]
-    h0 += p["place"]
-    flat = h0.reshape(-1, WIDTH)
-    qkv = flat @ np.concatenate([p["qkv"], np.zeros((WIDTH, 1), np.float32)], axis=1)
-    qkv[:, -1] = 1
-    qkv = qkv.reshape(len(x), CONTEXT, -1)
-    a = qkv[..., :WIDTH] @ qkv[..., WIDTH : 2 * WIDTH].transpose(0, 2, 1)
-    np.minimum(a, _MOST, out=a)
-    np.exp(a, out=a)
-    a *= _PAST
-    c = a @ qkv[..., 2 * WIDTH :]
-    h1 = flat + (c[..., :WIDTH] / (c[..., WIDTH:] + _LEAST)).reshape(-1, WIDTH) @ p["join"]
-    u = h1 @ p["up"]
-    u += p["up_bias"]
-    np.maximum(u, 0, out=u)
-    h1 += u @ p["down"]
-    return h1.reshape(h0.shape)
+def _sums(e: np.ndarray) -> np.ndarray:
+    return e @ _ONES[: e.shape[1]] + _LEAST
 
 
-def _by_branch(target: np.ndarray, branches: int, leaves: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Order of rows by branch, branch and leaf in that order, and where each branch begins (one more than branches)."""
+def _by_branch(target: np.ndarray, branches: int, leaves: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+    """Order of rows by branch, branch and leaf in that order, and the rows of each branch that has any."""
     branch = target // leaves
     order = np.argsort(branch.astype(np.uint16), kind="stable")
-    branch = branch[order]
-    return order, branch, target[order] - branch * leaves, np.searchsorted(branch, np.arange(branches + 1))
+    branch = branch.take(order)
+    cut = np.searchsorted(branch, np.arange(branches + 1)).tolist()
+    return order, branch, target.take(order) - branch * leaves, [(j, slice(a, b)) for j, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b]
 
 
-def _softmax(z: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    z += bias
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+def _outputs(p: Params, h: np.ndarray, parts: list[tuple[int, slice]]):
+    """exp() of scores and their sums: of all branches, and of the leaves of each row's branch; rows in order of branches."""
+    z = np.empty((len(h), p["leaf"].shape[2]), h.dtype)
+    for j, part in parts:
+        np.matmul(h[part], p["leaf"][j], out=z[part])
+    return *_exp(h @ p["branch"], _sums), *_exp(z, _sums)
 
 
 def log_probs(p: Params, h: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -110,71 +122,77 @@ def log_probs(p: Params, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     if not len(h):
         return np.zeros(0, np.float32)
     branches, _, leaves = p["leaf"].shape
-    order, branch, leaf, cut = _by_branch(target, branches, leaves)
-    h = h[order]
-    found = _softmax(h @ p["branch"], p["branch_bias"])[np.arange(len(h)), branch]
-    for j in range(branches):
-        part = slice(cut[j], cut[j + 1])
-        if cut[j] < cut[j + 1]:
-            found[part] *= _softmax(h[part] @ p["leaf"][j], p["leaf_bias"][j])[np.arange(cut[j + 1] - cut[j]), leaf[part]]
-    out = np.empty(len(h), found.dtype)
+    order, branch, leaf, parts = _by_branch(target, branches, leaves)
+    first, first_sum, second, second_sum = _outputs(p, h.take(order, axis=0), parts)
+    at = np.arange(len(order))
+    found = first[at, branch] / first_sum
+    found *= second[at, leaf] / second_sum
+    out = np.empty_like(found)
     out[order] = np.log(found + _LEAST)
     return out
 
 
 def loss_and_gradients(p: Params, x: np.ndarray, y: np.ndarray, held: np.ndarray) -> tuple[float, Params]:
     """Mean loss over held positions, and its gradients; x, y, held: (windows, CONTEXT)."""
-    h2, (h0, q, k, v, a, c, h1, u) = hidden(p, x)
+    h2, (h0, q, e, share, c, h1, u) = hidden(p, x)
     rows = np.flatnonzero(held.reshape(-1))
     branches, _, leaves = p["leaf"].shape
-    order, branch, leaf, cut = _by_branch(y.reshape(-1)[rows], branches, leaves)
-    rows = rows[order]
-    flat = h2.reshape(-1, WIDTH)[rows]
-    share = np.float32(1 / len(rows))
-    z = _softmax(flat @ p["branch"], p["branch_bias"])
-    at = np.arange(len(rows))
-    loss = -np.log(z[at, branch] + _LEAST).sum(dtype=np.float64)
-    z[at, branch] -= 1
-    z *= share
-    g: Params = {"branch": flat.T @ z, "branch_bias": z.sum(axis=0), "leaf": np.zeros_like(p["leaf"]), "leaf_bias": np.zeros_like(p["leaf_bias"])}
-    d_flat = z @ p["branch"].T
-    for j in range(branches):
-        part = slice(cut[j], cut[j + 1])
-        if cut[j] < cut[j + 1]:
-            own = flat[part]
-            z = _softmax(own @ p["leaf"][j], p["leaf_bias"][j])
-            at = np.arange(len(own))
-            loss -= np.log(z[at, leaf[part]] + _LEAST).sum(dtype=np.float64)
-            z[at, leaf[part]] -= 1
-            z *= share
-            g["leaf"][j], g["leaf_bias"][j] = own.T @ z, z.sum(axis=0)
-            d_flat[part] += z @ p["leaf"][j].T
-    dh2 = np.zeros((len(x) * CONTEXT, WIDTH), h2.dtype)
-    dh2[rows] = d_flat
-    g["down"] = u.T @ dh2
-    du = dh2 @ p["down"].T
+    order, branch, leaf, parts = _by_branch(y.reshape(-1).take(rows), branches, leaves)
+    rows = rows.take(order)
+    top = h2.take(rows, axis=0)
+    first, first_sum, second, second_sum = _outputs(p, top, parts)
+    n, at = len(rows), np.arange(len(rows))
+    loss = -(np.log(first[at, branch] / first_sum + _LEAST) + np.log(second[at, leaf] / second_sum + _LEAST)).mean(dtype=np.float64)
+    for z, total, target in ((first, first_sum, branch), (second, second_sum, leaf)):
+        z *= (np.float32(1 / n) / total)[:, None]
+        z[at, target] -= np.float32(1 / n)
+    g: Params = {"branch": top.T @ first, "leaf": np.zeros_like(p["leaf"])}
+    d_top = first @ p["branch"].T
+    for j, part in parts:
+        np.matmul(top[part].T, second[part], out=g["leaf"][j])
+        d_top[part] += second[part] @ p["leaf"][j].T
+    d2 = np.zeros_like(h2)
+    d2[rows] = d_top
+    g["down"] = u.T @ d2
+    du = d2 @ p["down"].T
     du *= u > 0
-    g["up"], g["up_bias"] = h1.T @ du, du.sum(axis=0)
-    dh1 = dh2 + du @ p["up"].T
-    g["join"] = c.reshape(-1, WIDTH).T @ dh1
-    dc = (dh1 @ p["join"].T).reshape(c.shape)
-    ds = dc @ v.transpose(0, 2, 1)
-    ds -= (dc * c).sum(axis=2, keepdims=True)
-    ds *= a
-    d_qkv = np.empty((len(x), CONTEXT, 3 * WIDTH), h2.dtype)
-    d_qkv[..., :WIDTH] = ds @ k
-    d_qkv[..., WIDTH : 2 * WIDTH] = ds.transpose(0, 2, 1) @ q
-    d_qkv[..., 2 * WIDTH :] = a.transpose(0, 2, 1) @ dc
-    d_qkv = d_qkv.reshape(-1, 3 * WIDTH)
-    g["qkv"] = h0.T @ d_qkv
-    dh0 = dh1 + d_qkv @ p["qkv"].T
-    g["place"] = dh0.reshape(len(x), -1).sum(axis=0).reshape(CONTEXT, WIDTH)
+    g["up"] = h1.T @ du
+    d1 = du @ p["up"].T
+    d1 += d2
+    g["join"] = c.T @ d1
+    dc = d1 @ p["join"].T
+    dc *= share
+    # The channel of 1 takes off what each weight loses as the sum of weights is 1.
+    dc[:, -1] = -np.einsum("ij,ij->i", dc[:, :-1], c[:, :-1])
+    dc = dc.reshape(h0.shape)
+    ds = dc @ h0.transpose(0, 2, 1)
+    ds *= e
+    dq = (ds @ h0).reshape(-1, WIDTH)
+    g["look"] = h0.reshape(-1, WIDTH).T @ dq
+    d0 = d1
+    d0 += dq @ p["look"].T
+    d0 += (e.transpose(0, 2, 1) @ dc).reshape(-1, WIDTH)
+    d0 += (ds.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
+    g["place"] = d0.reshape(len(x), -1).sum(axis=0).reshape(CONTEXT, WIDTH)
     g["embed"] = np.zeros_like(p["embed"])
-    order = np.argsort(x.reshape(-1).astype(np.uint16), kind="stable")
-    inputs = x.reshape(-1)[order]
+    inputs = x.reshape(-1)
+    order = np.argsort(inputs.astype(np.uint16), kind="stable")
+    inputs = inputs.take(order)
     begin = np.flatnonzero(np.diff(inputs, prepend=-1))
-    g["embed"][inputs[begin]] = np.add.reduceat(dh0[order], begin, axis=0)
-    return float(loss * share), g
+    g["embed"][inputs[begin]] = np.add.reduceat(d0.take(order, axis=0), begin, axis=0)
+    for name in _FIXED:
+        g[name][:, -1] = 0
+    return float(loss), g
+
+
+def keep_memory() -> None:
+    """Tell the C library to keep freed memory, as arrays of one size come and go; without it pages are cleared each time."""
+    try:
+        c = ctypes.CDLL(None)
+        c.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        c.mallopt(-1, 256 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 class Adam:
@@ -184,24 +202,25 @@ class Adam:
         self.v = {n: np.zeros_like(v) for n, v in p.items()}
 
     def step(self, g: Params) -> None:
+        """One step; the arrays of g are used up."""
         self.t += 1
         norm = float(np.sqrt(sum(float(np.vdot(x, x)) for x in g.values())))
         scale = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
         rate = np.float32(self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
         for n, x in g.items():
             m, v = self.m[n], self.v[n]
-            x *= scale
+            x *= scale * np.float32(0.1)
             m *= np.float32(0.9)
-            m += np.float32(0.1) * x
+            m += x
             x *= x
-            x *= np.float32(0.001)
+            x *= np.float32(0.1)  # 0.001 of the square, as x holds a tenth
             v *= np.float32(0.999)
             v += x
-            d = np.sqrt(v)
-            d += np.float32(1e-8)
-            np.divide(m, d, out=d)
-            d *= rate
-            self.p[n] -= d
+            np.sqrt(v, out=x)
+            x += np.float32(1e-8)
+            np.divide(m, x, out=x)
+            x *= rate
+            self.p[n] -= x
 
 
 def pack(p: Params) -> np.ndarray:

@@ -32,7 +32,6 @@ scores; an empty table gives an empty result; only doc_id and text are read.
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,7 +52,7 @@ CLASSES = attention.BRANCHES * attention.LEAVES
 #: Frequent ids told apart as what stands before an id, and the weight of an id's share of its class against counts after that.
 BEFORE, PRIOR = 63, 50.0
 #: Positions by which windows overlap when texts are scored; in training each id is a target once.
-OVERLAP = 8
+OVERLAP = 4
 #: Words of a shard (about), the most shards, and ids that a task trains on at most before it begins another part.
 SHARD_WORDS, MOST_SHARDS, MOST_IDS = 1 << 20, 1 << 14, 1 << 23
 #: Rounds of averaging; each window belongs to one of them, so all are trained on.
@@ -62,9 +61,9 @@ ROUNDS = 2
 GROUP_TEXTS, MIXED_WINDOWS = 64, 8192
 #: Windows (about) from which one task makes the first weights, and passes over them.
 START_WINDOWS, START_PASSES = 32768, 4
-BATCH, START_RATE, RATE = 64, 0.01, 0.005
+BATCH, START_RATE, RATE = 128, 0.015, 0.006
 #: Windows that go through the model at once.
-SCORED_AT_ONCE = 96
+SCORED_AT_ONCE = 128
 
 STEP = CONTEXT - OVERLAP
 
@@ -320,25 +319,27 @@ def windows(ids: np.ndarray, n: np.ndarray, m: Classes, step: int, chosen=None):
     """
     tokens = n + 1  # with the end
     stop = np.cumsum(tokens)
-    is_id = np.ones(int(stop[-1]) if len(stop) else 0, bool)
+    total = int(stop[-1]) if len(stop) else 0
+    is_id = np.ones(total, bool)
     is_id[stop - 1] = False
-    target = np.full(len(is_id), m.end, np.int32)
-    target[is_id] = m.class_of[ids]
+    # Numbers fit in 16 bits.  The last window may reach beyond the last text.
+    target = np.full(total + CONTEXT, m.end, np.uint16)
+    target[:total][is_id] = m.class_of.take(ids)
     # The input is what stands before; before a text stands the end of another, which reads as 0 too.
-    own = np.zeros(len(is_id) + 1, np.int32)
-    own[1:][is_id] = m.input_of[ids]
+    own = np.zeros(total + CONTEXT + 1, np.uint16)
+    own[1 : total + 1][is_id] = m.input_of.take(ids)
     count = window_count(n, step)
     text = np.repeat(np.arange(len(n)), count)
     number = ragged(count)
     if chosen is not None:
         keep = chosen(text, number)
         text, number = text[keep], number[keep]
-    place = ((stop - tokens)[text] + number * step)[:, None] + _PLACES
-    held = place < stop[text][:, None]
-    np.minimum(place, len(is_id) - 1, out=place)
+    start = (stop - tokens)[text] + number * step
+    held = _PLACES < (stop[text] - start)[:, None]
     scored = held.copy()
     scored[number > 0, : CONTEXT - step] = False
-    return own[place], target[place], text, held, scored
+    x, y = (np.lib.stride_tricks.sliding_window_view(a, CONTEXT).take(start, axis=0) for a in (own, target))
+    return x, y, text, held, scored
 
 
 _PLACES = np.arange(CONTEXT)
@@ -481,6 +482,7 @@ def _started(train: DataFrame, p: Params, m: Classes, share: float) -> Params:
     work = spark.sparkContext.broadcast((p, x, y, held.astype(bool)))
 
     def run(batches):
+        attention.keep_memory()
         for b in batches:
             if b.num_rows:
                 flat = attention.pack(_train(*work.value, START_RATE, START_PASSES, 1))
@@ -495,7 +497,7 @@ def _averaged(train: DataFrame, p: Params, m: Classes, r: int) -> Params:
     held_params = train.sparkSession.sparkContext.broadcast((p, m))
 
     def run(batches):
-        os.environ.setdefault("OMP_NUM_THREADS", "1")
+        attention.keep_memory()
         p, m = held_params.value
         total, weight = 0.0, 0
         for groups in _parts(batches):
@@ -524,7 +526,7 @@ def model_scores(rows: DataFrame, model: Model) -> DataFrame:
     kept = [c for c in rows.columns if c not in ("key", "shard", "ids", "tail")]
 
     def run(batches):
-        os.environ.setdefault("OMP_NUM_THREADS", "1")
+        attention.keep_memory()
         m = held_model.value
         for b in batches:
             out = []
@@ -538,16 +540,17 @@ def model_scores(rows: DataFrame, model: Model) -> DataFrame:
 
 def score(m: Model, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
     """log10 probability of each text."""
-    shares = np.concatenate([[0.0], np.cumsum(m.log_share[ids, _before(ids, n, m.before_of)], dtype=np.float64)])
+    k = m.log_share.shape[1]
+    shares = np.concatenate([[0.0], np.cumsum(m.log_share.reshape(-1).take(ids.astype(np.int64) * k + _before(ids, n, m.before_of)), dtype=np.float64)])
     ends = np.cumsum(n)
     out = shares[ends] - shares[ends - n]
     x, y, text, _, scored = windows(ids, n, m.classes, STEP)
     for lo in range(0, len(x), SCORED_AT_ONCE):
         part = slice(lo, lo + SCORED_AT_ONCE)
-        h = attention.last_hidden(m.params, x[part])
-        mask = scored[part]
-        lp = attention.log_probs(m.params, h[mask], y[part][mask]).astype(np.float64)
-        out += np.bincount(np.repeat(text[part], mask.sum(axis=1)), lp, len(n)) / np.log(10)
+        rows = np.flatnonzero(scored[part])
+        h, _ = attention.hidden(m.params, x[part])
+        lp = attention.log_probs(m.params, h.take(rows, axis=0), y[part].reshape(-1).take(rows))
+        out += np.bincount(text[part].take(rows // CONTEXT), lp, len(n)) / np.log(10)
     return out
 
 

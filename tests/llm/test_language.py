@@ -84,9 +84,9 @@ def plain_log_probs(p, h):
     """Natural log probability of every class at each row of h, one row and branch at a time."""
     out = []
     for row in h.astype(np.float64):
-        z = row @ p["branch"] + p["branch_bias"]
+        z = row @ p["branch"]
         z = z - np.log(np.exp(z).sum())
-        leaves = [row @ p["leaf"][j] + p["leaf_bias"][j] for j in range(len(z))]
+        leaves = [row @ p["leaf"][j] for j in range(len(z))]
         out.append(np.concatenate([z[j] + w - np.log(np.exp(w).sum()) for j, w in enumerate(leaves)]))
     return np.array(out)
 
@@ -96,18 +96,18 @@ def test_gradients():
     p = {k: v.astype(np.float64) for k, v in A.new_params(50, branches(20)).items()}
     x, y, held = rng.integers(0, 50, (3, A.CONTEXT)), rng.integers(0, 20, (3, A.CONTEXT)), rng.random((3, A.CONTEXT)) < 0.7
     loss, g = A.loss_and_gradients(p, x, y, held)
-    h = A.hidden(p, x)[0].reshape(-1, A.WIDTH)[held.reshape(-1)]
+    h = A.hidden(p, x)[0][held.reshape(-1)]
     want = plain_log_probs(p, h)[np.arange(len(h)), y.reshape(-1)[held.reshape(-1)]]
     assert abs(loss + want.mean()) < 1e-6 and np.allclose(A.log_probs(p, h, y.reshape(-1)[held.reshape(-1)]), want)
     for name in p:
-        at = (x[0, 3], 2) if name == "embed" else tuple(rng.integers(0, n) for n in p[name].shape)
+        at = (x[0, 3], 2) if name == "embed" else tuple(rng.integers(0, n - 1) for n in p[name].shape)
         q = {k: v.copy() for k, v in p.items()}
         q[name][at] += 1e-4
         up = A.loss_and_gradients(q, x, y, held)[0]
         q[name][at] -= 2e-4
         down = A.loss_and_gradients(q, x, y, held)[0]
         assert abs(g[name][at] - (up - down) / 2e-4) < 1e-6
-    assert np.allclose(A.hidden(p, x)[0], A.last_hidden({k: v.astype(np.float32) for k, v in p.items()}, x), atol=1e-4)
+    assert (A.hidden(p, x)[0][:, -1] == 1).all() and not g["join"][:, -1].any()
     assert abs(np.exp(plain_log_probs(p, h)).sum(axis=1) - 1).max() < 1e-9
 
 
@@ -117,7 +117,18 @@ def test_no_position_sees_what_follows():
     x = rng.integers(0, 50, (1, A.CONTEXT))
     changed = x.copy()
     changed[0, 20:] = 7
-    assert np.allclose(A.last_hidden(p, x)[0, :20], A.last_hidden(p, changed)[0, :20])
+    assert np.allclose(A.hidden(p, x)[0][:20], A.hidden(p, changed)[0][:20])
+
+
+def test_great_scores_are_limited():
+    rng = np.random.default_rng(1)
+    p = A.new_params(50, branches(20))
+    x, y = rng.integers(0, 50, (2, A.CONTEXT)), rng.integers(0, 20, (2, A.CONTEXT))
+    for name in ("look", "branch", "leaf"):
+        p[name] *= np.float32(1e4)
+    loss, g = A.loss_and_gradients(p, x, y, np.ones(x.shape, bool))
+    assert np.isfinite(loss) and all(np.isfinite(v).all() for v in g.values())
+    assert np.isfinite(A.log_probs(p, A.hidden(p, x)[0], y.reshape(-1))).all()
 
 
 @pytest.mark.parametrize("step", [M.STEP, A.CONTEXT])
@@ -150,7 +161,7 @@ def test_score_equals_plain_loop():
             w = np.zeros((1, A.CONTEXT), int)
             part = inputs[s : s + A.CONTEXT]
             w[0, : len(part)] = part
-            z = plain_log_probs(p, A.hidden(p, w)[0][0])
+            z = plain_log_probs(p, A.hidden(p, w)[0])
             for j in range(len(part)):
                 if s + j >= done:
                     total += z[j, targets[s + j]]
