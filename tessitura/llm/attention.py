@@ -19,8 +19,8 @@ import ctypes
 import numpy as np
 
 #: Width (with the channel of 1), hidden width and context of the model; branches of the output and leaves of each.
-WIDTH, HIDDEN, CONTEXT = 16, 32, 32
-BRANCHES, LEAVES = 32, 32
+WIDTH, HIDDEN, CONTEXT = 16, 16, 32
+BRANCHES, LEAVES = 16, 48
 
 Params = dict[str, np.ndarray]
 #: Weights whose last column is fixed.

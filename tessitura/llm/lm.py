@@ -47,7 +47,7 @@ from .subwords import encoder, vocabulary_path
 #: Slots of the table of frequent words; a word is common from one in so many training words (so COMMON words are at most).
 HEAD_BITS, COMMON = 19, 10_000
 #: Ids with a class of their own, and ids with an input of their own.  The other classes are groups of ids.
-OWN_CLASSES, OWN_INPUTS = 800, 2047
+OWN_CLASSES, OWN_INPUTS = 600, 2047
 CLASSES = attention.BRANCHES * attention.LEAVES
 #: Frequent ids told apart as what stands before an id, and the weight of an id's share of its class against counts after that.
 BEFORE, PRIOR = 63, 50.0
@@ -60,7 +60,7 @@ ROUNDS = 2
 #: Texts whose windows are built together, and windows of several such groups that are mixed.
 GROUP_TEXTS, MIXED_WINDOWS = 64, 8192
 #: Windows (about) from which one task makes the first weights, and passes over them.
-START_WINDOWS, START_PASSES = 32768, 4
+START_WINDOWS, START_PASSES = 32768, 8
 BATCH, START_RATE, RATE = 128, 0.015, 0.006
 #: Windows that go through the model at once.
 SCORED_AT_ONCE = 128
@@ -77,23 +77,35 @@ def fold(modulus: int, column: str = "doc_id") -> Column:
 
 
 def _count_words(batches):
+    """word (hash) and n, summed in part.  Words that came first to a slot of a table are counted there, others by sorting."""
+    key, count = np.zeros(1 << HEAD_BITS, np.uint64), np.zeros(1 << HEAD_BITS, np.int64)
     held, n = [], 0
 
-    def counted():
-        h, c = np.unique(np.concatenate(held), return_counts=True)
-        for lo in range(0, len(h), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(h[lo : lo + 65536].view(np.int64)), pa.array(c[lo : lo + 65536].astype(np.int64))], names=["word", "n"])
+    def given(word, times):
+        for lo in range(0, len(word), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(word[lo : lo + 65536].view(np.int64)), pa.array(times[lo : lo + 65536])], names=["word", "n"])
 
-    for piece in pieces(batches):
+    def sorted_out():
+        return given(*np.unique(np.concatenate(held), return_counts=True))
+
+    for piece in pieces(gathered(batches)):
         raw, at = utf8(piece.column("text"))
         starts, ends, _ = words(raw, at)
-        held.append(word_hashes(raw, starts, ends))
-        n += len(starts)
+        h = word_hashes(raw, starts, ends)
+        slot = (h >> np.uint64(64 - HEAD_BITS)).astype(np.int32)
+        free = count.take(slot) == 0
+        key[slot[free]] = h[free]  # the last of each free slot stays
+        known = key.take(slot) == h
+        count += np.bincount(slot[known], minlength=len(count))
+        held.append(h[~known])
+        n += len(held[-1])
         if n > 4_000_000:
-            yield from counted()
+            yield from sorted_out()
             held, n = [], 0
     if held:
-        yield from counted()
+        yield from sorted_out()
+    some = np.flatnonzero(count)
+    yield from given(key[some], count[some])
 
 
 @dataclass(frozen=True)
@@ -137,7 +149,7 @@ def count_words(train: DataFrame) -> WordCounts:
 
 
 def encoded(docs: DataFrame, counts: WordCounts, vocabulary: str) -> DataFrame:
-    """row, doc_id, train, key, shard, n_words, n_head, head_sum, tail (hashes of other words), ids (16 bits each, packed).
+    """row, doc_id, train, key, shard, n_words, n_head, head_sum, tail (hashes of other words), n_ids, ids (16 bits each, packed).
 
     The rows of a shard lie together in one file, in the order of their keys.
     """
@@ -180,11 +192,12 @@ def encoded(docs: DataFrame, counts: WordCounts, vocabulary: str) -> DataFrame:
                 pa.array(n_head),
                 pa.array(sums),
                 pa.ListArray.from_arrays(pa.array(cuts), pa.array(tail)),
+                pa.array(n_ids),
                 pa.array(packed, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "train", "key", "shard", "n_words", "n_head", "head_sum", "tail", "ids"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "train", "key", "shard", "n_words", "n_head", "head_sum", "tail", "n_ids", "ids"])
 
-    schema = f"doc_id {id_type}, train boolean, key bigint, shard int, n_words bigint, n_head bigint, head_sum double, tail array<bigint>, ids binary"
+    schema = f"doc_id {id_type}, train boolean, key bigint, shard int, n_words bigint, n_head bigint, head_sum double, tail array<bigint>, n_ids bigint, ids binary"
     # Equal texts with ids go to different shards; rows without an id are dealt by position.
     key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id", "text"))
     keyed = docs.withColumn("key", key).withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
@@ -416,26 +429,28 @@ def _drawn(m: Classes, share: float):
     """Windows (x, y, held and a hash that orders them) drawn by a hash of the row's key and their number."""
     least = np.uint64(min(int(share * 2.0**64), (1 << 64) - 1))
 
-    def hashed(key, text, number):
-        with np.errstate(over="ignore"):
-            return mix(mix(key.view(np.uint64))[text] + number.astype(np.uint64))
-
     def run(batches):
         for b in batches:
-            key = b.column("key").to_numpy()
-            ids, n = _ids(b.column("ids"))
+            key, n = b.column("key").to_numpy().view(np.uint64), b.column("n_ids").to_numpy()
             count = window_count(n, CONTEXT)
-            h = hashed(key, np.repeat(np.arange(len(n)), count), ragged(count))
-            x, y, _, held, _ = windows(ids, n, m, CONTEXT, lambda text, number, h=h: h <= least)
+            text = np.repeat(np.arange(len(n)), count)
+            with np.errstate(over="ignore"):
+                h = mix(mix(key)[text] + ragged(count).astype(np.uint64))
+            hit = h <= least
+            some = np.unique(text[hit])  # few texts have a window that is drawn
+            if not len(some):
+                continue
+            chosen = hit[np.isin(text, some)]
+            x, y, _, held, _ = windows(*_ids(b.column("ids").take(pa.array(some))), m, CONTEXT, lambda text, number, chosen=chosen: chosen)
             columns = [x.astype("<u2"), y.astype("<u2"), held.astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([pa.array(h[h <= least].view(np.int64)), *(pa.array([r.tobytes() for r in c], pa.binary()) for c in columns)], names=["h", "x", "y", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), *(pa.array([r.tobytes() for r in c], pa.binary()) for c in columns)], names=["h", "x", "y", "held"])
 
     return run
 
 
 def fit(rows: DataFrame, n_ids: int) -> Model:
     """Learn from the training rows of encoded()."""
-    train = rows.filter("train").select("key", "shard", "ids")
+    train = rows.filter("train").select("key", "shard", "n_ids", "ids")
     counted = train.select("ids").mapInArrow(_count_ids(n_ids), "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(n_ids, np.int64)
     total[counted.column("id").to_numpy()] = counted.column("n").to_numpy()
@@ -475,7 +490,7 @@ def fit(rows: DataFrame, n_ids: int) -> Model:
 def _started(train: DataFrame, p: Params, m: Classes, share: float) -> Params:
     """The first training, in one task: the drawn windows are few at any size, and a worker has one numpy thread."""
     spark = train.sparkSession
-    drawn = train.select("key", "ids").mapInArrow(_drawn(m, share), "h bigint, x binary, y binary, held binary").toArrow().sort_by("h")
+    drawn = train.select("key", "n_ids", "ids").mapInArrow(_drawn(m, share), "h bigint, x binary, y binary, held binary").toArrow().sort_by("h")
     if not drawn.num_rows:
         return p
     x, y, held = (np.frombuffer(b"".join(drawn.column(c).to_pylist()), t).reshape(-1, CONTEXT) for c, t in (("x", "<u2"), ("y", "<u2"), ("held", np.uint8)))
@@ -523,7 +538,7 @@ def model_scores(rows: DataFrame, model: Model) -> DataFrame:
     """rows without ids and tail, and model_sum: log10 probability of each text with its end."""
     spark = rows.sparkSession
     held_model = spark.sparkContext.broadcast(model)
-    kept = [c for c in rows.columns if c not in ("key", "shard", "ids", "tail")]
+    kept = [c for c in rows.columns if c not in ("key", "shard", "n_ids", "ids", "tail")]
 
     def run(batches):
         attention.keep_memory()

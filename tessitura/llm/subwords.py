@@ -135,9 +135,10 @@ class Encoder:
             size[where], start[where] = n[back], len(held) + begin[back]
             held = np.concatenate([held, ids])
             self._keep(fresh, ids, begin, n)
-        ids = held[np.repeat(start, size) + ragged(size)]
-        total = np.concatenate([[0], np.cumsum(size)])[first]
-        return ids, np.diff(total)
+        total = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(start - total[:-1], size)
+        at += np.arange(len(at))
+        return held.take(at), np.diff(total[first])
 
     def _keep(self, h: np.ndarray, ids: np.ndarray, begin: np.ndarray, n: np.ndarray) -> None:
         """Put pieces in slots that are free; the first of each slot."""
