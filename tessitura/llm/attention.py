@@ -61,13 +61,15 @@ _ONES = np.ones(max(BRANCHES, LEAVES), np.float32)
 _MOST, _LEAST = np.float32(60), np.float32(1e-30)
 
 
-def _exp(z: np.ndarray, total) -> tuple[np.ndarray, np.ndarray]:
-    """exp(z) and total(exp(z)); of limited z if that isn't finite."""
+def _exp(scores, total) -> tuple[np.ndarray, np.ndarray]:
+    """e = exp(scores()) and total(e); of limited scores if that isn't finite."""
     with np.errstate(over="ignore", invalid="ignore"):
-        e = np.exp(z)
+        e = scores()
+        np.exp(e, out=e)
         found = total(e)
     if not np.isfinite(found).all():
-        e = np.exp(np.minimum(z, _MOST))
+        e = np.minimum(scores(), _MOST)
+        np.exp(e, out=e)
         found = total(e)
     return e, found
 
@@ -83,7 +85,7 @@ def hidden(p: Params, x: np.ndarray) -> tuple[np.ndarray, tuple]:
         e *= _PAST
         return e @ h0
 
-    e, c = _exp(q @ h0.transpose(0, 2, 1), attended)
+    e, c = _exp(lambda: q @ h0.transpose(0, 2, 1), attended)
     c = c.reshape(-1, WIDTH)
     share = 1 / (c[:, -1:] + _LEAST)
     c *= share
@@ -111,10 +113,14 @@ def _by_branch(target: np.ndarray, branches: int, leaves: int) -> tuple[np.ndarr
 
 def _outputs(p: Params, h: np.ndarray, parts: list[tuple[int, slice]]):
     """exp() of scores and their sums: of all branches, and of the leaves of each row's branch; rows in order of branches."""
-    z = np.empty((len(h), p["leaf"].shape[2]), h.dtype)
-    for j, part in parts:
-        np.matmul(h[part], p["leaf"][j], out=z[part])
-    return *_exp(h @ p["branch"], _sums), *_exp(z, _sums)
+
+    def leaves():
+        z = np.empty((len(h), p["leaf"].shape[2]), h.dtype)
+        for j, part in parts:
+            np.matmul(h[part], p["leaf"][j], out=z[part])
+        return z
+
+    return *_exp(lambda: h @ p["branch"], _sums), *_exp(leaves, _sums)
 
 
 def log_probs(p: Params, h: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -132,8 +138,8 @@ def log_probs(p: Params, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     return out
 
 
-def loss_and_gradients(p: Params, x: np.ndarray, y: np.ndarray, held: np.ndarray) -> tuple[float, Params]:
-    """Mean loss over held positions, and its gradients; x, y, held: (windows, CONTEXT)."""
+def gradients(p: Params, x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Params:
+    """Gradients of the mean negative log probability over held positions; x, y, held: (windows, CONTEXT)."""
     h2, (h0, q, e, share, c, h1, u) = hidden(p, x)
     rows = np.flatnonzero(held.reshape(-1))
     branches, _, leaves = p["leaf"].shape
@@ -142,7 +148,6 @@ def loss_and_gradients(p: Params, x: np.ndarray, y: np.ndarray, held: np.ndarray
     top = h2.take(rows, axis=0)
     first, first_sum, second, second_sum = _outputs(p, top, parts)
     n, at = len(rows), np.arange(len(rows))
-    loss = -(np.log(first[at, branch] / first_sum + _LEAST) + np.log(second[at, leaf] / second_sum + _LEAST)).mean(dtype=np.float64)
     for z, total, target in ((first, first_sum, branch), (second, second_sum, leaf)):
         z *= (np.float32(1 / n) / total)[:, None]
         z[at, target] -= np.float32(1 / n)
@@ -182,7 +187,7 @@ def loss_and_gradients(p: Params, x: np.ndarray, y: np.ndarray, held: np.ndarray
     g["embed"][inputs[begin]] = np.add.reduceat(d0.take(order, axis=0), begin, axis=0)
     for name in _FIXED:
         g[name][:, -1] = 0
-    return float(loss), g
+    return g
 
 
 def keep_memory() -> None:

@@ -372,8 +372,7 @@ def _pass(adam: attention.Adam, x, y, held, order: np.ndarray, rate: float, step
     for lo in range(0, len(order), BATCH):
         part = order[lo : lo + BATCH]
         adam.rate = rate * max(0.0, 1 - adam.t / steps)
-        _, g = attention.loss_and_gradients(adam.p, x[part], y[part], held[part])
-        adam.step(g)
+        adam.step(attention.gradients(adam.p, x[part], y[part], held[part]))
 
 
 def _train_part(p: Params, groups: list, m: Classes, r: int) -> tuple[Params, int]:

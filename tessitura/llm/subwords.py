@@ -19,7 +19,7 @@ import numpy as np
 from .common import _LOWER, _SEPARATOR, ragged, utf8, word_hashes
 
 #: Slots of the table of one Python worker (16 bytes each, and the ids of their pieces).
-TABLE_BITS = 20
+TABLE_BITS = 22
 #: Pieces that go to the tokenizer at once; it needs about 1 KB for each.
 NEW_AT_ONCE = 16384
 #: The tokenizer's file, among the public ones.
@@ -81,7 +81,8 @@ class Encoder:
         self.key = np.zeros(1 << TABLE_BITS, np.uint64)
         self.start = np.zeros(1 << TABLE_BITS, np.int32)
         self.size = np.zeros(1 << TABLE_BITS, np.int32)
-        self.held = np.zeros(0, self.dtype)
+        self.held = np.zeros(1 << 16, self.dtype)  # of which the first are used
+        self.used = 0
 
     def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
@@ -122,7 +123,6 @@ class Encoder:
         slot = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
         known = self.key[slot] == h
         size, start = self.size[slot].astype(np.int64), self.start[slot].astype(np.int64)
-        held = self.held
         if not known.all():
             where = np.flatnonzero(~known)
             fresh, i, back = np.unique(h[where], return_index=True, return_inverse=True)
@@ -132,13 +132,21 @@ class Encoder:
                 parts.append(self._new([low[starts[j] : ends[j]].decode() for j in where[i[lo : lo + NEW_AT_ONCE]].tolist()]))
             ids, n = (np.concatenate(c) for c in zip(*parts))
             begin = np.cumsum(n) - n
-            size[where], start[where] = n[back], len(held) + begin[back]
-            held = np.concatenate([held, ids])
-            self._keep(fresh, ids, begin, n)
+            size[where], start[where] = n[back], self.used + begin[back]
+            self._put(ids)
         total = np.concatenate([[0], np.cumsum(size)])
         at = np.repeat(start - total[:-1], size)
         at += np.arange(len(at))
-        return held.take(at), np.diff(total[first])
+        out = self.held.take(at)
+        if not known.all():
+            self._keep(fresh, ids, begin, n)
+        return out, np.diff(total[first])
+
+    def _put(self, ids: np.ndarray) -> None:
+        """Write ids after those used."""
+        if self.used + len(ids) > len(self.held):
+            self.held = np.concatenate([self.held[: self.used], np.empty(self.used + 2 * len(ids), self.dtype)])
+        self.held[self.used : self.used + len(ids)] = ids
 
     def _keep(self, h: np.ndarray, ids: np.ndarray, begin: np.ndarray, n: np.ndarray) -> None:
         """Put pieces in slots that are free; the first of each slot."""
@@ -148,8 +156,10 @@ class Encoder:
         if len(i):
             size = n[i]
             self.key[slot], self.size[slot] = h[i], size
-            self.start[slot] = len(self.held) + np.cumsum(size) - size
-            self.held = np.concatenate([self.held, ids[np.repeat(begin[i], size) + ragged(size)]])
+            self.start[slot] = self.used + np.cumsum(size) - size
+            kept = ids[np.repeat(begin[i], size) + ragged(size)]
+            self._put(kept)
+            self.used += len(kept)
 
 
 def _is_run(piece: str) -> bool:
