@@ -18,13 +18,13 @@ import ctypes
 
 import numpy as np
 
-#: Width (with the channel of 1), hidden width and context of the model; branches of the output and leaves of each.
-WIDTH, HIDDEN, CONTEXT = 16, 16, 32
+#: Width (with the channel of 1) and context of the model; branches of the output and leaves of each.
+WIDTH, CONTEXT = 16, 32
 BRANCHES, LEAVES = 16, 48
 
 Params = dict[str, np.ndarray]
 #: Weights whose last column is fixed.
-_FIXED = ("embed", "place", "join", "down")
+_FIXED = ("embed", "place", "join")
 
 
 def new_params(n_inputs: int, class_counts: np.ndarray, seed: int = 7) -> Params:
@@ -41,14 +41,11 @@ def new_params(n_inputs: int, class_counts: np.ndarray, seed: int = 7) -> Params
         "place": normal(CONTEXT, d, scale=0.1),
         "look": normal(d, d, scale=d**-0.5),
         "join": normal(d, d, scale=0.3 * d**-0.5),
-        "up": normal(d, HIDDEN, scale=d**-0.5),
-        "down": normal(HIDDEN, d, scale=0.3 * HIDDEN**-0.5),
         "branch": normal(d, branches, scale=0.1 * d**-0.5),
         "leaf": normal(branches, d, leaves, scale=0.1 * d**-0.5),
     }
     for name in _FIXED:
         p[name][:, -1] = name == "embed"
-    p["up"][-1] = 0
     counts = class_counts + 0.5
     p["branch"][-1] = np.log(counts.sum(axis=1) / counts.sum())
     p["leaf"][:, -1] = np.log(counts / counts.sum(axis=1, keepdims=True))
@@ -91,11 +88,7 @@ def hidden(p: Params, x: np.ndarray) -> tuple[np.ndarray, tuple]:
     c *= share
     h1 = c @ p["join"]
     h1 += flat
-    u = h1 @ p["up"]
-    np.maximum(u, 0, out=u)
-    h2 = u @ p["down"]
-    h2 += h1
-    return h2, (h0, q, e, share, c, h1, u)
+    return h1, (h0, q, e, share, c)
 
 
 def _sums(e: np.ndarray) -> np.ndarray:
@@ -140,12 +133,12 @@ def log_probs(p: Params, h: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def gradients(p: Params, x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Params:
     """Gradients of the mean negative log probability over held positions; x, y, held: (windows, CONTEXT)."""
-    h2, (h0, q, e, share, c, h1, u) = hidden(p, x)
+    h1, (h0, q, e, share, c) = hidden(p, x)
     rows = np.flatnonzero(held.reshape(-1))
     branches, _, leaves = p["leaf"].shape
     order, branch, leaf, parts = _by_branch(y.reshape(-1).take(rows), branches, leaves)
     rows = rows.take(order)
-    top = h2.take(rows, axis=0)
+    top = h1.take(rows, axis=0)
     first, first_sum, second, second_sum = _outputs(p, top, parts)
     n, at = len(rows), np.arange(len(rows))
     for z, total, target in ((first, first_sum, branch), (second, second_sum, leaf)):
@@ -156,14 +149,8 @@ def gradients(p: Params, x: np.ndarray, y: np.ndarray, held: np.ndarray) -> Para
     for j, part in parts:
         np.matmul(top[part].T, second[part], out=g["leaf"][j])
         d_top[part] += second[part] @ p["leaf"][j].T
-    d2 = np.zeros_like(h2)
-    d2[rows] = d_top
-    g["down"] = u.T @ d2
-    du = d2 @ p["down"].T
-    du *= u > 0
-    g["up"] = h1.T @ du
-    d1 = du @ p["up"].T
-    d1 += d2
+    d1 = np.zeros_like(h1)
+    d1[rows] = d_top
     g["join"] = c.T @ d1
     dc = d1 @ p["join"].T
     dc *= share

@@ -45,7 +45,7 @@ from .common import gathered, mix, pieces, prepare, ragged, utf8, word_hashes, w
 from .subwords import encoder, vocabulary_path
 
 #: Slots of the table of frequent words; a word is common from one in so many training words (so COMMON words are at most).
-HEAD_BITS, COMMON = 19, 10_000
+HEAD_BITS, COMMON = 20, 10_000
 #: Ids with a class of their own, and ids with an input of their own.  The other classes are groups of ids.
 OWN_CLASSES, OWN_INPUTS = 600, 2047
 CLASSES = attention.BRANCHES * attention.LEAVES
@@ -60,7 +60,7 @@ ROUNDS = 2
 #: Texts whose windows are built together, and windows of several such groups that are mixed.
 GROUP_TEXTS, MIXED_WINDOWS = 64, 8192
 #: Windows (about) from which one task makes the first weights, and passes over them.
-START_WINDOWS, START_PASSES = 32768, 8
+START_WINDOWS, START_PASSES = 32768, 10
 BATCH, START_RATE, RATE = 128, 0.015, 0.006
 #: Windows that go through the model at once.
 SCORED_AT_ONCE = 128
@@ -129,9 +129,9 @@ def count_words(train: DataFrame) -> WordCounts:
     counts = written(train.select("text").mapInArrow(_count_words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
     row = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     documents = train.count()
-    # The most frequent word of each slot; the number of slots is fixed.
+    # The most frequent word of each slot; the number of slots is fixed.  Words that occur once are left to the join.
     slot = F.shiftrightunsigned("word", 64 - HEAD_BITS)
-    best = counts.groupBy(slot.alias("slot")).agg(F.max(F.struct("n", "word")).alias("w")).select("slot", "w.word", "w.n").toArrow()
+    best = counts.filter("n > 1").groupBy(slot.alias("slot")).agg(F.max(F.struct("n", "word")).alias("w")).select("slot", "w.word", "w.n").toArrow()
     head_word, head_n = np.zeros(1 << HEAD_BITS, np.uint64), np.zeros(1 << HEAD_BITS, np.int64)
     at = best.column("slot").to_numpy()
     head_word[at] = best.column("word").to_numpy().view(np.uint64)
