@@ -1,25 +1,35 @@
 """Benchmark decontamination by spaced-seed hashing.
 
+A document and an item overlap if, laid on each other without gaps,
+
+* a stretch of LEAST_WORDS words or more, from an equal word to an equal word, has LEAST_SHARE of its
+  words equal, or
+* LEAST_SHARE of the item's words are equal to those they lie on, however short the item is.
+
 A mask selects some positions of a window of words; the hash of the selected words is the same
 whatever stands at the others, so a few masks find passages in which words were substituted.
-Together they hit every stretch that the rule below accepts: an accepted stretch has over 80% equal
-words counted from either end up to any of its words, which leaves finitely many states to try
-(tests/llm/test_decontaminate.py tries all).
+Together they hit every overlap of items of LEAST_WORDS words or more: a pattern of equal and changed
+words that no mask hits has less than LEAST_SHARE equal (tests/llm/test_decontaminate.py counts all).
+Shorter items have masks of their own, made so that every allowed choice of changed words leaves one
+whole; texts are hashed under these only if the benchmark has items of that length.
+
 Windows of all texts are hashed under each mask.  A Bloom bitmap of fixed size, made from the
 benchmark's hashes, drops nearly all windows at once; the rest are joined with the benchmark's
 hashes by Spark, so no side needs to be small.  Each joined diagonal is then aligned word by word,
-as far as the item reaches, and counts if a long enough stretch agrees.
-
-Words are lower-cased (A-Z) and freed of all ASCII punctuation at both ends; a word of nothing else stays whole.  Benchmark items of fewer
-words than the masks span are found by hashes of the whole item; items of fewer than
-LEAST_ITEM words are not looked for.  Edge cases: null or empty texts and items match nothing;
-repeated items count as one text with several ids; repeated rows are found each; ids may be null;
-an empty table on either side gives an empty result.
+as far as the item reaches.
+
+Words are lower-cased (A-Z) and freed of all ASCII punctuation at both ends; a word of nothing else
+stays whole.  Items of fewer than LEAST_ITEM words (a parameter) are not looked for: with least_item=1
+they are found where they stand unchanged, which is nearly everywhere for an item like "yes".
+Edge cases: null or empty texts and items match nothing; repeated items count as one text with
+several ids; repeated rows are found each; ids may be null; an empty table on either side gives an
+empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +38,16 @@ from pyspark.sql import functions as F
 
 from .common import mix, pieces, prepare, ragged, small, utf8, word_hashes, words, written
 
-#: The masks: 1 selects a word.  Three span 12 words and select 9; the last spans 11 and selects 10, for a changed word in each six.
-MASKS = ("111101011011", "110110111101", "111011100111", "11111011111")
+#: The masks: 1 selects a word.
+MASKS = ("1101111", "111010011", "11100100011")
 #: Words of the shortest item looked for.
 LEAST_ITEM = 5
 #: Words looked at on each side of the hits; more if an item is longer.
 RADIUS = 64
-#: An overlap has so many words at least (or the whole item), with this share equal.
+#: Words of an overlap, unless it is of the whole item, and the share of them that are equal.
 LEAST_WORDS, LEAST_SHARE = 12, 0.8
+#: Words that a mask for shorter items selects at most.
+SHORT_WEIGHT = 6
 #: Bits of the bitmap.
 BLOOM_BITS = 24
 
@@ -73,27 +85,52 @@ def _in_text(first: np.ndarray, span: int) -> np.ndarray:
     return np.repeat(first[:-1], counts) + ragged(counts)
 
 
-def _seeds_of(batches, masks: Sequence[str]):
-    """hash, item, position for each mask and window of the items; short items whole."""
-    span = max(map(len, masks))
+def short_masks(length: int, share: float = LEAST_SHARE) -> list[str]:
+    """Masks for items of so many words: whichever words are changed, as many as the share allows, one mask fits beside them."""
+    changed = most_changed(length, share)
+    weight = min(SHORT_WEIGHT, length - changed)
+    left = {frozenset(range(length)) - set(c) for c in combinations(range(length), changed)}
+    masks = []
+    while left:
+        # Of all masks of this weight the one that hits most of what is left; the first of equals.
+        best = max(combinations(range(length), weight), key=lambda m: sum(_fits(m, length, p) for p in left))
+        masks.append("".join("1" if i in best else "0" for i in range(best[0], best[-1] + 1)))
+        left = {p for p in left if not _fits(best, length, p)}
+    return masks
+
+
+def _fits(mask: tuple[int, ...], length: int, equal: frozenset) -> bool:
+    return any(all(i - mask[0] + s in equal for i in mask) for s in range(length - mask[-1] + mask[0]))
+
+
+def most_changed(n: int, share: float) -> int:
+    """How many of n words may differ."""
+    return int(n * (1 - share) + 1e-9)
+
+
+def _families(masks: Sequence[str], share: float, lengths: Sequence[int]):
+    """(salt, mask, length of items or None for those of LEAST_WORDS or more) of all masks in use."""
+    out = [(k, mask, None) for k, mask in enumerate(masks)]
+    return out + [(100 * n + k, mask, n) for n in lengths for k, mask in enumerate(short_masks(n, share))]
+
+
+def _seeds_of(batches, masks: Sequence[str], share: float, least_words: int, least_item: int):
+    """hash, item, position for each mask and window of the items."""
     for b in batches:
         for piece in pieces([b]):
             h, first = _normal_words(piece.column("text"))
             keys = np.asarray(piece.column("item").to_numpy())
             n = np.diff(first)
-            out = []
             owner = np.repeat(np.arange(len(n)), n)
-            for k, mask in enumerate(masks):
+            short = [int(k) for k in np.unique(n) if least_item <= k < least_words]
+            for salt, mask, length in _families(masks, share, short):
                 where = _in_text(first, len(mask))
-                out.append((_masked(h, mask, k)[where], owner[where], where - first[:-1][owner[where]]))
-            for length in range(LEAST_ITEM, span):
-                for i in np.flatnonzero(n == length):
-                    whole = _masked(h[first[i] : first[i + 1]], "1" * length, 100 + length)
-                    out.append((whole, np.array([i]), np.array([0])))
-            for hashes, i, pos in out:
-                if len(hashes):
+                size = n[owner[where]]
+                where = where[size >= least_words if length is None else size == length]
+                if len(where):
+                    hashes, i = _masked(h, mask, salt)[where], owner[where]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(hashes.view(np.int64)), pa.array(keys[i]), pa.array(pos.astype(np.int32))], names=["hash", "item", "item_pos"]
+                        [pa.array(hashes.view(np.int64)), pa.array(keys[i]), pa.array((where - first[:-1][i]).astype(np.int32))], names=["hash", "item", "item_pos"]
                     )
 
 
@@ -120,17 +157,19 @@ def overlaps(
     radius: int = RADIUS,
     least_words: int = LEAST_WORDS,
     least_share: float = LEAST_SHARE,
+    least_item: int = LEAST_ITEM,
 ) -> DataFrame:
     """key (row_key of the document), item_id, doc_start, item_start, n_words, n_equal: each verified overlap.
 
-    Starts count words; n_words is the length of the aligned stretch and n_equal its equal words.
+    Starts count words; n_words is the length of the aligned stretch and n_equal its equal words.  The masks
+    given here are proven for the default least_words and least_share; others need others.
     """
     spark = prepare(docs.sparkSession)
-    span = max(map(len, masks))
+    span = max(least_words, *map(len, masks))
     # Items of one text are looked for once.
     texts = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text", F.xxhash64("text").alias("item"))
     distinct = texts.groupBy("item").agg(F.min("text").alias("text"))
-    seeds = written(distinct.mapInArrow(lambda it: _seeds_of(it, masks), "hash bigint, item bigint, item_pos int").distinct(), "seeds")
+    seeds = written(distinct.mapInArrow(lambda it: _seeds_of(it, masks, least_share, least_words, least_item), "hash bigint, item bigint, item_pos int").distinct(), "seeds")
     item_words = written(distinct.mapInArrow(_item_words, "item bigint, item_words array<bigint>"), "items")
     # Two slots a hash, at most 2^BLOOM_BITS distinct numbers whatever the benchmark's size.
     slot = F.explode(F.array(F.shiftrightunsigned("hash", 64 - BLOOM_BITS), F.shiftrightunsigned("hash", 8).bitwiseAND((1 << BLOOM_BITS) - 1)))
@@ -140,7 +179,9 @@ def overlaps(
     packed = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
     # A diagonal is no longer than its item, so all of it lies in the stretch.
     radius = max(radius, item_words.agg(F.max(F.size("item_words"))).first()[0] or 0)
-    lengths = [r["n"] for r in item_words.select(F.size("item_words").alias("n")).filter(F.col("n").between(LEAST_ITEM, span - 1)).distinct().collect()]
+    lengths = [r["n"] for r in item_words.select(F.size("item_words").alias("n")).filter(F.col("n").between(least_item, least_words - 1)).distinct().collect()]
+
+    families = _families(masks, least_share, sorted(lengths))
 
     def known(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
         a, b = _bloom_slots(h)
@@ -155,8 +196,8 @@ def overlaps(
             n = np.diff(first)
             owner = np.repeat(np.arange(len(n)), n)
             found = []
-            for k, mask in [*enumerate(masks), *((100 + m, "1" * m) for m in lengths)]:
-                hashes = _masked(h, mask, k)
+            for salt, mask, _ in families:
+                hashes = _masked(h, mask, salt)
                 hit = known(bitmap, hashes)
                 hit = hit[hit + len(mask) <= first[1:][owner[hit]]] if len(hit) else hit  # a window lies in one text
                 found.append((hit, hashes[hit]))
@@ -197,9 +238,10 @@ def overlaps(
                 # Position p of the stretch lies on position p - shift of the item.
                 a, e = max(0, shift), min(len(doc), len(item) + shift)
                 equal = np.asarray(doc[a:e]) == np.asarray(item[a - shift : e - shift])
-                best = _best_stretch(equal, least_share)
-                need = min(least_words, len(item))
-                if best and best[1] - best[0] >= need:
+                best = _longest(equal, least_share)
+                if best and best[1] - best[0] < least_words and int(equal.sum()) < len(item) - most_changed(len(item), least_share):
+                    best = None
+                if best:
                     out.append((i, begin + a + best[0], a + best[0] - shift, best[1] - best[0], int(equal[best[0] : best[1]].sum())))
             if out:
                 rows, *columns = zip(*out)
@@ -214,16 +256,18 @@ def overlaps(
     return verified.join(texts.select("item", "item_id"), "item").drop("item")
 
 
-def _best_stretch(equal: np.ndarray, share: float) -> tuple[int, int] | None:
-    """The stretch that begins and ends with equal words and gains most, where an equal word gains
-    1 - share and another costs share: inside it more than the share is equal."""
-    if not equal.any():
+def _longest(equal: np.ndarray, share: float) -> tuple[int, int] | None:
+    """The longest stretch from an equal word to an equal word with that share equal; the first of such."""
+    at = np.flatnonzero(equal)
+    if not len(at):
         return None
+    # Words gain 1 - share if equal and lose share if not; a stretch has the share if it does not lose.
     total = np.concatenate([[0.0], np.cumsum(np.where(equal, 1 - share, -share))])
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(total - low))
-    begin = int(np.flatnonzero(total[: end + 1] == low[end])[-1])
-    return (begin, end) if end > begin else None
+    lowest = np.minimum.accumulate(total[at])  # over where a stretch may begin
+    begin = np.searchsorted(-lowest, -(total[at + 1] + 1e-9))
+    size = at + 1 - at[begin]
+    best = int(size.argmax())
+    return int(at[begin[best]]), int(at[best]) + 1
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
