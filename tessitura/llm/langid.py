@@ -4,8 +4,9 @@ Training counts, for each language label, the hashed byte 4-grams of words (with
 the scripts of their letters, over all training rows: each task sums its own, Spark adds them, and
 the driver holds one table of fixed size for each language.
 
-Prediction scores each word under each language by naive Bayes.  The script of a word's letters,
-found by code-point ranges, narrows the candidates to languages that use it.  Viterbi then labels
+Prediction scores each word under each language by naive Bayes.  The scripts of a word's letters,
+found by code-point ranges, narrow the candidates to languages that use them all; if none does, to
+those that use one of them; if none does, to all.  Others can't have the word.  Viterbi then labels
 the words of a text: changing the language between words costs a penalty, so that stray words don't
 break a span, and stretches in another language become spans of their own.  The text's language is
 the one whose spans hold most letters, and its score their share of all letters.
@@ -14,8 +15,11 @@ Most texts are in one language.  If no stretch of words favours another language
 the penalty, no path with a change can be best, and the text needs no dynamic programme; this is
 a proof and not an approximation.
 
+A letter is a code point of a Unicode letter category; digits, marks and punctuation of a script are none.
+All labels are learned: the driver and the workers hold a table of 0.5 MB for each label.
+
 Edge cases: a null text, and one without a letter, gets ``und`` and score 0; with no training row
-all texts do; a script no language was trained on scores all languages alike, and ties go to the
+all texts do; letters outside the ranges are a script of their own; ties go to the
 first label in code-point order; repeated rows get equal results; only text is read to predict.
 """
 
@@ -30,12 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import _LOWER, per_text, pieces, prepare, utf8, words
 
-#: Slots of the n-gram table; cost of a change of language; score lost by a language that doesn't use the script.
-SLOT_BITS, SWITCH, OFF_SCRIPT = 16, 12.0, 20.0
+#: Slots of the n-gram table; cost of a change of language; how far a language that doesn't use the script stays behind all that do.
+SLOT_BITS, SWITCH, OFF_SCRIPT = 16, 12.0, 1000.0
 #: Share of a language's letters from which it counts as using a script.
 SCRIPT_SHARE = 0.01
-#: Languages kept, by number of training rows (one table each on the driver).
-MOST_LANGUAGES = 200
 #: Weight of an n-gram's log-likelihood: overlapping n-grams aren't independent.
 DAMPING = 0.5
 
@@ -57,24 +59,36 @@ SCRIPTS = {
     "Kana": ((0x3041, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9D)),
     "Han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)),
 }
-_BLOCKS = sorted((a, b, i + 1) for i, blocks in enumerate(SCRIPTS.values()) for a, b in blocks)
-_FIRST, _LAST, _OF = (np.array(x) for x in zip(*_BLOCKS))
-_ASCII = np.zeros(256, np.int8)
-_ASCII[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = 1
+#: The number of letters outside the ranges, and how many numbers there are.
+OTHER = len(SCRIPTS) + 1
+KINDS = OTHER + 1
+_table: list[np.ndarray] = []
+
+
+def script_table() -> np.ndarray:
+    """For each code point the number of its script (from 1) if it is a letter, else 0."""
+    if not _table:
+        of = np.full(0x110000, OTHER, np.int8)
+        for i, blocks in enumerate(SCRIPTS.values()):
+            for a, b in blocks:
+                of[a : b + 1] = i + 1
+        of[[c for c in range(0x110000) if not chr(c).isalpha()]] = 0
+        _table.append(of)
+    return _table[0]
 
 
 def letter_scripts(raw: np.ndarray) -> np.ndarray:
     """For each byte that begins a letter the number of its script (from 1), else 0."""
-    out = _ASCII[raw].copy()
+    table = script_table()
+    out = table[:128][np.minimum(raw, 127)]  # 127 is no letter
     lead = np.flatnonzero(raw >= 0xC2)
     if len(lead):
-        b = [raw[np.minimum(lead + i, len(raw) - 1)].astype(np.int64) for i in range(4)]
+        b = [raw[np.minimum(lead + i, len(raw) - 1)].astype(np.int32) for i in range(4)]
         two, three, four = b[0] < 0xE0, (b[0] >= 0xE0) & (b[0] < 0xF0), b[0] >= 0xF0
         point = np.where(two, (b[0] & 31) << 6 | b[1] & 63, 0)
         point = np.where(three, (b[0] & 15) << 12 | (b[1] & 63) << 6 | b[2] & 63, point)
         point = np.where(four, (b[0] & 7) << 18 | (b[1] & 63) << 12 | (b[2] & 63) << 6 | b[3] & 63, point)
-        i = np.searchsorted(_FIRST, point, "right") - 1
-        out[lead] = np.where((i >= 0) & (point <= _LAST[i]), _OF[i], 0)
+        out[lead] = table.take(point)
     return out
 
 
@@ -82,7 +96,7 @@ def letter_scripts(raw: np.ndarray) -> np.ndarray:
 class _Words:
     slots: np.ndarray  # of each word's n-grams, end to end
     sizes: np.ndarray  # n-grams of each word; 0 if it has no letter
-    scripts: np.ndarray  # of each word
+    scripts: np.ndarray  # of each word, a bit for each number
     letters: np.ndarray  # letters of each word
     first: np.ndarray  # each text's first word
     starts: np.ndarray
@@ -95,7 +109,8 @@ def _words_of(raw: np.ndarray, at: np.ndarray) -> _Words:
     length = ends - starts
     total = np.concatenate([[0], np.cumsum(script > 0)])
     letters = total[ends] - total[starts]
-    of_word = np.maximum.reduceat(script, starts) if len(starts) else np.zeros(0, np.int8)  # runs over the gap, where it's 0
+    bits = (np.int32(1) << script.astype(np.int32)) * (script > 0)
+    of_word = np.bitwise_or.reduceat(bits, starts) if len(starts) else np.zeros(0, np.int32)  # runs over the gap, where it's 0
     # Byte i of " word " and the three before it; one more n-gram than bytes.
     padded = np.concatenate([[32, 32, 32], _LOWER[raw], [32]]).astype(np.uint32)
     gram = padded[3:] | padded[2:-1] << 8 | padded[1:-2] << 16
@@ -129,47 +144,59 @@ def fit(labelled: DataFrame) -> LanguageModel:
     """Learn from all rows of labelled (text, lang) whose text and lang are not null."""
     prepare(labelled.sparkSession)
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in most)
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    place = {v: i for i, v in enumerate(languages)}
     slots = 1 << SLOT_BITS
 
     def count(batches):
-        place = {v: i for i, v in enumerate(languages)}
-        sums = np.zeros((len(languages), slots + 64), np.int64)
+        sums: dict[int, np.ndarray] = {}
         for piece in pieces(batches):
             raw, at = utf8(piece.column("text"))
             w = _words_of(raw, at)
-            lang = np.array([place.get(v, -1) for v in piece.column("lang").to_pylist()])
-            of_word = np.repeat(lang, np.diff(w.first))
-            of_gram = np.repeat(of_word, w.sizes)
-            for i in range(len(languages)):
-                sums[i, :slots] += np.bincount(w.slots[of_gram == i], minlength=slots)
-                sums[i, slots:] += np.bincount(w.scripts[of_word == i], w.letters[of_word == i], minlength=64).astype(np.int64)
-        i, slot = np.nonzero(sums)
-        for lo in range(0, len(i), 65536):
-            part = slice(lo, lo + 65536)
-            yield pa.RecordBatch.from_arrays([pa.array(i[part].astype(np.int32)), pa.array(slot[part].astype(np.int32)), pa.array(sums[i, slot][part])], names=["lang", "slot", "n"])
+            own, lang = np.unique([place[v] for v in piece.column("lang").to_pylist()], return_inverse=True)
+            of_gram = np.repeat(np.repeat(lang, np.diff(w.first)), w.sizes)
+            grams = np.bincount(of_gram * slots + w.slots, minlength=len(own) * slots).reshape(-1, slots)
+            scripts = letter_scripts(raw)
+            letters = np.bincount(np.repeat(lang, np.diff(at)) * KINDS + scripts, minlength=len(own) * KINDS).reshape(-1, KINDS)
+            letters[:, 0] = 0
+            for i, total in zip(own.tolist(), np.concatenate([grams, letters], axis=1)):
+                sums[i] = sums[i] + total if i in sums else total
+        for i, total in sums.items():
+            slot = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), i, np.int32)), pa.array(slot.astype(np.int32)), pa.array(total[slot])], names=["lang", "slot", "n"])
 
     counts = known.mapInArrow(count, "lang int, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros((slots + 64, len(languages)), np.float64)
+    table = np.zeros((slots + KINDS, len(languages)), np.float32)
     table[counts.column("slot").to_numpy(), counts.column("lang").to_numpy()] = counts.column("n").to_numpy()
-    grams = table[:slots] + 0.5
-    weights = DAMPING * np.log(grams / grams.sum(axis=0))
+    grams = table[:slots] + np.float32(0.5)
+    weights = np.float32(DAMPING) * np.log(grams / grams.sum(axis=0, dtype=np.float64).astype(np.float32))
     letters = table[slots:]
     uses = letters >= SCRIPT_SHARE * np.maximum(letters.sum(axis=0), 1)
-    return LanguageModel(tuple(languages), weights.astype(np.float32), uses)
+    return LanguageModel(tuple(languages), weights, uses)
+
+
+def candidates(scripts: np.ndarray, uses: np.ndarray) -> np.ndarray:
+    """For words with these scripts (a bit for each number), which languages may have them."""
+    kinds, of = np.unique(scripts, return_inverse=True)
+    out = np.empty((len(kinds), uses.shape[1]), bool)
+    for i, bits in enumerate(kinds.tolist()):
+        own = uses[[k for k in range(KINDS) if bits >> k & 1]]
+        each = own.all(axis=0)
+        out[i] = each if each.any() else own.any(axis=0) if own.any() else True
+    return out[of]
 
 
 def word_scores(w: _Words, model: LanguageModel) -> np.ndarray:
-    """Score of each word under each language, 0 for words without a letter."""
+    """Score of each word under each language, 0 for words without a letter and for the best language of others."""
     out = np.zeros((len(w.sizes), len(model.languages)))
     full = np.flatnonzero(w.sizes)
     if len(full):
         n = w.sizes[full]
-        out[full] = np.add.reduceat(model.weights[w.slots], np.cumsum(n) - n, axis=0)
-        uses = model.uses[w.scripts[full]]
-        out[full] -= OFF_SCRIPT * (~uses & uses.any(axis=1, keepdims=True))
-        out[full] -= out[full].max(axis=1, keepdims=True)
+        s = np.add.reduceat(model.weights[w.slots], np.cumsum(n) - n, axis=0).astype(np.float64)
+        may = candidates(w.scripts[full], model.uses)
+        if not may.all():
+            s = np.where(may, s, np.where(may, s, np.inf).min(axis=1, keepdims=True) - OFF_SCRIPT)
+        out[full] = s - s.max(axis=1, keepdims=True)
     return out
 
 
@@ -240,7 +267,9 @@ def predict(text: Column, model: LanguageModel, spans: bool = True) -> Column:
 
     def predicted(texts: pa.Array) -> pa.Array:
         langs, shares, found = [], [], []
-        for piece in pieces([pa.RecordBatch.from_arrays([texts], ["text"])]):
+        # A word takes a number for each language.
+        limit = max(1 << 16, (1 << 25) // max(8, len(model.languages)))
+        for piece in pieces([pa.RecordBatch.from_arrays([texts], ["text"])], limit):
             column = piece.column("text")
             raw, at = utf8(column)
             w = _words_of(raw, at)
@@ -254,9 +283,7 @@ def predict(text: Column, model: LanguageModel, spans: bool = True) -> Column:
             point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)]) if spans else None
             for i in range(len(n)):
                 if all_letters[i] == 0 or not model.languages:
-                    # Letters outside the blocks above: a learned language all the same.
-                    odd = bool(model.languages) and any(c.isalpha() for c in column[i].as_py() or "")
-                    langs.append(model.languages[0] if odd else "und")
+                    langs.append("und")
                     shares.append(0.0)
                     found.append([])
                     continue

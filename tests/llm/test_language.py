@@ -67,10 +67,39 @@ def test_viterbi_is_the_best_path():
 
 
 def test_scripts():
-    raw = np.frombuffer("aé漢я가1".encode(), np.uint8)
-    names = list(L.SCRIPTS)
+    raw = np.frombuffer("aé漢я가1ʘ٣१・ء".encode(), np.uint8)
+    names = [*L.SCRIPTS, "other"]
     got = [names[i - 1] for i in L.letter_scripts(raw) if i]
-    assert got == ["Latin", "Latin", "Han", "Cyrillic", "Hangul"]
+    assert got == ["Latin", "Latin", "Han", "Cyrillic", "Hangul", "Latin", "Arabic"]
+
+
+def test_texts_without_a_letter(spark, docs, model):
+    """Digits, marks and punctuation of any script are no letters; all letters are."""
+    none = ["٣٤٥ ١٢", "१२३", "・", "\u0301", "１２", "…—", "₤ 5"]
+    some = ["א", "ა", "𐐀", "ꙮ", "ⴰ", "x1"]
+    out = {r["doc_id"]: r["lang_pred"] for r in L.identify(docs(*enumerate(none + some)), model).collect()}
+    assert [out[i] for i in range(len(none))] == ["und"] * len(none)
+    assert all(out[len(none) + i] in SYLLABLES for i in range(len(some)))
+
+
+def test_scripts_narrow_the_candidates(spark, docs, model):
+    """A word in a script that only one language uses is in that language, whatever the words around it."""
+    text_of = "the ight ing " * 30 + "конституция " + "owea andter " * 30
+    spans = L.identify(docs((1, text_of)), model).first()["spans"]
+    assert [s["lang"] for s in spans] == ["en", "ru", "en"]
+    uses = np.zeros((L.KINDS, 3), bool)
+    uses[1, :2] = uses[3, 1:] = True
+    assert L.candidates(np.array([1 << 1, 1 << 3, 1 << 1 | 1 << 3, 1 << 5, 1 << 1 | 1 << 5]), uses).tolist() == [[True, True, False], [False, True, True], [False, True, False], [True] * 3, [True, True, False]]
+
+
+def test_all_labels_are_learned(spark, docs):
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrst"
+    rows = [("".join(rng.choices(letters[i % 20] + letters[i // 20], k=6)) + f" {letters[i % 20]}{letters[i // 20]}" * 8, f"l{i:03d}") for i in range(240) for _ in range(2)]
+    model = L.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.languages) == 240
+    equal = L.fit(spark.createDataFrame([("ab ab", "x"), ("ab ab", "w")], "text string, lang string"))
+    assert L.identify(docs((1, "ab")), equal).first()["lang_pred"] == "w"
 
 
 # ------------------------------------------------------------------ language model
