@@ -50,10 +50,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where unset (tests) a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir, or where unset (tests) a temporary one.
+
+    Executors on other machines would not see a temporary folder of this one, so with them it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='checkpoint-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -81,7 +86,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables made by written() that nothing reads any more."""
+    for t in tables:
+        path = t._written_at
+        drop(t.sparkSession, path)
+        _tables[:] = [x for x in _tables if x[1] != path]
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -96,7 +111,7 @@ def _clean() -> None:
             if spark.sparkContext._jsc is not None:
                 drop(spark, path)
         except Exception:  # the JVM may be gone; the folder is the cluster's own to clean
-            return
+            continue
 
 
 # ---------------------------------------------------------------- words in Arrow batches

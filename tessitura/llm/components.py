@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 #: Rounds after which something is wrong: the number needed is logarithmic in the longest path.
 MOST_ROUNDS = 60
@@ -26,9 +26,10 @@ def components(edges: DataFrame) -> DataFrame:
         low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "edges")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(large, "edges")
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "edges")
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        held = written(small.select("e.*").filter("u <> v").distinct(), "edges")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "edges")
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        before, held = held, written(small.select("e.*").filter("u <> v").distinct(), "edges")
+        discard(before, low, large, least)
         now = held.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -8,7 +8,7 @@ in if that brings the sum nearer to the budget.  No row is sorted, and a histogr
 a source at most.
 
 Edge cases: a null source is a source of its own, ordered last; a null text has size 0; sources of
-size 0 get target 0; equal rows have equal hashes and are taken alike; an empty table gives an
+size 0 get target 0, and their rows are not taken; rows of size 0 in other sources are taken like the rest; equal rows have equal hashes and are taken alike; an empty table gives an
 empty result; null ids are hashed as empty text.  Only doc_id, text and source are read.
 """
 
@@ -105,12 +105,14 @@ def thresholds(digest: DataFrame, weights: Sequence[int] = WEIGHTS, most: int =
         )
         plan = written(plan, "mixing")
     nearer = (F.col("end") - F.col("budget")) < (F.col("budget") - F.col("below"))
+    # Without a rest no row is taken once more, not even one of size 0.
+    threshold = F.when(F.col("budget") > 0, F.col("prefix") + nearer.cast("long")).otherwise(zero)
     return plan.select(
         F.col("source").alias("mix_source"),
         F.col("source_size").alias("mix_size"),
         F.col("target").alias("mix_target"),
         F.col("passes").alias("mix_passes"),
-        (F.col("prefix") + nearer.cast("long")).alias("mix_threshold"),
+        threshold.alias("mix_threshold"),
     )
 
 
@@ -167,7 +169,7 @@ def targets_sql(documents: str = "documents", weights: Sequence[int] = WEIGHTS,
       SELECT source, min(mix_hash) AS hash, arg_min(stop, mix_hash) AS stop, arg_min(stop - words, mix_hash) AS below, any_value(budget) AS budget
       FROM mix_runs WHERE stop > budget GROUP BY source),
     mix_plan AS (
-      SELECT b.*, coalesce(e.hash + CASE WHEN e.stop - e.budget < e.budget - e.below THEN 1 ELSE 0 END, {1 << LEVELS * BITS}) AS threshold
+      SELECT b.*, CASE WHEN b.budget > 0 THEN 1 ELSE 0 END * coalesce(e.hash + CASE WHEN e.stop - e.budget < e.budget - e.below THEN 1 ELSE 0 END, {1 << LEVELS * BITS}) AS threshold
       FROM mix_budgets b LEFT JOIN mix_ends e ON b.source IS NOT DISTINCT FROM e.source)"""
 
 

@@ -62,4 +62,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_language_id, op3_source_mixing, op4_near_duplicates, op5_lm_scoring, op6_personal_data, op7_quality_rules, op8_token_files, op9_decontamination, op10_sharding)}
 
-ORACLES = {"op1_url_filters": url_filter.oracle(), "op3_source_mixing": mixing.oracle(), "op4_near_duplicates": neardup.oracle()}
+ORACLES = {"op1_url_filters": url_filter.oracle(), "op3_source_mixing": mixing.oracle(), "op4_near_duplicates": neardup.oracle(), "op10_sharding": sharding.oracle()}

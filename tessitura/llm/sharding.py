@@ -61,3 +61,28 @@ def byte_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
         seen += counts.get(s, 0)
     begin = F.element_at(F.array(*[F.lit(n).cast("long") for n in first]), F.col("shard") + 1)
     return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("row") - begin).alias("slot"))
+
+
+def oracle(shards: int = 40) -> str:
+    """DuckDB SQL for the rows of byte_shards with law and grown_shard, by sorting; CRC-32 a byte at a time."""
+    return f"""
+    WITH RECURSIVE
+    bits AS (
+      SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
+      UNION ALL
+      SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+    codes AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+    plain AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    digest AS (
+      SELECT doc_id, (len(h) // 2 + {ROW_BYTES})::BIGINT AS size,
+             xor(list_reduce(
+               list_prepend(4294967295::BIGINT, list_transform(range(len(h) // 2), lambda b: ('0x' || h[2 * b + 1 : 2 * b + 2])::BIGINT)),
+               lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32
+      FROM plain, codes),
+    run AS (
+      SELECT *, sum(size) OVER w - (size + 1) // 2 AS middle, sum(size) OVER () AS total, row_number() OVER w AS place
+      FROM digest WINDOW w AS (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING)),
+    placed AS (SELECT *, (middle * {shards} // total)::INTEGER AS shard FROM run)
+    SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+           row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, NULL::INTEGER AS grown_shard
+    FROM placed"""

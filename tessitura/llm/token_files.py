@@ -14,13 +14,17 @@ Writing: rows are range-partitioned by doc_id and each partition writes one file
 name and renames it, so a repeated task writes the same file again.  Files in name order hold
 ascending ids.  The number of tokens in each file goes to the driver, one number a file.
 
-Edge cases: null ids come first; equal ids are ordered by text; a null text is empty and becomes
+Folders may be of any file system that pyarrow opens: file, s3 (also under Hadoop's names s3a and s3n),
+gs, abfs, and hdfs where executors have libhdfs.
+
+Edge cases: ids are whole numbers, and null ids come first; equal ids are ordered by text; a null text is empty and becomes
 the end id alone; an empty table writes no file; other columns are not read.
 """
 
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -45,6 +49,7 @@ END_ID = 1
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
+    uri = re.sub("^s3[an]:", "s3:", uri)
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 

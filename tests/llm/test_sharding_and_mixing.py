@@ -32,6 +32,17 @@ def test_shards_of_odd_rows(spark, docs):
     assert [(r["shard"], r["slot"]) for r in S.byte_shards(docs((1, "a")), 1).collect()] == [(0, 0)]
 
 
+def test_shards_equal_sql(spark, docs):
+    rng = random.Random(4)
+    rows = [(i if i % 9 else None, rng.choice(["", "é漢😀", "w " * rng.randint(0, 90)])) for i in range(200)] + [(5, "copy")] * 3 + [(6, None)]
+    df = docs(*rows)
+    con = duckdb.connect()
+    con.register("documents", df.select("doc_id", "text").toArrow())
+    got = sorted(tuple(r) for r in S.byte_shards(df, 7).select(S.F.coalesce("doc_id", S.F.lit(-1)), "size", "text_crc32", "shard", "slot").collect())
+    want = sorted((-1 if r[0] is None else r[0], r[1], r[2], r[4], r[5]) for r in con.execute(S.oracle(7)).fetchall())
+    assert got == want
+
+
 def duck(spark, df):
     con = duckdb.connect()
     con.register("documents", df.select("doc_id", "text", "source").toPandas())
@@ -69,5 +80,12 @@ def test_mixed_documents_repeat_rows(spark, docs):
     assert M.mixed(df.limit(0)).count() == 0 and M.mixed_documents(df.limit(0)).count() == 0
 
 
+def test_no_row_is_taken_more_often_than_the_limit(spark, docs):
+    """A source at its limit of three passes has no rest, and its empty documents get none either."""
+    df = docs(*[(i, "a b c", "a") for i in range(4)], *[(50 + i, "", "a") for i in range(30)], *[(100 + i, "a b c", "b") for i in range(400)])
+    counts = {r["doc_id"]: r["count"] for r in M.mixed_documents(df).groupBy("doc_id").count().collect()}
+    assert {counts[i] for i in [*range(4), *range(50, 80)]} == {3} and max(counts.values()) == 3
+
+
 def test_mix_of_odd_rows(spark, docs):
     assert M.mixed(docs(*ODD)).count() == len(ODD)
