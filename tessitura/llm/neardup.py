@@ -8,16 +8,24 @@
    compared by bit counts: the share of equal 2-bit lanes, corrected for the quarter that agree by
    chance, estimates the similarity.  A meeting place emits a spanning forest of the pairs whose
    estimate reaches the threshold less a margin of about five standard errors, never all its pairs.
-   Places with more than BLOCK nodes are dealt into blocks that share some pivots.
 3. Components of that forest are families.  Only their texts are read again, and in each family
    full shingle sets are compared: a breadth-first search emits a spanning forest of the links
    with 100 * intersection >= percent * union, so what it connects is exactly what all links
-   connect.  A family with more than BLOCK nodes is compared block against block.
+   connect.
 4. Components of those links give each row the smallest doc_id that it reaches.
 
+Meeting places and families of any size are searched whole, in two steps.  First they are dealt into
+blocks of bounded size that share some pivots, and what is found in the blocks is joined to components.
+Then only nodes of different components are left to compare: those outside the largest component of
+the place meet all its blocks and each other, in groups of bounded size.  Copies of one text link with
+the pivots, so that the largest component is nearly all of a large family and the second step is small;
+only a place crowded with texts that are all unlike costs the square of its blocks.
+
 Bands of 5 out of 25 miss a pair at the threshold with probability (1 - 0.85^5)^25 = 4e-7
 (0.8: 5e-5).
 
+A node is a 64-bit digest of its set, and sets are of 64-bit hashes; unlike sets agree with probability 2^-64.
+
 Edge cases: null and empty texts, and texts of separators only, have no shingles and link with
 nothing; null ids are never the smallest of a group that has another; repeated rows share a node;
 an empty table gives an empty result; other columns are not read.
@@ -37,8 +45,8 @@ HASHES, BITS, ROWS = 128, 2, 5
 BANDS = HASHES // ROWS
 #: Standard error of the estimate at the threshold is under 0.04.
 MARGIN = 0.18
-#: Nodes compared with each other in memory at once.
-BLOCK = 2048
+#: Nodes whose signatures, and nodes and shingles whose sets, are compared with each other in memory at once.
+BLOCK, FAMILY_BLOCK, FAMILY_SHINGLES = 2048, 192, 1 << 21
 #: Expected members of a large meeting place that stand in each of its blocks.
 PIVOTS = 16
 _rng = np.random.default_rng(20240229)
@@ -147,12 +155,15 @@ def _estimates(sig: np.ndarray, other: np.ndarray) -> np.ndarray:
     return (1 - differ / HASHES - chance) / (1 - chance)
 
 
-def _forest(n: int, linked) -> list[tuple[int, int]]:
-    """Spanning forest by breadth-first search; linked(i, rest) says which of rest link with i."""
-    rest, out = np.arange(n), []
-    while len(rest) > 1:
-        front = [int(rest[0])]
-        rest = rest[1:]
+def _forest(n: int, linked, side: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning forest by breadth-first search; linked(i, rest) says which of rest link with i.
+
+    Nodes of side 1 are linked with each other already: the search begins at all of them.
+    """
+    front, rest, out = np.flatnonzero(side).tolist(), np.flatnonzero(side == 0), []
+    while len(rest):
+        if not front:
+            front, rest = [int(rest[0])], rest[1:]
         while front and len(rest):
             i = front.pop()
             hit = linked(i, rest)
@@ -160,6 +171,7 @@ def _forest(n: int, linked) -> list[tuple[int, int]]:
             out += [(i, int(j)) for j in new]
             front += new.tolist()
             rest = rest[~hit]
+        front = []
     return out
 
 
@@ -182,7 +194,8 @@ def _meet(batches, least: float):
         if t.num_rows < 2:
             continue
         nodes, at = np.unique(t.column("node").to_numpy(), return_index=True)
-        if len(nodes) < 2:
+        side = t.column("side").to_numpy()[at]
+        if len(nodes) < 2 or side.all():
             continue
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(t.num_rows, -1)[at]
         if len(nodes) == 2:
@@ -191,7 +204,7 @@ def _meet(batches, least: float):
                 yield pairs_of_two()
                 waiting.clear()
             continue
-        pairs += [(nodes[i], nodes[j]) for i, j in _forest(len(nodes), lambda i, rest, sig=sig: _estimates(sig[rest], sig[i]) >= least)]
+        pairs += [(nodes[i], nodes[j]) for i, j in _forest(len(nodes), lambda i, rest, sig=sig: _estimates(sig[rest], sig[i]) >= least, side)]
         if len(pairs) >= 4096:
             yield emit(*zip(*pairs))
             pairs.clear()
@@ -203,9 +216,10 @@ def _meet(batches, least: float):
 
 def _link(batches, k: int, percent: int):
     """Links of a spanning forest of each family, confirmed on full sets."""
-    for t in runs(batches, ("family", "block")):
+    for t in runs(batches, ("key", "block")):
         nodes, at = np.unique(t.column("node").to_numpy(), return_index=True)
-        if len(nodes) < 2:
+        side = t.column("side").to_numpy()[at]
+        if len(nodes) < 2 or side.all():
             continue
         t = t.take(pa.array(at))
         parts = [shingle_sets(p.column("text"), k) for b in t.to_batches() for p in pieces([b])]
@@ -229,46 +243,79 @@ def _link(batches, k: int, percent: int):
             hit[near] = 100 * common >= percent * (sizes + n - common)
             return hit
 
-        out = _forest(len(nodes), linked)
+        out = _forest(len(nodes), linked, side)
         if out:
             a, b = np.array(out).T
             yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
 
 
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block")
+
+
+def _components_within(rows: DataFrame, large: DataFrame, compared) -> DataFrame:
+    """node, label: components of the links between nodes of equal key.
+
+    rows: key, node and what compared needs; large: key, members, blocks of keys that must be cut;
+    compared(groups of rows with key, block, side) -> a, b: links that connect what all links of a group connect.
+    """
+    columns = rows.columns
+    large = written(large.select("key", "members", "blocks"), "large")
+    if large.isEmpty():
+        return components(compared(_grouped(rows.withColumn("block", F.lit(0)).withColumn("side", F.lit(0)))))
+    # Blocks that share pivots.
+    held = rows.join(small(large), "key", "left")
+    own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
+    pivot = F.pmod(F.xxhash64("key", "node"), F.col("members")) < PIVOTS
+    block = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
+    labels = components(compared(_grouped(held.withColumn("block", F.explode(block)).withColumn("side", F.lit(0)).select(*columns, "block", "side"))))
+    # Of keys that are in more than one component yet, all outside the largest one meet the rest.
+    cut = rows.join(small(large), "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    counts = cut.groupBy("key", "label").agg(F.count("*").alias("n"))
+    most = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    open_ = most.filter(F.col("most") < F.col("all")).join(large, "key").select(
+        F.col("key").alias("open"),
+        "main",
+        F.greatest(F.lit(1), F.ceil(F.col("blocks") * F.col("most") / F.col("all"))).cast("int").alias("main_blocks"),
+        # Two parts of the others share a group.
+        F.ceil(2 * F.col("blocks") * (F.col("all") - F.col("most")) / F.col("all")).cast("int").alias("parts"),
+    )
+    open_ = written(open_, "open")
+    if open_.isEmpty():
+        return labels
+    part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
+    main_block = F.pmod(F.xxhash64("node", F.lit(2)), F.col("main_blocks")).cast("int")
+    every_part, every_block = F.sequence(F.lit(0), F.col("parts") - 1), F.sequence(F.lit(0), F.col("main_blocks") - 1)
+    # Group m * parts + p: block m of the largest component, and part p; after those: parts p <= q.
+    with_main = F.transform(every_block, lambda m: m * F.col("parts") + F.col("part"))
+    with_others = F.transform(every_part, lambda q: F.col("main_blocks") * F.col("parts") + F.least("part", q) * F.col("parts") + F.greatest("part", q))
+    of_main = F.transform(every_part, lambda p: F.col("main_block") * F.col("parts") + p)
+    rest = cut.join(small(open_), F.col("key") == F.col("open")).withColumn("side", (F.col("label") == F.col("main")).cast("int"))
+    rest = rest.withColumn("part", part).withColumn("main_block", main_block)
+    rest = rest.withColumn("block", F.explode(F.when(F.col("side") == 1, of_main).otherwise(F.concat(with_main, with_others))))
+    more = compared(_grouped(rest.select(*columns, "block", "side")))
+    return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+
+
 def _families(nodes: DataFrame, percent: int) -> DataFrame:
     """node, label: components of the candidate pairs."""
-    rows = nodes.select("node", "sig", F.explode("bands").alias("key"))
-    crowded = rows.groupBy("key").count().filter(F.col("count") > BLOCK)
-    crowded = written(crowded.select(F.col("key"), F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"), F.col("count").alias("members")), "crowded")
-    if crowded.isEmpty():
-        dealt = rows.withColumn("block", F.lit(0))
-    else:
-        own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
-        pivot = F.pmod(F.xxhash64("key", "node"), F.col("members")) < PIVOTS
-        block = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
-        dealt = rows.join(crowded, "key", "left").select("node", "sig", "key", F.explode(block).alias("block"))
-    met = dealt.repartition("key", "block").sortWithinPartitions("key", "block")
+    rows = nodes.select(F.explode("bands").alias("key"), "node", "sig")
+    large = rows.groupBy("key").agg(F.count("*").alias("members")).filter(F.col("members") > BLOCK)
     least = percent / 100 - MARGIN
-    return components(met.select("key", "block", "node", "sig").mapInArrow(lambda it: _meet(it, least), "a bigint, b bigint"))
+    blocks = F.ceil(F.col("members") / (BLOCK // 2)).cast("int")
+    return _components_within(rows, large.withColumn("blocks", blocks), lambda groups: groups.mapInArrow(lambda it: _meet(it, least), "a bigint, b bigint"))
 
 
 def _links(docs: DataFrame, signed: DataFrame, families: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b: links that connect what all links connect."""
-    # Only families over the limit need their size, so that no join gathers a family.
-    large = families.groupBy("label").agg(F.count("*").alias("members")).filter(F.col("members") > BLOCK)
-    large = written(large.select("label", F.ceil(F.col("members") / (BLOCK // 2)).cast("int").alias("blocks")), "large")
-    member = families.join(small(large), "label", "left").select("node", F.col("label").alias("family"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    one = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("text_key").alias("text_key"))
-    member = written(member.join(one, "node"), "members")
-    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(small(member), "text_key")
-    texts = texts.dropDuplicates(["node"])
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    # Block i meets block j as group (i, j), i <= j; one block alone is group 0.
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    texts = texts.withColumn("own", own).withColumn("other", F.explode(other))
-    texts = texts.withColumn("block", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).cast("int"))
-    grouped = texts.select("family", "block", "node", "text").repartition("family", "block").sortWithinPartitions("family", "block")
-    return grouped.mapInArrow(lambda it: _link(it, k, percent), "a bigint, b bigint")
+    """node, label: components of the links between nodes of a family."""
+    one = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("text_key").alias("text_key"), F.max("n_shingles").alias("n_shingles"))
+    member = written(families.withColumnRenamed("label", "key").join(one, "node"), "members")
+    large = member.groupBy("key").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("members") / (FAMILY_BLOCK // 2)), F.ceil(F.col("shingles") / (FAMILY_SHINGLES // 2))).cast("int")
+    large = large.filter((F.col("members") > FAMILY_BLOCK) | (F.col("shingles") > FAMILY_SHINGLES)).withColumn("blocks", F.least(blocks, F.col("members").cast("int")))
+    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(small(member.select("key", "node", "text_key")), "text_key")
+    texts = written(texts.dropDuplicates(["node"]).select("key", "node", "text"), "family-texts")
+    return _components_within(texts, large, lambda groups: groups.mapInArrow(lambda it: _link(it, k, percent), "a bigint, b bigint"))
 
 
 def _clustered(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -280,7 +327,7 @@ def _clustered(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
     signed = written(keyed.mapInArrow(lambda it: _sign(it, k), schema), "signatures")
     nodes = signed.filter(F.col("node").isNotNull()).select("node", "sig", "bands").dropDuplicates(["node"])
     families = written(_families(nodes, percent), "families")
-    labels = components(_links(docs, signed, families, k, percent))
+    labels = written(_links(docs, signed, families, k, percent), "labels")
     return signed.drop("sig", "bands"), labels
 
 

@@ -83,8 +83,12 @@ def test_equals_sql(spark, docs):
     assert sorted(tuple(r) for r in N.near_duplicates(df, 3, 85).collect()) == sorted(con.execute(N.oracle()).fetchall())
 
 
-def test_crowded_places_and_families_are_cut_in_blocks(spark, docs, monkeypatch):
+@pytest.mark.parametrize("pivots", [16, 2, 0])
+def test_crowded_places_and_families_are_cut_in_blocks(spark, docs, monkeypatch, pivots):
+    """With small blocks and few pivots most links are left to the second step."""
     monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "FAMILY_BLOCK", 6)
+    monkeypatch.setattr(N, "PIVOTS", pivots)
     rng = random.Random(9)
     base = ["w%d" % i for i in range(80)]
     rows = [(i, edited(rng, base, rng.choice([1, 2, 3]))) for i in range(60)] + [(100, " ".join(base))] + [(200 + i, " ".join("v%d" % rng.randrange(9999) for _ in range(30))) for i in range(20)]
@@ -93,6 +97,31 @@ def test_crowded_places_and_families_are_cut_in_blocks(spark, docs, monkeypatch)
     assert out == {d: want[i] for i, (d, _) in enumerate(rows)}
 
 
+def test_unlike_clusters_in_one_place(spark, monkeypatch):
+    """One key with clusters that share no signature, cut in blocks without a pivot: what belongs together is joined, and no more."""
+    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "PIVOTS", 0)
+    rng = np.random.default_rng(4)
+    rows, node = [], 1
+    for size in (30, 9, 5, 2, 1, 1):
+        sig = rng.integers(0, 2**63, 4, dtype=np.uint64)
+        for _ in range(size):
+            rows.append((node, sig.tobytes(), [77]))
+            node += 1
+    rng.shuffle(rows := list(rows))
+    labels = N._families(spark.createDataFrame(rows, "node bigint, sig binary, bands array<bigint>"), 85).collect()
+    assert {r["node"]: r["label"] for r in labels} == {**{i: 1 for i in range(1, 31)}, **{i: 31 for i in range(31, 40)}, **{i: 40 for i in range(40, 45)}, 45: 45, 46: 45}
+
+
+def test_families_are_cut_by_size_of_sets(spark, docs, monkeypatch):
+    monkeypatch.setattr(N, "FAMILY_SHINGLES", 150)
+    rng = random.Random(12)
+    base = ["w%d" % i for i in range(60)]
+    rows = [(i, edited(rng, base, 1)) for i in range(12)]
+    _, want = brute(rows, 3, 85)
+    assert {r["doc_id"]: r["component_id"] for r in N.near_duplicates(docs(*rows), 3, 85).collect()} == {d: want[i] for i, (d, _) in enumerate(rows)}
+
+
 def test_one_of_each_group_stays(spark, docs):
     rows = corpus(6) + [(3, None), (4, ""), (None, "null id with enough words to be a text of its own"), (None, "null id with enough words to be a text of its own")]
     rows += [rows[0], rows[0]]
