@@ -308,12 +308,16 @@ def _families(nodes: DataFrame, percent: int) -> DataFrame:
 
 def _links(docs: DataFrame, signed: DataFrame, families: DataFrame, k: int, percent: int) -> DataFrame:
     """node, label: components of the links between nodes of a family."""
-    one = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("text_key").alias("text_key"), F.max("n_shingles").alias("n_shingles"))
-    member = written(families.withColumnRenamed("label", "key").join(one, "node"), "members")
+    # One row stands for each node, so that only repeated rows are read more than once.
+    first = F.min(F.struct("doc_id", "text_key")).alias("first")
+    one = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(first, F.max("n_shingles").alias("n_shingles"))
+    member = written(families.withColumnRenamed("label", "key").join(one, "node").select("key", "node", "n_shingles", "first.*"), "members")
     large = member.groupBy("key").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("members") / (FAMILY_BLOCK // 2)), F.ceil(F.col("shingles") / (FAMILY_SHINGLES // 2))).cast("int")
     large = large.filter((F.col("members") > FAMILY_BLOCK) | (F.col("shingles") > FAMILY_SHINGLES)).withColumn("blocks", F.least(blocks, F.col("members").cast("int")))
-    texts = docs.select(F.xxhash64("text").alias("text_key"), "text").join(small(member.select("key", "node", "text_key")), "text_key")
+    chosen = small(member.select("key", "node", F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key")))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    texts = texts.join(chosen, (F.col("text_key") == F.col("first_key")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     texts = written(texts.dropDuplicates(["node"]).select("key", "node", "text"), "family-texts")
     return _components_within(texts, large, lambda groups: groups.mapInArrow(lambda it: _link(it, k, percent), "a bigint, b bigint"))
 
