@@ -33,22 +33,41 @@ NA = "<NA>"
 SEPARATOR = " | "
 
 
-def _unaccented() -> tuple[str, str]:
-    """Characters whose compatibility decomposition is one character and combining marks, and that character."""
-    pairs = []
-    for point in range(0x80, min(sys.maxunicode, 0x2FFF) + 1):
+#: What counts as white space at the ends of a text.
+BLANK = "[\\s\\x1c-\\x1f\\x85\\p{Z}]"
+
+
+def strip(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+
+
+def _folded() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition, without combining marks, is one other character, and that
+    character; and those with a longer one, where a letter or digit of ASCII is in it."""
+    one, many = [], {}
+    for point in range(0x80, sys.maxunicode + 1):
         c = chr(point)
         base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if len(base) == 1 and base != c:
-            pairs.append((c, base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+        if base == c or 0xD800 <= point < 0xE000:
+            continue
+        if len(base) == 1:
+            one.append((c, base))
+        elif any(x.isascii() and x.isalnum() for x in base):
+            many[c] = base
+    return "".join(a for a, _ in one), "".join(b for _, b in one), many
 
 
-_ACCENTED, _PLAIN = _unaccented()
+_ACCENTED, _PLAIN, _LONGER = _folded()
 
 
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, _ACCENTED, _PLAIN)
+    """Compatibility forms and accents folded: one character each by translate(), and ligatures, fractions and
+    the like character by character in the texts that have any."""
+    folded = F.translate(c, _ACCENTED, _PLAIN)
+    longer = F.create_map(*[F.lit(x) for pair in _LONGER.items() for x in pair])
+    each = F.array_join(F.transform(F.split(folded, ""), lambda x: F.coalesce(longer[x], x)), "")
+    return F.when(folded.rlike(f"[{''.join(_LONGER)}]"), each).otherwise(folded)
 
 
 def slugify(c: Column) -> Column:
@@ -64,7 +83,7 @@ def normalize_text(c: Column) -> Column:
 
 def normalize_recording_id(c: Column) -> Column:
     """Trimmed, without a closing ``.0``; null becomes empty."""
-    return F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), "\\.0$", "")
+    return F.regexp_replace(strip(F.coalesce(c, F.lit(""))), "\\.0$", "")
 
 
 def file_name(path: Column) -> Column:
@@ -104,7 +123,7 @@ def label_from_group(key: Column, healthy: Sequence[str] = HEALTHY_GROUPS) -> Co
 
 def parse_vowel_filename(name: Column) -> Column:
     """struct<recording_id, vowel, condition> of ``<id>-<a|i|u>_<h|l|lhl|n>.nsp`` or ``<id>-iau.nsp``, else null."""
-    low = F.lower(name)
+    low = F.lower(strip(name))
     single, sequence = "^([0-9]+)-([aiu])_(h|lhl|l|n)\\.nsp$", "^([0-9]+)-iau\\.nsp$"
     one = F.struct(*[F.regexp_extract(low, single, i).alias(n) for i, n in ((1, "recording_id"), (2, "vowel"), (3, "condition"))])
     all_ = F.struct(F.regexp_extract(low, sequence, 1).alias("recording_id"), F.lit("iau").alias("vowel"), F.lit("sequence").alias("condition"))
@@ -137,7 +156,7 @@ def recode(c: Column, codes: Mapping[str, str], ignore_case: bool = False) -> Co
 
 def missing(c: Column) -> Column:
     """Null or blank."""
-    return c.isNull() | (F.trim(c) == "")
+    return c.isNull() | (strip(c) == "")
 
 
 def observed(name: str, c: Column) -> Column:

@@ -50,7 +50,14 @@ def rates() -> dict[str, Column]:
 
 def score_steps(rows: DataFrame, scope: Sequence[str] = (), y_true: str = "y_true", score: str = "y_score") -> DataFrame:
     """Per scope and distinct score, highest first: cumulative true and false positives, and totals."""
-    by = rows.groupBy(*scope, score).agg(F.sum(F.col(y_true).cast("long")).alias("pos"), F.sum((1 - F.col(y_true)).cast("long")).alias("neg"))
+    return _steps(rows.groupBy(*scope, score).agg(*_classes(y_true)), scope, score)
+
+
+def _classes(y_true: str = "y_true") -> list[Column]:
+    return [F.sum(F.col(y_true).cast("long")).alias("pos"), F.sum((1 - F.col(y_true)).cast("long")).alias("neg")]
+
+
+def _steps(by: DataFrame, scope: Sequence[str], score: str) -> DataFrame:
     down = Window.partitionBy(*scope).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*scope)
     return by.withColumns(
@@ -60,7 +67,10 @@ def score_steps(rows: DataFrame, scope: Sequence[str] = (), y_true: str = "y_tru
 
 def ranking(rows: DataFrame, scope: Sequence[str] = (), y_true: str = "y_true", score: str = "y_score") -> DataFrame:
     """roc_auc (ties count half) and average_precision (steps, not trapezoids); null with one class only."""
-    steps = score_steps(rows, scope, y_true, score)
+    return _ranked(score_steps(rows, scope, y_true, score), scope)
+
+
+def _ranked(steps: DataFrame, scope: Sequence[str]) -> DataFrame:
     pos, neg = F.max("all_pos").cast("double"), F.max("all_neg").cast("double")
     # A negative at this score is beaten by the positives above it and half of those beside it.
     wins = F.sum(F.col("neg").cast("double") * (F.col("tp") - F.col("pos") + F.col("pos") / 2))
@@ -99,31 +109,42 @@ def evaluate_scopes(rows: DataFrame, subgroup: str) -> DataFrame:
 
 
 def bootstrap(rows: DataFrame, group: str = "group", iterations: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
-    """Percentile intervals of the confusion metrics over resamples of whole groups.
+    """Percentile intervals of the metrics over resamples of whole groups: confusion metrics, roc_auc and average_precision.
 
-    Groups are reduced to confusion counts first.  A replicate is drawn by giving each group a Poisson
-    number of copies, which needs no list of groups anywhere; so rows are groups x iterations, summed at
-    once.  Replicates without both classes don't count.
+    A replicate is drawn by giving each group a Poisson number of copies, which needs no list of groups
+    anywhere.  Groups are reduced first, to confusion counts and to class counts of each distinct score, so
+    what is multiplied by the iterations is groups, and distinct scores of groups.  Replicates without both
+    classes don't count.  With fewer than two groups there are no intervals: the result is empty.
     """
     by = rows.groupBy(group).agg(*confusion())
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("replicate"), F.col(group)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # Cumulative Poisson(1) probabilities.
-    p, total, bounds = 0.36787944117144233, 0.0, []
-    for k in range(8):
-        total += p
-        bounds.append(total)
-        p /= k + 1
-    copies = sum(((u >= b).cast("int") for b in bounds), F.lit(0))
-    drawn = by.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).withColumn("copies", copies)
-    sums = drawn.groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("copies")).alias(c) for c in CONFUSION])
+    several = by.agg(F.count("*").alias("groups")).filter("groups > 1").select(F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("replicate"))
+    # 32 bits of MD5, equal in every engine.
+    key = F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col(group).cast("string"))
+    u = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    copies = sum(((u >= b).cast("int") for b in poisson_bounds()), F.lit(0))
+    drawn = by.select(group).crossJoin(several).withColumn("copies", copies).filter("copies > 0")  # groups x iterations
+    sums = drawn.join(by, group).groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("copies")).alias(c) for c in CONFUSION])
     valid = sums.filter("tp + fn > 0 AND tn + fp > 0").withColumns(rates())
+    scores = rows.groupBy(group, "y_score").agg(*_classes())
+    taken = drawn.join(scores, group).groupBy("replicate", "y_score").agg(*[F.sum(F.col(c) * F.col("copies")).alias(c) for c in ("pos", "neg")])
+    valid = valid.join(_ranked(_steps(taken, ("replicate",), "y_score"), ("replicate",)), "replicate")
     tail = (1 - confidence) / 2
-    long = valid.unpivot("replicate", list(RATES), "metric", "value")
+    long = valid.unpivot("replicate", [*RATES, "roc_auc", "average_precision"], "metric", "value")
     return long.groupBy("metric").agg(
         F.percentile("value", F.lit(tail)).alias("ci_lower"), F.percentile("value", F.lit(1 - tail)).alias("ci_upper"), F.count("value").alias("valid_iterations")
     )
 
 
+def poisson_bounds(most: int = 8) -> list[float]:
+    """Cumulative probabilities of 0, 1, ... under Poisson(1)."""
+    p, total, out = 0.36787944117144233, 0.0, []
+    for k in range(most):
+        total += p
+        out.append(total)
+        p /= k + 1
+    return out
+
+
 def log_loss(y: Column, p: Column, eps: float = 1e-15) -> Column:
     """Aggregate: mean cross-entropy."""
     q = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))

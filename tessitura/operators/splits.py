@@ -33,7 +33,7 @@ def group_folds(rows: DataFrame, group: str, stratum: str, folds: int = 5, seed:
         raise ValueError("at least 2 folds")
     by = group_strata(rows, group, stratum)
     order = Window.partitionBy("strata").orderBy(hash_order(seed, F.col(group)))
-    start = F.pmod(F.crc32(F.concat(F.lit(f"{seed}|"), F.col("strata")).cast("binary")), F.lit(folds))
+    start = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("strata"))), 1, 8), 16, 10).cast("long"), F.lit(folds))
     return by.select(group, F.pmod(F.row_number().over(order) - 1 + start, F.lit(folds)).cast("int").alias("fold"))
 
 
@@ -88,7 +88,7 @@ def subsample_targets(strata: DataFrame, fraction: float) -> DataFrame:
     base = F.least(F.col("n"), F.greatest(F.lit(1), F.floor(share))).cast("long")
     whole = Window.partitionBy()
     t = strata.withColumn("base", base).withColumn("goal", F.greatest(F.count("*").over(whole), F.bround(F.sum("n").over(whole) * fraction))).withColumn("missing", F.col("goal") - F.sum("base").over(whole))
-    # One more at a time for the stratum with most remainder; what is over after one each goes round again.
+    # At most one more for each stratum, those with most remainder first.
     order = Window.orderBy(F.desc(F.col("open") > 0), F.desc(share - F.col("base")), F.desc("strata"))
     t = t.withColumn("open", F.col("n") - F.col("base"))
     t = t.withColumn("more", ((F.row_number().over(order) <= F.col("missing")) & (F.col("open") > 0)).cast("long"))

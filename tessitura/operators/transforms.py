@@ -92,6 +92,18 @@ def selected_percentile(scores: DataFrame, percentile: int, feature: str = "feat
     return scores.withColumns({"place": place, "keep": F.greatest(F.lit(1), F.floor(n * percentile / 100))}).filter("place <= keep").select(feature, "f")
 
 
+def fitted_long(rows: DataFrame, percentile: int, key: str = "vec_id") -> DataFrame:
+    """key, feature, z: medians filled in, standardized, the best percentile of features by ANOVA F.
+
+    rows: key, target, feature, x.  Every statistic is an aggregate by feature, so rows of any number do.
+    """
+    middle = rows.groupBy("feature").agg(F.median("x").alias("middle"))
+    filled = rows.join(middle, "feature").withColumn("value", F.coalesce("x", "middle"))
+    stats = filled.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    kept = selected_percentile(f_scores(filled), percentile).select("feature")
+    return filled.join(stats, "feature").join(kept, "feature").select(key, "feature", standard_score(F.col("value"), F.col("mean"), F.col("std")).alias("z"))
+
+
 def class_weights(rows: DataFrame, target: str = "target") -> DataFrame:
     """target, weight: n / (classes * n of the class), a row a class, for joining to many rows."""
     by = rows.groupBy(target).agg(F.count("*").alias("n"))

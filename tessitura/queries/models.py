@@ -208,22 +208,51 @@ def x05_group_subsample(spark, d):
     return S.group_subsample(table(spark, d, "orders"), "o_custkey", "o_orderstatus", 0.3).select("o_custkey").distinct()
 
 
-@query()
+def folds_sql(folds: int, seed: int = 42) -> str:
+    """speaker_id, fold of the labelled rows' groups."""
+    return f"""SELECT speaker_id, ((row_number() OVER (PARTITION BY strata ORDER BY sha256('{seed}|' || speaker_id)) - 1
+        + ('0x' || substr(md5('{seed}|' || strata), 1, 8))::BIGINT) % {folds})::INTEGER AS fold
+      FROM (SELECT speaker_id, string_agg(DISTINCT label, '|' ORDER BY label) AS strata FROM {L} GROUP BY 1)"""
+
+
+HOLDOUT = f"""WITH f AS (SELECT m.speaker_id, m.label, f.fold FROM {L} JOIN ({folds_sql(5)}) f ON f.speaker_id = m.speaker_id),
+    c AS (SELECT fold, label, count(*) AS n FROM f GROUP BY 1, 2), p AS (SELECT fold, sum(n) AS size, count(*) AS strata FROM c GROUP BY 1),
+    t AS (SELECT label, count(*) AS all_n FROM f GROUP BY 1), a AS (SELECT count(*) AS n, count(DISTINCT label) AS strata FROM f),
+    s AS (SELECT p.fold, abs(max(p.size) / max(a.n) - 0.2::DOUBLE) + sum(abs(coalesce(c.n, 0) / p.size - t.all_n / a.n)) / 2 AS score
+      FROM p CROSS JOIN t CROSS JOIN a LEFT JOIN c ON c.fold = p.fold AND c.label = t.label WHERE p.strata = a.strata GROUP BY 1),
+    b AS (SELECT arg_min(fold, struct_pack(a := score, b := fold)) AS fold FROM s)"""
+
+
+@query(f"{HOLDOUT} SELECT CASE WHEN f.fold = b.fold THEN 'test' ELSE 'train' END AS partition, label, count(*) AS n, count(DISTINCT speaker_id) AS groups FROM f CROSS JOIN b GROUP BY 1, 2")
 def x01_group_holdout(spark, d):
     return S.group_holdout(candidates(spark, d), "speaker_id", "label", "label").groupBy("partition", "label").agg(F.count("*").alias("n"), F.count_distinct("speaker_id").alias("groups"))
 
 
-@query()
+@query(f"SELECT f.fold, m.label, count(*) AS n, count(DISTINCT m.speaker_id) AS groups FROM {L} JOIN ({folds_sql(5)}) f ON f.speaker_id = m.speaker_id GROUP BY 1, 2")
 def x02_inner_folds(spark, d):
     return S.with_folds(candidates(spark, d), "speaker_id", "label").groupBy("fold", "label").agg(F.count("*").alias("n"), F.count_distinct("speaker_id").alias("groups"))
 
 
-@query()
+DRAWN = f"""SELECT g."group", r AS replicate, {' + '.join(f'(u >= {b!r})::INTEGER' for b in E.poisson_bounds())} AS copies
+    FROM (SELECT "group", r, ('0x' || substr(md5('42|' || r || '|' || "group"), 1, 8))::BIGINT / 4294967296::DOUBLE AS u FROM (SELECT DISTINCT "group" FROM {P}), range(1, 201) t(r)) g"""
+REPLICATES = f"""WITH drawn AS (SELECT * FROM ({DRAWN}) WHERE copies > 0),
+    c AS (SELECT "group", {COUNTS} FROM {P} GROUP BY 1),
+    sums AS (SELECT replicate, {', '.join(f'sum(copies * {x})::BIGINT AS {x}' for x in ('tn', 'fp', 'fn', 'tp'))} FROM drawn JOIN c USING ("group") GROUP BY 1),
+    taken AS (SELECT replicate, y_score, sum(copies * y_true)::BIGINT AS pos, sum(copies * (1 - y_true))::BIGINT AS neg FROM drawn JOIN {P} USING ("group") GROUP BY 1, 2),
+    steps AS (SELECT *, (sum(pos) OVER w)::DOUBLE AS tp, (sum(neg) OVER w)::DOUBLE AS fp, (sum(pos) OVER (PARTITION BY replicate))::DOUBLE AS ap, (sum(neg) OVER (PARTITION BY replicate))::DOUBLE AS an
+      FROM taken WINDOW w AS (PARTITION BY replicate ORDER BY y_score DESC)),
+    ranks AS (SELECT replicate, sum(neg * (tp - pos + pos / 2.0::DOUBLE)) / max(ap * an) AS roc_auc, sum(pos * tp / (tp + fp)) / max(ap) AS average_precision FROM steps WHERE ap > 0 AND an > 0 GROUP BY 1),
+    each AS (SELECT {div('tp + tn', 'tp + tn + fp + fn')} AS accuracy, {BALANCED} AS balanced_accuracy, {div('tp', 'tp + fp')} AS precision, {SENS} AS sensitivity, {div('tn', 'tn + fp', 'NULL')} AS specificity,
+      {F1} AS f1, (({F1}) + ({F0})) / 2 AS macro_f1, {BALANCED} AS uar, {MCC} AS mcc, roc_auc, average_precision FROM sums JOIN ranks USING (replicate) WHERE tp + fn > 0 AND tn + fp > 0)"""
+
+
+@query(f"""{REPLICATES} SELECT metric, round(quantile_cont(value, 0.025), 6) AS ci_lower, round(quantile_cont(value, 0.975), 6) AS ci_upper, count(value) AS valid_iterations
+    FROM (UNPIVOT each ON COLUMNS(*) INTO NAME metric VALUE value) GROUP BY 1""")
 def x06_grouped_bootstrap(spark, d):
-    return E.bootstrap(predictions(spark, d), "group", 200)
+    return E.bootstrap(predictions(spark, d), "group", 200).select("metric", r6("ci_lower").alias("ci_lower"), r6("ci_upper").alias("ci_upper"), "valid_iterations")
 
 
-@query()
+@query(f"SELECT speaker_id, fold, 0 AS repeat FROM ({folds_sql(3)}) UNION ALL SELECT speaker_id, fold, 1 FROM ({folds_sql(3, 43)})")
 def x07_repeated_folds(spark, d):
     return S.repeated_folds(candidates(spark, d), "speaker_id", "label")
 

@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from ..features import extract as X
 from ..ml import search
-from ..ml.estimators import Preprocess
 from ..operators import splits as S
 from ..operators import transforms as T
 from ..plans import protocol, runner
 from ..plans.settings import TrainingConfig
 from ..sources import audio
-from ..views import cv_results, signals, vectors
+from ..views import CV_DUCK, cv_results, signals, vectors
 from .registry import query
 
 
@@ -122,9 +121,14 @@ def m13_distributed_scores(spark, d):
     return out.select("vec_id", "target", F.col("prediction").cast("int").alias("y_pred"), vector_to_array("rawPrediction")[1].alias("y_score"))
 
 
-@query()
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query(f"SELECT DISTINCT unnest([{', '.join(repr(t) for t in TABLES)}]) AS table_name, TRUE AS has_bytes")
 def s01_list_files(spark, d):
-    return audio.list_files(spark, d, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    """The tables' files; a table may be a folder of several."""
+    found = audio.list_files(spark, d, "*.parquet").withColumn("table_name", F.regexp_extract("path", "/([a-z]+)\\.parquet", 1))
+    return found.groupBy("table_name").agg((F.sum("length") > 0).alias("has_bytes"))
 
 
 # ------------------------------------------------------------------ runs over feature rows
@@ -148,12 +152,17 @@ def feature_rows(spark: SparkSession, d: str, base: str | None = None) -> DataFr
     return out if base is None else out.filter(F.col("base") == base)
 
 
-@query()
+FEATURES = "SELECT unnest(range(1, 33)) AS i, 'mfcc' AS family UNION ALL SELECT unnest(range(1, 33)), 'harmonic'"
+NAMED = f"SELECT family, CASE family WHEN 'mfcc' THEN printf('mfcc_%02d_mean', i) ELSE printf('harmonic_%02d_amp', i) END AS feature FROM ({FEATURES})"
+
+
+@query(f"SELECT feature FROM ({NAMED})")
 def p21_numeric_features(spark, d):
     return spark.createDataFrame([(c,) for c in T.numeric_features(feature_rows(spark, d))], "feature string")
 
 
-@query()
+@query(f"""SELECT unnest(['all_with_glottal', 'all_without_glottal']) AS scenario, feature FROM ({NAMED}) UNION ALL
+    SELECT CASE family WHEN 'mfcc' THEN 'mfcc' ELSE 'harmonics' END, feature FROM ({NAMED})""")
 def p22_scenarios(spark, d):
     return spark.createDataFrame([(n, c) for n, columns in runner.scenarios_of(feature_rows(spark, d)).items() for c in columns], "scenario string, feature string")
 
@@ -237,7 +246,8 @@ def k07_protocol_hash(spark, d):
     return spark.createDataFrame([(protocol.digest(content), len(protocol.readable(content)))], "sha256 string, characters int")
 
 
-@query()
+@query(f"""WITH r AS (SELECT DISTINCT scenario, model, fold FROM ({CV_DUCK})) SELECT f.fold, m.scenario, m.model FROM (SELECT DISTINCT fold FROM r) f, (SELECT DISTINCT scenario, model FROM r) m
+    WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.fold = f.fold AND r.scenario = m.scenario AND r.model = m.model AND NOT (r.scenario = 'scenario_1' AND r.fold = 2))""")
 def c11_resume_contract(spark, d):
     """Folds of a checkpoint that are repeated, or missing from one scenario."""
     rows = cv_results(spark, d).select("scenario", "model", "fold").distinct()
@@ -245,10 +255,18 @@ def c11_resume_contract(spark, d):
     return whole.join(rows.filter("NOT (scenario = 'scenario_1' AND fold = 2)"), ["scenario", "model", "fold"], "left_anti")
 
 
-@query()
+LONG = "SELECT vec_id, CAST(label < 5 AS INT) AS target, generate_subscripts(embedding, 1) AS feature, CAST(unnest(embedding) AS DOUBLE) AS raw FROM embeddings"
+HOLES = f"SELECT vec_id, target, feature, CASE WHEN (vec_id + feature) % 11 > 0 THEN raw END AS x FROM ({LONG})"
+FILLED = f"SELECT vec_id, target, feature, coalesce(x, median(x) OVER (PARTITION BY feature)) AS x FROM ({HOLES})"
+
+
+@query(f"""WITH v AS ({FILLED}), s AS (SELECT feature, avg(x) AS m, stddev_pop(x) AS d FROM v GROUP BY 1),
+    f AS (SELECT feature, ((sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (count(*) - 1)) / nullif((sum(q) - sum(s * s / n)) / (sum(n) - count(*)), 0) AS f
+      FROM (SELECT feature, target, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM v GROUP BY 1, 2) GROUP BY 1),
+    k AS (SELECT feature FROM (SELECT feature, row_number() OVER (ORDER BY f DESC NULLS LAST, feature) AS rn, count(*) OVER () AS n FROM f) WHERE rn <= floor(n * 0.25))
+    SELECT vec_id, feature, round(coalesce((x - m) / nullif(d, 0), 0), 5) AS z FROM v JOIN s USING (feature) JOIN k USING (feature)""")
 def m01_pipeline(spark, d):
-    """Imputed, standardized and selected features of each vector."""
-    pre = Preprocess(25)
-    held = search.matrix(vectors(spark, d), "x", "target", "vec_id").sort_values("vec_id")
-    z = pre.fit(np.stack(held["x"]), held["target"].to_numpy())(np.stack(held["x"]))
-    return spark.createDataFrame([(int(i), [round(float(v), 6) for v in r]) for i, r in zip(held["vec_id"], z)], "vec_id bigint, z array<double>")
+    """Imputed, standardized and selected features of each vector, in long form; a part of the values is missing."""
+    v = vectors(spark, d).select("vec_id", "target", F.posexplode("x").alias("i", "raw")).withColumn("feature", (F.col("i") + 1).cast("long"))
+    holes = v.select("vec_id", "target", "feature", F.when((F.col("vec_id") + F.col("feature")) % 11 > 0, F.col("raw")).alias("x"))
+    return T.fitted_long(holes, 25).select("vec_id", "feature", F.round("z", 5).alias("z"))
