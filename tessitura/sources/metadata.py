@@ -53,6 +53,11 @@ def read_sheet(spark: SparkSession, path: str, label: str, sheet: str | None = N
     return rows.withColumns(values)
 
 
+def read_config(spark: SparkSession, path: str) -> DataFrame:
+    """key, value: the entries of a JSON object in a file, values that are no text as JSON."""
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>"))).select("key", "value")
+
+
 def join_metadata(audio: DataFrame, metadata: DataFrame, keys: dict[str, str], one_to_one: bool = False) -> DataFrame:
     """Left join on audio column = metadata column; metadata columns that clash get ``_metadata``.
 

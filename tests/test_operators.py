@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessitura.functions import text
 from tessitura.operators import metrics as E
 from tessitura.operators import reports as R
 from tessitura.operators import selection as Z
@@ -129,3 +130,22 @@ def test_top_k_and_shares(spark):
     assert [tuple(r) for r in R.top_k(df, "x", 1).collect()] == [("b", 2)]
     assert {r["x"]: r["share"] for r in R.shares(df, "x", ("a", "z")).collect()} == {"a": 0.25, "z": 0.0}
     assert [(r["bin"], r["n"]) for r in R.histogram(spark.createDataFrame([(0.0,), (1.0,), (3.0,)], "v double"), "v", 3).orderBy("bin").collect()] == [(0, 1), (1, 1), (2, 1)]
+
+
+def test_normalization_folds_compatibility_forms_and_white_space(spark):
+    rows = [("ﬁn",), ("Ａb",), ("½x",), ("Ünï ﬂ\u00a0",), ("\t a \n",), ("①Ⅷ",), ("…",), (None,), ("𝔘x ㎏",), ("漢",)]
+    df = spark.createDataFrame(rows, "v string")
+    got = [r[0] for r in df.select(text.normalize_text(F.col("v"))).collect()]
+    assert got == ["fin", "ab", "1_2x", "uni_fl", "a", "1viii", "", "", "ux_kg", ""]
+    ids = spark.createDataFrame([("12.0\n",), ("\u00a07.0\t",), (" x ",)], "v string").select(text.normalize_recording_id(F.col("v"))).collect()
+    assert [r[0] for r in ids] == ["12", "7", "x"]
+    assert [r[0] for r in spark.createDataFrame([("\t",), ("\u2003",), ("a",), (None,)], "v string").select(text.missing(F.col("v"))).collect()] == [True, True, False, True]
+
+
+def test_bootstrap_has_intervals_of_ranks_and_needs_groups(spark):
+    rows = [(i % 2, i % 2, 0.9 if i % 2 else 0.1, f"g{i // 2}") for i in range(20)]
+    df = spark.createDataFrame(rows, "y_true int, y_pred int, y_score double, group string")
+    out = {r["metric"]: r for r in E.bootstrap(df, iterations=50).collect()}
+    assert set(out) == set(E.MACRO)
+    assert all((out[m]["ci_lower"], out[m]["ci_upper"]) == (1.0, 1.0) and out[m]["valid_iterations"] > 0 for m in ("balanced_accuracy", "roc_auc", "average_precision"))
+    assert E.bootstrap(df.withColumn("group", F.lit("one")), iterations=50).count() == 0

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tessitura.queries import aggregates, models, procedural, registry, scalars, signals  # noqa: F401
+from tessitura.queries import aggregates, files, models, procedural, registry, scalars, signals  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
