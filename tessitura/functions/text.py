@@ -67,7 +67,8 @@ def strip_accents(c: Column) -> Column:
     folded = F.translate(c, _ACCENTED, _PLAIN)
     longer = F.create_map(*[F.lit(x) for pair in _LONGER.items() for x in pair])
     each = F.array_join(F.transform(F.split(folded, ""), lambda x: F.coalesce(longer[x], x)), "")
-    return F.when(folded.rlike(f"[{''.join(_LONGER)}]"), each).otherwise(folded)
+    has = folded.rlike("[^\\x00-\\x7F]") & (F.length(F.translate(folded, "".join(_LONGER), "")) < F.length(folded))
+    return F.when(has, each).otherwise(folded)
 
 
 def slugify(c: Column) -> Column:

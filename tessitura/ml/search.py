@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Sequence
 from itertools import product
 
@@ -74,23 +75,47 @@ def results(scores: DataFrame, configs: DataFrame) -> DataFrame:
     return by.join(F.broadcast(configs), "candidate")  # a row a configuration
 
 
-def fit_final(train: DataFrame, test: DataFrame, config: dict, key: str = "vec_id") -> DataFrame:
-    """Refit one configuration on all training rows; key, y_true, y_pred, y_score of the test rows."""
+def fitted(train: DataFrame, configs: DataFrame, key: str = "vec_id") -> DataFrame:
+    """candidate, converged, model (pickled): each configuration fitted on all training rows, one row of work each.
+
+    The matrix, of checked size, goes to each executor once.
+    """
+    spark = train.sparkSession
     held = matrix(train, "x", "target", key).sort_values(key)
-    x, y = np.stack(held["x"].to_numpy()).astype(float), held["target"].to_numpy().astype(int)
-    pre = E.Preprocess(int(config["percentile"])).fit(x, y)
-    model = E.make(config["model"], config).fit(pre(x), y)
-    shared = train.sparkSession.sparkContext.broadcast((pre, model))
+    data = spark.sparkContext.broadcast((np.stack(held["x"].to_numpy()).astype(float), held["target"].to_numpy().astype(int)))
+
+    def run(batches):
+        x, y = data.value
+        for b in batches:
+            for r in b.to_dict("records"):
+                pre = E.Preprocess(int(r["percentile"])).fit(x, y)
+                model = E.make(r["model"], r).fit(pre(x), y)
+                yield pd.DataFrame([(r["candidate"], getattr(model, "converged", True), pickle.dumps((pre, model)))], columns=["candidate", "converged", "model"])
+
+    return configs.repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(run, "candidate int, converged boolean, model binary")
+
+
+def predicted(models: DataFrame, test: DataFrame, key: str = "vec_id") -> DataFrame:
+    """candidate, key, y_true, y_pred, y_score of the test rows under each of the models, which are as many as configurations."""
+    shared = test.sparkSession.sparkContext.broadcast([(r["candidate"], bytes(r["model"])) for r in models.orderBy("candidate").collect()])
 
     def run(batches):
-        pre, model = shared.value
+        held = [(candidate, *pickle.loads(model)) for candidate, model in shared.value]
         for b in batches:
             if len(b):
-                z = pre(np.stack(b["x"].to_numpy()).astype(float))
-                yield pd.DataFrame({key: b[key], "y_true": b["target"], "y_pred": model.predict(z), "y_score": model.score(z)})
+                x = np.stack(b["x"].to_numpy()).astype(float)
+                for candidate, pre, model in held:
+                    z = pre(x)
+                    yield pd.DataFrame({"candidate": candidate, key: b[key], "y_true": b["target"], "y_pred": model.predict(z), "y_score": model.score(z)})
 
     kind = test.schema[key].dataType.simpleString()
-    return test.select(key, "x", "target").mapInPandas(run, f"{key} {kind}, y_true int, y_pred int, y_score double")
+    return test.select(key, "x", "target").mapInPandas(run, f"candidate int, {key} {kind}, y_true int, y_pred int, y_score double")
+
+
+def fit_final(train: DataFrame, test: DataFrame, config: dict, key: str = "vec_id") -> DataFrame:
+    """Refit one configuration on all training rows, in a task; key, y_true, y_pred, y_score of the test rows."""
+    row = tuple({"candidate": 0, "neurons": 0, "depth": 0, **config}.get(c.split()[0]) for c in CONFIG.split(", "))
+    return predicted(fitted(train, configurations(train.sparkSession, [row]), key), test, key).drop("candidate")
 
 
 def learning_points(rows: DataFrame, config: dict, fractions: Sequence[float], group: str = "group", key: str = "vec_id", seed: int = 42) -> DataFrame:

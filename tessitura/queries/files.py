@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,16 +20,6 @@ from .registry import query, r6
 M, P = f"({MANIFEST_SQL}) m", f"({PREDICTION_SQL}) p"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors reach."""
-    held = spark.conf.get("spark.checkpoint.dir", None)
-    if not held:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        held = f"file://{tempfile.mkdtemp(prefix='tessitura-')}"
-    return f"{held.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def values(rows: list[tuple], *names: str) -> str:
     """SQL of a table of constants."""
     literal = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
@@ -51,7 +39,7 @@ def s10_read_sheet(spark, d):
         F.when(key % 7 == 0, "n/a").otherwise((key % 90).cast("string")).alias("edad"),
         F.when(key % 3 == 0, " h ").when(key % 3 == 1, "M").otherwise("x").alias("sexo"),
     )
-    at = f"{scratch(spark)}/sheet.csv"
+    at = f"{sinks.scratch(spark)}/sheet.csv"
     sheet.write.option("header", True).csv(at)
     return metadata.read_sheet(spark, at, "healthy").select("metadata_filename", "metadata_file_key", "age", "sex", "label")
 
@@ -61,7 +49,7 @@ SETTINGS = {"dataset": "d1", "vowels": ["a", "i"], "seed": 42, "strict": True, "
 
 @query(values([("dataset", "d1"), ("vowels", '["a","i"]'), ("seed", "42"), ("strict", "true"), ("name", "tést")], "key", "value"))
 def s14_json_config(spark, d):
-    at = f"{scratch(spark)}/config.json"
+    at = f"{sinks.scratch(spark)}/config.json"
     sinks.write_json(spark, SETTINGS, at)
     return metadata.read_config(spark, at)
 
@@ -72,7 +60,7 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT doc_id, y_true, y_pred, 'exact' AS way FROM {P} WHERE vowel = 'en' AND doc_id % 2 = 0 UNION ALL SELECT doc_id, y_true, y_pred, 'contained' FROM {P} WHERE vowel = 'fr' AND doc_id % 2 = 1")
 def s15_prediction_lookup(spark, d):
-    folder = scratch(spark)
+    folder = sinks.scratch(spark)
     rows = scored(spark, d)
     sinks.write_metrics(E.evaluate(rows), rows, folder)
     ways = (("exact", "mfcc_en", "svm_rbf"), ("contained", "fr", "mlp"))
@@ -94,7 +82,7 @@ def cohort(spark: SparkSession, d: str) -> C.Cohort:
 @query(f"""SELECT 'training.parquet' AS file, label AS name, count(*) AS n FROM {M} WHERE label IS NOT NULL GROUP BY 2 UNION ALL SELECT 'training.csv', label, count(*) FROM {M} WHERE label IS NOT NULL GROUP BY 2
     UNION ALL SELECT 'exclusions.csv', 'missing_label', count(*) FROM {M} WHERE label IS NULL UNION ALL SELECT 'duplicates.csv', 'copies', count(*) FROM {M} WHERE label IS NOT NULL AND doc_id % 10 = 0""")
 def k01_cohort_files(spark, d):
-    folder = scratch(spark)
+    folder = sinks.scratch(spark)
     sinks.write_cohort(cohort(spark, d), folder)
     csv = spark.read.option("header", True)
     parts = (
@@ -113,7 +101,7 @@ def k01_cohort_files(spark, d):
 @query(f"SELECT format, base, count(*) AS n, sum(doc_id)::BIGINT AS ids, count(label) AS labels FROM {M} CROSS JOIN (VALUES ('csv'), ('parquet')) f(format) GROUP BY 1, 2")
 def k02_table_files(spark, d):
     """The raw manifest as Parquet and as CSV; a list goes to CSV as JSON."""
-    at = f"{scratch(spark)}/raw_manifest"
+    at = f"{sinks.scratch(spark)}/raw_manifest"
     sinks.write_table(manifest(spark, d).withColumn("both", F.array("base", "sample_id")), at)
     plain = spark.read.parquet(f"{at}.parquet").select(F.lit("parquet").alias("format"), F.col("both")[0].alias("base"), "doc_id", "label")
     text = spark.read.option("header", True).csv(f"{at}.csv")
@@ -123,14 +111,14 @@ def k02_table_files(spark, d):
 
 @query(f"SELECT vowel, round({div('tp + tn', 'tp + tn + fp + fn')}, 6) AS accuracy, tp FROM ({BY_VOWEL})")
 def k03_metric_files(spark, d):
-    folder, rows = scratch(spark), scored(spark, d)
+    folder, rows = sinks.scratch(spark), scored(spark, d)
     sinks.write_metrics(E.evaluate(rows, ("vowel",)), rows, folder)
     return spark.read.parquet(f"{folder}/metrics.parquet").select("vowel", r6("accuracy").alias("accuracy"), "tp")
 
 
 @query(values([("same protocol", "0.25"), ("other protocol", "model svm was fitted under another protocol")], "step", "result"))
 def k04_model_files(spark, d):
-    folder = scratch(spark)
+    folder = sinks.scratch(spark)
     sinks.write_model(spark, "svm", {"weight": 0.25}, "p1", folder)
     rows = [("same protocol", str(sinks.read_model(spark, "svm", "p1", folder)["weight"]))]
     try:
@@ -146,7 +134,7 @@ def k04_model_files(spark, d):
       'duplicate_groups: ' || count_if(label IS NOT NULL AND doc_id % 10 = 0), 'duplicate_rows: ' || count_if(label IS NOT NULL AND doc_id % 10 = 0)]) AS line FROM m
     UNION ALL SELECT '  ' || label || ': ' || n FROM l""")
 def k05_summary_text(spark, d):
-    at = f"{scratch(spark)}/summary.txt"
+    at = f"{sinks.scratch(spark)}/summary.txt"
     sinks.write_text(spark, "\n".join(sinks.summary_lines(cohort(spark, d))), at)
     return spark.read.text(at).select(F.col("value").alias("line"))
 
@@ -204,7 +192,7 @@ def o02_prepared_run(spark, d):
     """A whole run up to its first stage; the manifests that it wrote are read again."""
     rows = C.first_of(manifest(spark, d), ("file_sha256",), ("doc_id",))
     rows = rows.withColumns({"filepath": F.col("relative_path"), "audio_read_error": F.lit(None).cast("string")})
-    out = runner.run(spark, Request(Dataset.FIRST, Stage.PREPARE), {"d1": rows}, scratch(spark))
+    out = runner.run(spark, Request(Dataset.FIRST, Stage.PREPARE), {"d1": rows}, sinks.scratch(spark))
     folder = out["folder"]
     raw = spark.read.parquet(f"{folder.manifests}/raw_manifest.parquet").agg(F.count("*").alias("input_rows"))
     return raw.crossJoin(spark.read.parquet(f"{folder.manifests}/training_manifest.parquet").agg(F.count("*").alias("training_rows")))  # one row each

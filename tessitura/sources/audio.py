@@ -96,7 +96,7 @@ def list_files(spark: SparkSession, folder: str, suffixes: str = "*") -> DataFra
 def _relative(folder: str):
     root = folder.split(":", 1)[-1].rstrip("/")
     root = "/" + root.lstrip("/")
-    return F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^{root}/", "")
+    return F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^\\Q{root}\\E/", "")
 
 
 def read_audio(spark: SparkSession, folder: str, keep_signal: bool = True, suffixes: str = "*.{wav,WAV,nsp,NSP}") -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import pickle
+import tempfile
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -14,6 +16,24 @@ from pyspark.sql import types as T
 from ..operators.cohort import Cohort
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors reach: in spark.checkpoint.dir, or where that is unset a temporary one of this
+    machine, which is an error if there are others."""
+    held = spark.conf.get("spark.checkpoint.dir", None)
+    if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        held = f"file://{tempfile.mkdtemp(prefix='tessitura-')}"
+    return f"{held.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """The rows written and read again, so that what made them runs once."""
+    at = scratch(rows.sparkSession)
+    rows.write.parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
+
+
 def flat(rows: DataFrame) -> DataFrame:
     """Arrays and maps as JSON text, for formats without them."""
     return rows.select([F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(f.name) for f in rows.schema])
