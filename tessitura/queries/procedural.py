@@ -61,9 +61,10 @@ def g17_feature_rows(spark, d):
     return X.extract(spoken(spark, d), 8000)
 
 
-@query()
+@query("""SELECT CASE WHEN bad THEN 'error' ELSE 'ok' END AS status, CASE WHEN bad THEN 'sample rate must be positive' END AS error, count(*) AS n
+    FROM (SELECT DISTINCT user_id, md5('user_' || user_id) < '8' AS bad FROM events) GROUP BY 1, 2""")
 def g18_fault_isolation(spark, d):
-    bad = spoken(spark, d).withColumn("sr", F.when(F.crc32(F.col("sample_id").cast("binary")) % 2 == 0, 0).otherwise(F.col("sr")))
+    bad = spoken(spark, d).withColumn("sr", F.when(F.md5("sample_id") < "8", 0).otherwise(F.col("sr")))
     return X.profile(bad, 1000).groupBy("status", "error").agg(F.count("*").alias("n"))
 
 
@@ -213,29 +214,50 @@ def recordings(spark: SparkSession, d: str, suffix: str) -> DataFrame:
     return s.select(F.concat(F.lit("/data/"), name).alias("path"), name.alias("relative_path"), content.alias("content"))
 
 
-@query()
+#: The files in SQL: u, place (relative path), bad, n (samples).
+WAVS = "SELECT CASE user_id % 2 WHEN 0 THEN 'Normales/' ELSE 'Patologicos/' END || user_id || '.wav' AS place, user_id AS u, user_id % 10 = 0 AS bad, count(*) AS n FROM events GROUP BY user_id"
+NSPS = "SELECT CASE user_id % 2 WHEN 0 THEN 'Gesund/' ELSE 'Dysphonie/' END || user_id || '/vowels/' || user_id || '-a_n.nsp' AS place, user_id AS u, user_id % 10 = 0 AS bad, count(*) AS n FROM events GROUP BY user_id"
+READ = "SELECT place AS relative_path, CASE WHEN NOT bad THEN 16000 END AS sr, CASE WHEN NOT bad THEN n END AS frames, CASE WHEN NOT bad THEN n END::INTEGER AS n, CASE WHEN bad THEN 'error' ELSE 'ok' END AS audio_read_status FROM ({})"
+INDEXED = """place AS relative_path, TRUE AS hashed, CASE WHEN NOT bad THEN 1 END AS channels, CASE WHEN NOT bad THEN n END AS frames, CASE WHEN bad THEN 'error' ELSE 'ok' END AS audio_read_status, bad AS has_error,
+    '/data/' || place AS filepath, 'a' AS vowel, CASE u % 2 WHEN 0 THEN 'healthy' ELSE 'pathological' END AS label, CASE WHEN NOT bad THEN round(n / 16000.0::DOUBLE, 9) END AS duration, CASE WHEN NOT bad THEN 16000 END AS samplerate"""
+
+
+def indexed(rows: DataFrame, *more: str) -> DataFrame:
+    hashed, error = F.length("file_sha256") == 64, F.col("audio_read_error").isNotNull()
+    return rows.select(
+        "relative_path", hashed.alias("hashed"), "channels", "frames", "audio_read_status", error.alias("has_error"), "filepath", "vowel", "label", F.round("duration", 9).alias("duration"), "samplerate", *more
+    )
+
+
+@query(f"""SELECT '/data/' || place AS path, CASE WHEN NOT bad THEN 16000 END AS sr, CASE WHEN NOT bad THEN 1 END AS channels, CASE WHEN NOT bad THEN n END AS frames,
+    CASE WHEN NOT bad THEN n / 16000.0::DOUBLE END AS file_duration, CASE WHEN bad THEN 'AudioReadError: not a readable WAV file: ' END AS error FROM ({WAVS})""")
 def s03_audio_summary(spark, d):
     return audio.summarized(audio.decoded(recordings(spark, d, "wav"), keep_signal=False))
 
 
-@query()
+@query(READ.format(WAVS))
 def s04_read_wav(spark, d):
     return audio.decoded(recordings(spark, d, "wav")).select("relative_path", "sr", "frames", F.size("signal").alias("n"), "audio_read_status")
 
 
-@query()
+@query(READ.format(NSPS))
 def s05_read_nsp(spark, d):
     return audio.decoded(recordings(spark, d, "nsp")).select("relative_path", "sr", "frames", F.size("signal").alias("n"), "audio_read_status")
 
 
-@query()
+@query(f"""SELECT {INDEXED}, 'd1_' || CASE u % 2 WHEN 0 THEN 'normales_' ELSE 'patologicos_' END || u AS sample_id, 'D1' AS base, u || '.wav' AS filename, u::VARCHAR AS file_stem, u::VARCHAR AS file_key,
+    CASE u % 2 WHEN 0 THEN 'Normales' ELSE 'Patologicos' END AS folder, NULL::VARCHAR AS pitch, 'd1_' || CASE u % 2 WHEN 0 THEN 'normales_' ELSE 'patologicos_' END || u AS speaker_id,
+    'assumed_unique_acoustic_sample' AS speaker_id_source FROM ({WAVS})""")
 def s08_index_by_path(spark, d):
-    return audio.index_by_path(audio.decoded(recordings(spark, d, "wav"), keep_signal=False)).drop("signal")
+    rows = audio.index_by_path(audio.decoded(recordings(spark, d, "wav"), keep_signal=False))
+    return indexed(rows, "sample_id", "base", "filename", "file_stem", "file_key", "folder", "pitch", "speaker_id", "speaker_id_source")
 
 
-@query()
+@query(f"""SELECT {INDEXED}, 'd2_' || lower(g) || '_' || u || '_vowels_' || u || '_a_n' AS sample_id, 'D2' AS base, u::VARCHAR AS recording_id, 'n' AS "condition", 'n' AS pitch, g AS pathology_group,
+    lower(g) AS pathology_group_key, TRUE AS recording_id_matches_folder FROM (SELECT *, CASE u % 2 WHEN 0 THEN 'Gesund' ELSE 'Dysphonie' END AS g FROM ({NSPS}))""")
 def s09_index_by_recording(spark, d):
-    return audio.index_by_recording(audio.decoded(recordings(spark, d, "nsp"), keep_signal=False)).drop("signal")
+    rows = audio.index_by_recording(audio.decoded(recordings(spark, d, "nsp"), keep_signal=False))
+    return indexed(rows, "sample_id", "base", "recording_id", "condition", "pitch", "pathology_group", "pathology_group_key", "recording_id_matches_folder")
 
 
 @query()
