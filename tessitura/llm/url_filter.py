@@ -32,6 +32,9 @@ SOFT = {
 #: Summed weight of distinct soft terms that blocks.
 SOFT_LIMIT = 2
 
+#: Terms of a vocabulary read from a table.
+MOST_TERMS = 1_000_000
+
 RESULT = "host string, path string, rule string, verdict string, n_strict bigint, soft_weight bigint"
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -128,6 +131,17 @@ def _edge(c: str) -> bool:
     return not ("a" <= c <= "z" or "0" <= c <= "9") if c else True
 
 
+def vocabulary(terms: DataFrame, most: int = MOST_TERMS) -> dict[str, object]:
+    """The options strict and soft of judge() from rows of term (lower case) and weight, null for strict terms.
+
+    The automaton stands in every worker, so a table of more than most terms is refused.
+    """
+    rows = terms.select("term", "weight").filter(F.length("term") > 0).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms")
+    return {"strict": sorted(r["term"] for r in rows if r["weight"] is None), "soft": {r["term"]: r["weight"] for r in rows if r["weight"] is not None}}
+
+
 def url_verdicts(pages: DataFrame, **options) -> DataFrame:
     """One row per page: page_id and the fields of judge().  Reads page_id and url only."""
     prepare(pages.sparkSession)

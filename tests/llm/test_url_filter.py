@@ -42,3 +42,20 @@ def test_filter_keeps_columns_and_empty_input(spark):
 @pytest.mark.parametrize("url,blocked", [("http://a.b/?q=porn", True), ("http://a.b/spornx", False), ("http://PORN.b/", True), ("xxx", True)])
 def test_boundaries(spark, url, blocked):
     assert (U.url_verdicts(spark.createDataFrame([(1, url)], "page_id int, url string")).first()["verdict"] == "block") == blocked
+
+
+def test_vocabulary_of_a_table(spark):
+    terms = spark.createDataFrame([("bad", None), ("mild", 1), ("worse", 2), ("worse", 2), ("", 1)], "term string, weight int")
+    found = U.vocabulary(terms)
+    assert found == {"strict": ["bad"], "soft": {"mild": 1, "worse": 2}}
+    df = spark.createDataFrame([(1, "http://a.b/bad"), (2, "http://a.b/mild"), (3, "http://a.b/mild/worse"), (4, "http://a.b/worse-worse")], "page_id int, url string")
+    out = {r["page_id"]: r["verdict"] for r in U.url_verdicts(df, soft_limit=3, **found).collect()}
+    assert out == {1: "block", 2: "allow", 3: "block", 4: "allow"}
+    with pytest.raises(ValueError):
+        U.vocabulary(terms, most=2)
+
+
+def test_long_urls(spark):
+    long = "http://" + "a." * 100_000 + "net/" + "x" * 100_000 + "/porn"
+    r = U.url_verdicts(spark.createDataFrame([(1, long)], "page_id int, url string")).first()
+    assert (r["rule"], r["verdict"], r["n_strict"], len(r["host"])) == ("net/", "block", 1, 200_003)
