@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lm, mixing, neardup, pii, quality, sharding, token_files, url_filter
+from . import decontaminate, langid, lm, mixing, neardup, pii, quality, sharding, snapshots, token_files, url_filter
 from .common import shared_path
 
 
@@ -60,6 +60,32 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_language_id, op3_source_mixing, op4_near_duplicates, op5_lm_scoring, op6_personal_data, op7_quality_rules, op8_token_files, op9_decontamination, op10_sharding)}
-
-ORACLES = {"op1_url_filters": url_filter.oracle(), "op3_source_mixing": mixing.oracle(), "op4_near_duplicates": neardup.oracle(), "op10_sharding": sharding.oracle()}
+def op12_snapshot_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return snapshots.changes(docs, snapshots.later_documents(docs))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filters,
+        op2_language_id,
+        op3_source_mixing,
+        op4_near_duplicates,
+        op5_lm_scoring,
+        op6_personal_data,
+        op7_quality_rules,
+        op8_token_files,
+        op9_decontamination,
+        op10_sharding,
+        op12_snapshot_difference,
+    )
+}
+
+ORACLES = {
+    "op1_url_filters": url_filter.oracle(),
+    "op3_source_mixing": mixing.oracle(),
+    "op4_near_duplicates": neardup.oracle(),
+    "op10_sharding": sharding.oracle(),
+    "op12_snapshot_difference": snapshots.oracle(),
+}
