@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lm, mixing, neardup, pii, quality, sharding, snapshots, token_files, url_filter
+from . import decontaminate, langid, lm, mixing, neardup, pii, quality, recipes, sharding, snapshots, token_files, url_filter
 from .common import shared_path
 
 
@@ -65,6 +65,10 @@ def op12_snapshot_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.changes(docs, snapshots.later_documents(docs))
 
 
+def op13_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recipes.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -79,6 +83,7 @@ QUERIES = {
         op9_decontamination,
         op10_sharding,
         op12_snapshot_difference,
+        op13_exact_duplicates,
     )
 }
 
@@ -88,4 +93,5 @@ ORACLES = {
     "op4_near_duplicates": neardup.oracle(),
     "op10_sharding": sharding.oracle(),
     "op12_snapshot_difference": snapshots.oracle(),
+    "op13_exact_duplicates": recipes.oracle(),
 }

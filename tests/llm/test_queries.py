@@ -22,6 +22,7 @@ COLUMNS = {
     "op9_decontamination": "doc_id item_id",
     "op10_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op12_snapshot_difference": "key old_key op changed row_sha256",
+    "op13_exact_duplicates": "doc_id keep_id group_size kept text_sha256",
 }
 
 
