@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lm, mixing, neardup, pii, quality, recipes, sharding, snapshots, token_files, url_filter
+from . import decontaminate, fim, langid, lm, mixing, neardup, pii, quality, recipes, sharding, snapshots, token_files, url_filter
 from .common import shared_path
 
 
@@ -60,6 +60,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def fim_digest(docs: DataFrame) -> DataFrame:
+    made = fim.fill_in_middle(docs)
+    digests = [F.sha2(c, 256).alias(name) for c, name in ((F.col("output"), "output_sha256"), (fim.restored(), "restored_sha256"))]
+    return made.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), *digests)
+
+
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_digest(_table(spark, sf_dir, "documents"))
+
+
 def op12_snapshot_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return snapshots.changes(docs, snapshots.later_documents(docs))
@@ -82,6 +92,7 @@ QUERIES = {
         op8_token_files,
         op9_decontamination,
         op10_sharding,
+        op11_fill_in_middle,
         op12_snapshot_difference,
         op13_exact_duplicates,
     )
@@ -92,6 +103,7 @@ ORACLES = {
     "op3_source_mixing": mixing.oracle(),
     "op4_near_duplicates": neardup.oracle(),
     "op10_sharding": sharding.oracle(),
+    "op11_fill_in_middle": fim.oracle(),
     "op12_snapshot_difference": snapshots.oracle(),
     "op13_exact_duplicates": recipes.oracle(),
 }

@@ -21,6 +21,7 @@ COLUMNS = {
     "op8_token_files": "doc_id start n_tokens ids_crc32",
     "op9_decontamination": "doc_id item_id",
     "op10_sharding": "doc_id size text_crc32 law shard slot grown_shard",
+    "op11_fill_in_middle": "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256",
     "op12_snapshot_difference": "key old_key op changed row_sha256",
     "op13_exact_duplicates": "doc_id keep_id group_size kept text_sha256",
 }

@@ -11,16 +11,13 @@ from tessitura.llm import snapshots as S
 
 from .conftest import ODD, SCHEMA
 
-NULL = object()
-
-
 def first_null(v):
     return (v is not None, v if v is not None else 0)
 
 
 def content_order(row):
-    text = None if row[1] is None else hashlib.sha256(row[1].encode()).digest()
-    return [first_null(x if isinstance(x, bytes) or x is None else x.encode()) for x in (text, row[2], row[3])]
+    held = ["-" if v is None else f"{len(v.encode())}:{v}" for v in row[1:]]
+    return hashlib.sha256("".join(held).encode()).hexdigest()[:32]
 
 
 def brute(earlier, later):
