@@ -1,16 +1,19 @@
 """Binary classification metrics as aggregates: overall, by subgroup, macro averages, bootstrap.
 
 Ranks and curves need the rows of a scope in order of score; they are aggregated to one row for each
-distinct score first, so what is ordered is never larger than the number of distinct scores.
+distinct score first, and the running sums over these are a scan in two passes over ranges of scores.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import replicates
+from .scan import running
+
 CONFUSION = ("tn", "fp", "fn", "tp")
 RATES = ("accuracy", "balanced_accuracy", "precision", "sensitivity", "specificity", "f1", "macro_f1", "uar", "mcc")
 MACRO = (*RATES, "roc_auc", "average_precision")
@@ -49,29 +52,18 @@ def rates() -> dict[str, Column]:
 
 
 def score_steps(rows: DataFrame, scope: Sequence[str] = (), y_true: str = "y_true", score: str = "y_score") -> DataFrame:
-    """Per scope and distinct score, highest first: cumulative true and false positives, and totals."""
-    return _steps(rows.groupBy(*scope, score).agg(*_classes(y_true)), scope, score)
-
-
-def _classes(y_true: str = "y_true") -> list[Column]:
-    return [F.sum(F.col(y_true).cast("long")).alias("pos"), F.sum((1 - F.col(y_true)).cast("long")).alias("neg")]
+    """Per scope and distinct score, highest first: pos and neg, and cumulative true and false positives (tp, fp).
 
-
-def _steps(by: DataFrame, scope: Sequence[str], score: str) -> DataFrame:
-    down = Window.partitionBy(*scope).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*scope)
-    return by.withColumns(
-        {"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "all_pos": F.sum("pos").over(whole), "all_neg": F.sum("neg").over(whole)}
-    )
+    A two-pass scan, so no task orders a scope, however many distinct scores it has.
+    """
+    by = rows.groupBy(*scope, score).agg(F.sum(F.col(y_true).cast("long")).alias("pos"), F.sum((1 - F.col(y_true)).cast("long")).alias("neg"))
+    return running(by, [F.desc(score)], {"tp": F.col("pos"), "fp": F.col("neg")}, scope)
 
 
 def ranking(rows: DataFrame, scope: Sequence[str] = (), y_true: str = "y_true", score: str = "y_score") -> DataFrame:
     """roc_auc (ties count half) and average_precision (steps, not trapezoids); null with one class only."""
-    return _ranked(score_steps(rows, scope, y_true, score), scope)
-
-
-def _ranked(steps: DataFrame, scope: Sequence[str]) -> DataFrame:
-    pos, neg = F.max("all_pos").cast("double"), F.max("all_neg").cast("double")
+    steps = score_steps(rows, scope, y_true, score)
+    pos, neg = F.max("tp").cast("double"), F.max("fp").cast("double")  # the last step has the totals
     # A negative at this score is beaten by the positives above it and half of those beside it.
     wins = F.sum(F.col("neg").cast("double") * (F.col("tp") - F.col("pos") + F.col("pos") / 2))
     precision = F.col("tp").cast("double") / (F.col("tp") + F.col("fp"))
@@ -83,7 +75,12 @@ def _ranked(steps: DataFrame, scope: Sequence[str]) -> DataFrame:
 
 def curves(rows: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """Points of the ROC and precision-recall curves, one for each distinct score."""
-    s = score_steps(rows, scope)
+    steps = score_steps(rows, scope)
+    totals = steps.groupBy(*[F.col(c).alias(f"curve_{c}") for c in scope]).agg(F.max("tp").alias("all_pos"), F.max("fp").alias("all_neg"))
+    same = F.lit(True)
+    for c in scope:
+        same &= F.col(c).eqNullSafe(F.col(f"curve_{c}"))
+    s = steps.join(totals, same) if scope else steps.crossJoin(totals)  # one row
     return s.select(*scope, "y_score", (F.col("fp") / F.col("all_neg")).alias("fpr"), (F.col("tp") / F.col("all_pos")).alias("tpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
@@ -111,23 +108,14 @@ def evaluate_scopes(rows: DataFrame, subgroup: str) -> DataFrame:
 def bootstrap(rows: DataFrame, group: str = "group", iterations: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
     """Percentile intervals of the metrics over resamples of whole groups: confusion metrics, roc_auc and average_precision.
 
-    A replicate is drawn by giving each group a Poisson number of copies, which needs no list of groups
-    anywhere.  Groups are reduced first, to confusion counts and to class counts of each distinct score, so
-    what is multiplied by the iterations is groups, and distinct scores of groups.  Replicates without both
-    classes don't count.  With fewer than two groups there are no intervals: the result is empty.
+    A replicate gives each group a Poisson number of copies, which follows from a hash of the group and the replicate's
+    number, so no list of groups is needed anywhere; ``replicates`` sums vectors with a place for each replicate.
+    Replicates without both classes don't count.  With fewer than two groups there are no intervals: the result is empty.
     """
-    by = rows.groupBy(group).agg(*confusion())
-    several = by.agg(F.count("*").alias("groups")).filter("groups > 1").select(F.explode(F.sequence(F.lit(1), F.lit(iterations))).alias("replicate"))
-    # 32 bits of MD5, equal in every engine.
-    key = F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col(group).cast("string"))
-    u = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    copies = sum(((u >= b).cast("int") for b in poisson_bounds()), F.lit(0))
-    drawn = by.select(group).crossJoin(several).withColumn("copies", copies).filter("copies > 0")  # groups x iterations
-    sums = drawn.join(by, group).groupBy("replicate").agg(*[F.sum(F.col(c) * F.col("copies")).alias(c) for c in CONFUSION])
+    if rows.select(group).distinct().limit(2).count() < 2:
+        return rows.sparkSession.createDataFrame([], "metric string, ci_lower double, ci_upper double, valid_iterations bigint")
+    sums = replicates.replicated(rows, group, iterations, seed)
     valid = sums.filter("tp + fn > 0 AND tn + fp > 0").withColumns(rates())
-    scores = rows.groupBy(group, "y_score").agg(*_classes())
-    taken = drawn.join(scores, group).groupBy("replicate", "y_score").agg(*[F.sum(F.col(c) * F.col("copies")).alias(c) for c in ("pos", "neg")])
-    valid = valid.join(_ranked(_steps(taken, ("replicate",), "y_score"), ("replicate",)), "replicate")
     tail = (1 - confidence) / 2
     long = valid.unpivot("replicate", [*RATES, "roc_auc", "average_precision"], "metric", "value")
     return long.groupBy("metric").agg(
@@ -135,16 +123,6 @@ def bootstrap(rows: DataFrame, group: str = "group", iterations: int = 1000, con
     )
 
 
-def poisson_bounds(most: int = 8) -> list[float]:
-    """Cumulative probabilities of 0, 1, ... under Poisson(1)."""
-    p, total, out = 0.36787944117144233, 0.0, []
-    for k in range(most):
-        total += p
-        out.append(total)
-        p /= k + 1
-    return out
-
-
 def log_loss(y: Column, p: Column, eps: float = 1e-15) -> Column:
     """Aggregate: mean cross-entropy."""
     q = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as E
+from ..operators import replicates as V
 from ..operators import reports as R
 from ..operators import selection as Z
 from ..operators import splits as S
@@ -233,8 +234,10 @@ def x02_inner_folds(spark, d):
     return S.with_folds(candidates(spark, d), "speaker_id", "label").groupBy("fold", "label").agg(F.count("*").alias("n"), F.count_distinct("speaker_id").alias("groups"))
 
 
-DRAWN = f"""SELECT g."group", r AS replicate, {' + '.join(f'(u >= {b!r})::INTEGER' for b in E.poisson_bounds())} AS copies
-    FROM (SELECT "group", r, ('0x' || substr(md5('42|' || r || '|' || "group"), 1, 8))::BIGINT / 4294967296::DOUBLE AS u FROM (SELECT DISTINCT "group" FROM {P}), range(1, 201) t(r)) g"""
+DRAWS = 1000
+DRAWN = f"""SELECT g."group", r AS replicate, {' + '.join(f'((a * r + b) % {V.PRIME} >= {x})::INTEGER' for x in V.poisson_bounds())} AS copies
+    FROM (SELECT "group", ('0x' || substr(md5('42|' || "group"), 1, 15))::BIGINT % {V.PRIME - 1} + 1 AS a, ('0x' || substr(md5('42|' || "group"), 16, 15))::BIGINT % {V.PRIME} AS b
+      FROM (SELECT DISTINCT "group" FROM {P})) g, range(1, {DRAWS + 1}) t(r)"""
 REPLICATES = f"""WITH drawn AS (SELECT * FROM ({DRAWN}) WHERE copies > 0),
     c AS (SELECT "group", {COUNTS} FROM {P} GROUP BY 1),
     sums AS (SELECT replicate, {', '.join(f'sum(copies * {x})::BIGINT AS {x}' for x in ('tn', 'fp', 'fn', 'tp'))} FROM drawn JOIN c USING ("group") GROUP BY 1),
@@ -249,7 +252,7 @@ REPLICATES = f"""WITH drawn AS (SELECT * FROM ({DRAWN}) WHERE copies > 0),
 @query(f"""{REPLICATES} SELECT metric, round(quantile_cont(value, 0.025), 6) AS ci_lower, round(quantile_cont(value, 0.975), 6) AS ci_upper, count(value) AS valid_iterations
     FROM (UNPIVOT each ON COLUMNS(*) INTO NAME metric VALUE value) GROUP BY 1""")
 def x06_grouped_bootstrap(spark, d):
-    return E.bootstrap(predictions(spark, d), "group", 200).select("metric", r6("ci_lower").alias("ci_lower"), r6("ci_upper").alias("ci_upper"), "valid_iterations")
+    return E.bootstrap(predictions(spark, d), "group", DRAWS).select("metric", r6("ci_lower").alias("ci_lower"), r6("ci_upper").alias("ci_upper"), "valid_iterations")
 
 
 @query(f"SELECT speaker_id, fold, 0 AS repeat FROM ({folds_sql(3)}) UNION ALL SELECT speaker_id, fold, 1 FROM ({folds_sql(3, 43)})")
