@@ -81,27 +81,61 @@ def automaton(unit: str = "chars", markers: Sequence[str] = MARKERS) -> Automato
         raise ValueError(f"no such unit: {unit}")
     n = len(table)
     both = (own[:, None, :].astype(np.int64) * n + table[None, :, :]).reshape(-1, 256)
-    counted = np.repeat(begins, n, axis=0)
-    fill = np.arange(len(both))[:, None]
-    marked = np.tile(np.arange(n) == found, len(own))
-    return Automaton(np.hstack([both, fill]).astype(np.uint8), np.hstack([counted, np.zeros_like(fill, bool)]), marked)
+    return _smallest(both, np.repeat(begins, n, axis=0), np.tile(np.arange(n) == found, len(own)))
+
+
+def _smallest(table: np.ndarray, begins: np.ndarray, marked: np.ndarray) -> Automaton:
+    """States that no continuation tells apart become one (refinement of a partition until it is stable)."""
+    kind = np.unique(np.hstack([begins, marked[:, None]]), axis=0, return_inverse=True)[1].ravel()
+    while True:
+        finer = np.unique(np.hstack([kind[:, None], kind[table]]), axis=0, return_inverse=True)[1].ravel()
+        if finer.max() == kind.max():
+            break
+        kind = finer
+    first = np.unique(kind, return_index=True)[1]
+    order = np.argsort(np.where(np.arange(len(first)) == kind[0], -1, first), kind="stable")  # the first state stays 0
+    name = np.empty(len(first), np.int64)
+    name[order] = np.arange(len(first))
+    rows = first[order]
+    fill = np.arange(len(rows))[:, None]
+    return Automaton(np.hstack([name[kind[table[rows]]], fill]).astype(np.uint8), np.hstack([begins[rows], np.zeros_like(fill, bool)]), marked[rows])
+
+
+def _by_step(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The symbols of all chunks, a row for each step, filled up at the end."""
+    n, lengths = len(starts), ends - starts
+    symbols = np.full((n, int(lengths.max(initial=0))), FILL, np.uint16)
+    within = ragged(lengths)
+    symbols[np.repeat(np.arange(n), lengths), within] = raw[np.repeat(starts, lengths) + within]
+    return np.ascontiguousarray(symbols.T)
 
 
 def scan(a: Automaton, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The transition function and, for each start state, the count of units of each chunk raw[start:end]."""
-    n, width = len(starts), int((ends - starts).max(initial=0))
-    symbols = np.full((n, width), FILL, np.uint16)
-    lengths = ends - starts
-    where = np.repeat(starts, lengths) + (within := ragged(lengths))
-    symbols[np.repeat(np.arange(n), lengths), within] = raw[where]
-    by_step = np.ascontiguousarray(symbols.T)
-    state = np.tile(np.arange(a.states, dtype=np.uint8), (n, 1))
-    count = np.zeros((n, a.states), np.int64)
-    for row in by_step:
-        at = row[:, None]
-        count += a.begins[state, at]
-        state = a.next[state, at]
-    return state, count
+    width = a.next.shape[1]
+    both = (a.next.astype(np.int32) * width * 2 + a.begins).ravel()  # where the next state's row is, and whether a unit begins
+    state = np.tile(np.arange(a.states, dtype=np.int32)[:, None] * width, (1, len(starts)))
+    count = np.zeros(state.shape, np.int32)
+    for row in _by_step(raw, starts, ends):
+        found = both.take(state + row)
+        count += found & 1
+        state = found >> 1
+    return (state // width).T.astype(np.uint8), count.T.astype(np.int64)
+
+
+def locate(a: Automaton, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, entry: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """In each chunk, entered in its state, the place where the unit of that number (from 0) begins; its end if there is none."""
+    width = a.next.shape[1]
+    state, left = entry.astype(np.int64) * width, unit.astype(np.int64).copy()
+    found, out = a.begins.ravel(), (ends - starts).astype(np.int64)
+    to = a.next.astype(np.int64).ravel() * width
+    for step, row in enumerate(_by_step(raw, starts, ends)):
+        at = state + row
+        begins = found.take(at)
+        out[begins & (left == 0)] = step
+        left -= begins
+        state = to.take(at)
+    return out
 
 
 def compose(f: tuple[np.ndarray, np.ndarray], g: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -122,32 +156,32 @@ def prefixes(states: np.ndarray, counts: np.ndarray, per: np.ndarray) -> tuple[n
     return f
 
 
-def begins_of(a: Automaton, raw: np.ndarray, state: int) -> np.ndarray:
-    """Where the units of a chunk begin, when it is entered in that state: scanned as chunks of one byte by doubling."""
-    if not len(raw):
-        return np.zeros(0, np.int64)
-    width = 64
-    n = -(-len(raw) // width)
-    padded = np.full(n * width, FILL, np.uint16)
-    padded[: len(raw)] = raw
-    edges = np.minimum(np.arange(n + 1) * width, len(raw))
-    f = scan(a, raw, edges[:-1], edges[1:])
-    entry = np.concatenate([[state], prefixes(*f, np.array([n]))[0][:-1, state]]).astype(np.uint8)
-    out = np.empty((n, width), bool)
-    for i, row in enumerate(padded.reshape(n, width).T):
-        out[:, i] = a.begins[entry, row]
-        entry = a.next[entry, row]
-    return np.flatnonzero(out.ravel()[: len(raw)])
-
-
-def cut_text(a: Automaton, raw: np.ndarray, edges: np.ndarray, f: tuple[np.ndarray, np.ndarray], unit: int, state: int = 0) -> int:
-    """The byte at which the unit of that number begins; f: prefixes of the chunks between the edges."""
-    to = f[1][:, state]
-    k = int(np.searchsorted(to, unit, "right"))
-    if k == len(to):
-        return int(edges[-1])  # after the last unit
-    entry, before = (state, 0) if k == 0 else (int(f[0][k - 1, state]), int(to[k - 1]))
-    return int(edges[k]) + int(begins_of(a, raw[edges[k] : edges[k + 1]], entry)[unit - before])
+def chunks(at: np.ndarray, size: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of the chunks of all texts (which begin at ``at``), and how many each has (an empty one has one)."""
+    lengths = np.diff(at)
+    per = np.maximum(1, -(-lengths // size))
+    starts = np.repeat(at[:-1], per) + ragged(per) * size
+    return starts, np.minimum(starts + size, np.repeat(at[1:], per)), per
+
+
+def find(a: Automaton, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, per: np.ndarray, f: tuple[np.ndarray, np.ndarray], unit: np.ndarray, entry: np.ndarray | None = None) -> np.ndarray:
+    """For each text (row) the bytes of raw at which its units of these numbers (columns) begin; f: prefixes of its chunks.
+
+    entry: the state in which each text is entered.  A number past the last unit gives the end of the text.
+    """
+    entry = np.zeros(len(per), np.int64) if entry is None else entry
+    rows = np.arange(len(starts))
+    to = f[1][rows, np.repeat(entry, per)]
+    end = np.cumsum(per)
+    # Counts of one text after the other, each text above the former ones: one search for all.
+    above = np.cumsum(to[end - 1] + 1) - (to[end - 1] + 1)
+    k = np.searchsorted(to + np.repeat(above, per), unit + above[:, None], "right")
+    k = np.minimum(k, end[:, None] - 1)
+    first = k == (end - per)[:, None]
+    before = np.where(first, 0, to[k - 1])
+    state = np.where(first, entry[:, None], f[0][k - 1, entry[:, None]])
+    flat = k.ravel()
+    return (starts[flat] + locate(a, raw, starts[flat], ends[flat], state.ravel(), (unit - before).ravel())).reshape(k.shape)
 
 
 def hashes() -> list[Column]:
@@ -156,10 +190,6 @@ def hashes() -> list[Column]:
     return [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(4)]
 
 
-def _edges(length: int) -> np.ndarray:
-    return np.minimum(np.arange(max(1, -(-length // CHUNK)) + 1) * CHUNK, length)
-
-
 _FOUND = [("n", pa.int64()), ("marked", pa.bool_()), ("first", pa.int64()), ("second", pa.int64()), ("cut_a", pa.int64()), ("cut_b", pa.int64())]
 
 
@@ -169,23 +199,19 @@ def _cuts(unit: str, markers: Sequence[str]):
 
     @F.arrow_udf("n bigint, marked boolean, first bigint, second bigint, cut_a bigint, cut_b bigint")
     def found(text: pa.Array, h1: pa.Array, h2: pa.Array) -> pa.Array:
-        rows: list[tuple] = []
         draws = np.stack([h1.to_numpy(zero_copy_only=False), h2.to_numpy(zero_copy_only=False)], 1)
-        done = 0
+        out, done = [], 0
         for piece in pieces([pa.RecordBatch.from_arrays([text], ["text"])]):
             raw, at = utf8(piece.column("text"))
-            edges = [at[i] + _edges(at[i + 1] - at[i]) for i in range(len(at) - 1)]
-            per = np.array([len(e) - 1 for e in edges], np.int64)
-            f = prefixes(*scan(a, raw, np.concatenate([e[:-1] for e in edges]), np.concatenate([e[1:] for e in edges])), per)
-            end = np.cumsum(per)
-            for i, e in enumerate(edges):
-                own = (f[0][end[i] - per[i] : end[i]], f[1][end[i] - per[i] : end[i]])
-                n = int(own[1][-1, 0])
-                first, second = sorted(int(h) % (n + 1) for h in draws[done + i])
-                cuts = [cut_text(a, raw, e, own, k) - int(at[i]) for k in (first, second)]
-                rows.append((n, bool(a.marked[own[0][-1, 0]]), first, second, *cuts))
-            done += len(edges)
-        return _struct(list(zip(*rows)) or [()] * len(_FOUND), _FOUND)
+            starts, ends, per = chunks(at)
+            f = prefixes(*scan(a, raw, starts, ends), per)
+            last = np.cumsum(per) - 1
+            n = f[1][last, 0]
+            units = np.sort(draws[done : done + len(n)] % (n[:, None] + 1), axis=1)
+            cuts = find(a, raw, starts, ends, per, f, units) - at[:-1, None]
+            out.append(_struct([n, a.marked[f[0][last, 0]], *units.T, *cuts.T], _FOUND))
+            done += len(n)
+        return pa.concat_arrays(out) if out else _struct([()] * len(_FOUND), _FOUND)
 
     return found
 
@@ -211,8 +237,8 @@ def _giant(docs: DataFrame, unit: str, markers: Sequence[str], block: int) -> Da
         out = []
         for p in part:
             raw = np.frombuffer(p.as_py(), np.uint8)
-            e = _edges(len(raw))
-            f = prefixes(*scan(a, raw, e[:-1], e[1:]), np.array([len(e) - 1]))
+            starts, ends, per = chunks(np.array([0, len(raw)]))
+            f = prefixes(*scan(a, raw, starts, ends), per)
             out.append((f[0][-1].astype(np.int32), f[1][-1]))
         return _struct(list(zip(*out)) or [(), ()], lists)
 
@@ -233,12 +259,13 @@ def _giant(docs: DataFrame, unit: str, markers: Sequence[str], block: int) -> Da
         return _struct(list(zip(*out)) or [()] * 5, resolved)
 
     @F.arrow_udf("bigint")
-    def locate(part: pa.Array, state: pa.Array, k: pa.Array) -> pa.Array:
+    def located(part: pa.Array, state: pa.Array, k: pa.Array) -> pa.Array:
         out = []
-        for p, s, i in zip(part, state.to_pylist(), k.to_pylist()):
+        for p, entry, unit in zip(part, state.to_pylist(), k.to_pylist()):
             raw = np.frombuffer(p.as_py(), np.uint8)
-            at = begins_of(a, raw, s)
-            out.append(int(at[i]) if i < len(at) else len(raw))
+            starts, ends, per = chunks(np.array([0, len(raw)]))
+            f = prefixes(*scan(a, raw, starts, ends), per)
+            out.append(int(find(a, raw, starts, ends, per, f, np.array([[unit]]), np.array([entry]))[0, 0]))
         return pa.array(out, pa.int64())
 
     functions = blocks.select("row", "place", function("part").alias("f")).select("row", F.struct("place", "f.to", "f.units").alias("f"))
@@ -247,7 +274,7 @@ def _giant(docs: DataFrame, unit: str, markers: Sequence[str], block: int) -> Da
     solved = written(solved.select("row", "s.*"), "cuts")
     wanted = solved.select("row", F.posexplode("spots").alias("which", "spot")).select("row", "which", "spot.*")
     # Only two blocks of a text are met again; their bytes stay where they are while the list of them is short.
-    at = blocks.join(small(wanted), ["row", "place"]).select("row", "which", (F.col("place").cast("long") * block + locate("part", "state", "unit")).alias("at"))
+    at = blocks.join(small(wanted), ["row", "place"]).select("row", "which", (F.col("place").cast("long") * block + located("part", "state", "unit")).alias("at"))
     cuts = at.groupBy("row").agg(F.max(F.when(F.col("which") == 0, F.col("at"))).alias("cut_a"), F.max(F.when(F.col("which") == 1, F.col("at"))).alias("cut_b"))
     cut = F.struct("n", "marked", "first", "second", "cut_a", "cut_b").alias("cut")
     return held.join(solved.join(cuts, "row").select("row", cut), "row").select(*docs.columns, "cut")

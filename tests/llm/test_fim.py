@@ -70,9 +70,15 @@ def test_functions_of_chunks_compose_to_the_whole(unit):
 def test_units_begin_where_a_pattern_says():
     text = "one  two\tthree é漢 \n end"
     raw = np.frombuffer(text.encode(), np.uint8)
-    words = M.begins_of(M.automaton("words"), raw, 0)
-    assert words.tolist() == [len(text[: m.start()].encode()) for m in re.finditer("[^ \t-\r]+", text)]
-    assert M.begins_of(M.automaton("chars"), raw, 0).tolist() == [len(text[:i].encode()) for i in range(len(text))]
+
+    def begins(unit, n):
+        places = np.zeros(n + 1, int)
+        return M.locate(M.automaton(unit), raw, places, places + len(raw), places, np.arange(n + 1)).tolist()
+
+    words = [len(text[: m.start()].encode()) for m in re.finditer("[^ \t-\r]+", text)]
+    assert begins("words", len(words)) == [*words, len(raw)]
+    assert begins("chars", len(text)) == [len(text[:i].encode()) for i in range(len(text) + 1)]
+    assert M.automaton("chars").states == 4  # the states behind the three markers' first two characters are one
     with pytest.raises(ValueError, match="no such unit"):
         M.automaton("lines")
 
