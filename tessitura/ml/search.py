@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from itertools import product
 
 import numpy as np
@@ -18,6 +18,7 @@ PERCENTILES, CS, GAMMAS, LAYERS, ALPHAS, EPOCHS = (10, 25, 50), (0.01, 0.1, 1.0,
 #: Bytes of a feature matrix that tasks may hold whole; beyond that use distributed_svm.
 MOST_BYTES = 256 << 20
 
+HISTORY = "epoch bigint, train_loss double, train_accuracy double, train_balanced_accuracy double, valid_loss double, valid_accuracy double, valid_balanced_accuracy double"
 CONFIG = "candidate int, model string, percentile int, c double, gamma string, layers array<int>, alpha double, dropout double, epochs int, neurons int, depth int"
 
 
@@ -41,32 +42,95 @@ def matrix(rows: DataFrame, features: str = "x", *more: str) -> pd.DataFrame:
     return rows.select(features, *more).toPandas()
 
 
+def check_size(rows: DataFrame, features: str = "x") -> None:
+    """Each task that fits kernel machines or networks holds the feature table whole; raise where it is too large for that."""
+    size = rows.agg(F.sum(F.size(features) * 8)).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"{size} bytes of features exceed {MOST_BYTES}; use distributed_svm")
+
+
+def in_blocks(rows: DataFrame, work: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], Iterator[pd.DataFrame]], schema: str, together: Sequence[str] = ()) -> DataFrame:
+    """run(rows, part of work) in blocks of the work; each block gets the rows by a shuffle, and the driver none of them.
+
+    Work that agrees in the columns ``together`` comes into one block.
+    """
+    blocks = 3 * rows.sparkSession.sparkContext.defaultParallelism
+    spread = F.pmod(F.hash(*together) if together else F.hash(*work.columns), F.lit(blocks)).alias("block")
+    right = work.select("*", spread).repartition(blocks, "block")
+    used = F.broadcast(work.select(spread).distinct())  # as many rows as blocks at most
+    left = rows.crossJoin(used).repartition(blocks, "block")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = list(run(a, b.drop(columns="block"))) if len(a) and len(b) else []
+        return pd.concat(out, ignore_index=True)[names] if out else pd.DataFrame(columns=names)
+
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(one, schema)
+
+
+def _arrays(held: pd.DataFrame, key: str) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    held = held.sort_values(key)
+    return held, np.stack(held["x"].to_numpy()).astype(float), held["target"].to_numpy().astype(int)
+
+
+UNIT = "split int, scenario string, candidate int, fold int"
+#: What is prepared once: units that agree in these share imputation, scaling, selection and kernel.
+SHARED = ("split", "scenario", "fold", "percentile", "model", "gamma")
+
+
+def fit_units(rows: DataFrame, units: DataFrame, configs: DataFrame, columns: Mapping[str, Sequence[int]] | None = None, key: str = "vec_id", predict: bool = False) -> DataFrame:
+    """Fit every unit (split, scenario, candidate, fold) and score it on the rows left out.
+
+    rows: key, x, target and parts, an array with a place for each split: the row's fold, or -1 where the split holds it
+    out.  A unit of fold f is fitted on the rows of other folds and scored on those of f; a unit of fold -1 is fitted on
+    all that its split does not hold out and scored on what it does.  columns: positions in x for each scenario.
+
+    Result: the unit, train_score and valid_score; with predict also key, y_true, y_pred, y_score, a row for each row left out.
+    """
+    check_size(rows)
+    at = {k: np.asarray(v, int) for k, v in (columns or {}).items()}
+    work = units.join(F.broadcast(configs), "candidate")  # a row a configuration
+    unit = UNIT.split(", ")
+
+    def run(held: pd.DataFrame, todo: pd.DataFrame):
+        held, x, y = _arrays(held, key)
+        parts, ids = np.stack(held["parts"].to_numpy()), held[key].to_numpy()
+        before, pre, kernel = None, None, None
+        for r in todo.astype(object).where(todo.notna(), None).sort_values([*SHARED, "candidate"], key=lambda c: c.astype(str)).to_dict("records"):
+            own = parts[:, int(r["split"])]
+            fit, valid = (own != r["fold"]) & (own >= 0), own == r["fold"]
+            if not valid.any() or len(np.unique(y[fit])) < 2:
+                continue
+            wide = x[:, at[r["scenario"]]] if r["scenario"] in at else x
+            if (shared := tuple(r[c] for c in SHARED)) != before:
+                before, kernel, pre = shared, None, E.Preprocess(int(r["percentile"])).fit(wide[fit], y[fit])
+                seen, unseen = pre(wide[fit]), pre(wide[valid])
+            model = E.make(r["model"], r)
+            if isinstance(model, E.SVM):
+                kernel = model.kernel(seen) if kernel is None else kernel
+                model.fit(seen, y[fit], kernel)
+            else:
+                model.fit(seen, y[fit])
+            guess = model.predict(unseen)
+            scores = [E.balanced_accuracy(y[fit], model.predict(seen)), E.balanced_accuracy(y[valid], guess)]
+            base = {c.split()[0]: r[c.split()[0]] for c in unit} | {"train_score": scores[0], "valid_score": scores[1]}
+            yield pd.DataFrame(base | {key: ids[valid], "y_true": y[valid], "y_pred": guess, "y_score": model.score(unseen)} if predict else [base])
+
+    schema = f"{UNIT}, train_score double, valid_score double"
+    if predict:
+        schema += f", {key} {rows.schema[key].dataType.simpleString()}, y_true int, y_pred int, y_score double"
+    return in_blocks(rows.select(key, "x", "target", "parts"), work, run, schema, SHARED)
+
+
 def cross_validate(rows: DataFrame, configs: DataFrame, key: str = "vec_id", folds: str = "fold", scenario: str = "all") -> DataFrame:
     """scenario, candidate, fold, train_score, valid_score of each configuration and fold.
 
-    rows: x (array), target, fold.  The matrix, of checked size, goes to each executor once; each
-    (configuration, fold) is one row of a table that is dealt over the tasks.
+    rows: x (array), target, fold.
     """
-    spark = rows.sparkSession
-    held = matrix(rows, "x", "target", folds, key).sort_values(key)
-    data = spark.sparkContext.broadcast((np.stack(held["x"].to_numpy()).astype(float), held["target"].to_numpy().astype(int), held[folds].to_numpy().astype(int)))
-    numbers = sorted(set(held[folds]))
-    work = configs.withColumn("fold", F.explode(F.array(*[F.lit(int(n)) for n in numbers])))
-    n = spark.sparkContext.defaultParallelism
-
-    def run(batches):
-        x, y, fold = data.value
-        for b in batches:
-            out = []
-            for r in b.to_dict("records"):
-                fit, valid = fold != r["fold"], fold == r["fold"]
-                pre = E.Preprocess(int(r["percentile"])).fit(x[fit], y[fit])
-                model = E.make(r["model"], r).fit(pre(x[fit]), y[fit])
-                score = [E.balanced_accuracy(y[part], model.predict(pre(x[part]))) for part in (fit, valid)]
-                out.append((scenario, r["candidate"], r["fold"], *score))
-            yield pd.DataFrame(out, columns=["scenario", "candidate", "fold", "train_score", "valid_score"])
-
-    return work.repartition(4 * n).mapInPandas(run, "scenario string, candidate int, fold int, train_score double, valid_score double")
+    numbers = rows.select(F.col(folds).cast("int").alias("fold")).distinct()  # as many as folds
+    units = configs.select("candidate").crossJoin(numbers).select(F.lit(0).alias("split"), F.lit(scenario).alias("scenario"), "candidate", "fold")
+    held = rows.withColumn("parts", F.array(F.col(folds).cast("int")))
+    return fit_units(held, units, configs, key=key).select("scenario", "candidate", "fold", "train_score", "valid_score")
 
 
 def results(scores: DataFrame, configs: DataFrame) -> DataFrame:
@@ -76,81 +140,95 @@ def results(scores: DataFrame, configs: DataFrame) -> DataFrame:
 
 
 def fitted(train: DataFrame, configs: DataFrame, key: str = "vec_id") -> DataFrame:
-    """candidate, converged, model (pickled): each configuration fitted on all training rows, one row of work each.
-
-    The matrix, of checked size, goes to each executor once.
-    """
-    spark = train.sparkSession
-    held = matrix(train, "x", "target", key).sort_values(key)
-    data = spark.sparkContext.broadcast((np.stack(held["x"].to_numpy()).astype(float), held["target"].to_numpy().astype(int)))
+    """candidate, converged, model (pickled): each configuration fitted on all training rows, one row of work each."""
+    check_size(train)
 
-    def run(batches):
-        x, y = data.value
-        for b in batches:
-            for r in b.to_dict("records"):
-                pre = E.Preprocess(int(r["percentile"])).fit(x, y)
-                model = E.make(r["model"], r).fit(pre(x), y)
-                yield pd.DataFrame([(r["candidate"], getattr(model, "converged", True), pickle.dumps((pre, model)))], columns=["candidate", "converged", "model"])
+    def run(held: pd.DataFrame, todo: pd.DataFrame):
+        _, x, y = _arrays(held, key)
+        for r in todo.astype(object).where(todo.notna(), None).to_dict("records"):
+            pre = E.Preprocess(int(r["percentile"])).fit(x, y)
+            model = E.make(r["model"], r).fit(pre(x), y)
+            yield pd.DataFrame([(r["candidate"], getattr(model, "converged", True), pickle.dumps((pre, model)))], columns=["candidate", "converged", "model"])
 
-    return configs.repartition(4 * spark.sparkContext.defaultParallelism).mapInPandas(run, "candidate int, converged boolean, model binary")
+    return in_blocks(train.select(key, "x", "target"), configs, run, "candidate int, converged boolean, model binary", ("candidate",))
 
 
 def predicted(models: DataFrame, test: DataFrame, key: str = "vec_id") -> DataFrame:
-    """candidate, key, y_true, y_pred, y_score of the test rows under each of the models, which are as many as configurations."""
-    shared = test.sparkSession.sparkContext.broadcast([(r["candidate"], bytes(r["model"])) for r in models.orderBy("candidate").collect()])
-
-    def run(batches):
-        held = [(candidate, *pickle.loads(model)) for candidate, model in shared.value]
-        for b in batches:
-            if len(b):
-                x = np.stack(b["x"].to_numpy()).astype(float)
-                for candidate, pre, model in held:
-                    z = pre(x)
-                    yield pd.DataFrame({"candidate": candidate, key: b[key], "y_true": b["target"], "y_pred": model.predict(z), "y_score": model.score(z)})
+    """candidate, key, y_true, y_pred, y_score of the test rows under each of the models.
+
+    The rows are dealt into blocks, and each block meets each model once; no model goes through the driver.
+    """
+    blocks = 3 * test.sparkSession.sparkContext.defaultParallelism
+    left = test.select(key, "x", "target", F.pmod(F.hash(key), F.lit(blocks)).alias("block")).repartition(blocks, "block")
+    right = models.select("candidate", "model", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).repartition(blocks, "block")
+    names = ["candidate", key, "y_true", "y_pred", "y_score"]
+
+    def run(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows):
+            x = np.stack(rows["x"].to_numpy()).astype(float)
+            for candidate, model in zip(held["candidate"], held["model"]):
+                pre, m = pickle.loads(model)
+                z = pre(x)
+                out.append(pd.DataFrame({"candidate": candidate, key: rows[key], "y_true": rows["target"], "y_pred": m.predict(z), "y_score": m.score(z)}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=names)
 
     kind = test.schema[key].dataType.simpleString()
-    return test.select(key, "x", "target").mapInPandas(run, f"candidate int, {key} {kind}, y_true int, y_pred int, y_score double")
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInPandas(run, f"candidate int, {key} {kind}, y_true int, y_pred int, y_score double")
+
+
+def as_configuration(spark: SparkSession, config: dict) -> DataFrame:
+    """One configuration of a row of results."""
+    row = tuple({"candidate": 0, "neurons": 0, "depth": 0, **config}.get(c.split()[0]) for c in CONFIG.split(", "))
+    return configurations(spark, [row])
 
 
 def fit_final(train: DataFrame, test: DataFrame, config: dict, key: str = "vec_id") -> DataFrame:
     """Refit one configuration on all training rows, in a task; key, y_true, y_pred, y_score of the test rows."""
-    row = tuple({"candidate": 0, "neurons": 0, "depth": 0, **config}.get(c.split()[0]) for c in CONFIG.split(", "))
-    return predicted(fitted(train, configurations(train.sparkSession, [row]), key), test, key).drop("candidate")
+    return predicted(fitted(train, as_configuration(train.sparkSession, config), key), test, key).drop("candidate")
 
 
 def learning_points(rows: DataFrame, config: dict, fractions: Sequence[float], group: str = "group", key: str = "vec_id", seed: int = 42) -> DataFrame:
     """train_fraction, fold, n_train, train_score, valid_score: the configuration on group subsamples of each training part."""
     from ..operators.splits import group_subsample
 
-    parts = None
+    check_size(rows)
+    spark, parts, runs = rows.sparkSession, None, []
     for f in sorted({r[0] for r in rows.select("fold").distinct().collect()}):
         for q in fractions:
-            one = group_subsample(rows.filter(F.col("fold") != f), group, "target", q, seed + 1000 * f + round(100 * q)).select(key).withColumns({"run_fold": F.lit(f), "train_fraction": F.lit(float(q))})
+            one = group_subsample(rows.filter(F.col("fold") != f), group, "target", q, seed + 1000 * f + round(100 * q)).select(key, F.lit(len(runs)).alias("run"))
             parts = one if parts is None else parts.unionByName(one)
-    held = matrix(rows, "x", "target", "fold", key).set_index(key).sort_index()
-    data = rows.sparkSession.sparkContext.broadcast(held)
+            runs.append((len(runs), int(f), float(q)))
+    held = rows.select(key, "x", "target", "fold").join(parts.groupBy(key).agg(F.collect_set("run").alias("runs")), key, "left")  # folds x fractions at most
 
-    def run(part: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        all_ = data.value
-        fit = all_.loc[np.sort(pdf[key].to_numpy())]
-        valid = all_[all_["fold"] == part[0]]
-        x, y = np.stack(fit["x"].to_numpy()), fit["target"].to_numpy().astype(int)
-        xv, yv = np.stack(valid["x"].to_numpy()), valid["target"].to_numpy().astype(int)
-        pre = E.Preprocess(int(config["percentile"])).fit(x, y)
-        m = E.make(config["model"], config).fit(pre(x), y)
-        scores = [E.balanced_accuracy(a, m.predict(pre(b))) for a, b in ((y, x), (yv, xv))]
-        return pd.DataFrame([(part[1], int(part[0]), len(fit), *scores)], columns=["train_fraction", "fold", "n_train", "train_score", "valid_score"])
+    def run(table: pd.DataFrame, todo: pd.DataFrame):
+        table, x, y = _arrays(table, key)
+        member = [set() if r is None else set(r) for r in table["runs"]]
+        for number, fold, fraction in todo[["run", "fold", "train_fraction"]].itertuples(index=False):
+            fit, valid = np.array([number in m for m in member]), (table["fold"] == fold).to_numpy()
+            pre = E.Preprocess(int(config["percentile"])).fit(x[fit], y[fit])
+            m = E.make(config["model"], config).fit(pre(x[fit]), y[fit])
+            scores = [E.balanced_accuracy(y[p], m.predict(pre(x[p]))) for p in (fit, valid)]
+            yield pd.DataFrame([(fraction, fold, int(fit.sum()), *scores)], columns=["train_fraction", "fold", "n_train", "train_score", "valid_score"])
 
-    return parts.groupBy("run_fold", "train_fraction").applyInPandas(run, "train_fraction double, fold int, n_train int, train_score double, valid_score double")
+    work = spark.createDataFrame(runs, "run int, fold int, train_fraction double")
+    return in_blocks(held, work, run, "train_fraction double, fold int, n_train int, train_score double, valid_score double", ("run",))
 
 
 def epoch_history(train: DataFrame, valid: DataFrame, config: dict, key: str = "vec_id") -> DataFrame:
-    """Loss and accuracies after each epoch of a network on a diagnostic split inside the training rows."""
-    a, b = (matrix(r, "x", "target", key).sort_values(key) for r in (train, valid))
-    x, y, xv, yv = np.stack(a["x"].to_numpy()), a["target"].to_numpy().astype(int), np.stack(b["x"].to_numpy()), b["target"].to_numpy().astype(int)
-    pre = E.Preprocess(int(config["percentile"])).fit(x, y)
-    model = E.make("mlp", config).fit(pre(x), y, (pre(xv), yv))
-    return train.sparkSession.createDataFrame(pd.DataFrame(model.history))
+    """Loss and accuracies after each epoch of a network on a diagnostic split inside the training rows; fitted in a task."""
+    check_size(train.select("x").unionByName(valid.select("x")))
+    both = train.select(key, "x", "target", F.lit(True).alias("fits")).unionByName(valid.select(key, "x", "target", F.lit(False).alias("fits")))
+    names = [f.split()[0] for f in HISTORY.split(", ")]
+
+    def run(held: pd.DataFrame, todo: pd.DataFrame):
+        held, x, y = _arrays(held, key)
+        fit = held["fits"].to_numpy()
+        pre = E.Preprocess(int(config["percentile"])).fit(x[fit], y[fit])
+        model = E.make("mlp", config).fit(pre(x[fit]), y[fit], (pre(x[~fit]), y[~fit]))
+        yield pd.DataFrame(model.history)[names]
+
+    return in_blocks(both, train.sparkSession.range(1), run, HISTORY)
 
 
 def distributed_svm(rows: DataFrame, c: float = 1.0, gamma: float | None = None, components: int = 512, seed: int = 42, features: str = "x"):

@@ -151,8 +151,8 @@ def consolidate_groups(rows: DataFrame, prefix: str = "d2", hash_column: str = "
     )
 
 
-#: Columns that tell sources apart and so can't conflict; those that must agree; and those that are joined.
-IDENTITY = ("sample_id", "speaker_id", "speaker_id_source", "filepath", "relative_path", "filename", "file_stem", "file_key", "folder", "metadata_filename", "metadata_file_key")
+# Columns that tell sources apart and so can't conflict; those that must agree; and those that are joined.
+IDENTITY = ("sample_id", "speaker_id", "speaker_id_source", "filepath", "relative_path", "folder", "filename", "file_stem", "file_key", "metadata_filename", "metadata_file_key", "metadata_sheet")
 INVARIANT = ("base", "label", "vowel", "samplerate", "duration", "channels", "audio_read_status")
 JOINED = ("pathology", "pathology_code")
 

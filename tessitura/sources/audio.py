@@ -165,7 +165,7 @@ def index_by_path(audio: DataFrame, prefix: str = "d1") -> DataFrame:
         }
     )
     assert_empty(repeated(out, "sample_id"), "repeated sample_id")
-    return out.drop("path", "sr", "file_duration")
+    return out.drop("path", "file_duration")
 
 
 def index_by_recording(audio: DataFrame, prefix: str = "d2") -> DataFrame:
@@ -183,4 +183,4 @@ def index_by_recording(audio: DataFrame, prefix: str = "d2") -> DataFrame:
     )
     if out.isEmpty():
         raise CohortError("no recording below the folder")
-    return out.drop("path", "parsed", "sr", "file_duration")
+    return out.drop("path", "parsed", "file_duration")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import pickle
 import tempfile
@@ -16,6 +17,26 @@ from pyspark.sql import types as T
 from ..operators.cohort import Cohort
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+@atexit.register
+def _clean() -> None:
+    """Remove what kept() wrote, when the driver ends."""
+    for spark, path in _made:
+        try:
+            if spark.sparkContext._jsc is not None:
+                at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the JVM may be gone; the folder is the cluster's own to clean
+            continue
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder that all executors reach: in spark.checkpoint.dir, or where that is unset a temporary one of this
     machine, which is an error if there are others."""
@@ -30,6 +51,7 @@ def scratch(spark: SparkSession) -> str:
 def kept(rows: DataFrame) -> DataFrame:
     """The rows written and read again, so that what made them runs once."""
     at = scratch(rows.sparkSession)
+    _made.append((rows.sparkSession, at))
     rows.write.parquet(at)
     return rows.sparkSession.read.schema(rows.schema).parquet(at)
 
