@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,3 +141,87 @@ def file_report(files: DataFrame, path: Column | None = None) -> DataFrame:
 # Suffixes of audio and metadata files.
 AUDIO = (".wav", ".nsp")
 METADATA = (".csv", ".tsv", ".xlsx", ".xls", ".json", ".txt")
+
+
+# ------------------------------------------------------------------ whole reports
+
+#: Statistics of describe() that a report lists.
+STATISTICS = ("n", "mean", "least", "q25", "q50", "q75", "most")
+
+
+def _key(*columns: str) -> Column:
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("missing")) for c in columns])
+
+
+def _counts(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.groupBy(*columns).agg(F.count("*").cast("double").alias("value")).select(_key(*columns).alias("key"), "value")
+
+
+def _statistics(rows: DataFrame, column: str, by: str) -> DataFrame:
+    long = describe(rows, column, (by,)).select(by, *[F.col(c).cast("double").alias(c) for c in STATISTICS]).unpivot([by], list(STATISTICS), "statistic", "value")
+    return long.filter(F.col("value").isNotNull()).select(_key(by, "statistic").alias("key"), "value")
+
+
+def binned(rows: DataFrame, columns: Sequence[str], by: Sequence[str] = (), bins: int = 30) -> DataFrame:
+    """by, bin_<column> for each column, n: counts on a grid of equal widths; rows with a null in a column are left out.
+
+    What a scatter plot shows, in as many rows as the grid has cells, however many points there are.
+    """
+    ends = rows.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
+
+    def place(c: str) -> Column:
+        width = F.col(f"hi_{c}") - F.col(f"lo_{c}")
+        return F.when(width > 0, F.least(F.floor((F.col(c) - F.col(f"lo_{c}")) / width * bins), F.lit(bins - 1))).otherwise(0).cast("long").alias(f"bin_{c}")
+
+    held = rows.dropna(subset=list(columns)).crossJoin(F.broadcast(ends))  # ends has one row
+    return held.groupBy(*by, *[place(c) for c in columns]).agg(F.count("*").alias("n"))
+
+
+def _report(rows: DataFrame, plans: Sequence[tuple[str, set[str], Callable[[], DataFrame]]]) -> DataFrame:
+    """report, key, value of those whose columns exist."""
+    out = rows.sparkSession.createDataFrame([], "report string, key string, value double")
+    for name, needed, make in plans:
+        if needed <= set(rows.columns):
+            out = out.unionByName(make().select(F.lit(name).alias("report"), "key", "value"))
+    return out
+
+
+def basic_report(rows: DataFrame, pathologies: int = 15, bins: int = 30) -> DataFrame:
+    """report, key, value: the eight tables of a dataset, each made if its columns exist; parts of a key are joined by |.
+
+    Classes, sexes, classes by sex, durations (bins), durations and ages by class (statistics), the most frequent
+    pathologies, and age against duration by class (cells of a grid).
+    """
+
+    def cells() -> DataFrame:
+        grid = binned(rows, ("age", "duration"), ("label",), bins)
+        return grid.select(_key("label", "bin_age", "bin_duration").alias("key"), F.col("n").cast("double").alias("value"))
+
+    return _report(
+        rows,
+        [
+            ("class_distribution", {"label"}, lambda: _counts(rows, "label")),
+            ("sex_distribution", {"sex"}, lambda: _counts(rows, "sex")),
+            ("class_by_sex", {"sex", "label"}, lambda: _counts(rows, "label", "sex")),
+            ("duration_distribution", {"duration"}, lambda: binned(rows, ("duration",), (), bins).select(_key("bin_duration").alias("key"), F.col("n").cast("double").alias("value"))),
+            ("duration_by_class", {"duration", "label"}, lambda: _statistics(rows, "duration", "label")),
+            ("age_by_class", {"age", "label"}, lambda: _statistics(rows, "age", "label")),
+            ("top_pathologies", {"pathology"}, lambda: top_k(rows, "pathology", pathologies).select(_key("pathology").alias("key"), F.col("n").cast("double").alias("value"))),
+            ("age_vs_duration_by_class", {"age", "duration", "label"}, cells),
+        ],
+    )
+
+
+def session_report(rows: DataFrame, groups: int = 20) -> DataFrame:
+    """The basic report and three more tables: vowels by condition, how many speakers have so many recordings, largest groups."""
+
+    def recordings() -> DataFrame:
+        by = rows.filter(F.col("speaker_id").isNotNull()).groupBy("speaker_id").agg(F.count_distinct("recording_id").alias("recordings"))
+        return _counts(by, "recordings")
+
+    more = [
+        ("vowel_condition_coverage", {"vowel", "condition"}, lambda: _counts(rows, "vowel", "condition")),
+        ("recordings_per_speaker", {"speaker_id", "recording_id"}, recordings),
+        ("top_pathology_groups", {"pathology_group"}, lambda: top_k(rows, "pathology_group", groups).select(_key("pathology_group").alias("key"), F.col("n").cast("double").alias("value"))),
+    ]
+    return basic_report(rows).unionByName(_report(rows, more))

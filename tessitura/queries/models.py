@@ -10,6 +10,8 @@ from ..operators import reports as R
 from ..operators import selection as Z
 from ..operators import splits as S
 from ..operators import transforms as X
+from ..plans.journal import Journal
+from ..sources import sinks
 from ..views import CANDIDATES_SQL, CV_DUCK, MANIFEST_SQL, PREDICTION_SQL, candidates, cv_results, manifest, predictions, table, vectors
 from .registry import query, r6
 
@@ -263,16 +265,51 @@ def x07_repeated_folds(spark, d):
 # ------------------------------------------------------------------ reports and resuming
 
 
-@query(f"SELECT metric, value, n FROM (SELECT 'label' AS metric, label AS value, count(*) AS n FROM {M} GROUP BY 2 UNION ALL SELECT 'sex', sex, count(*) FROM {M} GROUP BY 2)")
+def counted(name: str, key: str, rows: str = M, where: str = "TRUE") -> str:
+    return f"SELECT '{name}' AS report, {key} AS key, count(*)::DOUBLE AS value FROM {rows} WHERE {where} GROUP BY 2"
+
+
+def missing(c: str) -> str:
+    return f"coalesce({c}::VARCHAR, 'missing')"
+
+
+def cell(c: str) -> str:
+    """Number of the value's bin, of 30."""
+    return f"(CASE WHEN hi_{c} > lo_{c} THEN least(floor(({c} - lo_{c}) / (hi_{c} - lo_{c}) * 30), 29) ELSE 0 END)::BIGINT"
+
+
+def statistics(name: str, c: str) -> str:
+    of = {"n": f"count({c})::DOUBLE", "mean": f"avg({c})", "least": f"min({c})", "q25": f"quantile_cont({c}, 0.25)", "q50": f"quantile_cont({c}, 0.5)", "q75": f"quantile_cont({c}, 0.75)", "most": f"max({c})"}
+    each = ", ".join(f"{sql}::DOUBLE AS {n}" for n, sql in of.items())
+    return f"SELECT '{name}' AS report, {missing('label')} || '|' || s AS key, v AS value FROM (UNPIVOT (SELECT label, {each} FROM {M} GROUP BY 1) ON {', '.join(of)} INTO NAME s VALUE v)"
+
+
+def most(name: str, c: str, k: int) -> str:
+    return f"SELECT '{name}' AS report, {c} AS key, n AS value FROM (SELECT {c}, count(*)::DOUBLE AS n FROM {M} WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY n DESC, {c} LIMIT {k})"
+
+
+ENDS = f"(SELECT m.*, e.* FROM {M}, (SELECT min(age) AS lo_age, max(age) AS hi_age, min(duration) AS lo_duration, max(duration) AS hi_duration FROM {M}) e) q"
+BASIC = " UNION ALL ".join([
+    counted("class_distribution", missing("label")), counted("sex_distribution", missing("sex")), counted("class_by_sex", f"{missing('label')} || '|' || {missing('sex')}"),
+    counted("duration_distribution", f"{cell('duration')}::VARCHAR", ENDS, "duration IS NOT NULL"), statistics("duration_by_class", "duration"), statistics("age_by_class", "age"), most("top_pathologies", "pathology", 15),
+    counted("age_vs_duration_by_class", f"{missing('label')} || '|' || {cell('age')} || '|' || {cell('duration')}", ENDS, "age IS NOT NULL AND duration IS NOT NULL"),
+])
+PER_SPEAKER = f"(SELECT speaker_id, count(DISTINCT recording_id) AS recordings FROM {M} WHERE speaker_id IS NOT NULL GROUP BY 1) r"
+SESSIONS = " UNION ALL ".join([
+    BASIC, counted("vowel_condition_coverage", f"{missing('vowel')} || '|' || {missing(chr(34) + 'condition' + chr(34))}"), counted("recordings_per_speaker", "recordings::VARCHAR", PER_SPEAKER), most("top_pathology_groups", "pathology_group", 20),
+])
+
+
+@query(f"SELECT report, key, round(value, 6) AS value FROM ({BASIC})")
 def d03_basic_report(spark, d):
-    m = manifest(spark, d)
-    parts = [R.value_counts(m, c).select(F.lit(c).alias("metric"), F.col(c).alias("value"), "n") for c in ("label", "sex")]
-    return parts[0].unionByName(parts[1])
+    """The eight tables of the basic report."""
+    return R.basic_report(manifest(spark, d)).withColumn("value", r6("value"))
 
 
-@query(f"""SELECT vowel, count_if("condition" = 'h') AS h, count_if("condition" = 'n') AS n FROM {M} GROUP BY 1""")
+@query(f"SELECT report, key, round(value, 6) AS value FROM ({SESSIONS})")
 def d04_session_report(spark, d):
-    return R.crosstab(manifest(spark, d), "vowel", "condition", ("h", "n"))
+    """The basic report and the three tables of the second database."""
+    return R.session_report(manifest(spark, d)).withColumn("value", r6("value"))
 
 
 @query(f"SELECT base, count(*) AS n_rows, count(DISTINCT speaker_id) AS speakers, count(*) - count(DISTINCT file_sha256) AS copies, count_if(label IS NULL) AS unmatched FROM {M} GROUP BY 1")
@@ -284,5 +321,9 @@ def d07_manifest_diagnostics(spark, d):
 
 @query(f"SELECT r.scenario, r.model, r.fold FROM (SELECT DISTINCT scenario, model, fold FROM ({CV_DUCK})) r WHERE NOT (scenario = 'scenario_0' AND fold < 3)")
 def o07_resume(spark, d):
+    """What is left to do after a part of the units was logged, a part of that twice."""
     work = cv_results(spark, d).select("scenario", "model", "fold").distinct()
-    return work.join(work.filter("scenario = 'scenario_0' AND fold < 3"), ["scenario", "model", "fold"], "left_anti")
+    log = Journal(spark, sinks.scratch(spark), "protocol", ["scenario", "model", "fold"])
+    log.add(work.filter("scenario = 'scenario_0' AND fold < 3"))
+    log.add(work.filter("scenario = 'scenario_0' AND fold = 1"))
+    return log.left(work)

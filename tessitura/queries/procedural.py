@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..features import extract as X
-from ..ml import search
+from ..ml import nested, search
 from ..operators import splits as S
 from ..operators import transforms as T
 from ..plans import protocol, runner
@@ -181,6 +181,18 @@ def o06_pooled_run(spark, d):
     return runner.pooled(feature_rows(spark, d, "D1"), feature_rows(spark, d, "D2"), SETTINGS, SMALL[:2])[0].metrics
 
 
+@query()
+def x07_nested_search(spark, d):
+    """Two repeats of three outer folds, the whole search of three configurations in two scenarios inside each."""
+    rows = vectors(spark, d)
+    n = len(rows.first()["x"])
+    scenarios = {"all": list(range(n)), "half": list(range(n // 2))}
+    configs = search.configurations(spark, SMALL)
+    return nested.nested_search(rows, configs, scenarios, "vec_id", 3, 2, 3).results.select(
+        "repeat", "outer_fold", "scenario", "model", "candidate", "n_outer_train_samples", "n_outer_validation_samples", "inner_score", "outer_train_balanced_accuracy", "balanced_accuracy", "roc_auc", "outer_gap"
+    )
+
+
 @query()
 def m15_evaluate_all(spark, d):
     """Every scenario and model on the held-out groups."""
