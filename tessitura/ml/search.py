@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import estimators as E
+from . import linear
 
 # The default grids.
 PERCENTILES, CS, GAMMAS, LAYERS, ALPHAS, EPOCHS = (10, 25, 50), (0.01, 0.1, 1.0, 10.0), ("scale", "0.0001", "0.001", "0.01"), ((8,), (16,)), (0.001, 0.01), (5, 10, 15, 20, 30)
-#: Bytes of a feature matrix that tasks may hold whole; beyond that use distributed_svm.
+#: Bytes of a feature matrix that tasks may hold whole; beyond that only linear machines are fitted.
 MOST_BYTES = 256 << 20
 
 HISTORY = "epoch bigint, train_loss double, train_accuracy double, train_balanced_accuracy double, valid_loss double, valid_accuracy double, valid_balanced_accuracy double"
@@ -42,11 +43,18 @@ def matrix(rows: DataFrame, features: str = "x", *more: str) -> pd.DataFrame:
     return rows.select(features, *more).toPandas()
 
 
+def table_bytes(rows: DataFrame, features: str = "x") -> int:
+    return rows.agg(F.sum(F.size(features) * 8)).first()[0] or 0
+
+
 def check_size(rows: DataFrame, features: str = "x") -> None:
     """Each task that fits kernel machines or networks holds the feature table whole; raise where it is too large for that."""
-    size = rows.agg(F.sum(F.size(features) * 8)).first()[0] or 0
-    if size > MOST_BYTES:
-        raise ValueError(f"{size} bytes of features exceed {MOST_BYTES}; use distributed_svm")
+    if (size := table_bytes(rows, features)) > MOST_BYTES:
+        raise ValueError(f"{size} bytes of features exceed {MOST_BYTES}; linear machines and distributed_svm have no limit")
+
+
+def only_linear(configs: DataFrame) -> bool:
+    return configs.filter("model <> 'svm_linear'").isEmpty()
 
 
 def in_blocks(rows: DataFrame, work: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], Iterator[pd.DataFrame]], schema: str, together: Sequence[str] = ()) -> DataFrame:
@@ -86,7 +94,10 @@ def fit_units(rows: DataFrame, units: DataFrame, configs: DataFrame, columns: Ma
     all that its split does not hold out and scored on what it does.  columns: positions in x for each scenario.
 
     Result: the unit, train_score and valid_score; with predict also key, y_true, y_pred, y_score, a row for each row left out.
+    Linear units over a table too large for a task are fitted on rows that stay distributed (ml.linear).
     """
+    if not predict and table_bytes(rows) > MOST_BYTES and only_linear(configs.join(units, "candidate", "left_semi")):
+        return linear.fit_units(rows, units, configs, columns).drop("objective")
     check_size(rows)
     at = {k: np.asarray(v, int) for k, v in (columns or {}).items()}
     work = units.join(F.broadcast(configs), "candidate")  # a row a configuration
@@ -140,7 +151,12 @@ def results(scores: DataFrame, configs: DataFrame) -> DataFrame:
 
 
 def fitted(train: DataFrame, configs: DataFrame, key: str = "vec_id") -> DataFrame:
-    """candidate, converged, model (pickled): each configuration fitted on all training rows, one row of work each."""
+    """candidate, converged, model (pickled): each configuration fitted on all training rows, one row of work each.
+
+    Linear ones over a table too large for a task are fitted on rows that stay distributed.
+    """
+    if table_bytes(train) > MOST_BYTES and only_linear(configs):
+        return linear.fitted(train, configs)
     check_size(train)
 
     def run(held: pd.DataFrame, todo: pd.DataFrame):
