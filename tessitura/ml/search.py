@@ -8,9 +8,10 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import sinks
 from . import estimators as E
 from . import linear
 
@@ -57,16 +58,17 @@ def only_linear(configs: DataFrame) -> bool:
     return configs.filter("model <> 'svm_linear'").isEmpty()
 
 
-def in_blocks(rows: DataFrame, work: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], Iterator[pd.DataFrame]], schema: str, together: Sequence[str] = ()) -> DataFrame:
+def in_blocks(rows: DataFrame, work: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], Iterator[pd.DataFrame]], schema: str, even: Sequence[str] = ()) -> DataFrame:
     """run(rows, part of work) in blocks of the work; each block gets the rows by a shuffle, and the driver none of them.
 
-    Work that agrees in the columns ``together`` comes into one block.
+    The work is dealt out in turn, in the order of the columns ``even``, so that like work is spread evenly.
     """
-    blocks = 3 * rows.sparkSession.sparkContext.defaultParallelism
-    spread = F.pmod(F.hash(*together) if together else F.hash(*work.columns), F.lit(blocks)).alias("block")
-    right = work.select("*", spread).repartition(blocks, "block")
-    used = F.broadcast(work.select(spread).distinct())  # as many rows as blocks at most
-    left = rows.crossJoin(used).repartition(blocks, "block")
+    blocks = rows.sparkSession.sparkContext.defaultParallelism
+    number = F.row_number().over(Window.orderBy(*even, *[c for c in work.columns if c not in even and c != "layers"]))  # over a row a unit of work
+    right = sinks.kept(work.withColumn("block", (number - 1) % blocks))
+    used = F.broadcast(right.select(F.col("block").alias("used")).distinct())  # as many rows as blocks at most
+    left = rows.crossJoin(used).withColumn("block", F.col("used") + 0).drop("used").repartition(blocks, "block")
+    right = right.repartition(blocks, "block")
     names = [c.split()[0] for c in schema.split(", ")]
 
     def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -130,7 +132,7 @@ def fit_units(rows: DataFrame, units: DataFrame, configs: DataFrame, columns: Ma
     schema = f"{UNIT}, train_score double, valid_score double"
     if predict:
         schema += f", {key} {rows.schema[key].dataType.simpleString()}, y_true int, y_pred int, y_score double"
-    return in_blocks(rows.select(key, "x", "target", "parts"), work, run, schema, SHARED)
+    return in_blocks(rows.select(key, "x", "target", "parts"), work, run, schema, ("model", "c", "gamma", "percentile", "epochs"))
 
 
 def cross_validate(rows: DataFrame, configs: DataFrame, key: str = "vec_id", folds: str = "fold", scenario: str = "all") -> DataFrame:

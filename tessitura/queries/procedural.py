@@ -13,7 +13,7 @@ from ..operators import splits as S
 from ..operators import transforms as T
 from ..plans import protocol, runner
 from ..plans.settings import TrainingConfig
-from ..sources import audio
+from ..sources import audio, sinks
 from ..views import CV_DUCK, cv_results, signals, vectors
 from .registry import query
 
@@ -124,14 +124,14 @@ def m13_distributed_scores(spark, d):
     return out.select("vec_id", "target", F.col("prediction").cast("int").alias("y_pred"), vector_to_array("rawPrediction")[1].alias("y_score"))
 
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-
-
-@query(f"SELECT DISTINCT unnest([{', '.join(repr(t) for t in TABLES)}]) AS table_name, TRUE AS has_bytes")
+@query("SELECT lang AS folder, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes FROM documents WHERE lang IS NOT NULL GROUP BY 1")
 def s01_list_files(spark, d):
-    """The tables' files; a table may be a folder of several."""
-    found = audio.list_files(spark, d, "*.parquet").withColumn("table_name", F.regexp_extract("path", "/([a-z]+)\\.parquet", 1))
-    return found.groupBy("table_name").agg((F.sum("length") > 0).alias("has_bytes"))
+    """Files with one suffix below a folder that has others, and their bytes: texts in a folder for each language."""
+    docs, at = spark.read.parquet(f"{d}/documents.parquet").filter("lang IS NOT NULL"), sinks.scratch(spark)
+    docs.select("lang", "text").write.partitionBy("lang").text(at)
+    docs.select("lang", "doc_id").write.mode("append").partitionBy("lang").parquet(at)
+    found = audio.list_files(spark, at, "*.txt").withColumn("folder", F.regexp_extract("path", "/lang=([^/]+)/", 1))
+    return found.groupBy("folder").agg(F.sum("length").alias("bytes"))
 
 
 # ------------------------------------------------------------------ runs over feature rows
