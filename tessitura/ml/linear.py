@@ -85,7 +85,8 @@ class Linear:
                     out[m, r["at"]] = r["v"]
         return out
 
-    def _prepare(self) -> None:
+    def prepare(self) -> Linear:
+        """Imputation, scaling, selection and costs of each unit."""
         m, d = len(self.masks), self.d
         median = self.median = self._medians()
 
@@ -104,12 +105,13 @@ class Linear:
         rows = n.sum(1)[:, None]
         mean = total.sum(1) / rows
         std = np.sqrt(np.maximum(square.sum(1) / rows - mean**2, 0))
-        std[std < 1e-12 * np.maximum(1, np.abs(mean))] = 1
+        constant = std < 1e-12 * np.maximum(1, np.abs(mean))
+        std[constant] = 1
         with np.errstate(all="ignore"):
             between = (total**2 / n[:, :, None]).sum(1) - total.sum(1) ** 2 / rows
             within = square.sum(1) - (total**2 / n[:, :, None]).sum(1)
             f = np.nan_to_num(between / (within / np.maximum(rows - 2, 1)), nan=-1.0)
-        self.mean, self.std, self.n = mean[self.mask_of], std[self.mask_of], n[self.mask_of]
+        self.mean, self.std, self.n, self.constant = mean[self.mask_of], std[self.mask_of], n[self.mask_of], constant[self.mask_of]
         self.chosen = np.zeros((len(self.units), d), bool)
         for i, u in enumerate(self.units):
             own = np.flatnonzero(self.allowed[i])
@@ -117,6 +119,7 @@ class Linear:
             self.chosen[i, own[np.argsort(-f[self.mask_of[i], own], kind="stable")[:k]]] = True
         c = np.array([float(u["c"]) for u in self.units])
         self.cost = c[:, None] * self.n.sum(1)[:, None] / (2 * np.maximum(self.n, 1))  # of a row, by class
+        return self
 
     def _plain(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weights and bias on the plain features, of weights (and intercept, last) on the standardized ones."""
@@ -148,7 +151,7 @@ class Linear:
         return (inner**2).sum(1) / 2 + loss, np.hstack([g, at_bias[:, None]])
 
     def fit(self) -> Linear:
-        self._prepare()
+        self.prepare()
         w = np.zeros((len(self.units), self.d + 1))
         for width in WIDTHS:
             w = self._minimized(w, width)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -13,11 +14,11 @@ from pyspark.sql import functions as F
 
 from ..sources import sinks
 from . import estimators as E
-from . import linear
+from . import cascade, linear
 
 # The default grids.
 PERCENTILES, CS, GAMMAS, LAYERS, ALPHAS, EPOCHS = (10, 25, 50), (0.01, 0.1, 1.0, 10.0), ("scale", "0.0001", "0.001", "0.01"), ((8,), (16,)), (0.001, 0.01), (5, 10, 15, 20, 30)
-#: Bytes of a feature matrix that tasks may hold whole; beyond that only linear machines are fitted.
+#: Bytes of a feature matrix that tasks may hold whole; beyond that only support vector machines are fitted.
 MOST_BYTES = 256 << 20
 
 HISTORY = "epoch bigint, train_loss double, train_accuracy double, train_balanced_accuracy double, valid_loss double, valid_accuracy double, valid_balanced_accuracy double"
@@ -49,13 +50,13 @@ def table_bytes(rows: DataFrame, features: str = "x") -> int:
 
 
 def check_size(rows: DataFrame, features: str = "x") -> None:
-    """Each task that fits kernel machines or networks holds the feature table whole; raise where it is too large for that."""
+    """Each task that fits networks, or predicts in a search, holds the feature table whole; raise where it is too large for that."""
     if (size := table_bytes(rows, features)) > MOST_BYTES:
-        raise ValueError(f"{size} bytes of features exceed {MOST_BYTES}; linear machines and distributed_svm have no limit")
+        raise ValueError(f"{size} bytes of features exceed {MOST_BYTES}; support vector machines have no limit")
 
 
-def only_linear(configs: DataFrame) -> bool:
-    return configs.filter("model <> 'svm_linear'").isEmpty()
+def families(configs: DataFrame) -> set[str]:
+    return {r[0] for r in configs.select("model").distinct().collect()}  # three at most
 
 
 def in_blocks(rows: DataFrame, work: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], Iterator[pd.DataFrame]], schema: str, even: Sequence[str] = ()) -> DataFrame:
@@ -96,10 +97,15 @@ def fit_units(rows: DataFrame, units: DataFrame, configs: DataFrame, columns: Ma
     all that its split does not hold out and scored on what it does.  columns: positions in x for each scenario.
 
     Result: the unit, train_score and valid_score; with predict also key, y_true, y_pred, y_score, a row for each row left out.
-    Linear units over a table too large for a task are fitted on rows that stay distributed (ml.linear).
+    Over a table too large for a task linear units are fitted on rows that stay distributed (ml.linear) and kernel units by
+    a cascade (ml.cascade).
     """
-    if not predict and table_bytes(rows) > MOST_BYTES and only_linear(configs.join(units, "candidate", "left_semi")):
-        return linear.fit_units(rows, units, configs, columns).drop("objective")
+    if not predict and table_bytes(rows) > MOST_BYTES and "mlp" not in (used := families(configs.join(units, "candidate", "left_semi"))):
+        work = units.join(F.broadcast(configs.select("candidate", "model")), "candidate")  # a row a configuration
+        of = {m: work.filter(F.col("model") == m).drop("model") for m in used}
+        done = [linear.fit_units(rows, of["svm_linear"], configs, columns).drop("objective")] if "svm_linear" in of else []
+        done += [cascade.fit_units(rows, of["svm_rbf"], configs, columns, key)] if "svm_rbf" in of else []
+        return reduce(DataFrame.unionByName, done)
     check_size(rows)
     at = {k: np.asarray(v, int) for k, v in (columns or {}).items()}
     work = units.join(F.broadcast(configs), "candidate")  # a row a configuration
@@ -155,10 +161,13 @@ def results(scores: DataFrame, configs: DataFrame) -> DataFrame:
 def fitted(train: DataFrame, configs: DataFrame, key: str = "vec_id") -> DataFrame:
     """candidate, converged, model (pickled): each configuration fitted on all training rows, one row of work each.
 
-    Linear ones over a table too large for a task are fitted on rows that stay distributed.
+    Over a table too large for a task linear ones are fitted on rows that stay distributed, kernel machines by a cascade.
     """
-    if table_bytes(train) > MOST_BYTES and only_linear(configs):
-        return linear.fitted(train, configs)
+    if table_bytes(train) > MOST_BYTES and "mlp" not in (used := families(configs)):
+        of = {m: configs.filter(F.col("model") == m) for m in used}
+        done = [linear.fitted(train, of["svm_linear"])] if "svm_linear" in of else []
+        done += [cascade.fitted(train, of["svm_rbf"], key)] if "svm_rbf" in of else []
+        return reduce(DataFrame.unionByName, done)
     check_size(train)
 
     def run(held: pd.DataFrame, todo: pd.DataFrame):
@@ -176,7 +185,7 @@ def predicted(models: DataFrame, test: DataFrame, key: str = "vec_id") -> DataFr
 
     The rows are dealt into blocks, and each block meets each model once; no model goes through the driver.
     """
-    blocks = 3 * test.sparkSession.sparkContext.defaultParallelism
+    blocks = cascade.blocks_of(test)
     left = test.select(key, "x", "target", F.pmod(F.hash(key), F.lit(blocks)).alias("block")).repartition(blocks, "block")
     right = models.select("candidate", "model", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).repartition(blocks, "block")
     names = ["candidate", key, "y_true", "y_pred", "y_score"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..features import extract as X
-from ..ml import linear, nested, search
+from ..ml import cascade, linear, nested, search
 from ..operators import splits as S
 from ..operators import transforms as T
 from ..plans import protocol, runner
@@ -82,6 +82,15 @@ def m07_kernel_svm(spark, d):
     return search.cross_validate(folded(spark, d), search.configurations(spark, [(0, "svm_rbf", 50, 1.0, "scale", None, None, None, None, 0, 0)]))
 
 
+@query()
+def m07_kernel_cascade(spark, d):
+    """Two kernel machines in each fold by a cascade, rows dealt into parts of 512."""
+    rows = folded(spark, d).withColumn("parts", F.array("fold"))
+    configs = search.configurations(spark, [(i, "svm_rbf", 50, c, "scale", None, None, None, None, 0, 0) for i, c in enumerate([0.1, 1.0])])
+    units = configs.select(F.lit(0).alias("split"), F.lit("all").alias("scenario"), "candidate").crossJoin(rows.select("fold").distinct())  # the work itself
+    return cascade.fit_units(rows, units, configs, part_rows=512).select("scenario", "candidate", "fold", "train_score", "valid_score")
+
+
 @query()
 def m08_mlp(spark, d):
     return search.cross_validate(folded(spark, d), search.configurations(spark, [(0, "mlp", 50, None, None, [8], 0.001, 0.0, 10, 8, 1)]))
