@@ -188,58 +188,152 @@ def mfcc_statistics(x: np.ndarray, rate: int, n: int = 30, n_fft: int = 1024, ho
 VOICE = ("f0_mean", "f0_std", "f0_min", "f0_max", "f0_voiced_ratio", "hnr_mean", "hnr_std", "jitter_local", "shimmer_local")
 
 
-def voice_quality(x: np.ndarray, rate: int, low: float = 75.0, high: float = 600.0, step: float = 0.01, voiced: float = 0.45) -> dict[str, float]:
-    """Pitch and harmonicity from normalized autocorrelation (Boersma 1993); jitter and shimmer from marked periods.
+# Costs of a pitch path as published (Boersma 1993): an octave down, an octave's jump, a change of voicing; what is silent, what is voiced.
+OCTAVE, JUMP, VOICING, SILENCE, VOICED = 0.01, 0.35, 0.14, 0.03, 0.45
+#: Pitch candidates of a frame.
+CANDIDATES = 14
+
+
+def pitch_path(x: np.ndarray, rate: int, low: float = 75.0, high: float = 600.0, step: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Time, pitch (0: unvoiced) and autocorrelation of each frame: the cheapest path over the candidates of all frames.
+
+    Candidates are the peaks of the autocorrelation, divided by that of the window, and one for no voice.  The path gains
+    their strengths and pays for jumps in octaves and for changes of voicing.
+    """
+    n = int(3 / low * rate)
+    window, hop = np.hanning(n), max(1, int(step * rate))
+    frames = np.lib.stride_tricks.sliding_window_view(x, n)[::hop]
+    frames = frames - frames.mean(axis=1, keepdims=True)
+    size = 1 << (2 * n - 1).bit_length()
+
+    def correlate(f):
+        r = np.fft.irfft(np.abs(np.fft.rfft(f, size, axis=-1)) ** 2, axis=-1)[..., :n]
+        return r / np.maximum(r[..., :1], 1e-20)
+
+    r = correlate(frames * window) / np.maximum(correlate(window), 1e-3)
+    lags = np.arange(max(1, int(rate / high)), min(int(rate / low), n // 2) + 1)
+    y0, y1, y2 = r[:, lags - 1], r[:, lags], r[:, lags + 1]
+    bend = np.minimum(y0 - 2 * y1 + y2, -1e-12)
+    shift = np.clip(0.5 * (y0 - y2) / bend, -0.5, 0.5)
+    height, at = y1 - 0.25 * (y0 - y2) * shift, lags + shift
+    height = np.where(height > 1, 1 / height, height)  # noise of short lags
+    gain = np.where((y1 > y0) & (y1 >= y2) & (y1 > 0), height - OCTAVE * np.log2(low * at / rate), -np.inf)
+    best = np.argsort(-gain, axis=1, kind="stable")[:, :CANDIDATES]
+    rows = np.arange(len(r))[:, None]
+    loud = np.abs(frames).max(axis=1) / max(np.abs(x - x.mean()).max(), 1e-20)
+    quiet = VOICED + np.maximum(0, 2 - loud / (SILENCE / (1 + VOICED)))
+    gain = np.hstack([quiet[:, None], gain[rows, best]])
+    pitch = np.hstack([np.zeros((len(r), 1)), rate / at[rows, best]])
+    octaves = np.log2(np.maximum(pitch, 1e-9))
+    scale = 0.01 * rate / hop  # costs are for steps of a hundredth of a second
+    total, back = gain[0], []
+    for t in range(1, len(r)):
+        before, now = pitch[t - 1] > 0, pitch[t] > 0
+        cost = np.where(before[:, None] & now, JUMP * np.abs(octaves[t - 1][:, None] - octaves[t]), np.where(before[:, None] != now, VOICING, 0.0))
+        reached = total[:, None] - scale * cost
+        back.append(reached.argmax(axis=0))
+        total = reached.max(axis=0) + gain[t]
+    chosen = [int(total.argmax())]
+    for b in reversed(back):
+        chosen.append(int(b[chosen[-1]]))
+    chosen = np.array(chosen[::-1])
+    which = np.arange(len(r))
+    strength = np.hstack([np.zeros((len(r), 1)), height[rows, best]])[which, chosen]
+    return (which * hop + n / 2) / rate, pitch[which, chosen], strength
+
+
+def pulses(x: np.ndarray, rate: int, times: np.ndarray, f0: np.ndarray, least: float = 0.3) -> list[np.ndarray]:
+    """Places (in samples, with fractions) of the pulses of each voiced stretch.
+
+    From the highest sample of the period in the stretch's middle one goes on, both ways, to where a period's wave is most
+    like the last one, by cross-correlation at lags of 0.8 to 1.25 periods, until none is like it or the stretch ends.
+    """
+    voiced = np.flatnonzero(f0 > 0)
+    out = []
+    for part in np.split(voiced, np.flatnonzero(np.diff(voiced) > 1) + 1):
+        if not len(part):
+            continue
+        half = (times[1] - times[0]) / 2 if len(times) > 1 else 1.5 / f0[part[0]]
+        lo, hi = (times[part[0]] - half) * rate, (times[part[-1]] + half) * rate
+
+        def period(m):
+            return rate / np.interp(m / rate, times[part], f0[part])
+
+        mid = (lo + hi) / 2
+        a = max(0, int(mid - period(mid) / 2))
+        b = max(a + 1, int(mid + period(mid) / 2))
+        marks = [float(a + np.argmax(np.abs(x[a:b])))]
+        for way in (1, -1):
+            m = marks[0]
+            while True:
+                p = period(m)
+                w, base = max(2, int(round(p))), int(round(m - p / 2))
+                lags = np.arange(max(1, int(0.8 * p)) - 1, int(np.ceil(1.25 * p)) + 2)
+                start = base + way * lags
+                if base < 0 or base + w > len(x) or start.min() < 0 or start.max() + w > len(x):
+                    break
+                other = np.lib.stride_tricks.sliding_window_view(x, w)[start]
+                own = x[base : base + w]
+                c = other @ own / np.maximum(np.sqrt((other * other).sum(axis=1) * (own @ own)), 1e-20)
+                k = 1 + int(np.argmax(c[1:-1]))
+                bend = c[k - 1] - 2 * c[k] + c[k + 1]
+                lag = lags[k] + (np.clip(0.5 * (c[k - 1] - c[k + 1]) / bend, -0.5, 0.5) if bend < -1e-12 else 0.0)
+                m += way * lag
+                if c[k] < least or not lo <= m <= hi:
+                    break
+                marks.append(float(m))
+        out.append(np.sort(marks))
+    return out
+
+
+def _loudness(x: np.ndarray, m: float, reach: float) -> float:
+    """Root of the mean square around m under a Hann window that reaches so far on each side."""
+    at = np.arange(max(0, int(np.ceil(m - reach))), min(len(x), int(m + reach) + 1))
+    w = 0.5 + 0.5 * np.cos(np.pi * (at - m) / max(reach, 1e-9))
+    return float(np.sqrt((w * x[at] ** 2).sum() / w.sum())) if w.sum() > 0 else np.nan
+
+
+def jitter_and_shimmer(x: np.ndarray, rate: int, marks: list[np.ndarray], shortest: float = 0.0001, longest: float = 0.02) -> tuple[float, float]:
+    """Mean difference of neighbouring periods by the mean period, and of their amplitudes by the mean amplitude.
+
+    Periods outside the limits, or that differ by more than a factor of 1.3 (amplitudes 1.6), do not count.
+    """
+    periods, amplitudes, d_period, d_amplitude = [], [], [], []
+    for m in marks:
+        t = np.diff(m) / rate
+        good = (t >= shortest) & (t <= longest)
+        pair = good[1:] & good[:-1]
+        pair &= np.maximum(t[1:], t[:-1]) <= 1.3 * np.minimum(t[1:], t[:-1])
+        periods += list(t[good])
+        d_period += list(np.abs(np.diff(t))[pair])
+        a = np.array([_loudness(x, p, 0.2 * rate * q) for p, q in zip(m[1:], t)])
+        near = pair & (np.maximum(a[1:], a[:-1]) <= 1.6 * np.minimum(a[1:], a[:-1]))
+        amplitudes += list(a[good])
+        d_amplitude += list(np.abs(np.diff(a))[near])
+    jitter = float(np.mean(d_period) / np.mean(periods)) if d_period else np.nan
+    shimmer = float(np.mean(d_amplitude) / np.mean(amplitudes)) if d_amplitude and np.mean(amplitudes) > 0 else np.nan
+    return jitter, shimmer
+
+
+def voice_quality(x: np.ndarray, rate: int, low: float = 75.0, high: float = 600.0, step: float = 0.01) -> dict[str, float]:
+    """Pitch and harmonicity along a pitch path; jitter and shimmer from pulses.
 
     What can't be computed stays NaN, and what was computed before a failure is kept.
     """
     out = {f"glottal_{k}": np.nan for k in VOICE}
     x = np.asarray(x, np.float64)
-    n = int(3 / low * rate)
-    if x.size == 0 or len(x) < n:
+    if x.size == 0 or len(x) < int(3 / low * rate) or not np.ptp(x) > 0:
         return out
     try:
-        window = np.hanning(n)
-        frames = np.lib.stride_tricks.sliding_window_view(x, n)[:: max(1, int(step * rate))]
-        frames = (frames - frames.mean(axis=1, keepdims=True)) * window
-        size = 1 << (2 * n - 1).bit_length()
-
-        def correlate(f):
-            r = np.fft.irfft(np.abs(np.fft.rfft(f, size, axis=-1)) ** 2, axis=-1)[..., :n]
-            return r / np.maximum(r[..., :1], 1e-20)
-
-        r = correlate(frames) / np.maximum(correlate(window), 1e-3)
-        a, b = int(rate / high), min(int(rate / low), n // 2)
-        # Of equal peaks the shortest period: a hundredth is the cost of an octave down.
-        peak = a + np.argmax(r[:, a:b] - 0.01 * np.log2(np.arange(a, b) * low / rate), axis=1)
-        at = np.arange(len(r))
-        y0, y1, y2 = r[at, peak - 1], r[at, peak], r[at, np.minimum(peak + 1, n - 1)]
-        bend = y0 - 2 * y1 + y2
-        shift = np.where(np.abs(bend) > 1e-12, 0.5 * (y0 - y2) / np.where(np.abs(bend) > 1e-12, bend, 1), 0)
-        lag, strength = peak + np.clip(shift, -0.5, 0.5), np.clip(y1, 1e-6, 1 - 1e-6)
-        loud = np.abs(frames).max(axis=1) > 0.03 * np.abs(x).max()
-        good = (strength > voiced) & loud
-        f0 = rate / lag[good]
-        out["glottal_f0_voiced_ratio"] = float(good.sum() / max(len(good), 1)) if good.any() else np.nan
+        times, path, strength = pitch_path(x, rate, low, high, step)
+        good = path > 0
         if good.any():
-            out |= {"glottal_f0_mean": float(f0.mean()), "glottal_f0_std": float(f0.std()), "glottal_f0_min": float(f0.min()), "glottal_f0_max": float(f0.max())}
-            hnr = 10 * np.log10(strength[good] / (1 - strength[good]))
+            f0 = path[good]
+            out |= {"glottal_f0_mean": float(f0.mean()), "glottal_f0_std": float(f0.std()), "glottal_f0_min": float(f0.min()), "glottal_f0_max": float(f0.max()), "glottal_f0_voiced_ratio": float(good.mean())}
+            r = np.clip(strength[good], 1e-6, 1 - 1e-6)
+            hnr = 10 * np.log10(r / (1 - r))
             out |= {"glottal_hnr_mean": float(hnr.mean()), "glottal_hnr_std": float(hnr.std())}
-            period = int(round(rate / np.median(f0)))
-            marks, i = [], int(np.argmax(x[: 2 * period]))
-            while i + period + period // 4 < len(x):
-                marks.append(i)
-                lo = i + period - period // 4
-                i = lo + int(np.argmax(x[lo : i + period + period // 4 + 1]))
-            t, peak_height = np.diff(marks) / rate, np.abs(x[marks])
-            if len(t) > 2:
-                near = np.maximum(t[1:], t[:-1]) / np.minimum(t[1:], t[:-1]) < 1.3
-                if near.any():
-                    out["glottal_jitter_local"] = float(np.abs(np.diff(t))[near].mean() / t.mean())
-                h1, h2 = peak_height[1:], peak_height[:-1]
-                near = np.maximum(h1, h2) / np.maximum(np.minimum(h1, h2), 1e-12) < 1.6
-                if near.any():
-                    out["glottal_shimmer_local"] = float(np.abs(h1 - h2)[near].mean() / peak_height.mean())
+            out["glottal_jitter_local"], out["glottal_shimmer_local"] = jitter_and_shimmer(x, rate, pulses(x, rate, times, path))
     except (ValueError, IndexError, FloatingPointError):
         pass
     return out
