@@ -132,14 +132,17 @@ def _edge(c: str) -> bool:
 
 
 def vocabulary(terms: DataFrame, most: int = MOST_TERMS) -> dict[str, object]:
-    """The options strict and soft of judge() from rows of term (lower case) and weight, null for strict terms.
+    """The options strict and soft of judge() from rows of term and weight, null for strict terms.
 
-    The automaton stands in every worker, so a table of more than most terms is refused.
+    A-Z in terms is lower-cased, as it is in URLs.  A term with several weights has the greatest; a term that is strict
+    in any row is strict only.  Null and empty terms are left out.  The automaton stands in every worker, so a table of more than most terms is refused.
     """
-    rows = terms.select("term", "weight").filter(F.length("term") > 0).distinct().limit(most + 1).collect()
+    upper, lower = "".join(map(chr, _LOWER)), "".join(map(chr, _LOWER.values()))
+    low = terms.filter(F.length("term") > 0).select(F.translate("term", upper, lower).alias("term"), "weight")
+    rows = low.groupBy("term").agg(F.max("weight").alias("weight"), F.bool_or(F.col("weight").isNull()).alias("strict")).limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} terms")
-    return {"strict": sorted(r["term"] for r in rows if r["weight"] is None), "soft": {r["term"]: r["weight"] for r in rows if r["weight"] is not None}}
+    return {"strict": sorted(r["term"] for r in rows if r["strict"]), "soft": {r["term"]: r["weight"] for r in rows if not r["strict"]}}
 
 
 def url_verdicts(pages: DataFrame, **options) -> DataFrame:

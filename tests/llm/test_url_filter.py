@@ -55,6 +55,17 @@ def test_vocabulary_of_a_table(spark):
         U.vocabulary(terms, most=2)
 
 
+def test_vocabulary_of_odd_rows(spark):
+    """Capitals, several weights, strict and soft at once, nulls; and what the terms then do."""
+    terms = spark.createDataFrame([("Casino", None), ("bet", 1), ("BET", 3), ("both", 2), ("Both", None), (None, 1), (None, None), ("", None), ("\u00c4b", 1)], "term string, weight int")
+    found = U.vocabulary(terms)
+    assert found == {"strict": ["both", "casino"], "soft": {"bet": 3, "\u00c4b": 1}}
+    df = spark.createDataFrame([(1, "http://casino.com"), (2, "http://a.b/bet"), (3, "http://a.b/BOTH"), (4, "http://a.b/")], "page_id int, url string")
+    out = {r["page_id"]: r["verdict"] for r in U.url_verdicts(df, soft_limit=3, **found).collect()}
+    assert out == {1: "block", 2: "block", 3: "block", 4: "allow"}
+    assert U.vocabulary(terms.limit(0)) == {"strict": [], "soft": {}}
+
+
 def test_long_urls(spark):
     long = "http://" + "a." * 100_000 + "net/" + "x" * 100_000 + "/porn"
     r = U.url_verdicts(spark.createDataFrame([(1, long)], "page_id int, url string")).first()
