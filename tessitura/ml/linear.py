@@ -227,23 +227,19 @@ def fitted(train: DataFrame, configs: DataFrame) -> DataFrame:
     return train.sparkSession.createDataFrame(rows, "candidate int, converged boolean, model binary")
 
 
-def fit_units(rows: DataFrame, units: DataFrame, configs: DataFrame, columns: Mapping[str, Sequence[int]] | None = None) -> DataFrame:
-    """split, scenario, candidate, fold, train_score, valid_score (balanced accuracies), as search.fit_units for linear units.
+def balanced_accuracies(model: Linear, guess) -> tuple[np.ndarray, np.ndarray]:
+    """Of each unit, on the rows it was fitted on and on those of its fold, by one pass; and the numbers of these rows.
 
-    The units are listed on the driver: they are the work, and as many as configurations times folds.
+    guess(x, missing) -> whether each unit takes each row for the positive class.
     """
-    spark = rows.sparkSession
-    todo = [r.asDict() for r in units.join(F.broadcast(configs), "candidate").orderBy("split", "scenario", "candidate", "fold").collect()]
-    model = Linear(rows.select("x", "target", "parts"), todo, columns).fit()
-    v, bias, filled, mask_of, folds = model.weights, model.bias, model.weights * model.median[model.mask_of], model.mask_of, model.masks
+    mask_of, folds = model.mask_of, model.masks
 
     def hits(batches):
-        total = np.zeros((len(v), 2, 2, 2))  # unit, fitted or left out, class, rows and hits
+        total = np.zeros((len(mask_of), 2, 2, 2))  # unit, fitted or left out, class, rows and hits
         for b in batches:
             if b.num_rows:
                 x, parts, y = _matrix(b.column("x")), _matrix(b.column("parts")), b.column("target").to_numpy(zero_copy_only=False)
-                missing = np.isnan(x)
-                right = ((np.where(missing, 0.0, x) @ v.T + missing @ filled.T + bias) > 0) == (y == 1)[:, None]
+                right = guess(x, np.isnan(x)) == (y == 1)[:, None]
                 own = np.stack([parts[:, s] for s, _ in folds], 1)
                 out = own == np.array([f for _, f in folds])
                 for k, which in enumerate((~out & (own >= 0), out)):
@@ -253,9 +249,26 @@ def fit_units(rows: DataFrame, units: DataFrame, configs: DataFrame, columns: Ma
                         total[:, k, c, 1] += (rows_of & right).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["v"])
 
-    t = _added(model.rows.mapInArrow(hits, "v array<double>")).reshape(len(v), 2, 2, 2)
-    with np.errstate(all="ignore"):
-        scores = np.nanmean(t[..., 1] / t[..., 0], axis=2)  # a class that is absent does not count
+    t = _added(model.rows.select("x", "target", "parts").mapInArrow(hits, "v array<double>")).reshape(len(mask_of), 2, 2, 2)
+    some = t[..., 0] > 0
+    share = np.where(some, t[..., 1] / np.maximum(t[..., 0], 1), 0).sum(axis=2) / np.maximum(some.sum(axis=2), 1)  # a class that is absent does not count
+    return np.where(some.any(axis=2), share, np.nan), t[..., 0].sum(axis=2)
+
+
+def fit_units(rows: DataFrame, units: DataFrame, configs: DataFrame, columns: Mapping[str, Sequence[int]] | None = None) -> DataFrame:
+    """split, scenario, candidate, fold, train_score, valid_score (balanced accuracies), as search.fit_units for linear units.
+
+    The units are listed on the driver: they are the work, and as many as configurations times folds.
+    """
+    spark = rows.sparkSession
+    todo = [r.asDict() for r in units.join(F.broadcast(configs), "candidate").orderBy("split", "scenario", "candidate", "fold").collect()]
+    model = Linear(rows.select("x", "target", "parts"), todo, columns).fit()
+    v, bias, filled = model.weights, model.bias, model.weights * model.median[model.mask_of]
+
+    def guess(x: np.ndarray, missing: np.ndarray) -> np.ndarray:
+        return (np.where(missing, 0.0, x) @ v.T + missing @ filled.T + bias) > 0
+
+    scores, _ = balanced_accuracies(model, guess)
     names = ["split", "scenario", "candidate", "fold"]
     found = pd.DataFrame(todo)[names].assign(train_score=scores[:, 0], valid_score=scores[:, 1], objective=model.objective)
     return spark.createDataFrame(found, "split int, scenario string, candidate int, fold int, train_score double, valid_score double, objective double")

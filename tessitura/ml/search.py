@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from ..sources import sinks
 from . import estimators as E
-from . import cascade, linear
+from . import cascade, linear, network
 
 # The default grids.
 PERCENTILES, CS, GAMMAS, LAYERS, ALPHAS, EPOCHS = (10, 25, 50), (0.01, 0.1, 1.0, 10.0), ("scale", "0.0001", "0.001", "0.01"), ((8,), (16,)), (0.001, 0.01), (5, 10, 15, 20, 30)
-#: Bytes of a feature matrix that tasks may hold whole; beyond that only support vector machines are fitted.
+#: Bytes of a feature matrix that tasks may hold whole; beyond that machines and networks are fitted on rows that stay distributed.
 MOST_BYTES = 256 << 20
 
 HISTORY = "epoch bigint, train_loss double, train_accuracy double, train_balanced_accuracy double, valid_loss double, valid_accuracy double, valid_balanced_accuracy double"
@@ -50,9 +50,9 @@ def table_bytes(rows: DataFrame, features: str = "x") -> int:
 
 
 def check_size(rows: DataFrame, features: str = "x") -> None:
-    """Each task that fits networks, or predicts in a search, holds the feature table whole; raise where it is too large for that."""
+    """Each task of a search that predicts, or of a diagnostic curve, holds the feature table whole; raise where it is too large for that."""
     if (size := table_bytes(rows, features)) > MOST_BYTES:
-        raise ValueError(f"{size} bytes of features exceed {MOST_BYTES}; support vector machines have no limit")
+        raise ValueError(f"{size} bytes of features exceed {MOST_BYTES}; searches and fits that do not predict have no limit")
 
 
 def families(configs: DataFrame) -> set[str]:
@@ -97,14 +97,16 @@ def fit_units(rows: DataFrame, units: DataFrame, configs: DataFrame, columns: Ma
     all that its split does not hold out and scored on what it does.  columns: positions in x for each scenario.
 
     Result: the unit, train_score and valid_score; with predict also key, y_true, y_pred, y_score, a row for each row left out.
-    Over a table too large for a task linear units are fitted on rows that stay distributed (ml.linear) and kernel units by
-    a cascade (ml.cascade).
+    Over a table too large for a task linear units are fitted on rows that stay distributed (ml.linear), kernel units by
+    a cascade (ml.cascade) and networks by rounds of averaged updates (ml.network).
     """
-    if not predict and table_bytes(rows) > MOST_BYTES and "mlp" not in (used := families(configs.join(units, "candidate", "left_semi"))):
+    if not predict and table_bytes(rows) > MOST_BYTES:
+        used = families(configs.join(units, "candidate", "left_semi"))
         work = units.join(F.broadcast(configs.select("candidate", "model")), "candidate")  # a row a configuration
         of = {m: work.filter(F.col("model") == m).drop("model") for m in used}
         done = [linear.fit_units(rows, of["svm_linear"], configs, columns).drop("objective")] if "svm_linear" in of else []
         done += [cascade.fit_units(rows, of["svm_rbf"], configs, columns, key)] if "svm_rbf" in of else []
+        done += [network.fit_units(rows, of["mlp"], configs, columns, key)] if "mlp" in of else []
         return reduce(DataFrame.unionByName, done)
     check_size(rows)
     at = {k: np.asarray(v, int) for k, v in (columns or {}).items()}
@@ -161,14 +163,16 @@ def results(scores: DataFrame, configs: DataFrame) -> DataFrame:
 def fitted(train: DataFrame, configs: DataFrame, key: str = "vec_id") -> DataFrame:
     """candidate, converged, model (pickled): each configuration fitted on all training rows, one row of work each.
 
-    Over a table too large for a task linear ones are fitted on rows that stay distributed, kernel machines by a cascade.
+    Over a table too large for a task linear ones are fitted on rows that stay distributed, kernel machines by a cascade,
+    networks by rounds of averaged updates.
     """
-    if table_bytes(train) > MOST_BYTES and "mlp" not in (used := families(configs)):
+    if table_bytes(train) > MOST_BYTES:
+        used = families(configs)
         of = {m: configs.filter(F.col("model") == m) for m in used}
         done = [linear.fitted(train, of["svm_linear"])] if "svm_linear" in of else []
         done += [cascade.fitted(train, of["svm_rbf"], key)] if "svm_rbf" in of else []
+        done += [network.fitted(train, of["mlp"], key)] if "mlp" in of else []
         return reduce(DataFrame.unionByName, done)
-    check_size(train)
 
     def run(held: pd.DataFrame, todo: pd.DataFrame):
         _, x, y = _arrays(held, key)

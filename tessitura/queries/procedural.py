@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..features import extract as X
-from ..ml import cascade, linear, nested, search
+from ..ml import cascade, linear, nested, network, search
 from ..operators import splits as S
 from ..operators import transforms as T
 from ..plans import protocol, runner
@@ -96,6 +96,15 @@ def m08_mlp(spark, d):
     return search.cross_validate(folded(spark, d), search.configurations(spark, [(0, "mlp", 50, None, None, [8], 0.001, 0.0, 10, 8, 1)]))
 
 
+@query()
+def m08_network_rounds(spark, d):
+    """Two networks in each fold by rounds of averaged updates over shards."""
+    rows = folded(spark, d).withColumn("parts", F.array("fold"))
+    configs = search.configurations(spark, [(i, "mlp", 50, None, None, layers, 0.001, 0.0, 10, sum(layers), len(layers)) for i, layers in enumerate([[8], [16]])])
+    units = configs.select(F.lit(0).alias("split"), F.lit("all").alias("scenario"), "candidate").crossJoin(rows.select("fold").distinct())  # the work itself
+    return network.fit_units(rows, units, configs).select("scenario", "candidate", "fold", "train_score", "valid_score")
+
+
 @query()
 def m09_grid_search(spark, d):
     """All configurations of the default grid."""
