@@ -6,7 +6,7 @@ holds names the reason, which equals applying the rules one after another.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -118,13 +118,52 @@ def _present(rows: DataFrame, names: Sequence[str]) -> list[str]:
     return [c for c in names if c in rows.columns]
 
 
-def _canonical(rows: DataFrame, order: Sequence[str], hash_column: str, more: dict[str, Column]) -> DataFrame:
-    """One row a hash: the columns of the first row in order, and aggregates."""
+#: Copies of one file whose lists are made by one aggregate; lists of more are made of chunks of so many values.
+LIST_ROWS = 4096
+
+
+def joined_lists(rows: DataFrame, by: str, values: Mapping[str, Column], chunk_rows: int | None = None) -> DataFrame:
+    """by and, for each name, what T.join_distinct gives, for groups of any size.
+
+    Values are made distinct by a shuffle on group and value, ranked by a two-pass scan and joined in chunks, so no task
+    holds the values of a group one by one; only the finished texts are in one place.  A group without any value has no row.
+    """
+    from .scan import running
+
+    most = chunk_rows or LIST_ROWS
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("list_name"), F.trim(c.cast("string")).alias("list_value")) for n, c in values.items()]))
+    long = rows.select(F.col(by), each.alias("list_each")).select(by, "list_each.*").filter("list_value <> ''").distinct()
+    placed = running(long, [F.lower("list_value"), F.col("list_value")], {"list_place": F.lit(1).cast("long")}, by=[by, "list_name"])
+
+    def in_order(order: str, text: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), T.SEPARATOR)
+
+    chunks = placed.groupBy(by, "list_name", F.floor((F.col("list_place") - 1) / most).alias("list_chunk")).agg(in_order("list_place", "list_value").alias("list_text"))
+    whole = chunks.groupBy(by, "list_name").agg(in_order("list_chunk", "list_text").alias("list_text"))
+    return whole.groupBy(by).agg(*[F.max(F.when(F.col("list_name") == n, F.col("list_text"))).alias(n) for n in values])
+
+
+def _canonical(rows: DataFrame, order: Sequence[str], hash_column: str, lists: Mapping[str, Column], more: Mapping[str, Column]) -> DataFrame:
+    """One row a hash: the columns of the first row in order, lists of distinct values, and aggregates."""
+    from ..sources.sinks import kept
+
     first = F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("first_row")
-    sources = {"source_sample_ids": T.join_distinct(F.col("sample_id"))}
-    for column in _present(rows, ("filepath", "relative_path", "metadata_path")):
-        sources[f"source_{column}s"] = T.join_distinct(F.col(column))
-    return rows.groupBy(hash_column).agg(first, F.count("*").alias("source_count"), *[c.alias(n) for n, c in {**sources, **more}.items()])
+    lists = {"source_sample_ids": F.col("sample_id"), **{f"source_{c}s": F.col(c) for c in _present(rows, ("filepath", "relative_path", "metadata_path"))}, **lists}
+    sums = [first, F.count("*").alias("source_count"), *[c.alias(n) for n, c in more.items()]]
+
+    def at_once(some: DataFrame) -> DataFrame:
+        return some.groupBy(hash_column).agg(*sums, *[T.join_distinct(c.cast("string")).alias(n) for n, c in lists.items()])
+
+    large = kept(rows.groupBy(F.col(hash_column).alias("large_hash")).count().filter(F.col("count") > LIST_ROWS).select("large_hash"))
+    if large.isEmpty():
+        return at_once(rows)
+    same = rows[hash_column].eqNullSafe(large["large_hash"])
+    hot = rows.join(large, same, "left_semi")
+    found = joined_lists(hot, hash_column, lists).withColumnRenamed(hash_column, "list_hash")
+    heads = hot.groupBy(hash_column).agg(*sums)
+    wide = heads.join(found, F.col(hash_column).eqNullSafe(F.col("list_hash")), "left").drop("list_hash")
+    wide = wide.fillna("", list(lists))  # no value at all
+    return at_once(rows.join(large, same, "left_anti")).unionByName(wide)
 
 
 def consolidate_groups(rows: DataFrame, prefix: str = "d2", hash_column: str = "file_sha256") -> DataFrame:
@@ -133,7 +172,7 @@ def consolidate_groups(rows: DataFrame, prefix: str = "d2", hash_column: str = "
     groups = F.col("pathology_group")
     keys = F.col("pathology_group_key") if "pathology_group_key" in rows.columns else groups
     found = F.col("pathology") if "pathology" in rows.columns else groups
-    out = _canonical(rows, order, hash_column, {"joined_groups": T.join_distinct(groups), "joined_keys": T.join_distinct(keys), "joined_pathologies": T.join_distinct(found)})
+    out = _canonical(rows, order, hash_column, {"joined_groups": groups, "joined_keys": keys, "joined_pathologies": found}, {})
     own = [c for c in rows.columns if c not in (hash_column, "sample_id", "pathology_group", "pathology_group_key", "pathology")]
     return out.select(
         T.canonical_id_of_key(prefix, F.col("first_row.recording_id"), F.col("first_row.vowel"), F.col("first_row.condition")).alias("sample_id"),
@@ -173,9 +212,9 @@ def consolidate_hashes(rows: DataFrame, prefix: str = "d1", hash_column: str = "
     """One row for each set of equal files, keyed by the hash; other columns that conflict become null."""
     names = [c for c in rows.columns if c not in IDENTITY and c != hash_column]
     joined = _present(rows, JOINED)
-    more = {f"joined_{c}": T.join_distinct(F.col(c).cast("string")) for c in joined}
-    more |= {f"differs_{c}": F.min(_as_value(c)) != F.max(_as_value(c)) for c in names}
-    out = _canonical(rows, _present(rows, ("relative_path", "sample_id")), hash_column, more)
+    lists = {f"joined_{c}": F.col(c) for c in joined}
+    more = {f"differs_{c}": F.min(_as_value(c)) != F.max(_as_value(c)) for c in names}
+    out = _canonical(rows, _present(rows, ("relative_path", "sample_id")), hash_column, lists, more)
     listed = F.array_join(F.filter(F.array(*[F.when(F.col(f"differs_{c}"), F.lit(c)) for c in sorted(names)]), lambda x: x.isNotNull()), T.SEPARATOR)
     new_id = T.canonical_id_of_hash(prefix, F.col(hash_column))
     kept = [c for c in rows.columns if c not in (hash_column, "sample_id", "speaker_id", "speaker_id_source", *joined)]

@@ -80,3 +80,24 @@ def test_first_rule_wins_and_null_is_false(spark):
     cascade = [C.Rule("small", F.col("x") < 10), C.Rule("any", F.col("id") > 0, F.lit("d"))]
     out = {r["id"]: (r["exclusion_reason"], r["exclusion_detail"]) for r in C.audited(df, cascade).collect()}
     assert out == {1: ("any", "d"), 2: ("small", None), 3: ("any", "d")}
+
+
+@pytest.mark.parametrize("by_hash", [False, True])
+def test_long_lists_equal_those_of_one_aggregate(spark, monkeypatch, by_hash):
+    """A file with many copies, one with few, copies without a hash, and copies without any value of a list."""
+    copies = [row(i, file_sha256="hot", relative_path=f" R{i % 23}", pathology=["x", "b", "B", " ", None][i % 5]) for i in range(60)]
+    copies += [row(100 + i, file_sha256=None) for i in range(20)] + [row(200 + i, file_sha256="few") for i in range(3)]
+    copies += [row(300 + i, file_sha256="bare", pathology=None if i % 2 else "  ", filepath=None) for i in range(15)]
+    rows = spark.createDataFrame(copies, D2).repartition(5)
+    make = C.consolidate_hashes if by_hash else C.consolidate_groups
+    want = sorted(map(str, make(rows).collect()))
+    monkeypatch.setattr(C, "LIST_ROWS", 7)
+    out = make(rows)
+    assert sorted(map(str, out.collect())) == want and len(want) == 4
+
+
+def test_a_file_with_very_many_copies(spark):
+    n = 60_000
+    rows = spark.range(n).select(F.lit("h").alias("k"), F.concat(F.lit("v"), F.col("id") % 50_000).alias("v"))
+    got = C.joined_lists(rows, "k", {"all": F.col("v")}).first()["all"]
+    assert got == " | ".join(sorted(f"v{i}" for i in range(50_000)))
