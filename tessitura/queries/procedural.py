@@ -269,6 +269,16 @@ def s03_audio_summary(spark, d):
     return audio.summarized(audio.decoded(recordings(spark, d, "wav"), keep_signal=False))
 
 
+@query(f"""SELECT '/data/' || place AS path, CASE WHEN NOT bad THEN 16000 END AS sr, CASE WHEN NOT bad THEN 1 END AS channels, CASE WHEN NOT bad THEN n END AS frames,
+    CASE WHEN NOT bad THEN n / 16000.0::DOUBLE END AS file_duration, CASE WHEN bad THEN 'AudioReadError: not a readable WAV file: ' END AS error FROM ({WAVS})""")
+def s03_header_summary(spark, d):
+    """The same from files on disk, by the data source: headers alone are read."""
+    at = sinks.scratch(spark)
+    audio.write_files(recordings(spark, d, "wav"), at)
+    rows = audio.audio_summary(spark, at)
+    return rows.withColumn("path", F.concat(F.lit("/data/"), F.regexp_extract("path", "[^/]+/[^/]+$", 0)))
+
+
 @query(READ.format(WAVS))
 def s04_read_wav(spark, d):
     return audio.decoded(recordings(spark, d, "wav")).select("relative_path", "sr", "frames", F.size("signal").alias("n"), "audio_read_status")

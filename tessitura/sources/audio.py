@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import struct
+import uuid
 import wave
 
 import numpy as np
@@ -93,16 +94,16 @@ def list_files(spark: SparkSession, folder: str, suffixes: str = "*") -> DataFra
     return scan.select("path", "length", "modificationTime")
 
 
-def _relative(folder: str):
-    root = folder.split(":", 1)[-1].rstrip("/")
-    root = "/" + root.lstrip("/")
-    return F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^\\Q{root}\\E/", "")
+def read_audio(spark: SparkSession, folder: str, keep_signal: bool = True, suffixes: str = "wav,nsp", hashes: bool = True) -> DataFrame:
+    """A row a file: path, relative_path, file_sha256, the decoded signal (mono), rate, duration, status and error.
 
+    Without the signal the rest comes from headers, and hashes from blocks of bytes (sources.recordings).
+    """
+    from .recordings import Recordings
 
-def read_audio(spark: SparkSession, folder: str, keep_signal: bool = True, suffixes: str = "*.{wav,WAV,nsp,NSP}") -> DataFrame:
-    """A row a file: path, relative_path, file_sha256, the decoded signal (mono), rate, duration, status and error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffixes).load(folder)
-    return decoded(files.withColumn("relative_path", _relative(folder)), keep_signal)
+    spark.dataSource.register(Recordings)
+    files = spark.read.format("recordings").options(folder=folder, signals=keep_signal, hashes=hashes, suffixes=suffixes).load()
+    return files.drop("length")
 
 
 def decoded(files: DataFrame, keep_signal: bool = True) -> DataFrame:
@@ -128,7 +129,7 @@ def decoded(files: DataFrame, keep_signal: bool = True) -> DataFrame:
 
 
 def audio_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return summarized(read_audio(spark, folder, keep_signal=False))
+    return summarized(read_audio(spark, folder, keep_signal=False, hashes=False))
 
 
 def summarized(audio: DataFrame) -> DataFrame:
@@ -154,6 +155,28 @@ def encode_nsp(x: np.ndarray, rate: int) -> bytes:
     return b"FORMDS16" + struct.pack("<I", len(body)) + body
 
 
+def write_files(files: DataFrame, folder: str) -> None:
+    """A file below the folder for each row of relative_path and content, written in tasks under a name of the task's own, then renamed."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, place = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
+        n = 0
+        for b in batches:
+            for name, data in zip(b.column("relative_path").to_pylist(), b.column("content")):
+                parent, own = f"{place}/{name}".rsplit("/", 1)
+                system.create_dir(parent, recursive=True)
+                draft = f"{parent}/_{uuid.uuid4().hex}"
+                with system.open_output_stream(draft) as out:
+                    out.write(data.as_buffer())
+                system.move(draft, f"{parent}/{own}")
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    files.select("relative_path", "content").mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+
+
 def index_by_path(audio: DataFrame, prefix: str = "d1") -> DataFrame:
     """The first layout: labels from the path, one vowel; repeated ids are an error."""
     p = F.col("relative_path")
