@@ -5,6 +5,8 @@ An empty or null signal gives null (or the value stated).  Sums run over samples
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ def _double(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value computed once for a row; what stands inside a lambda is computed anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def mean(a: Column) -> Column:
     return _sum(_double(a)) / F.nullif(F.size(a), F.lit(0))
 
@@ -37,8 +44,7 @@ def to_mono(channels: Column) -> Column:
 
 
 def remove_dc(a: Column) -> Column:
-    m = mean(a)
-    return F.transform(a, lambda x: x.cast("double") - m)
+    return _once(a, lambda held: _once(mean(held), lambda m: F.transform(held, lambda x: x.cast("double") - m)))
 
 
 def rms(a: Column) -> Column:
@@ -51,11 +57,14 @@ def peak(a: Column) -> Column:
 
 def normalize_rms(a: Column, target_dbfs: float = -20.0, limit: float = 0.99) -> Column:
     """Scaled to the level; all of it again if its peak passes the limit; near-silence is unchanged."""
-    level = rms(a)
-    gain = F.lit(10 ** (target_dbfs / 20)) / level
-    top = peak(a) * gain
-    factor = F.when(level < 1e-12, 1.0).when(top > limit, gain * F.lit(limit) / top).otherwise(gain)
-    return F.transform(a, lambda x: x.cast("double") * factor)
+
+    def scaled(held: Column, level: Column) -> Column:
+        gain = F.lit(10 ** (target_dbfs / 20)) / level
+        top = peak(held) * gain
+        factor = F.when(level < 1e-12, 1.0).when(top > limit, gain * F.lit(limit) / top).otherwise(gain)
+        return _once(factor, lambda f: F.transform(held, lambda x: x.cast("double") * f))
+
+    return _once(a, lambda held: _once(rms(held), lambda level: scaled(held, level)))
 
 
 def center_crop_or_pad(a: Column, length: Column | int, pad: bool = False) -> Column:
@@ -104,28 +113,39 @@ def _reached(values: Column, step: int) -> Column:
 
     One pass that carries the running sum and, for each share, how many positions stayed below it.
     """
-    goals = F.transform(F.array(*[F.lit(p / 100) for p in range(step, 100, step)]), lambda p: p * _sum(values))
-    start = F.struct(F.lit(0.0).alias("s"), F.transform(goals, lambda g: F.lit(0)).alias("n"))
-    carried = F.aggregate(values, start, lambda t, x: F.struct((t["s"] + x).alias("s"), F.zip_with(t["n"], goals, lambda n, g: n + (t["s"] + x < g).cast("int")).alias("n")))
-    return carried["n"]
+    shares = [p / 100 for p in range(step, 100, step)]
+
+    def counted(values: Column, goals: Column) -> Column:
+        start = F.struct(F.lit(0.0).alias("s"), F.array_repeat(F.lit(0), len(shares)).alias("n"))
+        carried = F.aggregate(values, start, lambda t, x: F.struct((t["s"] + x).alias("s"), F.zip_with(t["n"], goals, lambda n, g: n + (t["s"] + x < g).cast("int")).alias("n")))
+        return carried["n"]
+
+    return _once(_sum(values), lambda total: _once(F.array(*[p * total for p in shares]), lambda goals: counted(values, goals)))
 
 
 def energy_positions(a: Column, step: int = 10) -> Column:
     """For 10%, 20%, ... of the energy where it is reached, over n - 1; zeros for silence, nulls for no samples."""
-    squares = F.transform(a, lambda x: x.cast("double") * x.cast("double"))
     points = len(range(step, 100, step))
-    last = F.greatest(F.size(a) - 1, F.lit(1))
-    found = F.when(_sum(squares) > 0, F.transform(_reached(squares, step), lambda i: i / last)).otherwise(F.array_repeat(F.lit(0.0), points))
+
+    def places(squares: Column) -> Column:
+        last = F.greatest(F.size(squares) - 1, F.lit(1))
+        return F.when(_sum(squares) > 0, F.transform(_reached(squares, step), lambda i: i / last)).otherwise(F.array_repeat(F.lit(0.0), points))
+
+    found = _once(F.transform(a, lambda x: x.cast("double") * x.cast("double")), places)
     return F.when(F.size(a) > 0, found).otherwise(F.array_repeat(F.lit(None).cast("double"), points))
 
 
 def crossing_positions(a: Column, step: int = 20) -> Column:
     """Where shares of the centred signal's sign changes are reached, over n - 1; zeros if there are none."""
-    c = remove_dc(a)
-    flips = F.zip_with(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda x, y: ((x < 0) != (y < 0)).cast("double"))
-    last = F.greatest(F.size(a) - 1, F.lit(1))
     none = F.array_repeat(F.lit(0.0), len(range(step, 100, step)))
-    return F.when((F.size(a) > 1) & (_sum(flips) > 0), F.transform(_reached(flips, step), lambda i: i / last)).otherwise(none)
+
+    def places(c: Column) -> Column:
+        size = F.greatest(F.size(c) - 1, F.lit(0))
+        flips = F.zip_with(F.slice(c, 1, size), F.slice(c, 2, size), lambda x, y: ((x < 0) != (y < 0)).cast("double"))
+        last = F.greatest(size, F.lit(1))
+        return _once(flips, lambda held: F.when(_sum(held) > 0, F.transform(_reached(held, step), lambda i: i / last)).otherwise(none))
+
+    return F.when(F.size(a) > 1, _once(remove_dc(a), places)).otherwise(none)
 
 
 def entropy(a: Column, bins: int = 64) -> Column:
@@ -133,26 +153,29 @@ def entropy(a: Column, bins: int = 64) -> Column:
 
     A constant signal (all samples close to the first) has 0, an empty one null.
     """
-    d = _double(a)
-    lo, hi = F.array_min(d), F.array_max(d)
-    first = F.element_at(d, 1)
-    flat = ~F.exists(d, lambda x: F.abs(x - first) > F.lit(1e-8) + F.lit(1e-5) * F.abs(first))
-    place = F.transform(d, lambda x: F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1).cast("long")))
-    n = F.size(d).cast("double")
 
-    def part(run: Column) -> Column:
-        return run / n * F.log2(run / n)
+    def of(d: Column, ends: Column) -> Column:
+        lo, hi = ends["lo"], ends["hi"]
+        first = F.get(d, F.lit(0))
+        flat = ~F.exists(d, lambda x: F.abs(x - first) > F.lit(1e-8) + F.lit(1e-5) * F.abs(first))
+        place = F.transform(d, lambda x: F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1).cast("long")))
+        n = F.size(d).cast("double")
+
+        def part(run: Column) -> Column:
+            return run / n * F.log2(run / n)
+
+        # Bins in order, so that one pass counts the runs of equal ones.
+        start = F.struct(F.lit(-1).cast("long").alias("bin"), F.lit(0.0).alias("run"), F.lit(0.0).alias("bits"))
 
-    # Bins in order, so that one pass counts the runs of equal ones.
-    start = F.struct(F.lit(-1).cast("long").alias("bin"), F.lit(0.0).alias("run"), F.lit(0.0).alias("bits"))
+        def step(t: Column, p: Column) -> Column:
+            same = p == t["bin"]
+            done = F.when(~same & (t["run"] > 0), part(t["run"])).otherwise(0.0)
+            return F.struct(p.alias("bin"), F.when(same, t["run"] + 1).otherwise(1.0).alias("run"), (t["bits"] - done).alias("bits"))
 
-    def step(t: Column, p: Column) -> Column:
-        same = p == t["bin"]
-        done = F.when(~same & (t["run"] > 0), part(t["run"])).otherwise(0.0)
-        return F.struct(p.alias("bin"), F.when(same, t["run"] + 1).otherwise(1.0).alias("run"), (t["bits"] - done).alias("bits"))
+        bits = F.aggregate(F.array_sort(place), start, step, lambda t: t["bits"] - part(t["run"]))
+        return F.when(F.size(d) > 0, F.when(flat, 0.0).otherwise(bits))
 
-    bits = F.aggregate(F.array_sort(place), start, step, lambda t: t["bits"] - part(t["run"]))
-    return F.when(F.size(d) > 0, F.when(flat, 0.0).otherwise(bits))
+    return _once(_double(a), lambda d: _once(F.struct(F.array_min(d).alias("lo"), F.array_max(d).alias("hi")), lambda ends: of(d, ends)))
 
 
 def segments(a: Column, parts: int) -> Column:
@@ -167,8 +190,7 @@ def partitioned_entropy(a: Column, partitions=PARTITIONS, bins: int = 64) -> Col
 
     def relative(k: int) -> Column:
         own = F.transform(segments(a, k), lambda s: entropy(s, bins))
-        top = F.array_max(own)
-        return F.transform(own, lambda e: F.when(top > 0, e / top).otherwise(e))
+        return _once(own, lambda held: _once(F.array_max(held), lambda top: F.transform(held, lambda e: F.when(top > 0, e / top).otherwise(e))))
 
     out = [relative(k) for k in partitions]
     none = F.array_repeat(F.lit(None).cast("double"), sum(partitions))
