@@ -170,3 +170,27 @@ def test_long_signals_take_one_pass(spark):
     for got, want in zip(r, (dsp.crossing_positions(v), dsp.energy_positions(v), dsp.partitioned_entropy(v, (2, 3)))):
         np.testing.assert_allclose(got, want)
     np.testing.assert_allclose(r[4], v - v.mean(), atol=1e-9)
+
+
+def test_named_families_alone(spark):
+    """Families that are not asked for are not made, and the values of the others are the same; pieces do not matter."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(0, 1, n).astype(np.float32).tolist() if n else None, 1000) for i, n in enumerate((66, 400, 0, 3, 1))] + [(5, [1.0, float("inf")], 1000), (6, [1.0, 2.0], 0)]
+    df = spark.createDataFrame(rows, "i int, signal array<float>, sr int")
+    whole = {r["i"]: r.asDict() for r in extract.extract(df, 8000).collect()}
+    for family in ("harmonic_", "mfcc", "glottal_"):
+        own = extract.extract(df, 8000, families=(family,))
+        assert {c for c in own.columns if c[0] in "hegmz" and c != "error"} == {n for n in dsp.feature_names() if n.startswith(family)}
+        assert all(r.asDict() == {c: whole[r["i"]][c] for c in own.columns} for r in own.collect())
+    assert [whole[i]["status"] for i in range(7)] == ["ok", "ok", "error", "ok", "ok", "error", "error"] and whole[2]["error"] == "empty audio signal"
+
+
+def test_filters_and_bins_in_pieces(monkeypatch):
+    rng = np.random.default_rng(7)
+    a, x = rng.random((40, 70)), rng.gamma(2, 50, 500)
+    want = [dsp.median_filter(a, 31, 0), dsp.median_filter(a, 31, 1), *dsp.pitch_path(x, 8000)]
+    monkeypatch.setattr(dsp, "FILTER_VALUES", 5000)
+    for got, w in zip([dsp.median_filter(a, 31, 0), dsp.median_filter(a, 31, 1), *dsp.pitch_path(x, 8000)], want):
+        np.testing.assert_array_equal(got, w)
+    for v in (x, np.round(x), np.array([0.1, 0.2, 0.3]), rng.random(64) * 1e-6):
+        np.testing.assert_array_equal(dsp.equal_bins(v, 64), np.histogram(v, 64)[0])
